@@ -145,6 +145,19 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: int = 4 << 20) -> np.ndarray:
+    """The pieces of ``data``, one after the other; indices are made for ``step`` bytes at a time."""
+    total = np.cumsum(lens)
+    if not len(lens):
+        return data[:0]
+    out, at, done = np.empty(int(total[-1]), data.dtype), 0, 0
+    while at < len(lens):
+        to = max(at + 1, int(np.searchsorted(total, done + step, "right")))
+        out[done : int(total[to - 1])] = data[ragged(starts[at:to], lens[at:to])]
+        at, done = to, int(total[to - 1])
+    return out
+
+
 def minimiser_runs(grams: np.ndarray, width: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive valid windows that share their leftmost smallest gram:
     first window, number of windows, position of the gram. Which gram a window takes

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 
-from factweave.llm.common import ragged
+from factweave.llm.common import gathered
 
 FIELDS = ("did", "dig", "pos", "nwin", "aoff", "size")
 KINDS = {"did": np.int64, "dig": np.int64, "pos": np.int64, "nwin": np.int32, "aoff": np.int32, "size": np.int32}
@@ -41,13 +41,13 @@ class Records:
         return np.concatenate(([0], np.cumsum(self.size, dtype=np.int64)))[: len(self)]
 
     def take(self, index: np.ndarray) -> "Records":
-        data = self.data[ragged(self.start[index], self.size[index].astype(np.int64))]
+        data = gathered(self.data, self.start[index], self.size[index].astype(np.int64))
         return Records(*(getattr(self, f)[index] for f in FIELDS), data)
 
     def pack(self) -> bytes:
         head = np.int64(len(self)).tobytes()
         body = b"".join(np.ascontiguousarray(getattr(self, f), KINDS[f]).tobytes() for f in FIELDS) + self.data.tobytes()
-        return head + zstandard.ZstdCompressor(level=2).compress(body)
+        return head + zstandard.ZstdCompressor(level=3).compress(body)
 
     @staticmethod
     def unpack(blob: bytes) -> "Records":

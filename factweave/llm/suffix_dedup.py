@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import (
-    NULL_ID, covered, flat_text, keyed, minimiser_runs, mixed, multikey_groups, public_id, ragged, spans_of, stored,
+    NULL_ID, covered, flat_text, gathered, keyed, minimiser_runs, mixed, multikey_groups, public_id, ragged, spans_of, stored,
 )
 from factweave.llm.packed import Records, by_bucket, fused
 
@@ -47,6 +47,14 @@ def eights(flat: np.ndarray) -> np.ndarray:
     return x[: len(flat)]
 
 
+def eight_at(data: np.ndarray, at: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The eight bytes from each of these places on, as ``eights`` has them; all lie in ``data``."""
+    out = np.empty(len(at), np.uint64)
+    for k in range(0, len(at), step):
+        out[k : k + step] = data[at[k : k + step, None] + np.arange(8)].view(">u8").ravel()
+    return out
+
+
 def anchored(flat: np.ndarray, offs: np.ndarray, window: int):
     """(first window, number of windows, anchor position, leading eight bytes), batch-wide."""
     n, found = len(flat), []
@@ -72,7 +80,7 @@ def records_of(batch: pa.RecordBatch, window: int) -> tuple[Records, np.ndarray]
     doc = np.searchsorted(offs, first, "right") - 1
     did, dig = (np.asarray(batch.column(c)) for c in ("did", "dig"))
     nbytes = size + window - 1
-    return Records(did[doc], dig[doc], first - offs[doc], size, pos - first, nbytes, flat[ragged(first, nbytes)]), lead
+    return Records(did[doc], dig[doc], first - offs[doc], size, pos - first, nbytes, gathered(flat, first, nbytes)), lead
 
 
 def window_digests(rec: Records, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,9 +95,8 @@ def window_digests(rec: Records, window: int) -> tuple[np.ndarray, np.ndarray, n
 def repeated_windows(rec: Records, window: int):
     """Windows of ``rec`` that also start earlier within ``rec``, as (record, window) numbers."""
     start = rec.start
-    lead = eights(rec.data)
     anchor = start + rec.aoff
-    gram = multikey_groups(lambda i, d: lead[anchor[i] + 8 * d], len(rec), GRAM // 8, np.zeros(len(rec), np.int8))
+    gram = multikey_groups(lambda i, d: eight_at(rec.data, anchor[i] + 8 * d), len(rec), GRAM // 8, np.zeros(len(rec), np.int8))
     live = np.flatnonzero(gram >= 0)
     owner = np.repeat(live, rec.nwin[live])
     nth = ragged(np.zeros(len(live), np.int64), rec.nwin[live].astype(np.int64))
@@ -97,7 +104,7 @@ def repeated_windows(rec: Records, window: int):
     # equal windows have equal grams at equal offsets
     place = gram[owner] * (window + 1) + (rec.aoff[owner] - nth)
     steps = [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]
-    group = multikey_groups(lambda i, d: lead[begin[i] + steps[d]], len(owner), len(steps), place)
+    group = multikey_groups(lambda i, d: eight_at(rec.data, begin[i] + steps[d]), len(owner), len(steps), place)
     keep = np.flatnonzero(group >= 0)
     owner, nth, group = owner[keep], nth[keep], group[keep]
     order = np.lexsort((rec.pos[owner] + nth, rec.dig[owner], rec.did[owner], group))
@@ -147,7 +154,7 @@ def _map(window: int, splitters: np.ndarray, flush: int):
                 held.append(rec)
                 leads.append(lead)
                 size += len(rec.data)
-                if size >= 4 * flush:
+                if size >= 12 * flush:
                     yield from emit()
         yield from emit()
 
@@ -181,7 +188,7 @@ def _bucket(window: int, hot: np.ndarray):
             at = rec.pos[owner] + nth
             parts.append((rec.did[owner], rec.dig[owner], at, at + window))
             if len(hot):  # windows of values that lie across bucket boundaries: their first place here
-                much = np.isin(eights(rec.data)[rec.start + rec.aoff], hot)
+                much = np.isin(eight_at(rec.data, rec.start + rec.aoff), hot)
                 over = rec.take(np.flatnonzero(much))
                 own, n, digest = window_digests(over, window)
                 far = pd.DataFrame({"did": over.did[own], "dig": over.dig[own], "lo": over.pos[own] + n, "hi": over.pos[own] + n + window, "digest": digest})
@@ -213,7 +220,7 @@ def sample_splitters(docs: DataFrame, total: int, buckets: int, window: int, per
     return lead[np.linspace(0, len(lead), buckets + 1)[1:-1].astype(np.int64)] if len(lead) >= buckets else lead[:0]
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, bucket_bytes: int = 16 << 20, splitters: np.ndarray | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 100, bucket_bytes: int = 8 << 20, splitters: np.ndarray | None = None) -> DataFrame:
     """(did, dig, lo, hi): byte spans of keyed documents that repeat earlier text."""
     if window < 2 * GRAM:
         raise ValueError(f"window must be {2 * GRAM} bytes at least")
@@ -222,7 +229,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, bucket_bytes: int = 16 <<
         buckets = max(4, -(-total // bucket_bytes))
         splitters = sample_splitters(docs, total, buckets, window, 200)
     hot = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
-    packed = docs.mapInArrow(_map(window, splitters, 16 << 20), OUT)
+    packed = docs.mapInArrow(_map(window, splitters, 2 << 20), OUT)
     found = stored(packed.groupBy("bucket").applyInPandas(_bucket(window, hot), "did long, dig long, lo long, hi long, digest binary"), "suffix-spans")
     spans = found.where(F.col("digest").isNull()).drop("digest")
     if len(hot):

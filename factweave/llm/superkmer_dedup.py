@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import covered, flat_text, keyed, minimiser_runs, mixed, multikey_groups, public_id, ragged, rolled, stored
+from factweave.llm.common import covered, flat_text, gathered, keyed, minimiser_runs, mixed, multikey_groups, public_id, ragged, rolled, stored
 from factweave.llm.packed import Records, by_bucket, fused
 from factweave.llm.suffix_dedup import OUT, _row, _SCHEMA, remove_spans
 
@@ -37,7 +37,7 @@ def is_space(flat: np.ndarray) -> np.ndarray:
     return (flat == SPACE) | ((flat >= 9) & (flat <= 13))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 200_000) -> np.ndarray:
     """A 64-bit hash of every word; words are pieces of ``data`` in order, none empty."""
     if not len(start):
         return np.zeros(0, np.uint64)
@@ -45,9 +45,13 @@ def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     power[0] = 1
     with np.errstate(over="ignore"):
         power = np.multiply.accumulate(power)
-        at = np.concatenate(([0], np.cumsum(size)[:-1]))
-        nth = np.arange(int(size.sum())) - np.repeat(at, size)
-        return mixed(np.add.reduceat((data[ragged(start, size)].astype(np.uint64) + np.uint64(1)) * power[nth], at))
+        out = np.empty(len(start), np.uint64)
+        for k in range(0, len(start), step):
+            n, begin = size[k : k + step], start[k : k + step]
+            at = np.concatenate(([0], np.cumsum(n)[:-1]))
+            nth = np.arange(int(n.sum())) - np.repeat(at, n)
+            out[k : k + step] = np.add.reduceat((data[ragged(begin, n)].astype(np.uint64) + np.uint64(1)) * power[nth], at)
+        return mixed(out)
 
 
 class Words:
@@ -65,7 +69,7 @@ class Words:
         end = np.flatnonzero(~space & after[1:]) + 1
         self.size = end - begin
         self.start = np.concatenate(([0], np.cumsum(self.size + 1)))[:-1]
-        self.data = np.append(flat, np.uint8(SPACE))[ragged(begin, self.size + 1)]
+        self.data = gathered(np.append(flat, np.uint8(SPACE)), begin, self.size + 1)
         self.data[self.start + self.size] = SPACE
         self.hash = word_hashes(self.data, self.start, self.size)
         self.of = np.searchsorted(begin, offs)  # first word of each document; the end of the last
@@ -106,7 +110,7 @@ def _records(batch: pa.RecordBatch, window: int, gram: int, hot: np.ndarray, buc
         key = key.copy()
         key[single] = rolled(words.hash, window)[first[single]]
     bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
-    return Records(did[doc], dig[doc], first - words.of[doc], size, pos - first, hi - lo, words.data[ragged(lo, hi - lo)]), bucket
+    return Records(did[doc], dig[doc], first - words.of[doc], size, pos - first, hi - lo, gathered(words.data, lo, hi - lo)), bucket
 
 
 def _map(window: int, gram: int, hot: np.ndarray, buckets: int, flush: int):
@@ -134,7 +138,7 @@ def _map(window: int, gram: int, hot: np.ndarray, buckets: int, flush: int):
                 held.append(rec)
                 goals.append(bucket)
                 size += len(rec.data)
-                if size >= 4 * flush:
+                if size >= 12 * flush:
                     yield from emit()
         yield from emit()
 
@@ -213,14 +217,14 @@ def hot_minimisers(docs: DataFrame, window: int, gram: int, buckets: int, sample
     return rows["key"].to_numpy(np.int64).view(np.uint64)
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, bucket_bytes: int = 16 << 20, hot: np.ndarray | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, bucket_bytes: int = 8 << 20, hot: np.ndarray | None = None) -> DataFrame:
     """(did, dig, lo, hi): word spans of keyed documents that repeat earlier text."""
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(4, -(-total // bucket_bytes))
     hot = hot_minimisers(docs, window, gram, buckets) if hot is None else hot
-    packed = docs.mapInArrow(_map(window, gram, hot, buckets, 16 << 20), OUT)
+    packed = docs.mapInArrow(_map(window, gram, hot, buckets, 2 << 20), OUT)
     return stored(packed.groupBy("bucket").applyInPandas(_bucket(window, gram), "did long, dig long, lo long, hi long"), "word-spans")
 
 
