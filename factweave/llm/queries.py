@@ -1,4 +1,6 @@
-"""The queries of the corpus operators: each applies one operator to its whole table."""
+"""The queries of the corpus operators: each applies one operator to its whole table.
+
+Imports stand inside the functions, so that a task that needs one operator loads no other."""
 
 from __future__ import annotations
 
@@ -9,17 +11,108 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.exact_dedup import dedup_exact
+
+    return dedup_exact(spark, f"{sf_dir}/documents.parquet")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.suffix_dedup import dedup_substrings
 
     return dedup_substrings(table(spark, sf_dir, "documents"), window=100).drop("kept")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), distance=3)
+
+
 def op4_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.superkmer_dedup import dedup_word_windows
 
     return dedup_word_windows(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op4_superkmer_dedup": op4_superkmer_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.decontaminate import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.mixing import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents"), keep=False)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from factweave.llm.common import scratch
+    from factweave.llm.token_files import read_digests, write_tokens
+
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_digests(spark, path)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from factweave.llm.line_dedup import dedup_lines
+
+    cut = dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_superkmer_dedup, op5_decontamination,
+    op6_mixing, op7_token_files, op8_quality, op9_line_dedup, op10_toxicity,
+)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": f"""
+WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY norm)""",
+    "op4_superkmer_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS u(p) WHERE len(w) >= 20),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+word AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+flag AS (SELECT word.doc_id, i, word, max(dup.p) OVER (PARTITION BY word.doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+         FROM word LEFT JOIN dup ON dup.doc_id = word.doc_id AND dup.p = word.i),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS k FROM flag GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op5_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+item AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + 9], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM item),
+win AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(p) WHERE len(w) >= n),
+hit AS (SELECT win.doc_id, win.p, win.n, item.item_id FROM win JOIN item ON item.n = win.n AND item.s = win.s),
+spots AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS k FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(k, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots ON spots.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id""",
+}
