@@ -85,6 +85,21 @@ SELECT user_id, sid, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM
   FROM (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM {ev}) g) s GROUP BY user_id, sid""",
     "purchases": """
 SELECT sha1('e' || CAST(event_id AS STRING)) AS id, user_id, ts, event_id, k, k % 3 = 0 AS assisted FROM {ev} WHERE event_type = 'purchase'""",
+    "target_texts": """
+SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'project' WHEN 1 THEN 'project:x' WHEN 2 THEN 'path:' || source || '/' || lang WHEN 3 THEN 'commit:' || sha1(text) WHEN 4 THEN 'branch:a:b' || lang
+  WHEN 5 THEN 'change-id:' || lang WHEN 6 THEN 'tag:' || lang WHEN 7 THEN lang ELSE 'path:é' END AS s FROM {documents}""",
+    "key_texts": """
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'a:' || source WHEN 1 THEN 'a::' || source WHEN 2 THEN '__' || lang WHEN 3 THEN 'x:__list' WHEN 4 THEN 'x/' || lang WHEN 5 THEN '..:' || lang WHEN 6 THEN '' WHEN 7 THEN 'session-' || CAST(doc_id AS STRING) || ':v2'
+  WHEN 8 THEN 'draft:' || lang || ':x' ELSE 'draft' END AS key, doc_id % 7 AS k FROM {documents}""",
+    "targets": """
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'project' WHEN 1 THEN 'path' WHEN 2 THEN 'commit' WHEN 3 THEN 'branch' ELSE 'change-id' END AS target_type,
+  CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN '__' ELSE '~' END || source || '/' || lang || '/__x/' || CAST(doc_id AS STRING) WHEN 2 THEN sha1(text) WHEN 3 THEN 'feature/' || lang || '/' || CAST(doc_id AS STRING) ELSE 'I' || CAST(doc_id AS STRING) END AS target_value,
+  'doc:' || lang || ':v' || CAST(doc_id % 4 AS STRING) AS key, substr(text, 1, 30) AS value, 1600000000000 + doc_id AS ts FROM {documents}""",
+    "subjects": """
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'fix(core)!: ' WHEN 2 THEN 'chore!: ' WHEN 3 THEN 'Not a type: ' WHEN 4 THEN 'docs(a:b): ' WHEN 5 THEN 'no colon ' WHEN 6 THEN 'UP: ' ELSE 'perf-2: ' END || lang AS subject,
+  'This fixes #' || CAST(doc_id AS STRING) || ' and Closes: #' || CAST(doc_id % 5 AS STRING) || ', see #7 resolved (#12). fix nothing' AS body,
+  'Subject' || CASE WHEN doc_id % 2 = 0 THEN ' x' ELSE '' END || '~~Change-Id: Iold~Change-Id:  I' || CAST(doc_id AS STRING) || ' ~Entire-Checkpoint: c' || CAST(doc_id AS STRING) || '~Entire-Checkpoint: d~' AS message,
+  CASE WHEN doc_id % 3 = 0 THEN 'u' || CAST(doc_id AS STRING) ELSE ' ' END AS login, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Name ' || CAST(doc_id AS STRING) || ' <n' || CAST(doc_id AS STRING) || '@example.com>' END AS author FROM {documents}""",
     "rules": """
 SELECT * FROM (VALUES (1, 'exclude label:tox*'), (2, 'route label:** quality,audit'), (3, 'exclude draft:**'), (4, 'route text:* texts'), (5, 'route meta:** config,audit'), (6, 'exclude label:toxic')) r(n, rule)""",
 }

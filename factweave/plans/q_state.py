@@ -15,7 +15,8 @@ LISTS = """SELECT seq, target_type, target_value, 'notes:l' AS key, CASE WHEN op
 
 
 def _sql(s, text: str):
-    return s.spark.sql(text.replace("//", "div"), mut=s.mut)
+    escaped = text.replace("{mut}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{mut}")
+    return s.spark.sql(escaped, mut=s.mut)
 
 
 @query("w1_fold_strings", f"""SELECT {KC}, value, ts AS last_ts, email FROM (SELECT *, row_number() OVER (PARTITION BY {KC} ORDER BY seq DESC) AS n FROM {{mut}} WHERE value_type = 'string') x WHERE n = 1 AND op = 'set'""")
