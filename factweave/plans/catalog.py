@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from factweave.plans import q_merge, q_scalars, q_state  # noqa: F401  importing registers
+from factweave.plans import q_merge, q_scalars, q_snapshot, q_state  # noqa: F401  importing registers
 from factweave.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
