@@ -16,7 +16,7 @@ p AS (SELECT DISTINCT o_custkey, 'feature-x#' || o_custkey AS b, {MERGED} AS mer
 c AS (SELECT o_custkey, n, id, split_part(split_part(message, chr(10), 1), '(', 1) AS kind FROM o),
 w AS (SELECT o_custkey, 'branch' AS target_type, b AS target_value, key, value_type, value, s, n FROM p, LATERAL (VALUES
     (1, 0, 'title', 'string', 'PR ' || o_custkey), (2, 0, 'description', 'string', 'Fixes #' || o_custkey || ' now'), (3, 0, 'review:number', 'string', CAST(o_custkey AS VARCHAR)), (4, 0, 'review:url', 'string', 'https://example.com/' || o_custkey),
-    (5, 0, 'github:head-ref', 'string', 'feature/x'), (6, 0, 'github:base-ref', 'string', CASE WHEN o_custkey % 20 = 0 THEN 'main' END), (7, 0, 'issue:id', 'set', '7'), (7, 1, 'issue:id', 'set', CAST(o_custkey AS VARCHAR)), (8, 0, 'issue:url', 'set', 'https://example.com/i/7'),
+    (5, 0, 'github:head-ref', 'string', 'feature/x'), (6, 0, 'github:base-ref', 'string', CASE WHEN o_custkey % 20 = 0 THEN 'main' END), (7, 7, 'issue:id', 'set', '7'), (7, o_custkey, 'issue:id', 'set', CAST(o_custkey AS VARCHAR)), (8, 0, 'issue:url', 'set', 'https://example.com/i/7'),
     (9, 0, 'review:reviewed', 'set', 'ann'), (9, 1, 'review:reviewed', 'set', 'bob'), (10, 0, 'review:approved', 'set', 'bob'), (11, 0, 'review:comment', 'list', '{{"author":"ann","body":"looks good"}}')) v(s, n, key, value_type, value) WHERE value IS NOT NULL
   UNION ALL SELECT o_custkey, 'commit', id, 'branch-id', 'string', 'feature-x#' || o_custkey, 12, n * 2 FROM c UNION ALL SELECT o_custkey, 'commit', id, 'conventional:type', 'set', kind, 12, n * 2 + 1 FROM c
   UNION ALL SELECT o_custkey, 'branch', 'feature-x#' || o_custkey, 'commits:author', 'set', author, 13, 0 FROM (SELECT DISTINCT o_custkey, author FROM o) a
