@@ -28,6 +28,7 @@ ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
 }
 
 
@@ -85,13 +86,14 @@ def dedup_exact(spark: SparkSession, path: str, checkpoint: str | None = None, i
     # hits: full bytes of each row against those at the locator
     hits = state.where("n > 1")
     at = F.col("loc") == F.col("keep_loc")
-    mine = rows.join(hits, "digest", "left").withColumn("hash", F.sha2("norm", 256))
+    owners = rows.withColumnRenamed("norm", "kept_norm").drop("did").join(hits.withColumn("loc", F.col("keep_loc")), ["digest", "loc"]).drop("loc")
+    hash_of = F.lower(F.hex("digest")) if digest is sha else F.sha2("norm", 256)
     single = F.col("n").isNull()
-    alone = mine.where(single).select("did", "loc", F.col("did").alias("keep"), F.col("loc").alias("keep_loc"), F.lit(1).cast("long").alias("n"), "hash")
-    members = mine.where(~single)
-    owners = rows.join(hits, "digest").where(at).select("digest", F.col("norm").alias("kept_norm"))
-    checked = members.join(owners, "digest").select(*out, "digest", (F.col("norm") == F.col("kept_norm")).alias("same"))
-    checked = stored(alone.select(*out, F.lit(None).cast("binary").alias("digest"), F.lit(True).alias("same")).unionByName(checked), "checked")
+    checked = rows.join(stored(owners, "owners"), "digest", "left").select(
+        "did", "loc", F.when(single, F.col("did")).otherwise(F.col("keep")).alias("keep"), F.when(single, F.col("loc")).otherwise(F.col("keep_loc")).alias("keep_loc"),
+        F.when(single, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"), hash_of.alias("hash"), "digest", (single | (F.col("norm") == F.col("kept_norm"))).alias("same"),
+    )
+    checked = stored(checked, "checked")
     wrong = checked.where(~F.col("same")).select("digest").distinct()
     result = checked.select(*out)
     if not wrong.isEmpty():  # one digest, different texts: group these by the texts themselves
