@@ -227,7 +227,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     each = roots.join(own.select(F.col("fp").alias("node"), "low"), "node")
     group = each.groupBy("root").agg(F.min("low").alias("component"))
     named = roots.join(group, "root").select(F.col("node").alias("fp"), "component")
-    label = own.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    # stored, so that both sides of the last join are exchanged anew and a fingerprint that a third
+    # of the documents share can be split
+    label = stored(own.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")), "labels")
     return rows.join(label, "fp").select(
         public_id(F.col("did")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), public_id(F.col("component")).alias("component_id")
     )
