@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Kinds of targets, in the stored spelling.
 TARGET_TYPES = ("commit", "change-id", "branch", "path", "project")
 DAY_MS = 86_400_000
 
@@ -200,15 +201,16 @@ def conventional_type(subject: Column | str) -> Column:
     return F.struct(F.when(ok, name).alias("type"), F.when(ok, breaking).alias("breaking"))
 
 
+#: Words that close an issue.
 CLOSERS = ("close", "closes", "closed", "fix", "fixes", "fixed", "resolve", "resolves", "resolved")
 
 
 def closing_issues(body: Column | str) -> Column:
-    """Issue numbers that follow a closing keyword, distinct and ascending."""
+    """Issues (``#12``) that follow a closing keyword, distinct and in the order of their texts."""
     words = F.split(F.trim(F.regexp_replace(_col(body), "\\s+", " ")), " ")
     pairs = F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
-    hits = F.filter(pairs, lambda p: F.lower(F.regexp_replace(p["a"], "[^A-Za-z]", "")).isin(*CLOSERS) & p["b"].rlike("^[.,()]*#[0-9]+[.,()]*$"))
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda p: F.regexp_extract(p["b"], "#([0-9]+)", 1).cast("long"))))
+    hits = F.filter(pairs, lambda p: F.lower(F.regexp_replace(p["a"], "^[^A-Za-z]+|[^A-Za-z]+$", "")).isin(*CLOSERS) & p["b"].rlike("^[.,()]*#[0-9]+[.,()]*$"))
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda p: F.regexp_extract(p["b"], "#[0-9]+", 0))))
 
 
 def trailers(message: Column | str, name: str) -> Column:

@@ -16,8 +16,8 @@ p AS (SELECT DISTINCT o_custkey, 'feature-x#' || o_custkey AS b, {MERGED} AS mer
 c AS (SELECT o_custkey, n, id, split_part(split_part(message, chr(10), 1), '(', 1) AS kind FROM o),
 w AS (SELECT o_custkey, 'branch' AS target_type, b AS target_value, key, value_type, value, s, n FROM p, LATERAL (VALUES
     (1, 0, 'title', 'string', 'PR ' || o_custkey), (2, 0, 'description', 'string', 'Fixes #' || o_custkey || ' now'), (3, 0, 'review:number', 'string', CAST(o_custkey AS VARCHAR)), (4, 0, 'review:url', 'string', 'https://example.com/' || o_custkey),
-    (5, 0, 'github:head-ref', 'string', 'feature/x'), (6, 0, 'github:base-ref', 'string', CASE WHEN o_custkey % 20 = 0 THEN 'main' END), (7, 7, 'issue:id', 'set', '7'), (7, o_custkey, 'issue:id', 'set', CAST(o_custkey AS VARCHAR)), (8, 0, 'issue:url', 'set', 'https://example.com/i/7'),
-    (9, 0, 'review:reviewed', 'set', 'ann'), (9, 1, 'review:reviewed', 'set', 'bob'), (10, 0, 'review:approved', 'set', 'bob'), (11, 0, 'review:comment', 'list', '{{"author":"ann","body":"looks good"}}')) v(s, n, key, value_type, value) WHERE value IS NOT NULL
+    (5, 0, 'github:head-ref', 'string', 'feature/x'), (6, 0, 'github:base-ref', 'string', CASE WHEN o_custkey % 20 = 0 THEN 'main' END), (7, 1, 'issue:id', 'set', '#7'), (7, CASE WHEN CAST(o_custkey AS VARCHAR) < '7' THEN 0 ELSE 2 END, 'issue:id', 'set', '#' || o_custkey), (8, 0, 'issue:url', 'set', 'https://example.com/i/7'),
+    (9, 0, 'review:reviewed', 'set', 'ann'), (9, 1, 'review:reviewed', 'set', 'bob'), (10, 0, 'review:approved', 'set', 'bob'), (11, 0, 'review:comment', 'list', '{{"kind":"comment","author":"ann","body":" looks good ","url":null,"created_at":"t0"}}'), (11, 1, 'review:comment', 'list', '{{"kind":"review","author":"ann","body":"hm","url":"u","created_at":null}}')) v(s, n, key, value_type, value) WHERE value IS NOT NULL
   UNION ALL SELECT o_custkey, 'commit', id, 'branch-id', 'string', 'feature-x#' || o_custkey, 12, n * 2 FROM c UNION ALL SELECT o_custkey, 'commit', id, 'conventional:type', 'set', kind, 12, n * 2 + 1 FROM c
   UNION ALL SELECT o_custkey, 'branch', 'feature-x#' || o_custkey, 'commits:author', 'set', author, 13, 0 FROM (SELECT DISTINCT o_custkey, author FROM o) a
   UNION ALL SELECT o_custkey, 'branch', 'feature-x#' || o_custkey, 'commits:author-date', 'set', CAST(ts AS VARCHAR), 14, ts FROM (SELECT DISTINCT o_custkey, ts FROM o) a
@@ -41,9 +41,9 @@ def pulls(s):
     json = F.to_json(F.struct(
         n.alias("number"), text("PR %d").alias("title"), text("Fixes #%d now").alias("body"), text("https://example.com/%d").alias("url"), F.lit("feature/x").alias("headRefName"),
         F.when(n % 20 == 0, "main").alias("baseRefName"), merged.alias("mergedAt"), F.concat(F.array(F.struct(F.lit("gone").alias("oid"), F.lit("x").alias("messageHeadline"))), real).alias("commits"),
-        F.array(F.struct(who("ann").alias("author"), F.lit(" looks good ").alias("body")), F.struct(who("ann").alias("author"), F.lit("  ").alias("body"))).alias("comments"),
-        F.array(F.struct(who("bob").alias("author"), F.lit("approved").alias("state"), F.lit("").alias("body")), F.struct(who("ann").alias("author"), F.lit("COMMENTED").alias("state"), F.lit("").alias("body"))).alias("reviews"),
-        F.array(F.struct(F.lit(7).alias("number"), F.lit("https://example.com/i/7").alias("url"))).alias("closingIssuesReferences")))
+        F.array(F.struct(who("ann").alias("author"), F.lit(" looks good ").alias("body"), F.lit("t0").alias("createdAt")), F.struct(who("ann").alias("author"), F.lit("  ").alias("body"), F.lit("t1").alias("createdAt"))).alias("comments"),
+        F.array(F.struct(who("bob").alias("author"), F.lit("approved").alias("state"), F.lit("").alias("body"), F.lit("u").alias("url")), F.struct(who("ann").alias("author"), F.lit("COMMENTED").alias("state"), F.lit("hm").alias("body"), F.lit("u").alias("url"))).alias("reviews"),
+        F.struct(F.lit("gone").alias("oid")).alias("mergeCommit"), F.array(F.struct(F.lit(7).alias("number"), F.lit("https://example.com/i/7").alias("url"))).alias("closingIssuesReferences")))
     return c.select(json.alias("json"))
 
 

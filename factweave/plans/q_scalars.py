@@ -156,9 +156,9 @@ def f18(s):
     return s.subjects.select("doc_id", "subject", C.conventional_type("subject").alias("t")).select("doc_id", "subject", "t.type", "t.breaking")
 
 
-@query("f19_closing_issues", "SELECT doc_id, array_to_string(list_sort(list_distinct([doc_id, doc_id % 5, 12])), ',') AS issues FROM {subjects}")
+@query("f19_closing_issues", "SELECT doc_id, array_to_string(list_sort(list_distinct(['#' || doc_id, '#' || doc_id % 5, '#12'])), ',') AS issues FROM {subjects}")
 def f19(s):
-    return s.subjects.select("doc_id", F.array_join(C.closing_issues("body").cast("array<string>"), ",").alias("issues"))
+    return s.subjects.select("doc_id", F.array_join(C.closing_issues("body"), ",").alias("issues"))
 
 
 @query("f20_trailers", "SELECT doc_id, 'I' || doc_id AS change_id, 'c' || doc_id || ',d' AS checkpoints FROM {subjects}")

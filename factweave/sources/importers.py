@@ -12,8 +12,9 @@ from factweave.functions import scalars as C
 
 PR = (
     "number long, title string, body string, url string, headRefName string, baseRefName string, mergedAt string, "
-    "commits array<struct<oid:string,messageHeadline:string>>, comments array<struct<author:struct<login:string,name:string>,body:string>>, "
-    "reviews array<struct<author:struct<login:string,name:string>,state:string,body:string>>, closingIssuesReferences array<struct<number:long,url:string>>"
+    "mergeCommit struct<oid:string,messageHeadline:string>, commits array<struct<oid:string,messageHeadline:string>>, "
+    "comments array<struct<author:struct<login:string,name:string>,body:string,url:string,createdAt:string>>, "
+    "reviews array<struct<author:struct<login:string,name:string>,state:string,body:string,url:string,submittedAt:string>>, closingIssuesReferences array<struct<number:long,url:string>>"
 )
 WRITE = "struct<target_type:string,target_value:string,key:string,value_type:string,value:string>"
 
@@ -42,22 +43,32 @@ def _names(entries: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(who, lambda w: w.isNotNull())))
 
 
+def _comments(entries: Column, kind: str, at: str) -> Column:
+    """JSON of the entries that say anything."""
+    said = F.filter(F.coalesce(entries, F.array()), lambda c: F.coalesce(F.trim(F.translate(c["body"], "\n\t\r", "")), F.lit("")) != "")
+    return F.transform(said, lambda c: F.to_json(F.struct(
+        F.lit(kind).alias("kind"), C.author_identity(c["author"]["login"], c["author"]["name"]).alias("author"), c["body"].alias("body"), c["url"].alias("url"), c[at].alias("created_at")), {"ignoreNullFields": "false"}))
+
+
 def import_pull_requests(pulls: DataFrame, commits: DataFrame, repo: str) -> DataFrame:
     """``pulls`` has a json column; ``commits`` id, author, ts (seconds) of known commits. Commits that
     aren't known write nothing."""
     p = pulls.select(F.from_json("json", PR).alias("p")).where("p.number is not null").select("p.*")
-    each = p.select("number", F.posexplode("commits").alias("pos", "c")).select("number", "pos", F.col("c.oid").alias("id"), F.col("c.messageHeadline").alias("subject"))
+    none = F.array().cast("array<struct<oid:string,messageHeadline:string>>")
+    listed = F.coalesce("commits", none)
+    extra = F.when(F.col("mergeCommit.oid").isNotNull() & ~F.array_contains(F.transform(listed, lambda c: c["oid"]), F.col("mergeCommit.oid")), F.array("mergeCommit")).otherwise(none)
+    p = p.withColumns({"commits": F.concat(listed, extra), "headRefName": F.coalesce("headRefName", F.lit("unknown"))})
+    each = p.select("number", F.posexplode("commits").alias("pos", "c")).select("number", "pos", F.col("c.oid").alias("id"), F.coalesce("c.messageHeadline", F.lit("")).alias("subject"))
     found = each.join(commits.select("id", "author", F.col("ts").alias("at")), "id")
     kept = found.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "subject", "author", "at"))).alias("found"))
     rows = p.join(kept, "number", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,id:string,subject:string,author:string,at:bigint>>")))
-    rows = rows.withColumns({"branch": C.branch_id("headRefName", "number"), "merged": C.rfc3339_ms("mergedAt")})
+    rows = rows.withColumns({"branch": C.branch_id("headRefName", "number"), "merged": F.coalesce(C.rfc3339_ms("mergedAt"), F.lit(0).cast("long"))})
     b, one, proj = F.col("branch"), F.lit("branch"), F.lit("")
     string = lambda key, v, when=None: _one(_write(one, b, key, "string", v), when)
     members = lambda key, items: _each(items, lambda x: _write(one, b, key, "set", x))
     refs = F.coalesce("closingIssuesReferences", F.array().cast("array<struct<number:bigint,url:string>>"))
-    issues = F.array_sort(F.array_distinct(F.concat(F.transform(refs, lambda r: r["number"]), C.closing_issues(F.coalesce("body", F.lit(""))))))
+    issues = F.array_sort(F.array_distinct(F.concat(F.transform(F.filter(refs, lambda r: r["number"].isNotNull()), lambda r: F.concat(F.lit("#"), r["number"].cast("string"))), C.closing_issues(F.coalesce("body", F.lit(""))))))
     approvals = F.filter(F.coalesce("reviews", F.array()), lambda r: F.upper(r["state"]) == "APPROVED")
-    said = F.filter(F.coalesce("comments", F.array()), lambda c: F.coalesce(F.trim(c["body"]), F.lit("")) != "")
 
     def of_commit(c: Column) -> Column:
         kind = C.conventional_type(c["subject"])
@@ -68,8 +79,8 @@ def import_pull_requests(pulls: DataFrame, commits: DataFrame, repo: str) -> Dat
     writes = [
         string("title", F.col("title")), string("description", F.coalesce("body", F.lit(""))), string("review:number", F.col("number")), string("review:url", F.col("url")),
         string("github:head-ref", F.col("headRefName")), string("github:base-ref", F.col("baseRefName"), F.col("baseRefName").isNotNull()),
-        members("issue:id", issues), members("issue:url", F.transform(refs, lambda r: r["url"])), members("review:reviewed", _names(F.col("reviews"))), members("review:approved", _names(approvals)),
-        _each(said, lambda c: _write(one, b, "review:comment", "list", F.to_json(F.struct(C.author_identity(c["author"]["login"], c["author"]["name"]).alias("author"), F.trim(c["body"]).alias("body"))))),
+        members("issue:id", issues), members("issue:url", F.array_sort(F.array_distinct(F.filter(F.transform(refs, lambda r: r["url"]), lambda u: u.isNotNull())))), members("review:reviewed", _names(F.col("reviews"))), members("review:approved", _names(approvals)),
+        _each(F.concat(_comments(F.col("comments"), "comment", "createdAt"), _comments(F.col("reviews"), "review", "submittedAt")), lambda c: _write(one, b, "review:comment", "list", c)),
         F.flatten(F.transform("found", of_commit)),
         members("commits:author", F.array_sort(F.array_distinct(F.col("found.author")))), members("commits:author-date", F.array_sort(F.array_distinct(F.col("found.at")))),
         _one(_write("project", proj, "github:repo", "string", F.lit(repo))), _one(_write("project", proj, "github:last-imported-merged-at", "string", F.col("merged"))), _one(_write("project", proj, "github:imported-pr", "set", F.col("number"))),
