@@ -106,7 +106,10 @@ def t8(s):
     return W.keep_current(_stream(s, s.mut, 3), scratch(s.spark, "current")).select("target_type", "target_value", "key", "op", "value")
 
 
-@query("t9_late_rows")
+@query("t9_late_rows", """
+WITH g AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM {ev} WHERE event_id % 10 > 0),
+x AS (SELECT user_id, ts, sum(CASE WHEN gap > 1800000 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
+SELECT user_id, min(ts) AS start_ms, max(ts) AS end_ms, count(*) AS n FROM x GROUP BY user_id, sid""")
 def t9(s):
     """Rows that come after their session closed are dropped: the late file holds every tenth event."""
     rows = s.ev.select("user_id", F.timestamp_millis("ts").alias("at"), "event_id")
