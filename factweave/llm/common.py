@@ -37,6 +37,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Has Spark hand texts to Python in small batches from now on: a row is kilobytes, not bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)

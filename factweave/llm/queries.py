@@ -6,9 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave.llm.common import text_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     from factweave.llm.token_files import read_digests, write_tokens
 
     path = scratch(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    docs = table(spark, sf_dir, "documents")
+    text_batches(spark, 4000)  # the more texts at once, the fewer times a word is looked up
+    write_tokens(docs, path, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_digests(spark, path)
 
 

@@ -24,17 +24,19 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm.common import ragged
+
 ROW = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 _ROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-CACHE, SLICE = 100_000, 5_000
+CACHE, SLICE = 300_000, 5_000
 
 
 #: Chunks of letters, then signs: what the tokenizer's rules cut into these two pieces at most.
@@ -55,9 +57,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.old_chunks: dict[bytes, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytewise = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}  # how the model spells them
         probe = "word Übel, été... a-b"
@@ -67,13 +68,17 @@ class Encoder:
     def _whole(self, chunk: str) -> bytes:
         return packed(self.whole.encode(chunk, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece) or self.old_pieces.get(piece)
-        if ids is None:
-            text = piece if piece.isascii() else piece.translate(self.bytewise)
-            ids = packed([t.id for t in self.model.tokenize(text)])
-        self.pieces[piece] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        text = word if word.isascii() else word.translate(self.bytewise)
+        return array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _signs(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            self.signs[signs] = self._word(signs)
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+                return self._word(signs)
+        return self.signs[signs]
 
     def _by_pieces(self, chunk: str) -> bytes | None:
         """Letters (ASCII, Latin-1) and signs after them, each through the model alone; None for
@@ -82,22 +87,24 @@ class Encoder:
         if m is None or "<|" in chunk:
             return None
         word, signs = m.groups()
-        return (self._piece(word.lower()) if word else b"") + (self._piece(signs) if signs else b"")
+        return (self._word(word.lower()) if word else b"") + (self._signs(signs) if signs else b"")
+
+    def forget(self) -> None:
+        self.chunks, self.old_chunks = {}, {}
 
     def learn(self, chunks: set[bytes]) -> None:
         """Makes the ids of all these chunks known. A full table becomes the old one; what is met
         again moves on from there, the rest is forgotten with the next change."""
         if len(self.chunks) + len(chunks) > CACHE:
             self.old_chunks, self.chunks = self.chunks, {}
-            self.old_pieces, self.pieces = self.pieces, {}
         known, old, odd = self.chunks, self.old_chunks, []
         for raw in chunks.difference(known):
             ids = old.get(raw)
             if ids is None and self.by_pieces:
                 if raw.isalpha():  # ASCII letters alone
-                    ids = self._piece(raw.decode("ascii").lower())
+                    ids = self._word(raw.decode("ascii").lower())
                 elif raw[:-1].isalpha() and raw[-1] in b".,;:!?":
-                    ids = self._piece(raw[:-1].decode("ascii").lower()) + self._piece(chr(raw[-1]))
+                    ids = self._word(raw[:-1].decode("ascii").lower()) + self._signs(chr(raw[-1]))
                 else:
                     ids = self._by_pieces(raw.decode())
             if ids is None:
@@ -113,30 +120,45 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encode_texts(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """Ids of every text, ``end_id`` appended."""
+def encode_column(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of an Arrow column, one text after the other, ``end_id`` after each, and the
+    n+1 offsets of the texts in them. Python sees each different chunk of the column once."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     encoder = _encoders[path]
-    pieces = [t.encode().split() for t in texts]  # bytes.split parts at ASCII white space only
-    encoder.learn(set(chain.from_iterable(pieces)))
-    get = encoder.chunks.__getitem__
-    end = packed([end_id])
-    return [np.frombuffer(b"".join(map(get, p)) + end, np.int32) for p in pieces]
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words = lists.flatten().dictionary_encode()
+    chunks = words.dictionary.cast(pa.binary()).to_pylist()
+    encoder.learn(set(chunks))
+    ids = [*map(encoder.chunks.__getitem__, chunks), packed([end_id])]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    start = np.cumsum(size) - size
+    order = np.insert(words.indices.to_numpy(), bounds[1:], len(chunks))  # the end id is the last piece
+    tokens = np.frombuffer(b"".join(ids), np.int32)[ragged(start[order], size[order])]
+    ends = np.cumsum(size[order])[bounds[1:] + np.arange(len(texts))]
+    return tokens, np.concatenate(([0], ends))
+
+
+def encode_texts(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
+    """Ids of every text, ``end_id`` appended."""
+    tokens, at = encode_column(path, pa.array(texts, pa.string()), end_id)
+    return [tokens[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _encode_map(path: str, end_id: int, step: int = 1000):
+def _encode_map(path: str, end_id: int, step: int = 4000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = pyspark.TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, len(batch), step):
                 piece = batch.slice(at, step)
-                ids = encode_texts(path, piece.column("text").to_pylist(), end_id)
-                size = np.array([len(x) for x in ids], np.int64)
-                ends = np.cumsum(size)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(before + ends - size), pa.array(size), tokens], schema=_ROW)
-                before += int(ends[-1])
+                tokens, bounds = encode_column(path, piece.column("text"), end_id)
+                size = np.diff(bounds)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(size), part, np.int32)), pa.array(before + bounds[:-1]), pa.array(size), lists], schema=_ROW)
+                before += int(bounds[-1])
+        if path in _encoders:
+            _encoders[path].forget()  # workers live on; other tasks may need the memory
 
     return run
 
@@ -151,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
     (
         ordered.mapInArrow(_encode_map(tokenizer, end_id), ROW).write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).option("parquet.block.size", row_group_bytes)
-        .option("parquet.page.size", page_bytes).option("compression", "zstd").parquet(path)
+        .option("parquet.page.size", page_bytes).option("compression", "snappy").parquet(path)
     )
 
 
