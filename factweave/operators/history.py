@@ -1,9 +1,8 @@
 """Commit graphs and the history of snapshots.
 
-Reachability is a loop over a frontier: each round joins the frontier with the edges and drops what
-was seen, and is written to the shared folder, so that plans stay short and lost executors cost one
-round. Sequences of parents without forks are walked by doubling: rounds grow with the logarithm of
-the longest chain."""
+Reachability goes by path doubling: the rounds grow with the logarithm of the longest chain, not with
+its length. Each round is written to the shared folder, so that plans stay short and a lost executor
+costs one round."""
 
 from __future__ import annotations
 
@@ -23,34 +22,33 @@ def edges_of(commits: DataFrame) -> DataFrame:
     return commits.select("id", F.explode("parents").alias("parent"))
 
 
+def _doubled(jump: DataFrame) -> DataFrame:
+    """Paths twice as long."""
+    to = jump.select(F.col("id").alias("parent"), F.col("parent").alias("far"))
+    return stored(jump.join(to, "parent").select("id", F.col("far").alias("parent")).distinct(), "jump")
+
+
 def reachable(edges: DataFrame, heads: DataFrame, group: str = "head") -> DataFrame:
     """group, id, depth (fewest steps) of all that each head reaches, itself included. ``heads`` has
     the group and id columns."""
-    seen = frontier = stored(heads.select(group, "id", F.lit(0).alias("depth")).distinct(), "reach")
-    d = 0
-    while True:
-        d += 1
-        step = frontier.join(edges, "id").select(group, F.col("parent").alias("id")).distinct()
-        frontier = stored(step.join(seen.select(group, "id"), [group, "id"], "left_anti").withColumn("depth", F.lit(d)), "reach")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if d % 10 == 0:
-            seen = stored(seen, "reach")
+    seen = stored(heads.select(group, "id", F.lit(0).cast("long").alias("depth")).distinct(), "reach")
+    jump, step = stored(edges.select("id", "parent").distinct(), "jump"), 1
+    # round k goes on by paths of exactly 2**k steps: any length is a sum of these
+    while not jump.isEmpty():
+        flow = seen.join(jump, "id").select(group, F.col("parent").alias("id"), (F.col("depth") + step).alias("depth"))
+        seen = stored(flow.unionByName(seen).groupBy(group, "id").agg(F.min("depth").alias("depth")), "reach")
+        jump, step = _doubled(jump), step * 2
+    return seen
 
 
 def oldest_reaching(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """id, rank: the smallest rank of a source that reaches each commit. ``sources`` has id and rank.
-    One frontier for all sources: a commit moves on only when its rank falls, and chains are
-    shortened by doubling first."""
+    """id, rank: the smallest rank of a source that reaches each commit. ``sources`` has id and rank."""
     best = stored(sources.groupBy("id").agg(F.min("rank").alias("rank")), "oldest")
-    jump = stored(edges.select("id", "parent"), "jump")
-    # round k carries ranks over paths of exactly 2**k steps: any length is a sum of these
+    jump = stored(edges.select("id", "parent").distinct(), "jump")
     while not jump.isEmpty():
         flow = best.join(jump, "id").select(F.col("parent").alias("id"), "rank").unionByName(best)
         best = stored(flow.groupBy("id").agg(F.min("rank").alias("rank")), "oldest")
-        to = jump.select(F.col("id").alias("parent"), F.col("parent").alias("far"))
-        jump = stored(jump.join(to, "parent").select("id", F.col("far").alias("parent")).distinct(), "jump")
+        jump = _doubled(jump)
     return best
 
 
@@ -136,7 +134,5 @@ def merge_strategies(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def new_versions(edges: DataFrame, old: str, new: str) -> DataFrame:
     """One row, n: versions that the new head reaches and the old one doesn't."""
-    heads = edges.sparkSession.createDataFrame([("old", old), ("new", new)], "head string, id string")
-    up = reachable(edges, heads)
-    side = up.groupBy("id").agg(F.bool_or(F.col("head") == "old").alias("old"))
-    return side.agg(F.count_if(~F.col("old")).alias("n"))
+    heads = edges.sparkSession.createDataFrame([(old, 0), (new, 1)], "id string, rank int")
+    return oldest_reaching(edges, heads).agg(F.count_if(F.col("rank") == 1).alias("n"))
