@@ -129,7 +129,7 @@ def scored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.mapInArrow(run, "doc_id long, x array<float>")
 
 
-def _step(batch: pa.RecordBatch, most: int = 4 << 20) -> int:
+def _step(batch: pa.RecordBatch, most: int = 1 << 20) -> int:
     return max(1, int(len(batch) * most / max(most, batch.nbytes)))
 
 
@@ -228,8 +228,7 @@ def _decided(scores: DataFrame, threshold: float) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, all columns kept; texts aren't shuffled."""
-    known = labels.select(F.col("doc_id").cast("long").alias(id_col)).where(learns(F.col(id_col))).distinct()
-    model = fit(scored_features(docs.join(known, id_col, "left_semi"), id_col, text_col), labels, label_col)
+    model = fit(scored_features(docs, id_col, text_col), labels, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
