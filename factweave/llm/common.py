@@ -43,6 +43,18 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and what they keep
+    is missing to the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import NULL_ID, public_id, stored
+from factweave.llm.common import NULL_ID, public_id, release_memory, stored
 
 LEAF = 8
 FAN = 4
@@ -100,7 +100,7 @@ def tree(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
-def linked(fps: np.ndarray, distance: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def linked(fps: np.ndarray, distance: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j), i < j, of different fingerprints within ``distance``: the tree against itself.
     A spanning set: what is left of a pruned frontier is compared in steps and joined as it comes."""
     order = np.argsort(gray_rank(fps), kind="stable")
@@ -115,9 +115,10 @@ def linked(fps: np.ndarray, distance: int, step: int = 1 << 20) -> tuple[np.ndar
             stack += [(k, a[:half], b[:half], acc[:half]), (k, a[half:], b[half:], acc[half:])]
             continue
         if k == 0:  # leaves: the fingerprints themselves
-            for at in range(0, len(a), step // (LEAF * LEAF)):
-                i = (a[at : at + step // (LEAF * LEAF), None] * LEAF + np.arange(LEAF)).repeat(LEAF, 1)
-                j = np.tile(b[at : at + step // (LEAF * LEAF), None] * LEAF + np.arange(LEAF), (1, LEAF))
+            few = max(1, step // LEAF)  # a pair of leaves is LEAF * LEAF pairs of fingerprints
+            for at in range(0, len(a), few):
+                i = (a[at : at + few, None] * LEAF + np.arange(LEAF)).repeat(LEAF, 1)
+                j = np.tile(b[at : at + few, None] * LEAF + np.arange(LEAF), (1, LEAF))
                 i, j = i.ravel(), j.ravel()
                 in_range = (i < j) & (j < len(x))
                 i, j = i[in_range], j[in_range]
@@ -167,6 +168,7 @@ def _bucket(distance: int):
                 fps = group["fp"].to_numpy(np.int64)
                 i, j = linked(fps.view(np.uint64), distance)
                 out.append(pd.DataFrame({"a": np.minimum(fps[i], fps[j]), "b": np.maximum(fps[i], fps[j])}))
+        release_memory()
         return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     return run

@@ -32,7 +32,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import ragged
+from factweave.llm.common import ragged, release_memory
 
 ROW = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 _ROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
@@ -91,6 +91,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.chunks, self.old_chunks = {}, {}
+        release_memory()
 
     def learn(self, chunks: set[bytes]) -> None:
         """Makes the ids of all these chunks known. A full table becomes the old one; what is met
@@ -157,6 +158,7 @@ def _encode_map(path: str, end_id: int, step: int = 4000):
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(size), part, np.int32)), pa.array(before + bounds[:-1]), pa.array(size), lists], schema=_ROW)
                 before += int(bounds[-1])
+                del tokens, lists
         if path in _encoders:
             _encoders[path].forget()  # workers live on; other tasks may need the memory
 
