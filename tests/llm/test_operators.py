@@ -321,6 +321,14 @@ def test_line_dedup(spark):
         assert got(line_dedup.dedup_lines(df, gram, window), "n_lines", "n_removed") == expected(df, plain_line_dedup(df, gram, window))
 
 
+def test_single_lines_are_deduplicated(spark):
+    """One-line copies, a single repeated line between differing neighbours, a run of two lines."""
+    texts = ["only line", "only line", "a\nshared\nb", "c\n shared \nd", "p\nq\nr", "x\np\nq\ny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {0: (1, 0, "only line"), 1: (1, 1, ""), 2: (3, 0, texts[2]), 3: (3, 1, "c\nd"), 4: (3, 0, texts[4]), 5: (4, 2, "x\ny")}
+
+
 def test_empty_tables(spark, docs):
     none, bench = docs.where("false"), spark.createDataFrame([], "item_id long, text string")
     for df in (suffix_dedup.dedup_substrings(none), superkmer_dedup.dedup_word_windows(none), simhash.near_duplicates(none), line_dedup.dedup_lines(none), decontaminate.find_contamination(none, bench), decontaminate.find_contamination(docs, bench).where("contaminated")):
