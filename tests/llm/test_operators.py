@@ -329,6 +329,18 @@ def test_single_lines_are_deduplicated(spark):
     assert out == {0: (1, 0, "only line"), 1: (1, 1, ""), 2: (3, 0, texts[2]), 3: (3, 1, "c\nd"), 4: (3, 0, texts[4]), 5: (4, 2, "x\ny")}
 
 
+@pytest.mark.parametrize("gram", [1, 2, 3])
+def test_line_dedup_against_all_earlier_runs(spark, gram):
+    """Every run of ``gram`` lines that any earlier document or place holds goes, whoever owns what."""
+    rng = random.Random(8)
+    docs = [(i, "\n".join(rng.choice(["a", "b", " c ", "d", "", "e", "f"]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    docs += [(100 + 10 * k + i, t) for k in range(8) for i, t in enumerate([f"h{k}\nt{k}", f"h{k}\nt{k}\nu{k}", f"h{k}\nt{k}\nu{k}"])]
+    df = spark.createDataFrame([*docs, docs[3], (None, "a\nb\nc\nd"), (3, "x\na\nb\n c ")], "doc_id long, text string")
+    want = {k: (len(lines), int(gone.sum())) for k, (lines, gone) in brute_windows(lambda t: [x.strip() for x in t.split("\n") if x.strip()], df, gram).items()}
+    how = (gram, 1) if gram > 1 else ()  # the registered query takes the defaults
+    assert got(line_dedup.dedup_lines(df, *how), "n_lines", "n_removed") == expected(df, want)
+
+
 def test_empty_tables(spark, docs):
     none, bench = docs.where("false"), spark.createDataFrame([], "item_id long, text string")
     for df in (suffix_dedup.dedup_substrings(none), superkmer_dedup.dedup_word_windows(none), simhash.near_duplicates(none), line_dedup.dedup_lines(none), decontaminate.find_contamination(none, bench), decontaminate.find_contamination(docs, bench).where("contaminated")):
