@@ -1,12 +1,12 @@
 """The corpus pipeline: documents go through five operators, one after the other.
 
 Each stage works on all that its predecessor kept, and all but the last return the columns of
-``documents``. Rows that occur twice are decided alike; nulls are as the operators define them."""
+``documents``. Rows that occur twice are decided alike, but near-dedup keeps one of them; rows that share
+an id, or have none, are told apart by their texts. Nulls are as the operators define them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factweave.llm.common import scratch, text_batches
 
@@ -19,16 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    from factweave.llm.simhash import near_duplicates
+    """One row of each group of near-duplicates stays, the one with the smallest id, then text hash."""
+    from factweave.llm.simhash import one_of_each
 
     text_batches(spark)
-    groups = near_duplicates(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    # ids are tested without their texts; only where some repeat are texts shuffled once more
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

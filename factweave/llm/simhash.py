@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import NULL_ID, public_id, release_memory, stored
+from factweave.llm.common import NULL_ID, keyed, public_id, release_memory, stored
 
 LEAF = 8
 FAN = 4
@@ -62,16 +62,16 @@ def fingerprint(raw: bytes, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
-    """(did, fp): fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42, row_key: bool = False) -> DataFrame:
+    """(did, fp), with ``row_key`` (did, dig, fp): fp holds the 64 bits as a signed number."""
+    names = ["did", "dig"] if row_key else ["did"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t.as_buffer().to_pybytes(), size, seed) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["did", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(fp, np.uint64).view(np.int64))], [*names, "fp"])
 
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, "did long, fp long")
+    return keyed(docs, id_col, text_col).select(*names, "text").mapInArrow(run, "".join(f"{c} long, " for c in names) + "fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -181,8 +181,8 @@ def links(fps: DataFrame, distance: int = 3, bucket_rows: int = 100_000, hot_row
     spark = fps.sparkSession
     block = lambda x, at, bits: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1))
     four = F.explode(F.array(*(F.lit(t * 65536) + block(F.col("fp"), 16 * t, 16) for t in range(4)))).alias("key")
-    keyed = fps.select("fp", four.alias("key")).withColumn("key", F.col("key").cast("int"))
-    size = keyed.groupBy("key").count().where("count > 1")  # 262,144 rows at most
+    by_block = fps.select("fp", four.alias("key")).withColumn("key", F.col("key").cast("int"))
+    size = by_block.groupBy("key").count().where("count > 1")  # 262,144 rows at most
     size = size.withColumn("hot", F.col("count") > hot_rows)
     total = fps.count() * 4
     buckets = max(1, -(-total // bucket_rows))
@@ -193,7 +193,7 @@ def links(fps: DataFrame, distance: int = 3, bucket_rows: int = 100_000, hot_row
         low = F.col("fp").bitwiseAND(F.lit((1 << 16 * t) - 1))
         high = F.shiftrightunsigned("fp", 16 * (t + 1)) if t < 3 else F.lit(0).cast("long")
         rest = rest.when(table == t, high * F.lit(1 << 16 * t) + low)
-    parted = keyed.join(F.broadcast(size.select("key", "hot")), "key").withColumn("rest", rest)
+    parted = by_block.join(F.broadcast(size.select("key", "hot")), "key").withColumn("rest", rest)
     subs = F.when(F.col("hot"), F.array(*(F.lit(t * 4096) + block(F.col("rest"), 12 * t, 12) for t in range(4)))).otherwise(F.array(F.lit(-1).cast("long")))
     parted = parted.select("fp", "key", F.explode(subs).alias("sub"))
     bucket = F.pmod(F.xxhash64("key", "sub"), F.lit(buckets))
@@ -220,18 +220,38 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id linked, itself
-    included) for every document."""
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    own = stored(rows.groupBy("fp").agg(F.min("did").alias("low")), "distinct")
+def labelled(rows: DataFrame, low: Column, distance: int, **how) -> DataFrame:
+    """(fp, component): the smallest ``low`` in the component of every fingerprint of ``rows``."""
+    own = stored(rows.groupBy("fp").agg(F.min(low).alias("low")), "distinct")
     roots = components(links(own.select("fp"), distance, **how))
     each = roots.join(own.select(F.col("fp").alias("node"), "low"), "node")
     group = each.groupBy("root").agg(F.min("low").alias("component"))
     named = roots.join(group, "root").select(F.col("node").alias("fp"), "component")
     # stored, so that both sides of the last join are exchanged anew and a fingerprint that a third
     # of the documents share can be split
-    label = stored(own.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")), "labels")
+    return stored(own.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")), "labels")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id linked, itself
+    included) for every document."""
+    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    label = labelled(rows, F.col("did"), distance, **how)
     return rows.join(label, "fp").select(
         public_id(F.col("did")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), public_id(F.col("component")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The row with the smallest id, then text hash, of every component, columns as they were. Rows
+    are told apart by id and text, so that only members of one component replace each other."""
+    rows = stored(fingerprints(docs, id_col, text_col, row_key=True), "fingerprints")
+    key = F.struct("did", "dig")
+    gone = rows.join(labelled(rows, key, distance, **how), "fp").where(key != F.col("component")).select("did", "dig").distinct()
+    did, dig = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = docs.withColumns({"__did": did, "__dig": dig})
+    left = own.join(gone, (F.col("__did") == gone["did"]) & (F.col("__dig") == gone["dig"]), "left_anti")
+    # keys are tested without their texts; only where some repeat are texts shuffled once more
+    if not rows.groupBy("did", "dig").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["__did", "__dig"])
+    return left.select(*docs.columns)

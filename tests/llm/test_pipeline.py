@@ -27,3 +27,14 @@ def test_stages(spark):
             assert kept == had
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count()
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    """Rows without an id, and namesakes with other texts, replace only their own near-duplicates."""
+    say = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(None, say(1)), (None, say(2)), (1, say(3)), (1, say(4)), (2, say(3)), (2, say(5)), (3, say(6)), (3, say(6)), (4, say(6).upper())]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(None, say(1)), (None, say(2)), (1, say(3)), (1, say(4)), (2, say(5)), (3, say(6))]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
