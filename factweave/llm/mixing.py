@@ -2,9 +2,8 @@
 
 Every document gets a source, a language, a topic and a token weight (its number of words). Token
 totals of the (source, language, topic) cells are raked to the three target marginals, one after the
-other and over again; the factor of a cell, over the factor that cells with ``SLACK`` of the tokens
-exceed, and one at most, is the chance
-with which its documents are kept, decided by a hash of the document's id and text, so that a run
+other and over again; the factor of a cell over the largest factor of any cell that has tokens is the
+chance with which its documents are kept, so that all marginals hold in expectation. It is decided by a hash of the document's id and text, so that a run
 can be repeated. No document is kept twice. A source that holds a third of the rows is one cell total
 per topic and language, pre-aggregated in each task.
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import flat_text, stored
 
-TOPICS, TOPIC_SAMPLE, GRAMS, CELLS, SLACK = 8, 4000, 1024, 200_000, 0.02
+TOPICS, TOPIC_SAMPLE, GRAMS, CELLS = 8, 4000, 1024, 200_000
 AXES = ("source", "lang", "topic")
 
 
@@ -137,9 +136,7 @@ def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None,
             shares.append(want / max(want.sum(), 1e-9))
         factor = rake(np.stack(index, 1), w, shares)
         rows["factor"] = factor
-        high = np.argsort(-factor, kind="stable")
-        over = np.searchsorted(np.cumsum(w[high]), SLACK * w.sum()) if len(w) else 0
-        rows["rate"] = np.minimum(1.0, factor / max(factor[high[min(over, len(w) - 1)]], 1e-9)) if len(w) else factor
+        rows["rate"] = np.minimum(1.0, factor / factor[w > 0].max(initial=0)) if (w > 0).any() else 1.0
         schema = "source string, lang string, topic int, w double, factor double, rate double"
         return cells.sparkSession.createDataFrame(rows[["source", "lang", "topic", "w", "factor", "rate"]].astype({"topic": "int32"}), schema) if len(rows) else cells.sparkSession.createDataFrame([], schema)
     tables = {}
@@ -153,8 +150,9 @@ def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None,
             norm = power.agg(F.sum("share")).first()[0]
             tables[axis] = power.select(axis, (F.col("share") / norm).alias("share"))
     raked = rake_tables(cells, tables)
-    top = raked.agg(F.percentile("factor", 1 - SLACK, F.greatest(F.col("w").cast("long"), F.lit(1)))).first()[0]
-    return raked.select("source", "lang", "topic", "w", "factor", F.least(F.lit(1.0), F.col("factor") / F.lit(float(top))).alias("rate"))
+    top = raked.where("w > 0").agg(F.max("factor")).first()[0]
+    rate = F.least(F.lit(1.0), F.col("factor") / F.lit(float(top))) if top else F.lit(1.0)
+    return raked.select("source", "lang", "topic", "w", "factor", rate.alias("rate"))
 
 
 def mixed_documents(docs: DataFrame, temper: float = 0.95, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: bool = True) -> DataFrame:

@@ -215,6 +215,22 @@ def test_mixing_by_tables_is_the_same(spark):
     assert near(mixing.cell_rates(cells, 0.5, None)) == near(mixing.cell_rates(cells, 0.5, None, cap=1))
 
 
+def skewed_cells(spark):
+    """One source of a hundredth of the tokens, in a language and a topic of its own size."""
+    rows_ = [("big", "x", 0, 60000.0), ("big", "y", 0, 20000.0), ("big", "x", 1, 9000.0), ("mid", "x", 0, 7000.0), ("mid", "y", 1, 3000.0), ("tiny", "z", 0, 600.0), ("tiny", "x", 1, 400.0), ("none", "x", 1, 0.0)]
+    return spark.createDataFrame(rows_, "source string, lang string, topic int, w double")
+
+
+def test_mixing_meets_all_targets(spark):
+    """Expected tokens, weight times rate, have the target shares on every axis, small values too."""
+    out = mixing.cell_rates(skewed_cells(spark), 0.5, None).toPandas()
+    assert out["rate"].between(0, 1).all() and out.loc[out["w"] > 0, "rate"].max() == 1
+    for axis in mixing.AXES:
+        had, has = out["w"].groupby(out[axis]).sum(), (out["w"] * out["rate"]).groupby(out[axis]).sum()
+        want = (had / had.sum()) ** 0.5
+        assert np.allclose(has / has.sum(), want / want.sum(), atol=1e-6), axis
+
+
 def test_mixing(docs):
     each = mixing.mixed_documents(docs, keep=False)
     assert each.count() == docs.count() and each.where("rate < 0 or rate > 1").isEmpty()
