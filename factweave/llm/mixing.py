@@ -12,12 +12,13 @@ fitted on a bounded sample (``TOPIC_SAMPLE`` documents, those with the smallest
 names the nearest of ``TOPICS`` centres.
 
 Targets default to a tempering of the corpus's own shares, share ** ``temper``, which lifts small
-sources, languages and topics. The raking runs on the driver while there are at most ``CELLS`` cells;
-beyond that as joins over the cell table.
+sources, languages and topics. Of given targets, those of present values are scaled to what the values
+without a target, or with one of zero, leave: these keep their own share. The raking runs on the driver
+while there are at most ``CELLS`` cells; beyond that as joins over the cell table, by the same rule.
 
 Nulls: a null source, language or text counts as ''; a null id hashes like any other value. Rows that
-occur twice are decided alike. An empty table gives an empty one. Cells or targets of zero weight
-are left as they are. Further columns stay untouched; working columns have names of their own.
+occur twice are decided alike. An empty table gives an empty one. Cells of zero weight have no part in
+the largest factor. Further columns stay untouched; working columns have names of their own.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import flat_text, stored
 
-TOPICS, TOPIC_SAMPLE, GRAMS, CELLS = 8, 4000, 1024, 200_000
+TOPICS, TOPIC_SAMPLE, GRAMS, CELLS, ROUNDS, CLOSE = 8, 4000, 1024, 200_000, 50, 1e-9
 AXES = ("source", "lang", "topic")
 
 
@@ -74,7 +75,7 @@ def topic_centres(docs: DataFrame, id_col: str, text_col: str, topics: int = TOP
     return c
 
 
-def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], rounds: int = 50, close: float = 1e-9) -> np.ndarray:
+def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Factor of each cell: ``cells`` has its index on every axis, ``targets`` each axis's shares."""
     factor = np.ones(len(weight))
     if not len(weight) or weight.sum() <= 0:
@@ -91,19 +92,43 @@ def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], round
     return factor
 
 
-def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20) -> DataFrame:
-    """The same over a cell table of any size; lineage is cut after every round."""
+def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """The same over a cell table of any size; lineage is cut after every axis."""
     whole = cells.agg(F.sum("w")).first()[0] or 0.0
     cells = cells.withColumn("factor", F.lit(1.0))
+    if whole <= 0:
+        return cells
     for _ in range(rounds):
+        moved = 0.0
         for axis, share in targets.items():
             now = cells.groupBy(axis).agg(F.sum(F.col("w") * F.col("factor")).alias("now")).join(share, axis)
-            step = now.select(axis, F.when((F.col("now") > 0) & (F.col("share") > 0), F.col("share") * F.lit(float(whole)) / F.col("now")).otherwise(F.lit(1.0)).alias("step"))
-            cells = cells.join(step, axis).withColumn("factor", F.col("factor") * F.col("step")).drop("step")
-        cells = stored(cells, "rake")
+            step = F.when((F.col("now") > 0) & (F.col("share") > 0), F.col("share") * F.lit(float(whole)) / F.col("now")).otherwise(F.lit(1.0))
+            steps = stored(now.select(axis, step.alias("step")), "steps")
+            moved = max(moved, steps.agg(F.max(F.abs(F.col("step") - 1))).first()[0] or 0.0)
+            cells = stored(cells.join(steps, axis).withColumn("factor", F.col("factor") * F.col("step")).drop("step"), "rake")
+        if moved < close:
+            break
     return cells
 
 
+def share_table(cells: DataFrame, axis: str, temper: float, given: dict | None) -> DataFrame:
+    """(axis, share): the target share of every present value of an axis."""
+    total = cells.groupBy(axis).agg(F.sum("w").alias("t"))
+    whole = float(cells.agg(F.sum("w")).first()[0] or 0.0) or 1.0
+    if given is None:
+        part = stored(total.select(axis, F.pow(F.col("t") / whole, F.lit(float(temper))).alias("want"), F.lit(0.0).alias("own")), "shares")
+    else:
+        kind = cells.schema[axis].dataType.simpleString()
+        asked = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"`{axis}` {kind}, want double")
+        # a value without tokens can't take a share
+        want = F.when((F.col("want") > 0) & (F.col("t") > 0), F.col("want")).otherwise(F.lit(0.0))
+        both = total.join(asked, axis, "left").withColumn("want", want)
+        part = stored(both.select(axis, "want", F.when(F.col("want") > 0, 0.0).otherwise(F.col("t") / whole).alias("own")), "shares")
+    sums = part.agg(F.sum("want"), F.sum("own")).first()
+    scale = (1 - (sums[1] or 0.0)) / (sums[0] or 1.0)
+    return part.select(axis, (F.col("want") * F.lit(scale) + F.col("own")).alias("share"))
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
     """The documents and, in __mix, source, lang, topic, tokens and a uniform number of each."""
     centres = topic_centres(docs, id_col, text_col)
@@ -121,35 +146,35 @@ def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
     return docs.withColumn("__mix", F.struct(label(source_col).alias("source"), label(lang_col).alias("lang"), topic(text).alias("topic"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("tokens"), chance.alias("chance")))
 
 
+def axis_shares(total: np.ndarray, values: list, temper: float, given: dict | None) -> np.ndarray:
+    """``share_table`` on the driver: ``total`` has the tokens of each of ``values``."""
+    own = total / (total.sum() or 1.0)
+    if given is None:
+        want, own = np.power(own, temper), np.zeros(len(own))
+    else:
+        want = np.where(total > 0, np.maximum([float(given.get(v, 0)) for v in values], 0), 0.0)
+        own = np.where(want > 0, 0.0, own)
+    return want * ((1 - own.sum()) / (want.sum() or 1.0)) + own
+
+
 def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None, cap: int = CELLS) -> DataFrame:
     """(source, lang, topic, w, factor, rate) of every cell; rate is its documents' probability."""
     given = targets or {}
     if cells.count() <= cap:
         rows = cells.toPandas().sort_values(list(AXES)).reset_index(drop=True)
+        schema = "source string, lang string, topic int, w double, factor double, rate double"
+        if not len(rows):
+            return cells.sparkSession.createDataFrame([], schema)
         w = rows["w"].to_numpy(float)
         index, shares = [], []
         for axis in AXES:
             code, values = pd.factorize(rows[axis], sort=True)
-            total = np.bincount(code, w, len(values)) if len(rows) else np.zeros(0)
-            want = np.array([float(given[axis].get(v, 0)) for v in values]) if axis in given else np.power(total / max(w.sum(), 1e-9), temper)
             index.append(code)
-            shares.append(want / max(want.sum(), 1e-9))
-        factor = rake(np.stack(index, 1), w, shares)
-        rows["factor"] = factor
+            shares.append(axis_shares(np.bincount(code, w, len(values)), values.tolist(), temper, given.get(axis)))
+        rows["factor"] = factor = rake(np.stack(index, 1), w, shares)
         rows["rate"] = np.minimum(1.0, factor / factor[w > 0].max(initial=0)) if (w > 0).any() else 1.0
-        schema = "source string, lang string, topic int, w double, factor double, rate double"
-        return cells.sparkSession.createDataFrame(rows[["source", "lang", "topic", "w", "factor", "rate"]].astype({"topic": "int32"}), schema) if len(rows) else cells.sparkSession.createDataFrame([], schema)
-    tables = {}
-    for axis in AXES:
-        if axis in given:
-            tables[axis] = cells.sparkSession.createDataFrame(list(given[axis].items()), [axis, "share"])
-        else:
-            total = cells.groupBy(axis).agg(F.sum("w").alias("t"))
-            whole = cells.agg(F.sum("w")).first()[0]
-            power = stored(total.select(axis, F.pow(F.col("t") / whole, temper).alias("share")), "shares")
-            norm = power.agg(F.sum("share")).first()[0]
-            tables[axis] = power.select(axis, (F.col("share") / norm).alias("share"))
-    raked = rake_tables(cells, tables)
+        return cells.sparkSession.createDataFrame(rows[["source", "lang", "topic", "w", "factor", "rate"]].astype({"topic": "int32"}), schema)
+    raked = rake_tables(cells, {axis: share_table(cells, axis, temper, given.get(axis)) for axis in AXES})
     top = raked.where("w > 0").agg(F.max("factor")).first()[0]
     rate = F.least(F.lit(1.0), F.col("factor") / F.lit(float(top))) if top else F.lit(1.0)
     return raked.select("source", "lang", "topic", "w", "factor", rate.alias("rate"))

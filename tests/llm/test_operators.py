@@ -231,6 +231,25 @@ def test_mixing_meets_all_targets(spark):
         assert np.allclose(has / has.sum(), want / want.sum(), atol=1e-6), axis
 
 
+@pytest.mark.parametrize("cap", [mixing.CELLS, 1])
+def test_mixing_to_incomplete_targets(spark, cap):
+    """On both sizes: every cell stays, and values without a target keep their share."""
+    targets = {"source": {"mid": 3, "tiny": 1, "absent": 9}, "lang": {"x": 0.5}}
+    out = mixing.cell_rates(skewed_cells(spark), 1.0, targets, cap=cap).toPandas()
+    assert len(out) == 8 and out["rate"].between(0, 1).all()
+    has = (out["w"] * out["rate"]).groupby(out["source"]).sum()
+    assert np.allclose((has / has.sum())[["big", "mid", "tiny", "none"]], [0.89, 0.0825, 0.0275, 0], atol=1e-6)
+    # every other axis keeps its own shares
+    has, had = ((out["w"] * x).groupby(out["lang"]).sum() for x in (out["rate"], 1))
+    assert np.allclose(has / has.sum(), had / had.sum(), atol=1e-6)
+
+
+def test_mixing_by_tables_has_the_same_rates(spark):
+    targets = {"source": {"mid": 3, "tiny": 1, "absent": 9}, "topic": {1: 2, 7: 1}}
+    a, b = (mixing.cell_rates(skewed_cells(spark), 0.5, targets, cap=cap).toPandas().sort_values(list(mixing.AXES)) for cap in (mixing.CELLS, 1))
+    assert np.allclose(a["rate"], b["rate"], atol=1e-9) and np.allclose(a["factor"], b["factor"], atol=1e-9)
+
+
 def test_mixing(docs):
     each = mixing.mixed_documents(docs, keep=False)
     assert each.count() == docs.count() and each.where("rate < 0 or rate > 1").isEmpty()
