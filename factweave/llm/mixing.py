@@ -3,13 +3,15 @@
 Every document gets a source, a language, a topic and a token weight (its number of words). Token
 totals of the (source, language, topic) cells are raked to the three target marginals, one after the
 other and over again; the factor of a cell over the largest factor of any cell that has tokens is the
-chance with which its documents are kept, so that all marginals hold in expectation. It is decided by a hash of the document's id and text, so that a run
-can be repeated. No document is kept twice. A source that holds a third of the rows is one cell total
-per topic and language, pre-aggregated in each task.
+chance with which its documents are kept, so that all marginals hold in expectation. It is decided by
+a hash of the document's id and text, so that a run can be repeated. No document is kept twice. A
+source that holds a third of the rows is one cell total per topic and language, pre-aggregated in each
+task.
 
 Topics are found here too: texts become histograms of hashed byte trigrams, and a spherical k-means
-fitted on a bounded sample (``TOPIC_SAMPLE`` documents, those with the smallest hash of their id)
-names the nearest of ``TOPICS`` centres.
+over all documents names the nearest of ``TOPICS`` centres. Each of its ``PASSES`` adds up, centre by
+centre, the vectors of all documents as whole numbers, so that neither the order of the rows nor their
+partitions count; it starts from the texts with the smallest hashes.
 
 Targets default to a tempering of the corpus's own shares, share ** ``temper``, which lifts small
 sources, languages and topics. Of given targets, those of present values are scaled to what the values
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import flat_text, stored
 
-TOPICS, TOPIC_SAMPLE, GRAMS, CELLS, ROUNDS, CLOSE = 8, 4000, 1024, 200_000, 50, 1e-9
+TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE = 8, 6, 1024, 200_000, 50, 1e-9
 AXES = ("source", "lang", "topic")
 
 
@@ -53,25 +55,44 @@ def trigram_shares(column) -> np.ndarray:
     return out / np.maximum(norm, 1e-9)
 
 
-def topic_centres(docs: DataFrame, id_col: str, text_col: str, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> np.ndarray:
-    """Spherical k-means over the sample; the start is the same for the same sample."""
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centres.T, axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(trigram_shares(batch.column("text"))), pa.list_(pa.float32()))], ["x"])
 
-    own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ids = own.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)  # rows of one id beyond the first few add nothing to a sample
-    rows = own.join(F.broadcast(ids), "i").select("text").limit(2 * sample).mapInArrow(run, "x array<float>").toPandas()
-    if not len(rows):
+def topic_centres(docs: DataFrame, text_col: str, topics: int = TOPICS, passes: int = PASSES) -> np.ndarray:
+    """Spherical k-means over all documents; the same documents give the same centres."""
+    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    digest = own.select(F.xxhash64("text").alias("h"))
+    start = [r["h"] for r in digest.distinct().orderBy(F.xxhash64("h"), "h").limit(topics).collect()]
+    if not start:
         return np.zeros((1, GRAMS), np.float32)
-    x = np.stack(rows["x"].to_numpy())
-    x = x[np.lexsort(x.T[:8])]
-    c = x[np.sort(np.random.default_rng(3).permutation(len(x))[:topics])]
-    for _ in range(15):
-        best = np.argmax(x @ c.T, axis=1)
-        c = np.stack([x[best == k].sum(0) if (best == k).any() else c[k] for k in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    rows = own.withColumn("h", F.xxhash64("text")).where(F.col("h").isin(start)).groupBy("h").agg(F.min("text").alias("text")).collect()
+    c = trigram_shares(pa.array([r["text"] for r in sorted(rows, key=lambda r: r["h"])], pa.string()))
+
+    def summed(centres: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(centres.shape, np.int64)
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    x = trigram_shares(batch.column("text").slice(at, 500))
+                    member = np.zeros((len(x), len(centres)))
+                    member[np.arange(len(x)), nearest(x, centres)] = 1
+                    total += (member.T @ np.rint(x * np.float64(1 << 24))).astype(np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "s"])
+
+        return run
+
+    for _ in range(passes):
+        sums = own.mapInArrow(summed(c), "at int, s long").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
+        total = np.zeros(c.size)
+        total[sums["at"].to_numpy(np.int64)] = sums["s"].to_numpy(float)
+        total = total.reshape(c.shape)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        new = np.where(norm > 0, total / np.maximum(norm, 1e-9), c).astype(np.float32)
+        if np.array_equal(new, c):
+            break
+        c = new
     return c
 
 
@@ -131,13 +152,13 @@ def share_table(cells: DataFrame, axis: str, temper: float, given: dict | None)
 
 def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
     """The documents and, in __mix, source, lang, topic, tokens and a uniform number of each."""
-    centres = topic_centres(docs, id_col, text_col)
+    centres = topic_centres(docs, text_col)
 
     @F.pandas_udf("int")
     def topic(text: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(text), 500):
-            out.append(np.argmax(trigram_shares(pa.array(text.iloc[at : at + 500], pa.string())) @ centres.T, axis=1))
+            out.append(nearest(trigram_shares(pa.array(text.iloc[at : at + 500], pa.string())), centres))
         return pd.Series(np.concatenate(out) if out else np.zeros(0), dtype="int32")
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

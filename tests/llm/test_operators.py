@@ -250,6 +250,16 @@ def test_mixing_by_tables_has_the_same_rates(spark):
     assert np.allclose(a["rate"], b["rate"], atol=1e-9) and np.allclose(a["factor"], b["factor"], atol=1e-9)
 
 
+def test_topics_come_from_all_documents(spark):
+    """A topic of five in 9,000 documents weighs in a centre, and neither order nor repeats of an id count."""
+    texts = [f"aaa bbb ccc {i % 7}" for i in range(8995)] + [f"zzz yyy xxx www {i}" for i in range(5)]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    one = mixing.topic_centres(df.coalesce(1), "text")
+    assert np.array_equal(one, mixing.topic_centres(df.orderBy(F.rand(1)).repartition(5), "text"))
+    rare = mixing.trigram_shares(__import__("pyarrow").array(["zzz yyy xxx www"]))
+    assert (rare @ one.T).max() > 0.5
+
+
 def test_mixing(docs):
     each = mixing.mixed_documents(docs, keep=False)
     assert each.count() == docs.count() and each.where("rate < 0 or rate > 1").isEmpty()
