@@ -3,7 +3,8 @@
 Every document gets a source, a language, a topic and a token weight (its number of words). Token
 totals of the (source, language, topic) cells are raked to the three target marginals, one after the
 other and over again; the factor of a cell over the largest factor of any cell that has tokens is the
-chance with which its documents are kept, so that all marginals hold in expectation. It is decided by
+chance with which its documents are kept, so that the raked marginals hold in expectation (where targets
+contradict each other, those of the axis raked last). It is decided by
 a hash of the document's id and text, so that a run can be repeated. No document is kept twice. A
 source that holds a third of the rows is one cell total per topic and language, pre-aggregated in each
 task.
