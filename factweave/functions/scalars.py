@@ -191,12 +191,18 @@ def branch_id(head: Column | str, number: Column | str) -> Column:
     return F.concat(sanitise(head), F.lit("#"), _col(number).cast("string"))
 
 
+def strip(text: Column | str) -> Column:
+    """White space of any script off both ends."""
+    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+
+
 def conventional_type(subject: Column | str) -> Column:
-    """struct<type, breaking> of ``type(scope)!: text``; both null for other subjects."""
+    """struct<type, breaking> of ``type(scope)!: text``; both null for other subjects. White space
+    around the head and around the type doesn't count, a space within the head rules it out."""
     s = _col(subject)
-    head = F.when(F.contains(s, F.lit(":")), F.substring_index(s, ":", 1))
+    head = strip(F.when(F.contains(s, F.lit(":")), F.substring_index(s, ":", 1)))
     breaking = head.endswith("!")
-    name = F.substring_index(F.regexp_replace(head, "!$", ""), "(", 1)
+    name = strip(F.substring_index(F.regexp_replace(head, "!$", ""), "(", 1))
     ok = head.isNotNull() & ~F.contains(head, F.lit(" ")) & name.rlike("^[a-z0-9-]+$")
     return F.struct(F.when(ok, name).alias("type"), F.when(ok, breaking).alias("breaking"))
 
@@ -244,8 +250,9 @@ def content_texts(content: Column | str) -> Column:
 
 
 def author_identity(login: Column | str, name: Column | str) -> Column:
-    blank = lambda c: F.nullif(F.trim(_col(c)), F.lit(""))
-    return F.coalesce(blank(login), blank(name))
+    """The login where there is one, else the name, as it stands; null if that is blank."""
+    who = F.coalesce(_col(login), _col(name))
+    return F.when(strip(who) != "", who)
 
 
 def rfc3339_ms(text: Column | str) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
+from factweave.operators.ordering import first_two
 
 LOCAL_PREFIX, MAIN = "meta:local:", "main"
 
@@ -14,6 +16,11 @@ def get(facts: DataFrame, kind: str, value: str, key: str) -> DataFrame:
     return facts.where((F.col("target_type") == kind) & (F.col("target_value") == value) & (F.col("key") == key))
 
 
+def get_each(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """What ``get`` gives for every (target_type, target_value, key) asked for."""
+    return facts.join(asked.select("target_type", "target_value", "key").distinct(), ["target_type", "target_value", "key"], "left_semi")
+
+
 def key_prefix(prefix: str) -> Column:
     """The key itself or anything below it; nothing in the prefix is a wildcard."""
     return (F.col("key") == prefix) | F.col("key").startswith(prefix + ":")
@@ -91,13 +98,17 @@ def route(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(classify(rows, rules), "key")
 
 
-def expand_targets(facts: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """prefix, target_value, matches: the first two targets that start with each (target_type,
-    prefix); more than one means that the prefix is ambiguous."""
-    from pyspark.sql import Window as W
-
-    targets = facts.select("target_type", "target_value").distinct()
-    hit = targets.join(F.broadcast(prefixes), (targets["target_type"] == prefixes["kind"]) & targets["target_value"].startswith(prefixes["prefix"]))
-    w = W.partitionBy("kind", "prefix")
-    rows = hit.withColumn("n", F.row_number().over(w.orderBy("target_value"))).withColumn("matches", F.least(F.count(F.lit(1)).over(w), F.lit(2)))
-    return rows.where("n <= 2").select("kind", "prefix", "target_value", "matches")
+def expand_targets(facts: DataFrame, prefixes: DataFrame, most_lengths: int = 1000) -> DataFrame:
+    """kind, prefix, target_value, matches: the first two targets that start with each (kind, prefix);
+    two mean that the prefix is ambiguous. Targets are cut to each length that a prefix has and joined
+    by equality, so there may be any number of prefixes; only their different lengths are few."""
+    asked = prefixes.select("kind", "prefix", F.length("prefix").alias("size")).distinct()
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().limit(most_lengths + 1).collect())
+    if len(sizes) > most_lengths:
+        raise ValueError(f"more than {most_lengths} lengths of prefixes")
+    targets = facts.select(F.col("target_type").alias("kind"), "target_value").distinct()
+    cuts = F.filter(F.array(*(F.lit(n) for n in sizes)).cast("array<int>"), lambda n: n <= F.length("target_value"))
+    each = targets.select("kind", "target_value", F.explode(cuts).alias("size")).withColumn("prefix", F.expr("substring(target_value, 1, size)"))
+    two = first_two(each.join(asked, ["kind", "prefix", "size"]).select("kind", "prefix", "target_value"), ["kind", "prefix"], "target_value")
+    n = F.count(F.lit(1)).over(W.partitionBy("kind", "prefix"))  # of two rows at most
+    return two.select("kind", "prefix", "target_value", n.alias("matches"))

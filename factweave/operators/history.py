@@ -7,10 +7,10 @@ costs one round."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
+from factweave.operators.ordering import with_previous
 from factweave.operators.shared import stored
 from factweave.operators.snapshot import PREFIXES, parse_manifests
 
@@ -53,16 +53,17 @@ def oldest_reaching(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def release_of(commits: DataFrame, tags: DataFrame, skip: DataFrame | None = None) -> DataFrame:
-    """commit_id, tag: commits reachable from a tag but not from an earlier one. Tags go by creation;
-    skipped tags give no facts but still take their commits."""
-    order = tags.withColumn("rank", F.row_number().over(W.orderBy("created", "name")))  # tags are few
-    first = oldest_reaching(edges_of(commits), order.select(F.col("commit_id").alias("id"), "rank"))
-    named = first.join(F.broadcast(order.select("rank", F.col("name").alias("tag"))), "rank").select(F.col("id").alias("commit_id"), "tag")
-    return named if skip is None else named.join(skip.select(F.col("name").alias("tag")), "tag", "left_anti").select("commit_id", "tag")
+    """commit_id, tag: commits reachable from a tag but not from an earlier one. Tags go by creation,
+    then name; skipped tags give no facts but still take their commits."""
+    rank = F.struct("created", "name")
+    first = oldest_reaching(edges_of(commits), tags.select(F.col("commit_id").alias("id"), rank.alias("rank")))
+    named = first.select(F.col("id").alias("commit_id"), F.col("rank.name").alias("tag"))
+    return named if skip is None else named.join(skip.select(F.col("name").alias("tag")).distinct(), "tag", "left_anti").select("commit_id", "tag")
 
 
 def previous_tags(tags: DataFrame) -> DataFrame:
-    return tags.select("name", F.lag("name").over(W.orderBy("created", "name")).alias("previous"))
+    """name, previous: the tag created before each."""
+    return with_previous(tags.select("name", "created"), "name", [F.col("created"), F.col("name")]).select("name", "previous")
 
 
 def propagate_release(released: DataFrame, commits: DataFrame, facts: DataFrame) -> DataFrame:
@@ -115,19 +116,28 @@ def hydrate(promised: DataFrame, tip_values: DataFrame) -> DataFrame:
     return promised.select(*K).distinct().join(best, K, "left").select(*K, "b.value_type", "b.value", F.col("b").isNotNull().alias("found"))
 
 
+def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, base for (pair, local, remote): the best common ancestor, which no other common ancestor
+    reaches; of several the one with the fewest steps to both heads, then the smallest id. Each
+    different head's ancestors are found once, however many pairs it is in."""
+    heads = pairs.select(F.col("local").alias("head")).union(pairs.select("remote")).where("head is not null").distinct()
+    up = reachable(edges, heads.withColumn("id", F.col("head")))
+    side = lambda c, d: pairs.select("pair", F.col(c).alias("head")).join(up, "head").select("pair", "id", F.col("depth").alias(d))
+    common = stored(side("local", "dl").join(side("remote", "dr"), ["pair", "id"]), "common")
+    # whatever a common ancestor reaches is one too, so it is enough to look one step up
+    older = common.join(edges, "id").select("pair", F.col("parent").alias("id")).distinct()
+    best = common.join(older, ["pair", "id"], "left_anti")
+    return best.groupBy("pair").agg(F.min_by("id", F.struct(F.col("dl") + F.col("dr"), "id")).alias("base"))
+
+
 def merge_strategies(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair, strategy, base for (pair, local, remote): up-to-date, fast-forward, three-way with the
-    nearest common ancestor (by depth, then id), or two-way. A remote that is behind gives three-way
-    with the remote as base."""
-    heads = pairs.select(F.concat(F.lit("l:"), "pair").alias("head"), F.col("local").alias("id")).unionByName(pairs.select(F.concat(F.lit("r:"), "pair").alias("head"), F.col("remote").alias("id")))
-    up = reachable(edges, heads)
-    side = F.substring("head", 1, 1)
-    both = up.select(F.substring("head", 3, 1000).alias("pair"), side.alias("side"), "id", "depth").groupBy("pair", "id").agg(
-        F.min(F.when(F.col("side") == "l", F.col("depth"))).alias("dl"), F.min(F.when(F.col("side") == "r", F.col("depth"))).alias("dr"))
-    base = both.where("dl is not null and dr is not null").groupBy("pair").agg(F.min_by("id", F.struct(F.col("dl") + F.col("dr"), "id")).alias("base"))
-    rows = pairs.join(base, "pair", "left")
+    """pair, strategy, base for (pair, local, remote): up-to-date; fast-forward, also where there is no
+    local head yet; three-way with the best common ancestor; or two-way. A remote that is behind gives
+    three-way with the remote as base."""
+    rows = pairs.join(merge_bases(edges, pairs), "pair", "left")
     strategy = (
-        F.when(F.col("local") == F.col("remote"), "up-to-date").when(F.col("base") == F.col("local"), "fast-forward").when(F.col("base").isNotNull(), "three-way").otherwise("two-way")
+        F.when(F.col("local").isNull(), "fast-forward").when(F.col("local") == F.col("remote"), "up-to-date").when(F.col("base") == F.col("local"), "fast-forward")
+        .when(F.col("base").isNotNull(), "three-way").otherwise("two-way")
     )
     return rows.select("pair", strategy.alias("strategy"), F.when(strategy == "three-way", F.col("base")).alias("base"))
 
@@ -136,3 +146,12 @@ def new_versions(edges: DataFrame, old: str, new: str) -> DataFrame:
     """One row, n: versions that the new head reaches and the old one doesn't."""
     heads = edges.sparkSession.createDataFrame([(old, 0), (new, 1)], "id string, rank int")
     return oldest_reaching(edges, heads).agg(F.count_if(F.col("rank") == 1).alias("n"))
+
+
+def new_versions_each(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, n for (pair, old, new): versions that the new head reaches and the old one doesn't."""
+    heads = pairs.select(F.col("old").alias("head")).union(pairs.select("new")).where("head is not null").distinct()
+    up = reachable(edges, heads.withColumn("id", F.col("head"))).select("head", "id")
+    of = lambda c: pairs.select("pair", F.col(c).alias("head")).join(up, "head").select("pair", "id")
+    fresh = of("new").join(of("old"), ["pair", "id"], "left_anti").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select("pair").join(fresh, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

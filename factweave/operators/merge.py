@@ -77,18 +77,19 @@ def _union_items() -> Column:
 
 
 def chosen_values(rows: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """K, value_type, id, value and ``choice`` of the items that each key's choice names."""
     items, kind = F.when(F.lit(False), F.array().cast(ITEMS)), F.when(F.lit(False), F.lit(""))
     for s in sides:
         items = items.when(F.col("choice") == s, F.col(f"{s}_items"))
         kind = kind.when(F.col("choice") == s, F.col(f"{s}_type"))
     if "local" in sides:
         items, kind = items.when(F.col("choice") == "union", _union_items()), kind.when(F.col("choice") == "union", F.col("local_type"))
-    return rows.where("choice is not null").select(*K, kind.alias("value_type"), F.explode(items).alias("i")).select(*K, "value_type", "i.id", "i.value")
+    return rows.where("choice is not null").select(*K, kind.alias("value_type"), "choice", F.explode(items).alias("i")).select(*K, "value_type", "i.id", "i.value", "choice")
 
 
 def merge3(base: DataFrame, local: DataFrame, remote: DataFrame, prefer: str = "local") -> DataFrame:
     """Merged values of three snapshots."""
-    return chosen_values(decisions(base, local, remote, prefer), ("base", "local", "remote"))
+    return chosen_values(decisions(base, local, remote, prefer), ("base", "local", "remote")).drop("choice")
 
 
 def conflicts(base: DataFrame, local: DataFrame, remote: DataFrame, prefer: str = "local") -> DataFrame:
@@ -186,7 +187,7 @@ def planned(state: DataFrame, snap: Snapshot) -> DataFrame:
 def apply_snapshot(state: DataFrame, snap: Snapshot) -> DataFrame:
     """The state after a merged snapshot: only keys that differ are written, tombstoned ones go."""
     rows = planned(state, snap).withColumn("choice", F.when(F.col("op") == "rm", F.lit(None)).when(F.col("op") == "set", "new").otherwise("now"))
-    return chosen_values(rows, ("now", "new"))
+    return chosen_values(rows, ("now", "new")).drop("choice")
 
 
 def plan_changes(state: DataFrame, snap: Snapshot, implicit: DataFrame | None = None) -> DataFrame:
@@ -204,6 +205,25 @@ def plan_changes(state: DataFrame, snap: Snapshot, implicit: DataFrame | None =
     return plan
 
 
+def union_of_keys(*maps: DataFrame) -> DataFrame:
+    """K of every map, each once."""
+    keys = maps[0].select(*K)
+    for m in maps[1:]:
+        keys = keys.union(m.select(*K))
+    return keys.distinct()
+
+
+def union_of_entries(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """List and set entries of both sides by entry name; of one that both have, the local value."""
+    rows = local.withColumn("side", F.lit(1)).unionByName(remote.withColumn("side", F.lit(2))).where("value_type <> 'string'")
+    return rows.groupBy(*K, "value_type", "id").agg(F.min_by("value", "side").alias("value"))
+
+
+def dropped_members(base: DataFrame, side: DataFrame) -> DataFrame:
+    """K, id, value of list and set entries that ``side`` no longer has."""
+    return base.where("value_type <> 'string'").join(side.select(*K, "id"), [*K, "id"], "left_anti").select(*K, "id", "value")
+
+
 def implicit_deletes(before: DataFrame, values: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
     """Keys of an older snapshot that the newer one names neither as value nor as tombstone."""
     known = values.select(*K) if tombstones is None else values.select(*K).unionByName(tombstones.select(*K))

@@ -20,12 +20,17 @@ def summarise_sessions(messages: DataFrame) -> DataFrame:
 
 
 def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, bucket_ms: int = 900_000) -> DataFrame:
-    """user_id, sid, id: commits of the same author within a session's time, widened on both sides.
-    The range join is an equi-join on time buckets, then an exact test."""
+    """user_id, sid, id, assisted, same_author, ts: commits within a session's time, widened on both
+    sides, that name an assistant, whoever wrote them, or that the session's user wrote. Each is an
+    equi-join on time buckets (of one user's, for commits that name no assistant), then an exact test."""
     lo, hi = F.col("start_ts") - before_ms, F.col("end_ts") + after_ms
     spans = sessions.select("user_id", "sid", lo.alias("lo"), hi.alias("hi")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket_ms), F.floor(F.col("hi") / bucket_ms))))
-    at = commits.withColumn("bucket", F.floor(F.col("ts") / bucket_ms))
-    return spans.join(at, ["user_id", "bucket"]).where("ts between lo and hi").select("user_id", "sid", "id", "assisted", "ts")
+    at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), F.floor(F.col("ts") / bucket_ms).alias("bucket"))
+    anyone = spans.join(at.where("assisted"), "bucket")
+    own = spans.join(at.where("not assisted"), (spans["bucket"] == at["bucket"]) & (spans["user_id"] == at["author"])).drop(at["bucket"])
+    out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts")
+    hit = lambda df: df.where("ts between lo and hi").select(*out)
+    return hit(anyone).unionByName(hit(own))
 
 
 def output_matches(outputs: DataFrame, commits: DataFrame) -> DataFrame:
@@ -36,6 +41,20 @@ def output_matches(outputs: DataFrame, commits: DataFrame) -> DataFrame:
     return pieces.join(commits.select("id", F.substring("id", 1, 7).alias("short")), "short").select("out_id", "id").distinct()
 
 
+def session_outputs(outputs: DataFrame, commits: DataFrame) -> DataFrame:
+    """user_id, sid, id: commits that a session's command output names, for ``outputs`` of user_id, sid,
+    out_id, result."""
+    return output_matches(outputs, commits).join(outputs.select("out_id", "user_id", "sid"), "out_id").select("user_id", "sid", "id").distinct()
+
+
+def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame) -> DataFrame:
+    """user_id, sid, id, strategy: what the command outputs name, then assisted commits in the
+    session's time, then its user's own; sessions without any get the user's first commit after them."""
+    near = range_matches(sessions, commits)
+    ranked = [("output", session_outputs(outputs, commits)), ("assisted", near.where("assisted")), ("author", near.where("same_author"))]
+    return by_priority(ranked, asof_fallback(sessions, commits))
+
+
 def asof_fallback(sessions: DataFrame, commits: DataFrame, within_ms: int = 3_600_000, bucket_ms: int = 3_600_000) -> DataFrame:
     """user_id, sid, id: the author's first commit at or after a session's end, under ``within_ms``
     later; of equals the smallest id."""

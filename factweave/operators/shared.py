@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,17 +12,21 @@ _local: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path there; a temporary folder only where none is set (tests)."""
+    """A new path there; a temporary folder only where none is set and all tasks run in one process
+    (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append(f"file://{tempfile.mkdtemp(prefix='spark-facts-')}")
         top = _local[0]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written there and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The frame written there and read back: cuts lineage, survives lost executors. ``by`` are columns
+    to write in folders of their own, so that a filter on them reads no other."""
     schema = df.schema
-    df.write.parquet(path := scratch(df.sparkSession, name))
-    return df.sparkSession.read.schema(schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(schema).parquet(path).select(*df.columns)

@@ -95,11 +95,21 @@ def write_routed(files: DataFrame, path: str) -> None:
     files.write.partitionBy("dest").parquet(path)
 
 
-def change_rows(mutations: DataFrame, since: int, has_previous: bool) -> DataFrame:
-    """status (A, M, D), target, key of each change after ``since``."""
+def change_rows(mutations: DataFrame, since: int, has_previous: bool, by: list[str] | tuple = ()) -> DataFrame:
+    """by, status (A, M, D), target, key of each change after ``since``."""
     status = F.when(F.col("op") == "rm", "D").when(F.col("op") == "set", "M" if has_previous else "A").otherwise("M")
-    rows = mutations.where(F.col("ts") > since).select("target_type", "target_value", "key", "op").distinct()
-    return rows.select(status.alias("status"), C.target_label("target_type", "target_value").alias("target"), "key").distinct()
+    rows = mutations.where(F.col("ts") > since).select(*by, "target_type", "target_value", "key", "op").distinct()
+    return rows.select(*by, status.alias("status"), C.target_label("target_type", "target_value").alias("target"), "key").distinct()
+
+
+def change_manifests(mutations: DataFrame, since: int, has_previous: bool, by: list[str], most: int = MAX_CHANGES) -> DataFrame:
+    """by, ``body``: ``change_manifest`` of each group that has changes. Lines are counted first, and
+    gathered only where there are few enough."""
+    rows = change_rows(mutations, since, has_previous, by)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    few = rows.join(sizes.where(F.col("n") <= most), by).groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", "status", "target", "key"))), "\n").alias("body"))
+    many = F.concat(F.lit("changes-omitted: true\ncount: "), F.col("n").cast("string"))
+    return few.unionByName(sizes.where(F.col("n") > most).select(*by, many.alias("body")))
 
 
 def change_manifest(mutations: DataFrame, since: int, has_previous: bool, facts: DataFrame | None = None, most: int = MAX_CHANGES) -> DataFrame:

@@ -10,6 +10,7 @@ all other keys stay in built-in functions."""
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars
+from factweave.operators.shared import stored
 
 K = ["target_type", "target_value", "key"]
 LEGACY = {"list:push": "push", "list:pop": "pop", "list:rm": "list_rm", "set:add": "set_add", "set:rm": "set_rm"}
@@ -47,6 +49,11 @@ def last_per_key(mutations: DataFrame, *more: str) -> DataFrame:
     return mutations.groupBy(*K, *more).agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("l")).select(*K, *more, "l.*")
 
 
+def last_op(mutations: DataFrame) -> DataFrame:
+    """K, value, op: the last operation of every key and member."""
+    return mutations.groupBy(*K, "value").agg(F.max_by("op", "seq").alias("op"))
+
+
 def state_from_log(log: DataFrame) -> DataFrame:
     """K, op, value, last_ts straight from a log whose rows carry whole values."""
     return last_per_key(log).select(*K, "op", "value", F.col("ts").alias("last_ts"))
@@ -64,14 +71,18 @@ def fold_strings(mutations: DataFrame) -> DataFrame:
     return last.where("l.op = 'set'").select(*K, "l.value", F.col("l.ts").alias("last_ts"), "l.email")
 
 
+def _first_after(removals: DataFrame, writes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ts, email of the first removal after each key's last write. The last writes are folded
+    first, so that only removals after them meet, and these reduce in their tasks."""
+    last = writes.groupBy(*keys).agg(F.max("seq").alias("w"))
+    late = removals.select(*keys, "seq", "ts", "email").join(last, keys).where("seq > w")
+    return late.groupBy(*keys).agg(F.min_by(F.struct("ts", "email"), "seq").alias("t")).select(*keys, "t.ts", "t.email")
+
+
 def fold_remove(mutations: DataFrame) -> DataFrame:
     """K, ts, email: tombstones of removed keys. Only the first removal after a write counts; one of
     an absent key leaves nothing."""
-    own = mutations.where("op in ('set', 'push', 'set_add', 'rm')")
-    write = F.max(F.when(F.col("op") != "rm", F.col("seq")))
-    sums = own.groupBy(*K).agg(write.alias("w"), F.sort_array(F.collect_list(F.when(F.col("op") == "rm", F.struct("seq", "ts", "email")))).alias("rms"))
-    first = F.get(F.filter("rms", lambda r: r["seq"] > F.col("w")), F.lit(0))
-    return sums.where("w is not null").select(*K, first.alias("t")).where("t is not null").select(*K, "t.ts", "t.email")
+    return _first_after(mutations.where("op = 'rm'"), mutations.where("op in ('set', 'push', 'set_add')"), K)
 
 
 def bumped(order: Column, keys: list[str] = K) -> Column:
@@ -116,15 +127,11 @@ def fold_set_set(mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fold_set(mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, tombstones) of keys that see set_add and set_rm: the last operation of each member
     counts; removing an absent member leaves nothing."""
+    member = [*K, "value"]
     own = mutations.where("op in ('set_add', 'set_rm')")
-    add = F.max(F.when(F.col("op") == "set_add", F.col("seq")))
-    sums = own.groupBy(*K, "value").agg(
-        add.alias("a"), F.max_by("ts", F.when(F.col("op") == "set_add", F.col("seq"))).alias("ts"),
-        F.sort_array(F.collect_list(F.when(F.col("op") == "set_rm", F.struct("seq", "ts", "email")))).alias("rms"),
-    ).where("a is not null")
-    first = F.get(F.filter("rms", lambda r: r["seq"] > F.col("a")), F.lit(0))
-    rows = sums.withColumn("t", first)
-    return rows.where("t is null").select(*K, "value", "ts"), rows.where("t is not null").select(*K, "value", "t.ts", "t.email")
+    last = own.groupBy(*member).agg(F.max_by(F.struct("op", "ts"), "seq").alias("l"))
+    live = last.where("l.op = 'set_add'").select(*member, "l.ts")
+    return live, _first_after(own.where("op = 'set_rm'"), own.where("op = 'set_add'"), member)
 
 
 def fold_list_pop(mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +147,16 @@ def fold_list_pop(mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("before", F.coalesce(F.lag("low").over(w), F.lit(0))).withColumn("height", F.col("s") - F.col("low"))
     rows = rows.withColumn("later", F.min("height").over(w.rowsBetween(1, W.unboundedFollowing)))
     entries = rows.where("op = 'push' and coalesce(later, height) >= height").select(*K, "value", "ts")
-    return entries, rows.where("op = 'pop' and low < before").select("seq", *K, F.lit("ValueNotFound").alias("reason"))
+    missed = rows.where("op = 'pop' and low < before").select("seq", *K)
+    return entries, _missing(missed, own.where("op = 'push'"))
+
+
+def _missing(missed: DataFrame, writes: DataFrame) -> DataFrame:
+    """seq, K, reason of removals that found nothing: KeyNotFound before the key's first write, which
+    makes it exist for good, ValueNotFound after it."""
+    first = writes.groupBy(*K).agg(F.min("seq").alias("first"))
+    reason = F.when(F.col("first") < F.col("seq"), "ValueNotFound").otherwise("KeyNotFound")
+    return missed.select("seq", *K).join(first, K, "left").select("seq", *K, reason.alias("reason"))
 
 
 def apply_tombstones(values: DataFrame, members: DataFrame, known: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,10 +192,11 @@ def invalid_rows(mutations: DataFrame) -> DataFrame:
 
 
 def absent_removals(mutations: DataFrame) -> DataFrame:
-    """seq and reason of set_rm of an absent member: its last operation before isn't set_add."""
+    """seq, K and reason of set_rm of an absent member (its last operation before isn't set_add):
+    KeyNotFound where the key has no member yet, else ValueNotFound."""
     own = mutations.where("op in ('set_add', 'set_rm')")
     before = F.lag("op").over(W.partitionBy(*K, "value").orderBy("seq"))
-    return own.withColumn("before", before).where("op = 'set_rm' and not before <=> 'set_add'").select("seq", F.lit("ValueNotFound").alias("reason"))
+    return _missing(own.withColumn("before", before).where("op = 'set_rm' and not before <=> 'set_add'"), own.where("op = 'set_add'"))
 
 
 def ordered_keys(mutations: DataFrame) -> DataFrame:
@@ -197,93 +214,138 @@ def ordered_keys(mutations: DataFrame) -> DataFrame:
 FOLDED = "target_type string, target_value string, key string, part string, value string, ts long, email string, seq long"
 
 
-def _fold_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All operations of one key, one after another."""
-    kind, text, entries, members, tombs, key_tomb, rejects = None, None, [], {}, {}, None, []
-    entry_tombs: list[tuple] = []
-    k = tuple(pdf.iloc[0][c] for c in K)
-    for r in pdf.sort_values("seq").itertuples(index=False):
+class Fold:
+    """The state of one key while its operations go by, one after another."""
+
+    def __init__(self, k: tuple):
+        self.k = k
+        self.kind, self.text, self.entries, self.members, self.tombs, self.key_tomb = None, None, [], {}, {}, None
+        self.entry_tombs: list[tuple] = []
+        self.rejects: list[tuple] = []
+
+    def _later(self, ts: int) -> int:
+        return ts if not self.entries or ts > self.entries[-1][1] else self.entries[-1][1] + 1
+
+    def _set(self, r) -> None:
+        old = self.members if r.value_type == "set" else {}
+        self.entries, self.members, self.key_tomb = [], {}, None
+        if r.value_type == "string":
+            self.kind, self.text, self.tombs = "string", (r.value, r.ts), {}
+        elif r.value_type == "list":
+            self.kind = "list"
+            for i, item in enumerate(json.loads(r.value)):
+                v, ts = (item["value"], int(item["timestamp"])) if isinstance(item, dict) else (item, i)
+                self.entries.append((v, self._later(ts)))
+        else:
+            self.kind, new = "set", dict.fromkeys(json.loads(r.value))
+            self.tombs |= {m: (r.ts, r.email) for m in old if m not in new}
+            self.members = {m: old.get(m, r.ts) for m in new}
+            self.tombs = {m: t for m, t in self.tombs.items() if m not in new}
+
+    def _push(self, r) -> str | None:
+        if self.kind == "set":
+            return "TypeMismatch"
+        if self.kind == "string":
+            self.entries = [(self.text[0], 0)]
+        self.kind, self.key_tomb = "list", None
+        self.entries.append((r.value, self._later(r.ts)))
+        return None
+
+    def _shorten(self, r) -> str | None:
+        if self.kind != "list":
+            return "KeyNotFound" if self.kind is None else "TypeMismatch"
+        if r.op == "pop":
+            at = next((i for i in range(len(self.entries) - 1, -1, -1) if self.entries[i][0] == r.value), None)
+            if at is None:
+                return "ValueNotFound"
+            del self.entries[at]
+            return None
+        if pd.isna(r.idx) or not 0 <= int(r.idx) < len(self.entries):
+            return "IndexOutOfRange"
+        self.entry_tombs.append((self.entries.pop(int(r.idx))[0], r.ts, r.email))
+        return None
+
+    def _member(self, r) -> str | None:
+        if self.kind not in (None, "set"):
+            return "TypeMismatch"
+        if r.op == "set_add":
+            self.kind, self.key_tomb = "set", None
+            self.members[r.value] = r.ts
+            self.tombs.pop(r.value, None)
+            return None
+        if self.kind is None:
+            return "KeyNotFound"
+        if r.value not in self.members:
+            return "ValueNotFound"
+        del self.members[r.value]
+        self.tombs[r.value] = (r.ts, r.email)
+        return None
+
+    def apply(self, r) -> None:
         reason = None
         if r.op == "set":
-            entries, members, key_tomb = [], dict(members) if r.value_type == "set" else {}, None
-            if r.value_type == "string":
-                kind, text, tombs = "string", (r.value, r.ts), {}
-            elif r.value_type == "list":
-                kind = "list"
-                for i, item in enumerate(json.loads(r.value)):
-                    v, ts = (item["value"], int(item["timestamp"])) if isinstance(item, dict) else (item, i)
-                    entries.append((v, ts if not entries or ts > entries[-1][1] else entries[-1][1] + 1))
-            else:
-                new = dict.fromkeys(json.loads(r.value))
-                for m in members:
-                    if m not in new:
-                        tombs[m] = (r.ts, r.email)
-                kind, members = "set", {m: members.get(m, r.ts) for m in new}
-                tombs = {m: t for m, t in tombs.items() if m not in members}
+            self._set(r)
         elif r.op == "push":
-            if kind == "set":
-                reason = "TypeMismatch"
-            else:
-                if kind == "string":
-                    entries = [(text[0], 0)]
-                kind, key_tomb = "list", None
-                entries.append((r.value, r.ts if not entries or r.ts > entries[-1][1] else entries[-1][1] + 1))
+            reason = self._push(r)
         elif r.op in ("pop", "list_rm"):
-            if kind is None:
-                reason = "KeyNotFound"
-            elif kind != "list":
-                reason = "TypeMismatch"
-            elif r.op == "pop":
-                at = next((i for i in range(len(entries) - 1, -1, -1) if entries[i][0] == r.value), None)
-                if at is None:
-                    reason = "ValueNotFound"
-                else:
-                    del entries[at]
-            elif pd.isna(r.idx) or not 0 <= int(r.idx) < len(entries):
-                reason = "IndexOutOfRange"
-            else:
-                v, _ = entries.pop(int(r.idx))
-                entry_tombs.append((v, r.ts, r.email))
+            reason = self._shorten(r)
         elif r.op in ("set_add", "set_rm"):
-            if kind not in (None, "set"):
-                reason = "TypeMismatch"
-            elif r.op == "set_add":
-                kind, key_tomb = "set", None
-                members[r.value] = r.ts
-                tombs.pop(r.value, None)
-            elif kind is None:
-                reason = "KeyNotFound"
-            elif r.value not in members:
-                reason = "ValueNotFound"
-            else:
-                del members[r.value]
-                tombs[r.value] = (r.ts, r.email)
-        elif r.op == "rm" and kind is not None:
-            kind, text, entries, members, entry_tombs, key_tomb = None, None, [], {}, [], (r.ts, r.email)
+            reason = self._member(r)
+        elif r.op == "rm" and self.kind is not None:
+            self.kind, self.text, self.entries, self.members, self.entry_tombs, self.key_tomb = None, None, [], {}, [], (r.ts, r.email)
         if reason:
-            rejects.append((reason, r.seq))
-    out = [(*k, "value", text[0], text[1], None, None)] if kind == "string" else []
-    out += [(*k, "entry", v, ts, None, i) for i, (v, ts) in enumerate(entries)] if kind == "list" else []
-    out += [(*k, "member", m, ts, None, None) for m, ts in members.items()] if kind == "set" else []
-    out += [(*k, "tombstone", None, *key_tomb, None)] if key_tomb else []
-    out += [(*k, "member_tombstone", m, *t, None) for m, t in tombs.items()]
-    out += [(*k, "entry_tombstone", v, ts, e, None) for v, ts, e in entry_tombs]
-    out += [(*k, "reject", reason, None, None, seq) for reason, seq in rejects]
-    frame = pd.DataFrame(out, columns=["target_type", "target_value", "key", "part", "value", "ts", "email", "seq"])
-    return frame.astype({"ts": "Int64", "seq": "Int64"})
+            self.rejects.append((*self.k, "reject", reason, None, None, r.seq))
+
+    def rejected(self) -> list[tuple]:
+        """Rows of the rejects since the last call."""
+        out, self.rejects = self.rejects, []
+        return out
+
+    def rows(self) -> list[tuple]:
+        k = self.k
+        out = [(*k, "value", self.text[0], self.text[1], None, None)] if self.kind == "string" else []
+        out += [(*k, "entry", v, ts, None, i) for i, (v, ts) in enumerate(self.entries)] if self.kind == "list" else []
+        out += [(*k, "member", m, ts, None, None) for m, ts in self.members.items()] if self.kind == "set" else []
+        out += [(*k, "tombstone", None, *self.key_tomb, None)] if self.key_tomb else []
+        out += [(*k, "member_tombstone", m, *t, None) for m, t in self.tombs.items()]
+        return out + [(*k, "entry_tombstone", v, ts, e, None) for v, ts, e in self.entry_tombs]
+
+
+def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys one after another, each one's operations in order; a key may span batches."""
+    names = [c.split()[0] for c in FOLDED.split(", ")]
+    frame = lambda out: pd.DataFrame(out, columns=names).astype({"ts": "Int64", "seq": "Int64"})
+    fold: Fold | None = None
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.itertuples(index=False):
+            k = (r.target_type, r.target_value, r.key)
+            if fold is None or fold.k != k:
+                out += [*fold.rejected(), *fold.rows()] if fold else []
+                fold = Fold(k)
+            fold.apply(r)
+        out += fold.rejected() if fold else []
+        yield frame(out)
+    if fold:
+        yield frame(fold.rows())
 
 
 def fold_in_order(mutations: DataFrame) -> DataFrame:
-    """FOLDED rows of keys that need a sequential fold; one key's operations at a time."""
-    return mutations.groupBy(*K).applyInPandas(_fold_one, FOLDED)
+    """FOLDED rows of keys that need a sequential fold. Operations stream through a task in order; it
+    holds one key's present state and a batch, not a key's log."""
+    rows = mutations.select("seq", *K, "op", "value", "value_type", "idx", "email", "ts")
+    n = int(mutations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *K).sortWithinPartitions(*K, "seq").mapInPandas(_fold_sorted, FOLDED)
 
 
 def replay(mutations: DataFrame) -> DataFrame:
     """K, part (value, entry, member, tombstone, member_tombstone, entry_tombstone, reject), value,
-    ts, email, seq after all operations. The split into native and sequential keys is one aggregate."""
+    ts, email, seq after all operations. One aggregate finds the keys that need the sequential fold;
+    rows are stored with that mark, and each fold reads the operations that it needs."""
     m = normalise_ops(mutations)
-    odd = ordered_keys(m)
-    plain = m.join(odd, K, "left_anti")
+    odd = ordered_keys(m).withColumn("odd", F.lit(True))
+    marked = stored(m.join(odd, K, "left").withColumn("odd", F.col("odd").isNotNull()), "marked", "odd")
+    plain = marked.where("not odd").drop("odd")
     none = {"value": "string", "ts": "long", "email": "string", "seq": "long"}
 
     def part(df: DataFrame, name: str) -> DataFrame:
@@ -294,6 +356,5 @@ def replay(mutations: DataFrame) -> DataFrame:
     strings = fold_strings(plain).withColumnRenamed("last_ts", "ts").drop("email")
     out = part(strings, "value").unionByName(part(entries, "entry")).unionByName(part(members, "member")).unionByName(part(fold_remove(plain), "tombstone"))
     out = out.unionByName(part(dropped, "member_tombstone"))
-    missed = absent_removals(plain).join(plain.select("seq", *K), "seq")
-    rejects = no_value.select("seq", *K, F.col("reason").alias("value")).unionByName(missed.select("seq", *K, F.col("reason").alias("value")))
-    return out.unionByName(part(rejects, "reject")).unionByName(fold_in_order(m.join(odd, K, "left_semi")))
+    rejects = no_value.unionByName(absent_removals(plain)).withColumnRenamed("reason", "value")
+    return out.unionByName(part(rejects, "reject")).unionByName(fold_in_order(marked.where("odd").drop("odd")))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
+from factweave.operators.ordering import numbered
+from factweave.operators.shared import stored
 
 K = ["target_type", "target_value", "key"]
 SIZES = ((64, "<64B"), (1024, "64B–1KB"), (4096, "1KB–4KB"), (16384, "4KB–16KB"), (65536, "16KB–64KB"), (None, "64KB+"))
@@ -146,6 +148,17 @@ def first_seen(rows: DataFrame, branch: str = "branch", ts: str = "ts") -> DataF
     return rows.groupBy(branch).agg(F.min(ts).alias("first")).select(branch, F.concat(branch, F.lit("@"), F.col("first").cast("string")).alias("name"))
 
 
+def fact_order(facts: DataFrame) -> DataFrame:
+    """K and ``place``: the order of output, by target value, then key, then type."""
+    return numbered(facts.select(*K), [F.col("target_value"), F.col("key"), F.col("target_type")])
+
+
+def list_orders(entries: DataFrame, by: list[str]) -> DataFrame:
+    """by, by_time, by_name: the names of a list's entries (ts, value) in both orders."""
+    names = entries.select(*by, "ts", C.entry_name("ts", "value").alias("name")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ts", "name"))).alias("t"))
+    return names.select(*by, F.array_join("t.name", " ").alias("by_time"), F.array_join(F.sort_array("t.name"), " ").alias("by_name"))
+
+
 def entry_index(entries: DataFrame) -> DataFrame:
     return entries.withColumn("idx", F.row_number().over(W.partitionBy(*K).orderBy("ts", "value")) - 1)
 
@@ -164,32 +177,31 @@ def to_nested_json(facts: DataFrame, depth: int | None = None, log: DataFrame |
         leaf = F.concat(F.lit('{"value":'), leaf, F.lit(',"author":'), C.json_encode("author"), F.lit(',"timestamp":'), F.col("timestamp").cast("string"), F.lit("}"))
     segments = F.when(F.col("target_type") == "path", F.array("target_value", "key")).otherwise(F.split("key", ":"))
     group = F.when(F.col("target_type") == "path", F.lit("")).otherwise(F.col("target_value"))
-    rows = rows.select("target_type", group.alias("target_value"), segments.alias("s"), leaf.alias("leaf"))
-    depth = depth or rows.agg(F.max(F.size("s"))).first()[0] or 1
     at = ["target_type", "target_value"]
-    done = rows.select(*at, "s", "leaf", F.lit(None).cast("string").alias("node"))
-    for d in range(depth, 0, -1):  # once per level of nesting, whatever the number of rows
-        deep, rest = done.where(F.size("s") == d), done.where(F.size("s") < d)
-        one = deep.groupBy(*at, "s").agg(F.max("leaf").alias("leaf"), F.max("node").alias("node"))
-        inner = F.when(F.col("node").isNull(), F.col("leaf")).when(F.col("leaf").isNull(), F.concat(F.lit("{"), "node", F.lit("}"))).otherwise(
+    done = rows.select("target_type", group.alias("target_value"), segments.alias("s"), leaf.alias("leaf"), F.lit(None).cast("string").alias("member"))
+    depth = depth or rows.agg(F.max(F.size(segments))).first()[0] or 1
+    for d in range(depth, 0, -1):  # one aggregation per level of nesting, each over the one before
+        one = done.groupBy(*at, "s").agg(F.max("leaf").alias("leaf"), F.array_join(F.sort_array(F.collect_list("member")), ",").alias("node"))
+        inner = F.when(F.col("node") == "", F.col("leaf")).when(F.col("leaf").isNull(), F.concat(F.lit("{"), "node", F.lit("}"))).otherwise(
             F.concat(F.lit('{"__value":'), "leaf", F.lit(","), "node", F.lit("}")))
-        member = _member(F.element_at("s", -1), inner)
-        up = one.select(*at, F.slice("s", 1, d - 1).alias("s"), member.alias("m")).groupBy(*at, "s").agg(F.array_join(F.sort_array(F.collect_list("m")), ",").alias("node"))
-        done = rest.unionByName(up.select(*at, "s", F.lit(None).cast("string").alias("leaf"), "node"))
-    return done.where(F.size("s") == 0).select(*at, F.concat(F.lit("{"), "node", F.lit("}")).alias("json"))
+        deep = F.size("s") == d  # only these have members: shorter ones wait with their leaves
+        done = one.select(*at, F.when(deep, F.slice("s", 1, d - 1)).otherwise(F.col("s")).alias("s"), F.when(~deep, F.col("leaf")).alias("leaf"), F.when(deep, _member(F.element_at("s", -1), inner)).alias("member"))
+    return done.groupBy(*at).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("member")), ","), F.lit("}")).alias("json"))
 
 
-def flatten_json(rows: DataFrame, json_col: str, keep: list[str], depth: int = 3) -> DataFrame:
-    """keep columns, key, value: nested objects as colon-joined keys, one round per level."""
+def flatten_json(rows: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
+    """keep columns, key, value: nested objects as colon-joined keys, one round per level until nothing
+    is nested; each round is written to the shared folder and reads the one before. An empty object
+    has no keys and gives no row."""
     todo = rows.select(*keep, F.lit("").alias("prefix"), F.col(json_col).alias("j"))
     out = None
-    for _ in range(depth):
+    while out is None or not todo.isEmpty():
         each = todo.select(*keep, "prefix", F.explode(F.from_json("j", "map<string,string>")).alias("k", "v"))
-        each = each.select(*keep, F.concat("prefix", F.when(F.col("prefix") == "", "").otherwise(":"), "k").alias("prefix"), F.col("v").alias("j"))
-        nested = F.coalesce(F.col("j").startswith("{"), F.lit(False))
-        leaves = each.where(~nested)
+        name = F.concat("prefix", F.when(F.col("prefix") == "", "").otherwise(":"), "k")
+        each = stored(each.select(*keep, name.alias("prefix"), F.col("v").alias("j"), F.coalesce(F.json_object_keys("v").isNotNull(), F.lit(False)).alias("nested")), "flat")
+        leaves = each.where("not nested").drop("nested")
         out = leaves if out is None else out.unionByName(leaves)
-        todo = each.where(nested)
+        todo = each.where("nested").drop("nested")
     return out.select(*keep, F.col("prefix").alias("key"), F.col("j").alias("value"))
 
 

@@ -30,9 +30,9 @@ FROM (SELECT doc_id, source, lang, 'doc:source' AS key, source AS value FROM {do
   UNION ALL SELECT doc_id, source, lang, 'text:v' || CAST(doc_id % 3 AS STRING), text FROM {documents}
   UNION ALL SELECT d.doc_id, source, lang, 'label:quality', CAST(quality AS STRING) FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
   UNION ALL SELECT d.doc_id, source, lang, 'label:toxic', CAST(toxic AS STRING) FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id) x
-UNION ALL SELECT 'project', '', 'meta:note:n' || CAST(item_id AS STRING), 'string', substr(text, 1, 30), 1600000000000 + item_id, FALSE, FALSE, item_id FROM {benchmark}""",
+UNION ALL SELECT 'project', '', 'meta:note:n' || CAST(item_id AS STRING), 'string', text, 1600000000000 + item_id, FALSE, FALSE, item_id FROM {benchmark}""",
     "doc_versions": """
-SELECT doc_id, 'path' AS target_type, source || '/' || lang || '/' || CAST(doc_id AS STRING) AS target_value, 'doc:' || lang AS key, substr(text, 1, 40) AS v FROM {documents}""",
+SELECT doc_id, 'path' AS target_type, source || '/' || lang || '/' || CAST(doc_id AS STRING) AS target_value, 'doc:' || lang AS key, text AS v FROM {documents}""",
     "chat": """
 SELECT conv_id, turn, role, 'change-id' AS target_type, 'conv-' || CAST(conv_id AS STRING) AS target_value, CAST(1700000000000 + conv_id * 100000 + turn * 1000 AS BIGINT) AS ts, text FROM {conversations}""",
     "base": """
@@ -75,7 +75,7 @@ SELECT 'commit' AS target_type, id AS target_value, 'branch-id' AS key, CAST(o_c
 UNION ALL SELECT 'commit', id, 'review:status', o_state, ts FROM (SELECT id, ts, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'approved' ELSE 'open' END AS o_state FROM {commits}) c WHERE o_orderkey % 5 = 0
 UNION ALL SELECT 'change-id', 'I' || CAST(o_orderkey AS STRING), 'agent:model', 'm' || CAST(o_orderkey % 3 AS STRING), ts FROM {commits} WHERE o_orderkey % 6 = 0""",
     "tags": """
-SELECT 'v' || CAST(n AS STRING) AS name, id AS commit_id, ts AS created FROM (SELECT id, ts, row_number() OVER (ORDER BY ts, id) AS n FROM {commits}) c WHERE n % 500 = 0""",
+SELECT 'v' || CAST(o_orderkey AS STRING) AS name, sha1('o' || CAST(o_orderkey AS STRING)) AS commit_id, MS(o_orderdate) // 1000 AS created FROM {orders} WHERE o_orderstatus = 'P'""",
     "lines": """
 SELECT file, row_number() OVER (PARTITION BY file ORDER BY l_orderkey, l_linenumber) + CASE WHEN l_orderkey % 50 > 40 THEN 1 ELSE 0 END AS line, sha1('o' || CAST(l_orderkey AS STRING)) AS commit_id
 FROM (SELECT l_partkey % 50 AS file, l_orderkey, l_linenumber FROM {lineitem}) x""",
@@ -85,6 +85,9 @@ SELECT user_id, sid, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM
   FROM (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM {ev}) g) s GROUP BY user_id, sid""",
     "purchases": """
 SELECT sha1('e' || CAST(event_id AS STRING)) AS id, user_id, ts, event_id, k, k % 3 = 0 AS assisted FROM {ev} WHERE event_type = 'purchase'""",
+    "outputs": """
+SELECT p.event_id AS out_id, p.user_id, s.sid, CASE p.k % 4 WHEN 0 THEN '[main ' || substr(p.id, 1, 7) || '] done' WHEN 1 THEN 'commit ' || p.id || ' ok' WHEN 2 THEN '00' || substr(p.id, 1, 7) || 'fff' ELSE substr(p.id, 1, 6) END AS result
+FROM {purchases} p JOIN {sessions} s ON s.user_id = p.user_id AND p.ts BETWEEN s.start_ts AND s.end_ts""",
     "target_texts": """
 SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'project' WHEN 1 THEN 'project:x' WHEN 2 THEN 'path:' || source || '/' || lang WHEN 3 THEN 'commit:' || sha1(text) WHEN 4 THEN 'branch:a:b' || lang
   WHEN 5 THEN 'change-id:' || lang WHEN 6 THEN 'tag:' || lang WHEN 7 THEN lang ELSE 'path:é' END AS s FROM {documents}""",
@@ -94,12 +97,12 @@ SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'a:' || source WHEN 1 THEN 'a::' ||
     "targets": """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'project' WHEN 1 THEN 'path' WHEN 2 THEN 'commit' WHEN 3 THEN 'branch' ELSE 'change-id' END AS target_type,
   CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN '__' ELSE '~' END || source || '/' || lang || '/__x/' || CAST(doc_id AS STRING) WHEN 2 THEN sha1(text) WHEN 3 THEN 'feature/' || lang || '/' || CAST(doc_id AS STRING) ELSE 'I' || CAST(doc_id AS STRING) END AS target_value,
-  'doc:' || lang || ':v' || CAST(doc_id % 4 AS STRING) AS key, substr(text, 1, 30) AS value, 1600000000000 + doc_id AS ts FROM {documents}""",
+  'doc:' || lang || ':v' || CAST(doc_id % 4 AS STRING) AS key, text AS value, 1600000000000 + doc_id AS ts FROM {documents}""",
     "subjects": """
-SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'fix(core)!: ' WHEN 2 THEN 'chore!: ' WHEN 3 THEN 'Not a type: ' WHEN 4 THEN 'docs(a:b): ' WHEN 5 THEN 'no colon ' WHEN 6 THEN 'UP: ' ELSE 'perf-2: ' END || lang AS subject,
+SELECT doc_id, CASE doc_id % 13 WHEN 8 THEN ' feat: ' WHEN 9 THEN 'feat : ' WHEN 10 THEN 'fix(a) : ' WHEN 11 THEN 'fix !: ' WHEN 12 THEN ' : ' WHEN 0 THEN 'feat: ' WHEN 1 THEN 'fix(core)!: ' WHEN 2 THEN 'chore!: ' WHEN 3 THEN 'Not a type: ' WHEN 4 THEN 'docs(a:b): ' WHEN 5 THEN 'no colon ' WHEN 6 THEN 'UP: ' ELSE 'perf-2: ' END || lang AS subject,
   'This fixes #' || CAST(doc_id AS STRING) || ' and Closes: #' || CAST(doc_id % 5 AS STRING) || ', see #7 resolved (#12). fix nothing' AS body,
   'Subject' || CASE WHEN doc_id % 2 = 0 THEN ' x' ELSE '' END || '~~Change-Id: Iold~Change-Id:  I' || CAST(doc_id AS STRING) || ' ~Entire-Checkpoint: c' || CAST(doc_id AS STRING) || '~Entire-Checkpoint: d~' AS message,
-  CASE WHEN doc_id % 3 = 0 THEN 'u' || CAST(doc_id AS STRING) ELSE ' ' END AS login, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Name ' || CAST(doc_id AS STRING) || ' <n' || CAST(doc_id AS STRING) || '@example.com>' END AS author FROM {documents}""",
+  CASE doc_id % 4 WHEN 0 THEN ' u' || CAST(doc_id AS STRING) || ' ' WHEN 1 THEN ' ' WHEN 2 THEN '' ELSE NULL END AS login, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 5 = 1 THEN '' ELSE 'Name ' || CAST(doc_id AS STRING) || ' <n' || CAST(doc_id AS STRING) || '@example.com>' END AS author FROM {documents}""",
     "rules": """
 SELECT * FROM (VALUES (1, 'exclude label:tox*'), (2, 'route label:** quality,audit'), (3, 'exclude draft:**'), (4, 'route text:* texts'), (5, 'route meta:** config,audit'), (6, 'exclude label:toxic')) r(n, rule)""",
 }

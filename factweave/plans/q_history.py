@@ -92,28 +92,33 @@ def j8(s):
 
 PAIRS = """
 WITH o AS (SELECT id, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY ts, o_orderkey) AS n FROM {commits}),
-e AS (SELECT o_custkey, arg_max(id, n) AS last, arg_min(id, n) AS first, max(n) AS len FROM o WHERE o_custkey % 20 < 4 GROUP BY o_custkey)
+e AS (SELECT o_custkey, arg_max(id, n) AS last, arg_min(id, n) AS first, max(n) AS len FROM o GROUP BY o_custkey)
 """
 
 
 @query("j19_merge_strategies", PAIRS + """
-SELECT CAST(o_custkey AS VARCHAR) AS pair, CASE WHEN o_custkey % 20 = 0 THEN 'up-to-date' WHEN o_custkey % 20 = 3 THEN 'two-way' WHEN len = 1 THEN 'up-to-date' WHEN o_custkey % 20 = 1 THEN 'fast-forward' ELSE 'three-way' END AS strategy,
-  CASE WHEN o_custkey % 20 = 2 AND len > 1 THEN first END AS base FROM e""")
+SELECT CAST(o_custkey AS VARCHAR) AS pair, CASE o_custkey % 6 WHEN 3 THEN 'two-way' WHEN 4 THEN 'fast-forward' WHEN 5 THEN 'three-way' WHEN 0 THEN 'up-to-date' ELSE CASE WHEN len = 1 THEN 'up-to-date' WHEN o_custkey % 6 = 1 THEN 'fast-forward' ELSE 'three-way' END END AS strategy,
+  CASE WHEN o_custkey % 6 = 2 AND len > 1 THEN first WHEN o_custkey % 6 = 5 THEN last END AS base FROM e""")
 def j19(s):
-    c = _commits(s).where("o_custkey % 20 < 4")
-    e = c.groupBy("o_custkey").agg(F.max_by("id", F.struct("ts", "o_orderkey")).alias("last"), F.min_by("id", F.struct("ts", "o_orderkey")).alias("first"))
-    m = F.col("o_custkey") % 20
-    pairs = e.select(F.col("o_custkey").cast("string").alias("pair"), F.when(m == 1, F.col("first")).otherwise(F.col("last")).alias("local"), F.when(m == 2, F.col("first")).when(m == 3, F.lit("elsewhere")).otherwise(F.col("last")).alias("remote"))
-    return H.merge_strategies(H.edges_of(c), pairs)
+    """Every customer's chain: both heads at its end, one behind, none local, another history, or two
+    merges, l and r, of its first commit with its last, which is the better base but further away."""
+    c = _commits(s)
+    e = c.groupBy("o_custkey").agg(F.max_by("id", F.struct("ts", "o_orderkey")).alias("last"), F.min_by("id", F.struct("ts", "o_orderkey")).alias("first")).withColumn("pair", F.col("o_custkey").cast("string"))
+    m = F.col("o_custkey") % 6
+    name = lambda x: F.concat(F.lit(x), "pair")
+    local = F.when(m == 1, F.col("first")).when(m == 4, F.lit(None)).when(m == 5, name("l")).otherwise(F.col("last"))
+    remote = F.when(m == 2, F.col("first")).when(m == 3, F.lit("elsewhere")).when(m == 5, name("r")).otherwise(F.col("last"))
+    made = F.array(*(F.struct(a.alias("id"), b.alias("parent")) for a, b in ((name("l"), F.col("first")), (name("l"), name("x")), (name("x"), F.col("last")), (name("r"), F.col("first")), (name("r"), F.col("last")))))
+    edges = H.edges_of(c).unionByName(e.where(m == 5).select(F.explode(made).alias("e")).select("e.*"))
+    return H.merge_strategies(edges, e.select("pair", local.alias("local"), remote.alias("remote")))
 
 
-@query("j20_new_versions", "WITH o AS (SELECT o_custkey, count(*) AS n FROM {commits} GROUP BY o_custkey), b AS (SELECT min(o_custkey) AS c FROM o WHERE n > 2) SELECT n - 1 AS n FROM o JOIN b ON o_custkey = c")
+@query("j20_new_versions", PAIRS + "SELECT CAST(o_custkey AS VARCHAR) AS pair, len - 1 AS n FROM e")
 def j20(s):
+    """From each customer's first commit to its last."""
     c = _commits(s)
-    long = c.groupBy("o_custkey").count().where("count > 2").agg(F.min("o_custkey")).first()[0]
-    own = c.where(F.col("o_custkey") == long)
-    ends = own.agg(F.min_by("id", F.struct("ts", "o_orderkey")), F.max_by("id", F.struct("ts", "o_orderkey"))).first()
-    return H.new_versions(H.edges_of(own), ends[0], ends[1])
+    ends = c.groupBy(F.col("o_custkey").cast("string").alias("pair")).agg(F.min_by("id", F.struct("ts", "o_orderkey")).alias("old"), F.max_by("id", F.struct("ts", "o_orderkey")).alias("new"))
+    return H.new_versions_each(H.edges_of(c), ends)
 
 
 @query("a11_summarise_sessions", """
@@ -125,22 +130,20 @@ def a11(s):
 
 
 RANGE = """
-WITH m AS (SELECT s.user_id, s.sid, p.id, p.assisted FROM {sessions} s JOIN {purchases} p ON s.user_id = p.user_id AND p.ts BETWEEN s.start_ts - 60000 AND s.end_ts + 300000),
-a AS (SELECT * FROM (SELECT s.user_id, s.sid, p.id, row_number() OVER (PARTITION BY s.user_id, s.sid ORDER BY p.ts, p.id) AS n FROM {sessions} s JOIN {purchases} p ON s.user_id = p.user_id AND p.ts >= s.end_ts AND p.ts - s.end_ts < 3600000) x WHERE n = 1)
+WITH m AS (SELECT s.user_id, s.sid, p.id, p.assisted, s.user_id = p.user_id AS same_author FROM {sessions} s JOIN {purchases} p ON p.ts BETWEEN s.start_ts - 60000 AND s.end_ts + 300000 WHERE p.assisted OR s.user_id = p.user_id),
+a AS (SELECT * FROM (SELECT s.user_id, s.sid, p.id, row_number() OVER (PARTITION BY s.user_id, s.sid ORDER BY p.ts, p.id) AS n FROM {sessions} s JOIN {purchases} p ON s.user_id = p.user_id AND p.ts >= s.end_ts AND p.ts - s.end_ts < 3600000) x WHERE n = 1),
+o AS (SELECT DISTINCT t.out_id, t.user_id, t.sid, c.id FROM {outputs} t JOIN {purchases} c ON contains(result, substr(c.id, 1, 7)))
 """
 
 
-@query("j12_range_matches", RANGE + "SELECT user_id, sid, id FROM m")
+@query("j12_range_matches", RANGE + "SELECT user_id, sid, id, assisted, same_author FROM m")
 def j12(s):
-    return S.range_matches(s.sessions, s.purchases).select("user_id", "sid", "id")
+    return S.range_matches(s.sessions, s.purchases).drop("ts")
 
 
-@query("j13_output_matches", """
-SELECT o.event_id AS out_id, c.id FROM (SELECT event_id, id AS own, k FROM {purchases}) o JOIN {purchases} c ON o.own = c.id WHERE o.k % 4 < 3""")
+@query("j13_output_matches", RANGE + "SELECT DISTINCT out_id, id FROM o")
 def j13(s):
-    kind = F.col("k") % 4
-    text = F.when(kind == 0, F.concat(F.lit("[main "), F.substring("id", 1, 7), F.lit("] done"))).when(kind == 1, F.concat(F.lit("commit "), "id", F.lit("\n"))).when(kind == 2, F.concat(F.lit("00"), F.substring("id", 1, 7), F.lit("fff"))).otherwise(F.substring("id", 1, 6))
-    return S.output_matches(s.purchases.select(F.col("event_id").alias("out_id"), text.alias("result")), s.purchases).join(s.purchases.select(F.col("event_id").alias("out_id"), F.col("id").alias("own")), "out_id").where("id = own").select("out_id", "id")
+    return S.output_matches(s.outputs, s.purchases)
 
 
 @query("j14_asof_fallback", RANGE + "SELECT user_id, sid, id FROM a")
@@ -148,13 +151,14 @@ def j14(s):
     return S.asof_fallback(s.sessions, s.purchases)
 
 
-PRIORITY = RANGE[:-1] + """, p AS (SELECT user_id, sid, id, CASE WHEN assisted THEN 'assisted' ELSE 'author' END AS strategy FROM m UNION ALL SELECT user_id, sid, id, 'fallback' FROM a ANTI JOIN m USING (user_id, sid))
+PRIORITY = RANGE[:-1] + """,
+r AS (SELECT user_id, sid, id, 1 AS n, 'output' AS strategy FROM o UNION ALL SELECT user_id, sid, id, 2, 'assisted' FROM m WHERE assisted UNION ALL SELECT user_id, sid, id, 3, 'author' FROM m WHERE same_author),
+p AS (SELECT user_id, sid, id, arg_min(strategy, n) AS strategy FROM r GROUP BY ALL UNION ALL SELECT user_id, sid, id, 'fallback' FROM a ANTI JOIN r USING (user_id, sid))
 """
 
 
 def _matches(s):
-    m = S.range_matches(s.sessions, s.purchases)
-    return S.by_priority([("assisted", m.where("assisted")), ("author", m)], S.asof_fallback(s.sessions, s.purchases))
+    return S.find_commits(s.sessions, s.purchases, s.outputs)
 
 
 @query("j15_by_priority", PRIORITY + "SELECT user_id, sid, id, strategy FROM p")

@@ -11,12 +11,12 @@ from factweave.sources.tables import read_transcripts
 
 MERGED = "1700000000000 + o_custkey * 1000"
 PRS = f"""
-WITH o AS (SELECT id, author, ts, o_custkey, message, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {{commits}} WHERE o_custkey % 10 = 0),
+WITH o AS (SELECT id, author, ts, o_custkey, message, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {{commits}}),
 p AS (SELECT DISTINCT o_custkey, 'feature-x#' || o_custkey AS b, {MERGED} AS merged FROM o),
 c AS (SELECT o_custkey, n, id, split_part(split_part(message, chr(10), 1), '(', 1) AS kind FROM o),
 w AS (SELECT o_custkey, 'branch' AS target_type, b AS target_value, key, value_type, value, s, n FROM p, LATERAL (VALUES
     (1, 0, 'title', 'string', 'PR ' || o_custkey), (2, 0, 'description', 'string', 'Fixes #' || o_custkey || ' now'), (3, 0, 'review:number', 'string', CAST(o_custkey AS VARCHAR)), (4, 0, 'review:url', 'string', 'https://example.com/' || o_custkey),
-    (5, 0, 'github:head-ref', 'string', 'feature/x'), (6, 0, 'github:base-ref', 'string', CASE WHEN o_custkey % 20 = 0 THEN 'main' END), (7, 1, 'issue:id', 'set', '#7'), (7, CASE WHEN CAST(o_custkey AS VARCHAR) < '7' THEN 0 ELSE 2 END, 'issue:id', 'set', '#' || o_custkey), (8, 0, 'issue:url', 'set', 'https://example.com/i/7'),
+    (5, 0, 'github:head-ref', 'string', 'feature/x'), (6, 0, 'github:base-ref', 'string', CASE WHEN o_custkey % 20 = 0 THEN 'main' END), (7, 1, 'issue:id', 'set', '#7'), (7, CASE WHEN CAST(o_custkey AS VARCHAR) < '7' THEN 0 ELSE 2 END, 'issue:id', 'set', CASE WHEN o_custkey <> 7 THEN '#' || o_custkey END), (8, 0, 'issue:url', 'set', 'https://example.com/i/7'),
     (9, 0, 'review:reviewed', 'set', 'ann'), (9, 1, 'review:reviewed', 'set', 'bob'), (10, 0, 'review:approved', 'set', 'bob'), (11, 0, 'review:comment', 'list', '{{"kind":"comment","author":"ann","body":" looks good ","url":null,"created_at":"t0"}}'), (11, 1, 'review:comment', 'list', '{{"kind":"review","author":"ann","body":"hm","url":"u","created_at":null}}')) v(s, n, key, value_type, value) WHERE value IS NOT NULL
   UNION ALL SELECT o_custkey, 'commit', id, 'branch-id', 'string', 'feature-x#' || o_custkey, 12, n * 2 FROM c UNION ALL SELECT o_custkey, 'commit', id, 'conventional:type', 'set', kind, 12, n * 2 + 1 FROM c
   UNION ALL SELECT o_custkey, 'branch', 'feature-x#' || o_custkey, 'commits:author', 'set', author, 13, 0 FROM (SELECT DISTINCT o_custkey, author FROM o) a
@@ -27,9 +27,8 @@ facts AS (SELECT o_custkey AS number, target_type, target_value, key, value_type
 
 
 def pulls(s):
-    """Pull requests as JSON, one for every tenth customer: its orders are the commits."""
-    o = s.commits.where("o_custkey % 10 = 0")
-    c = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.col("id").alias("oid"), F.substring_index("message", "\n", 1).alias("messageHeadline")))).alias("c"))
+    """Pull requests as JSON, one for every customer: its orders are the commits."""
+    c = s.commits.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.col("id").alias("oid"), F.substring_index("message", "\n", 1).alias("messageHeadline")))).alias("c"))
     n = F.col("o_custkey")
     text = lambda f: F.format_string(f, n)
     who = lambda w: F.struct(F.lit(w).alias("login"))
@@ -57,23 +56,34 @@ def n4(s):
     return s12(s).groupBy("number").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_distinct("ts").alias("n"))
 
 
-@query("a13_import_summary", PRS + "SELECT (SELECT count(*) FROM p) AS fetched, count(DISTINCT number) AS imported, count(*) FILTER (key = 'review:comment') AS comments, count(*) AS writes, (SELECT count(*) FROM p) AS missing_commits FROM facts")
+@query("a13_import_summary", PRS[:-1] + """, k AS (SELECT DISTINCT o_custkey FROM {commits} WHERE contains(message, '(P): 1-')),
+f AS (SELECT * FROM facts WHERE number NOT IN (SELECT o_custkey FROM k) AND number % 7 <> 0)
+SELECT (SELECT count(*) FROM p) AS fetched, (SELECT count(*) FROM p WHERE o_custkey % 7 = 0 OR o_custkey IN (SELECT o_custkey FROM k)) AS skipped, count(DISTINCT number) AS imported, count(*) FILTER (key = 'review:comment') AS comments, count(*) AS writes, count(DISTINCT number) AS missing_commits FROM f""")
 def a13(s):
-    p = pulls(s)
-    return I.import_summary(p, I.import_pull_requests(p, s.commits, "a/b"), s.commits)
+    """A second run: some were imported before, some were merged before the cutoff."""
+    early = F.regexp_replace("json", '"mergedAt":"[^"]*"', '"mergedAt":"2001-01-01T00:00:00Z"')
+    number = F.get_json_object("json", "$.number").cast("long")
+    p = pulls(s).withColumn("json", F.when(number % 7 == 0, early).otherwise(F.col("json")))
+    had = s.commits.where(F.contains("message", F.lit("(P): 1-"))).select(F.lit("project").alias("target_type"), F.lit("github:imported-pr").alias("key"), F.col("o_custkey").cast("string").alias("value"))
+    known, since = I.imported_numbers(had), 1_600_000_000
+    new = I.skipped_pull_requests(p, known, since).where("not skipped")
+    return I.import_summary(p, I.import_pull_requests(new, s.commits, "a/b"), s.commits, known, since)
 
 
 @query("s13_import_checkpoints", """
-WITH c AS (SELECT conv_id, turn, role, text FROM {chat} WHERE turn < 2),
+WITH c AS (SELECT conv_id, turn, role, text FROM {chat}),
 w AS (SELECT conv_id, turn, s, n, key, value_type, value FROM c, LATERAL (VALUES (1, 0, 'agent', 'string', 'tool'), (2, 0, 'model', 'string', role), (3, 0, 'turn-id', 'string', 't' || turn), (4, 0, 'token-usage', 'string', '{"in":' || turn || '}'),
-  (5, 0, 'prompt', 'string', text), (6, 0, 'transcript', 'string', '{"a":1}'), (7, 0, 'content-hash', 'string', 'h' || conv_id), (8, 0, 'tasks:t-1:agent-x', 'list', 'l1'), (8, 1, 'tasks:t-1:agent-x', 'list', 'l2')) v(s, n, key, value_type, value))
+  (5, 0, 'prompt', 'string', text), (6, 0, 'transcript', 'string', '{"a":1}'), (7, 0, 'content-hash', 'string', 'h' || conv_id), (8, 0, 'tasks:s-0:checkpoint', 'string', '{"step":' || turn || '}'), (9, 0, 'tasks:t-1:checkpoint', 'string', text), (10, 0, 'tasks:t-1:agent-a', 'list', 'l1'), (10, 1, 'tasks:t-1:agent-a', 'list', 'l2'), (11, 0, NULL, NULL, NULL)) v(s, n, key, value_type, value)
+  UNION ALL SELECT conv_id, turn, 12, i, 'tasks:t-1:agent-x', 'list', line FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM c) l WHERE trim(line) <> ''),
+x AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s, n) AS place FROM w)
 SELECT 'k' || conv_id AS checkpoint, CAST(turn AS INT) AS session, 'commit' AS target_type, 'c' || conv_id AS target_value, CASE WHEN turn = 0 THEN 'agent:' ELSE 'agent:session-' || turn || ':' END || key AS key, value_type, value,
-  1700000000000 + conv_id * 1000 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY s, n) - 1 AS ts FROM w""")
+  1700000000000 + conv_id * 1000 + place - 1 AS ts FROM x WHERE key IS NOT NULL""")
 def s13(s):
-    c = s.chat.where("turn < 2")
+    c = s.chat
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     meta = F.concat(F.lit('{"agent":"tool","model":"'), "role", F.lit('","turn_id":"t'), turn, F.lit('","tokenUsage":{"in":'), turn, F.lit("}}"))
-    pairs = (("metadata.json", meta), ("prompt.txt", F.col("text")), ("full.jsonl", F.lit('{"a":1}')), ("content_hash.txt", F.concat(F.lit(" h"), conv, F.lit(" "))), ("tasks/t:1/agent-x.jsonl", F.lit("l1\n\nl2\n")), ("tasks/t:1/other", F.lit("z")))
+    pairs = (("metadata.json", meta), ("prompt.txt", F.col("text")), ("full.jsonl", F.lit('{"a":1}')), ("content_hash.txt", F.concat(F.lit(" h"), conv, F.lit(" "))), ("tasks/t:1/agent-a.jsonl", F.lit("l1\n\nl2\n")), ("tasks/t:1/other", F.lit("z")),
+             ("tasks/t:1/agent-x.jsonl", F.col("text")), ("tasks/t:1/agent-y.jsonl", F.lit("\n \n")), ("tasks/t:1/checkpoint.json", F.col("text")), ("tasks/s/0", F.lit("z")), ("tasks/s:0/checkpoint.json", F.concat(F.lit('{"step":'), turn, F.lit("}"))))
     files = c.select(F.concat(F.lit("k"), conv).alias("checkpoint"), F.col("turn").cast("int").alias("session"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("content")) for n, v in pairs))).alias("f")).select("checkpoint", "session", "f.*")
     commits = s.chat.select("conv_id").distinct().select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), (F.lit(1_700_000_000) + F.col("conv_id")).alias("ts"), F.concat(F.lit("x\n\nEntire-Checkpoint: k"), F.col("conv_id").cast("string")).alias("message"))
     return I.import_checkpoints(commits, files)
@@ -94,14 +104,14 @@ def s14(s):
 
 
 @query("s15_import_notes", """
-WITH o AS (SELECT id, ts, o_orderkey FROM {commits} WHERE o_orderkey % 7 = 0 AND o_orderkey % 4 < 3)
+WITH o AS (SELECT id, ts, o_orderkey FROM {commits} WHERE o_orderkey % 4 < 3)
 SELECT id, 'commit' AS target_type, id AS target_value, key, 'string' AS value_type, value, ts * 1000 + row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS ts FROM o, LATERAL (VALUES (1, 'agent.blame', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'f.py 1-' || o_orderkey END), (2, 'agent.schema-version', CASE WHEN o_orderkey % 4 = 0 THEN '3' ELSE 'unknown' END),
   (3, 'agent.tool-version', CASE WHEN o_orderkey % 4 = 0 THEN '1.0' END), (4, 'agent.model', CASE WHEN o_orderkey % 4 = 0 THEN 'cli/m1, unknown/m2' ELSE 'unknown' END)) v(n, key, value) WHERE value IS NOT NULL""")
 def s15(s):
     m = F.col("o_orderkey") % 4
     full = F.lit('---\n{"schema_version":"3","git_ai_version":"1.0","prompts":{"p1":{"agent_id":{"tool":"cli","model":"m1"}},"p2":{"agent_id":{"model":"m2"}},"p3":{"agent_id":{"tool":"cli","model":"m1"}}}}')
     text = F.when(m == 0, full).when(m == 3, "no separator").otherwise(F.concat(F.lit("f.py 1-"), F.col("o_orderkey").cast("string"), F.lit("  \n---\n{}")))
-    return I.import_notes(s.commits.where("o_orderkey % 7 = 0").select("id", text.alias("text")), s.commits)
+    return I.import_notes(s.commits.select("id", text.alias("text")), s.commits)
 
 
 @query("s16_read_transcripts", """

@@ -30,13 +30,12 @@ COLS = "target_type, target_value, key, value_type, id, value"
 
 @query("m1_merge3", PER_KEY + f"SELECT {COLS}, choice AS resolution FROM merged JOIN c USING (target_type, target_value, key)")
 def merge3(s):
-    rows = M.decisions(s.base, s.local, s.remote)
-    return M.chosen_values(rows, ("base", "local", "remote")).join(rows.select(*K, F.col("choice").alias("resolution")), K)
+    return M.chosen_values(M.decisions(s.base, s.local, s.remote), ("base", "local", "remote")).withColumnRenamed("choice", "resolution")
 
 
 @query("m2_union_resolution", PER_KEY + f"SELECT {COLS} FROM merged JOIN c USING (target_type, target_value, key) WHERE choice = 'union'")
 def union_resolution(s):
-    return M.chosen_values(M.decisions(s.base, s.local, s.remote).where("choice = 'union'"), ("base", "local", "remote"))
+    return M.chosen_values(M.decisions(s.base, s.local, s.remote).where("choice = 'union'"), ("base", "local", "remote")).drop("choice")
 
 
 @query("m3_conflicts", PER_KEY + "SELECT target_type, target_value, key, reason, choice AS resolution FROM c WHERE reason IS NOT NULL")

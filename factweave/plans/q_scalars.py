@@ -151,7 +151,7 @@ def f17(s):
 
 
 @query("f18_conventional_type", """
-SELECT doc_id, subject, CASE doc_id % 8 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'chore' WHEN 4 THEN 'docs' WHEN 7 THEN 'perf-2' END AS type, CASE WHEN doc_id % 8 IN (0, 4, 7) THEN FALSE WHEN doc_id % 8 IN (1, 2) THEN TRUE END AS breaking FROM {subjects}""")
+SELECT doc_id, subject, CASE doc_id % 13 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'chore' WHEN 4 THEN 'docs' WHEN 7 THEN 'perf-2' WHEN 8 THEN 'feat' WHEN 9 THEN 'feat' WHEN 10 THEN 'fix' END AS type, CASE WHEN doc_id % 13 IN (0, 4, 7, 8, 9, 10) THEN FALSE WHEN doc_id % 13 IN (1, 2) THEN TRUE END AS breaking FROM {subjects}""")
 def f18(s):
     return s.subjects.select("doc_id", "subject", C.conventional_type("subject").alias("t")).select("doc_id", "subject", "t.type", "t.breaking")
 
@@ -183,7 +183,7 @@ def f22(s):
     return s.conversations.select("conv_id", "turn", F.array_join(C.content_texts(F.when(F.col("turn") % 2 == 0, t).otherwise(blocks)), "|").alias("texts"))
 
 
-@query("f23_author_identity", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN login WHEN trim(author) <> '' THEN trim(author) END AS who, doc_id % 2 = 0 AS approved FROM {subjects}")
+@query("f23_author_identity", "SELECT doc_id, CASE WHEN login IS NOT NULL THEN CASE WHEN trim(login) <> '' THEN login END WHEN trim(author) <> '' THEN author END AS who, doc_id % 2 = 0 AS approved FROM {subjects}")
 def f23(s):
     state = F.when(F.col("doc_id") % 2 == 0, "Approved").otherwise("COMMENTED")
     return s.subjects.select("doc_id", C.author_identity("login", "author").alias("who"), (F.upper(state) == "APPROVED").alias("approved"))

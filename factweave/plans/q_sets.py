@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.operators import filters as P
@@ -10,6 +9,7 @@ from factweave.operators import merge as M
 from factweave.operators import state as S
 from factweave.operators import views as V
 from factweave.operators.merge import K, Snapshot
+from factweave.operators.ordering import first_two
 from factweave.plans.registry import query
 
 KC = "target_type, target_value, key"
@@ -24,32 +24,25 @@ def n2(s):
 
 @query("n3_last_op", f"SELECT {KC}, value, arg_max(op, seq) AS op FROM {{mut}} WHERE value_type = 'set' GROUP BY ALL")
 def n3(s):
-    return s.mut.where("value_type = 'set'").groupBy(*K, "value").agg(F.max_by("op", "seq").alias("op"))
+    return S.last_op(s.mut.where("value_type = 'set'"))
 
 
-@query("o1_fact_order", f"SELECT {KC}, row_number() OVER (ORDER BY target_value, key) AS place FROM {{facts}} WHERE target_type = 'path'")
+@query("o1_fact_order", f"SELECT {KC}, row_number() OVER (ORDER BY target_value, key, target_type) AS place FROM {{facts}} WHERE target_type = 'path'")
 def o1(s):
-    """The order of output: by target value, then key, each with its place."""
-    rows = s.facts.where("target_type = 'path'").select(*K)
-    places = rows.orderBy("target_value", "key").rdd.zipWithIndex()  # ranks over all rows without one task holding them
-    return s.spark.createDataFrame(places.map(lambda x: (*x[0], x[1] + 1)), "target_type string, target_value string, key string, place long")
+    return V.fact_order(s.facts.where("target_type = 'path'"))
 
 
 @query("o2_list_orders", f"""
 WITH l AS (SELECT target_value, conv_id, turn * 7 % 13 * 10 AS ts, role FROM {{chat}}), e AS (SELECT *, ts || '-' || substr(sha1(role), 1, 5) AS name FROM l)
 SELECT target_value, string_agg(name, ' ' ORDER BY ts, name) AS by_time, string_agg(name, ' ' ORDER BY name) AS by_name FROM e GROUP BY target_value""")
 def o2(s):
-    from factweave.functions.scalars import entry_name
-
     ts = F.col("turn") * 7 % 13 * 10
-    e = s.chat.select("target_value", ts.alias("ts"), entry_name(ts, "role").alias("name")).groupBy("target_value").agg(F.sort_array(F.collect_list(F.struct("ts", "name"))).alias("t"))
-    return e.select("target_value", F.array_join("t.name", " ").alias("by_time"), F.array_join(F.sort_array("t.name"), " ").alias("by_name"))
+    return V.list_orders(s.chat.select("target_value", ts.alias("ts"), F.col("role").alias("value")), ["target_value"])
 
 
 @query("o4_first_two", f"SELECT target_value, key FROM (SELECT target_value, key, row_number() OVER (PARTITION BY target_value ORDER BY key) AS n FROM {{facts}} WHERE target_type = 'path') x WHERE n <= 2")
 def o4(s):
-    n = F.row_number().over(W.partitionBy("target_value").orderBy("key"))
-    return s.facts.where("target_type = 'path'").select("target_value", "key", n.alias("n")).where("n <= 2").drop("n")
+    return first_two(s.facts.where("target_type = 'path'").select("target_value", "key"), ["target_value"], "key")
 
 
 @query("o5_newest_row", f"SELECT {KC}, max(seq) AS seq FROM (SELECT *, max(ts) OVER (PARTITION BY {KC}) AS m FROM {{mut}}) x WHERE ts = m GROUP BY ALL")
@@ -59,14 +52,13 @@ def o5(s):
 
 @query("x1_union_of_keys", f"SELECT {KC} FROM {{base}} UNION SELECT {KC} FROM {{local}} UNION SELECT {KC} FROM {{remote}} UNION SELECT {KC} FROM {{tomb_local}}")
 def x1(s):
-    return s.base.select(*K).union(s.local.select(*K)).union(s.remote.select(*K)).union(s.tomb_local.select(*K)).distinct()
+    return M.union_of_keys(s.base, s.local, s.remote, s.tomb_local)
 
 
 @query("x2_union_of_entries", f"""
 SELECT {KC}, value_type, id, arg_min(value, side) AS value FROM (SELECT *, 1 AS side FROM {{local}} UNION ALL SELECT *, 2 FROM {{remote}}) x WHERE value_type <> 'string' GROUP BY ALL""")
 def x2(s):
-    rows = s.local.withColumn("side", F.lit(1)).unionByName(s.remote.withColumn("side", F.lit(2))).where("value_type <> 'string'")
-    return rows.groupBy(*K, "value_type", "id").agg(F.min_by("value", "side").alias("value"))
+    return M.union_of_entries(s.local, s.remote)
 
 
 @query("x3_difference_of_keys", f"SELECT DISTINCT {KC} FROM {{remote}} ANTI JOIN {{base}} USING ({KC})")
@@ -76,7 +68,7 @@ def x3(s):
 
 @query("x4_dropped_members", f"SELECT {KC}, id, value FROM {{base}} b ANTI JOIN {{remote}} USING ({KC}, id) WHERE value_type <> 'string'")
 def x4(s):
-    return s.base.where("value_type <> 'string'").join(s.remote.select(*K, "id"), [*K, "id"], "left_anti").select(*K, "id", "value")
+    return M.dropped_members(s.base, s.remote)
 
 
 @query("x5_distinct_keys", f"SELECT DISTINCT {KC} FROM {{facts}} WHERE NOT is_promised AND (key = 'doc' OR starts_with(key, 'doc:'))")

@@ -126,11 +126,19 @@ def s9(s):
 SINCE = 1_706_000_000_000
 
 
-@query("s10_change_manifest", f"""
-WITH c AS (SELECT DISTINCT CASE op WHEN 'rm' THEN 'D' ELSE 'M' END AS status, target_type || ':' || target_value AS target, key FROM {{mut}} WHERE ts > {SINCE} AND seq % 90 = 0)
-SELECT string_agg(status || chr(9) || target || chr(9) || key, chr(10) ORDER BY status || chr(9) || target || chr(9) || key) AS body FROM c""")
+LINES = f"WITH c AS (SELECT DISTINCT email, CASE op WHEN 'rm' THEN 'D' ELSE 'M' END AS status, target_type || ':' || target_value AS target, key FROM {{mut}} WHERE ts > {SINCE}), l AS (SELECT email, status || chr(9) || target || chr(9) || key AS line FROM c)"
+BODY = "CASE WHEN count(*) > {most} THEN 'changes-omitted: true' || chr(10) || 'count: ' || count(*) ELSE string_agg(line, chr(10) ORDER BY line) END AS body"
+
+
+@query("s10_change_manifests", LINES + f"SELECT email, {BODY.format(most=350)} FROM l GROUP BY email")
+def s10s(s):
+    """Each author's changes; those of some are too many for a list at the larger sizes."""
+    return N.change_manifests(s.mut, SINCE, True, ["email"], most=350)
+
+
+@query("s10_change_manifest", LINES + f"SELECT {BODY.format(most=1000)} FROM (SELECT DISTINCT line FROM l) x")
 def s10(s):
-    return N.change_manifest(s.mut.where("seq % 90 = 0"), SINCE, True)
+    return N.change_manifest(s.mut, SINCE, True)
 
 
 @query("s10_change_rows", f"SELECT DISTINCT CASE op WHEN 'rm' THEN 'D' WHEN 'set' THEN 'A' ELSE 'M' END AS status, target_type || ':' || target_value AS target, key FROM {{mut}} WHERE ts > {SINCE}")
@@ -169,8 +177,14 @@ def s19(s):
 
 @query("p1_get", f"SELECT {KC}, value FROM {{facts}} WHERE target_value LIKE 'src1/%' AND key = 'doc:lang'")
 def p1(s):
-    """Each target of one source looked up by target and key: the union of single reads."""
-    return s.facts.where("target_type = 'path' and target_value like 'src1/%' and key = 'doc:lang'").select(*K, "value")
+    """Each target of one source looked up by target and key."""
+    asked = s.documents.where("source = 'src1'").select(F.lit("path").alias("target_type"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("target_value"), F.lit("doc:lang").alias("key"))
+    return P.get_each(s.facts, asked).select(*K, "value")
+
+
+@query("p1_get_one", f"SELECT {KC}, value FROM {{facts}} WHERE target_type = 'project' AND key = 'meta:note:n1'")
+def p1_one(s):
+    return P.get(s.facts, "project", "", "meta:note:n1").select(*K, "value")
 
 
 @query("p2_get_all", f"SELECT {KC}, value FROM {{facts}} WHERE key = 'label' OR starts_with(key, 'label:')")

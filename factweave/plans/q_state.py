@@ -67,13 +67,15 @@ def w5(s):
 
 
 @query("w6_fold_list_pop", f"""
-WITH q AS (SELECT * FROM {{queue}} WHERE CAST(substr(target_value, 6) AS INT) % 3 > 0),
+WITH q AS (SELECT * REPLACE (seq % 100000000 + CASE op WHEN 'pop' THEN 100000000 ELSE 0 END AS seq) FROM {{queue}}),
 n AS (SELECT *, row_number() OVER (PARTITION BY {KC} ORDER BY seq) AS n FROM q WHERE op = 'push'),
 b AS (SELECT {KC}, value, seq, max(ts - n) OVER (PARTITION BY {KC} ORDER BY n) + n AS ts, row_number() OVER (PARTITION BY {KC}, value ORDER BY seq DESC) AS back FROM n),
 p AS (SELECT {KC}, value, count(*) AS pops FROM q WHERE op = 'pop' GROUP BY ALL)
 SELECT {KC}, value, ts FROM b LEFT JOIN p USING ({KC}, value) WHERE back > coalesce(pops, 0)""")
 def w6(s):
-    return S.fold_list_pop(s.queue.where("cast(substr(target_value, 6) as int) % 3 > 0"))[0]
+    """Every queue, its pops after its pushes: what needs no sequential fold."""
+    later = F.col("seq") % 100_000_000 + F.when(F.col("op") == "pop", 100_000_000).otherwise(0)
+    return S.fold_list_pop(s.queue.withColumn("seq", later))[0]
 
 
 @query("w7_fold_list_rm")
@@ -107,8 +109,6 @@ def w10(s):
 
 
 
-
-
 @query("w11_apply_tombstones", f"""
 WITH f AS (SELECT {KC}, max(ts) + 1 AS ts FROM {{mut}} WHERE seq % 37 = 0 AND op IN ('set', 'set_add') GROUP BY ALL),
 o AS (SELECT *, max(seq) FILTER (op = 'set') OVER (PARTITION BY {KC}) AS w, row_number() OVER (PARTITION BY {KC} ORDER BY seq DESC) AS d FROM {{mut}} WHERE op IN ('set', 'rm')),
@@ -124,10 +124,10 @@ def w11(s):
 @query("w12_replay", MEMBERS + f""", l AS (SELECT *, row_number() OVER (PARTITION BY {KC} ORDER BY seq) AS n FROM {{mut}} WHERE op = 'push'),
 st AS (SELECT *, max(seq) FILTER (op = 'set') OVER (PARTITION BY {KC}) AS w, row_number() OVER (PARTITION BY {KC} ORDER BY seq DESC) AS d FROM {{mut}} WHERE op IN ('set', 'rm')),
 rm AS (SELECT *, row_number() OVER (PARTITION BY {KC} ORDER BY seq) AS n FROM st WHERE op = 'rm' AND seq > w),
-pv AS (SELECT *, lag(op) OVER (PARTITION BY {KC}, value ORDER BY seq) AS b FROM {{mut}} WHERE op IN ('set_add', 'set_rm'))
+pv AS (SELECT *, lag(op) OVER (PARTITION BY {KC}, value ORDER BY seq) AS b, min(seq) FILTER (op = 'set_add') OVER (PARTITION BY {KC}) AS f FROM {{mut}} WHERE op IN ('set_add', 'set_rm'))
 SELECT {KC}, 'value' AS part, value, ts FROM st WHERE d = 1 AND op = 'set' UNION ALL SELECT {KC}, 'entry', value, max(ts - n) OVER (PARTITION BY {KC} ORDER BY n) + n FROM l
 UNION ALL SELECT {KC}, 'member', value, ts FROM o WHERE seq = a AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = o.a) UNION ALL SELECT {KC}, 'tombstone', NULL, ts FROM rm WHERE n = 1
-UNION ALL SELECT {KC}, 'member_tombstone', value, ts FROM r WHERE n = 1 UNION ALL SELECT {KC}, 'reject', 'ValueNotFound', NULL FROM pv WHERE op = 'set_rm' AND b IS DISTINCT FROM 'set_add'""")
+UNION ALL SELECT {KC}, 'member_tombstone', value, ts FROM r WHERE n = 1 UNION ALL SELECT {KC}, 'reject', CASE WHEN f < seq THEN 'ValueNotFound' ELSE 'KeyNotFound' END, NULL FROM pv WHERE op = 'set_rm' AND b IS DISTINCT FROM 'set_add'""")
 def w12(s):
     return S.replay(s.mut).select(*K, "part", "value", "ts")
 
@@ -141,14 +141,14 @@ def w12_ordered(s):
 @query("w13_rejects", """
 WITH b AS (SELECT seq, target_type, CASE WHEN seq % 41 = 0 THEN 'ab' ELSE target_value END AS target_value, CASE WHEN seq % 43 = 0 THEN key || '::x' WHEN seq % 47 = 0 THEN '__' || key ELSE key END AS key, op, CASE WHEN seq % 53 = 0 THEN NULL ELSE value END AS value FROM {mut})
 SELECT seq, CASE WHEN seq % 41 = 0 THEN 'InvalidTarget' WHEN seq % 43 = 0 OR seq % 47 = 0 THEN 'InvalidKey' ELSE 'InvalidValue' END AS reason FROM b WHERE seq % 41 = 0 OR seq % 43 = 0 OR seq % 47 = 0 OR value IS NULL AND op <> 'rm'
-UNION ALL SELECT seq, 'ValueNotFound' FROM (SELECT seq, op, lag(op) OVER (PARTITION BY target_value, value ORDER BY seq) AS b FROM {mut} WHERE op IN ('set_add', 'set_rm')) x WHERE op = 'set_rm' AND b IS DISTINCT FROM 'set_add'""")
+UNION ALL SELECT seq, CASE WHEN f < seq THEN 'ValueNotFound' ELSE 'KeyNotFound' END FROM (SELECT seq, op, lag(op) OVER (PARTITION BY target_value, key, value ORDER BY seq) AS b, min(seq) FILTER (op = 'set_add') OVER (PARTITION BY target_value, key) AS f FROM {mut} WHERE op IN ('set_add', 'set_rm')) x WHERE op = 'set_rm' AND b IS DISTINCT FROM 'set_add'""")
 def w13(s):
     n = F.col("seq")
     bad = s.mut.withColumns({
         "target_value": F.when(n % 41 == 0, "ab").otherwise(F.col("target_value")), "value": F.when(n % 53 != 0, F.col("value")),
         "key": F.when(n % 43 == 0, F.concat("key", F.lit("::x"))).when(n % 47 == 0, F.concat(F.lit("__"), "key")).otherwise(F.col("key")),
     })
-    return S.invalid_rows(bad).unionByName(S.absent_removals(s.mut))
+    return S.invalid_rows(bad).unionByName(S.absent_removals(s.mut).select("seq", "reason"))
 
 
 @query("w14_state_from_log", f"SELECT {KC}, op, value, ts AS last_ts FROM (SELECT *, row_number() OVER (PARTITION BY {KC} ORDER BY ts DESC, seq DESC) AS n FROM {{mut}}) x WHERE n = 1")

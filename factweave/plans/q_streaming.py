@@ -22,14 +22,21 @@ def _stream(s, df, parts: int = 2, per_batch: int = 1):
 
 
 def _with_end(s, df):
-    """A row in the far future, in a file of its own, closes all sessions before it."""
+    """A row in the far future, in a file of its own, closes all sessions before it. All files of the
+    table are one batch, so none of its rows is late."""
     path = scratch(s.spark, "in")
-    df.coalesce(1).write.parquet(path)
-    first = df.limit(1).withColumns({"at": F.timestamp_millis(F.lit(FAR)), "user_id": F.lit(-1).cast("long")})
-    first.coalesce(1).write.mode("append").parquet(path)
+    df.repartition(4).write.parquet(path)
+    _end(df).limit(1).write.mode("append").parquet(path)
     return s.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(path)
 
 
+def _end(df, files: int = 4):
+    """Rows of the far future, each in a file of its own."""
+    far = {"at": F.timestamp_millis(F.lit(FAR)), "user_id": F.lit(-1).cast("long")}
+    rows = df.sparkSession.range(0, files, 1, files)
+    return rows.select(*(far[f.name].alias(f.name) if f.name in far else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+
+
 @query("t1_tail", "SELECT 's' || conv_id AS session_id, role AS type, count(*) AS n FROM {chat} GROUP BY ALL")
 def t1(s):
     """New transcript files, read as a stream; lines that don't parse have no session."""
@@ -65,12 +72,12 @@ def t3b(s):
 @query("t4_session_transcripts", """
 WITH e AS (SELECT user_id, s.sid, s.end_ts, string_agg(event_type || event_id, chr(10) ORDER BY ts, event_type || event_id) AS transcript FROM {ev} JOIN {sessions} s USING (user_id) WHERE ts BETWEEN s.start_ts AND s.end_ts GROUP BY ALL),
 b AS (SELECT user_id, ts, 'b' || event_id % 5 AS branch FROM {purchases})
-SELECT user_id, end_ts AS end_ms, transcript, (SELECT arg_max(branch, b.ts) FROM b WHERE b.user_id = e.user_id AND b.ts <= e.end_ts) AS branch FROM e WHERE branch IS NOT NULL""")
+SELECT user_id, end_ts AS end_ms, transcript, (SELECT arg_max(branch, b.ts) FROM b WHERE b.user_id = e.user_id AND b.ts <= e.end_ts) AS branch FROM e""")
 def t4(s):
     rows = s.ev.select("user_id", F.timestamp_millis("ts").alias("at"), F.concat("event_type", F.col("event_id").cast("string")).alias("line"))
     closed = W.run_once(W.session_transcripts(_with_end(s, rows), "user_id", "at", "line", "30 minutes"), "transcripts")
     branches = s.purchases.select("user_id", "ts", F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string")).alias("branch"))
-    return W.to_last_branch(closed, branches, "user_id").where("user_id >= 0 and branch is not null")
+    return W.to_last_branch(closed, branches, "user_id").where("user_id >= 0")
 
 
 @query("t5_commits_once", "SELECT id, user_id FROM {purchases}")
@@ -88,9 +95,9 @@ def t6(s):
     rows = s.ev.where("event_type in ('purchase', 'view')").select(F.col("user_id").cast("string").alias("session"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.when(kind == "commit", "c").otherwise("p"), F.col("event_id").cast("string")).alias("text"))
     mid = rows.agg(F.percentile_approx("ts", 0.5)).first()[0] or 0
     path = scratch(s.spark, "in")
-    rows.where(F.col("ts") <= mid).coalesce(1).write.parquet(path)  # older rows first: files go by age
-    rows.where(F.col("ts") > mid).coalesce(1).write.mode("append").parquet(path)
-    return W.run_once(W.prompts_to_commits(s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)), "prompts")
+    rows.where(F.col("ts") <= mid).repartition(4).write.parquet(path)  # older rows first: files go by age, four to a batch
+    rows.where(F.col("ts") > mid).repartition(4).write.mode("append").parquet(path)
+    return W.run_once(W.prompts_to_commits(s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)), "prompts")
 
 
 @query("t7_bursts", "SELECT user_id, count(*) AS n FROM {purchases} GROUP BY user_id")
@@ -111,14 +118,14 @@ WITH g AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id
 x AS (SELECT user_id, ts, sum(CASE WHEN gap > 1800000 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
 SELECT user_id, min(ts) AS start_ms, max(ts) AS end_ms, count(*) AS n FROM x GROUP BY user_id, sid""")
 def t9(s):
-    """Rows that come after their session closed are dropped: the late file holds every tenth event."""
+    """Rows that come after their session closed are dropped: the late batch holds every tenth event.
+    Batches are four files each: rows in time, rows of the far future, late rows."""
     rows = s.ev.select("user_id", F.timestamp_millis("ts").alias("at"), "event_id")
     path = scratch(s.spark, "in")
-    rows.where("event_id % 10 > 0").coalesce(1).write.parquet(path)
-    end = rows.limit(1).withColumns({"at": F.timestamp_millis(F.lit(FAR)), "user_id": F.lit(-1).cast("long")})
-    end.coalesce(1).write.mode("append").parquet(path)
-    rows.where("event_id % 10 = 0").coalesce(1).write.mode("append").parquet(path)
-    stream = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.where("event_id % 10 > 0").repartition(4).write.parquet(path)
+    _end(rows).write.mode("append").parquet(path)
+    rows.where("event_id % 10 = 0").repartition(4).write.mode("append").parquet(path)
+    stream = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
     return W.run_once(W.idle_sessions(stream, "user_id", "at", "30 minutes"), "late").where("user_id >= 0")
 
 

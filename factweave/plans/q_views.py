@@ -65,10 +65,15 @@ def a8(s):
     return V.prune_counts({"values": (s.facts, "last_ts")}, NOW).unionByName(V.prune_counts({"log": (s.mut, "ts")}, NOW + 10**9)).unionByName(V.prune_counts({"tombstones": (s.tomb_local, "ts")}, NOW))
 
 
-@query("a9_should_prune", FILES + """SELECT count(DISTINCT CASE WHEN NOT contains(path, '/__tombstones/') THEN regexp_replace(path, '/(__value|__list/[^/]*|__set/[^/]*)$', '') END) AS keys,
-  CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes, TRUE AS prune FROM files""")
+@query("a9_should_prune", FILES + """, n AS (SELECT count(DISTINCT CASE WHEN NOT contains(path, '/__tombstones/') THEN regexp_replace(path, '/(__value|__list/[^/]*|__set/[^/]*)$', '') END) AS keys,
+  CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM files)
+SELECT 'keys' AS rule, keys, bytes, keys > 500 AS prune FROM n UNION ALL SELECT 'size', keys, bytes, bytes > 500000 FROM n UNION ALL SELECT 'none', keys, bytes, FALSE FROM n""")
 def a9(s):
-    return V.should_prune(N.render_snapshot(_local(s)), 10, None)
+    files, out = N.render_snapshot(_local(s)), None
+    for name, most in (("keys", (500, None)), ("size", (None, 500_000)), ("none", (None, None))):
+        row = V.should_prune(files, *most).withColumn("rule", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("a10_prune_stats", f"SELECT count(*) AS before, count(*) FILTER (last_ts >= {NOW}) AS after, count(*) FILTER (last_ts < {NOW}) AS dropped FROM {{facts}}")
@@ -100,9 +105,13 @@ def a14a(s):
     return V.to_nested_json(f, log=s.mut)
 
 
-@query("f27_flatten_json", "SELECT target_value, key, max(value) AS value FROM {mut} WHERE op = 'set' GROUP BY ALL")
+DEEP = "CASE WHEN seq % 2 = 0 THEN key || ':deep:er:' || op || ':k' || CAST(seq % 3 AS STRING) ELSE key END"
+
+
+@query("f27_flatten_json", f"SELECT target_value, {DEEP} AS key, max(value) AS value FROM {{mut}} WHERE op = 'set' AND (seq % 2 = 0) = (length(target_value) % 2 = 0) GROUP BY ALL")
 def f27(s):
-    f = s.mut.where("op = 'set'").groupBy(*K).agg(F.max("value").alias("value"))
+    """Keys of up to six segments back from their nested form; no key is leaf and parent at once."""
+    f = s.mut.where("op = 'set' and (seq % 2 = 0) = (length(target_value) % 2 = 0)").withColumn("key", F.expr(DEEP)).groupBy(*K).agg(F.max("value").alias("value"))
     return V.flatten_json(V.to_nested_json(f), "json", ["target_value"])
 
 
@@ -195,16 +204,17 @@ def a12(s):
     return V.branch_commit_stats(s.commits, s.commit_facts.where("key = 'branch-id'").select(F.col("target_value").alias("id"), F.col("value").alias("branch")))
 
 
-RULES = ("meta:prune:since", "90d"), ("meta:prune:max-keys", "10"), ("meta:prune:max-size", "2k")
-
-
-@query("r1_prune_rules", f"SELECT count(*) AS facts, {NOW - 90 * 86_400_000} AS cutoff, 10 AS max_keys, 2048 AS max_size FROM {{facts}}")
+@query("r1_prune_rules", f"""
+WITH n AS (SELECT count(*) AS docs, count(DISTINCT lang) AS langs FROM {{documents}}), c AS (SELECT {NOW} - langs * 86400000 AS cutoff, docs AS max_keys, langs * 1024 AS max_size FROM n)
+SELECT cutoff, max_keys, max_size, count(*) AS facts, count(*) FILTER (last_ts >= cutoff OR target_type = 'project') AS kept, count(*) > max_keys AS over FROM {{facts}}, c GROUP BY cutoff, max_keys, max_size""")
 def r1(s):
-    rows = s.facts.select(*K, "value")
-    for k, v in RULES:
-        rows = rows.unionByName(s.spark.createDataFrame([("project", "", k, v)], "target_type string, target_value string, key string, value string"))
-    rules = R.prune_rules(rows, NOW)
-    return s.facts.agg(F.count(F.lit(1)).alias("facts"), *(F.lit(rules[k]).alias(k) for k in ("cutoff", "max_keys", "max_size")))
+    """Rules that stand among the facts, drawn from the documents, and what they mean for the facts."""
+    n = s.documents.agg(F.count(F.lit(1)).cast("string").alias("docs"), F.count_distinct("lang").cast("string").alias("langs"))
+    rules = n.select(F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("meta:prune:since", F.concat("langs", F.lit("d"))), ("meta:prune:max-keys", F.col("docs")), ("meta:prune:max-size", F.concat("langs", F.lit("k"))))))).alias("r"))
+    found = R.prune_rules(s.facts.select(*K, "value").unionByName(rules.select(F.lit("project").alias("target_type"), F.lit("").alias("target_value"), "r.key", "r.value")), NOW)
+    kept = R.prune_snapshot(s.facts, found["cutoff"], dry_run=True)
+    named = kept.select((F.col("kept") + F.col("dropped")).alias("facts"), "kept").withColumns({k: F.lit(found[k]).cast("long") for k in ("cutoff", "max_keys", "max_size")})
+    return named.withColumn("over", F.col("facts") > F.col("max_keys"))
 
 
 @query("r2_auto_prune", "WITH " + ROUTE_RULES + f""", main AS (SELECT key FROM routed WHERE dest = 'main')

@@ -35,7 +35,8 @@ def _each(items: Column, write) -> Column:
 
 def _rows(df: DataFrame, writes: list[Column], ts: Column, keep: list[str]) -> DataFrame:
     every = F.concat(*(w.cast(f"array<{WRITE}>") for w in writes))
-    return df.select(*keep, ts.alias("t0"), F.posexplode(every).alias("pos", "w")).select(*keep, "w.*", (F.col("t0") + F.col("pos")).alias("ts"))
+    rows = df.select(*keep, ts.alias("t0"), F.posexplode(every).alias("pos", "w")).where("w is not null")  # null: time that passes unused
+    return rows.select(*keep, "w.*", (F.col("t0") + F.col("pos")).alias("ts"))
 
 
 def _names(entries: Column) -> Column:
@@ -88,12 +89,30 @@ def import_pull_requests(pulls: DataFrame, commits: DataFrame, repo: str) -> Dat
     return _rows(rows, writes, F.col("merged"), ["number"])
 
 
-def import_summary(pulls: DataFrame, facts: DataFrame, commits: DataFrame) -> DataFrame:
-    """One row: fetched, imported, comments, missing commits, writes."""
-    p = pulls.select(F.from_json("json", PR).alias("p")).select("p.*")
-    named = p.select(F.explode("commits.oid").alias("id"))
+def imported_numbers(facts: DataFrame) -> DataFrame:
+    """number of every pull request that the project's facts name as imported."""
+    own = facts.where("target_type = 'project' and key = 'github:imported-pr'")
+    return own.select(F.col("value").try_cast("long").alias("number")).where("number is not null").distinct()
+
+
+def skipped_pull_requests(pulls: DataFrame, known: DataFrame | None = None, since_s: int | None = None, force: bool = False) -> DataFrame:
+    """``pulls`` with ``number`` and ``skipped``: merged before ``since_s`` (a missing time is 0) or,
+    unless ``force``, among the ``known`` numbers."""
+    rows = pulls.withColumn("number", F.get_json_object("json", "$.number").try_cast("long"))
+    merged = F.coalesce(C.rfc3339_ms(F.get_json_object("json", "$.mergedAt")), F.lit(0).cast("long"))
+    early = F.lit(False) if since_s is None else merged < since_s * 1000
+    if known is None or force:
+        return rows.withColumn("skipped", early)
+    return rows.join(known.select("number", F.lit(True).alias("known")), "number", "left").withColumn("skipped", early | F.col("known").isNotNull()).drop("known")
+
+
+def import_summary(pulls: DataFrame, facts: DataFrame, commits: DataFrame, known: DataFrame | None = None, since_s: int | None = None, force: bool = False) -> DataFrame:
+    """One row: fetched, skipped, imported, comments, missing commits, writes. ``facts`` are those that
+    the pull requests wrote which weren't skipped."""
+    each = skipped_pull_requests(pulls, known, since_s, force)
+    named = each.where("not skipped").select(F.explode(F.from_json("json", PR)["commits"]["oid"]).alias("id"))
     parts = [
-        p.agg(F.count(F.lit(1)).alias("fetched")), facts.agg(F.count_distinct("number").alias("imported"), F.count_if(F.col("key") == "review:comment").alias("comments"), F.count(F.lit(1)).alias("writes")),
+        each.agg(F.count(F.lit(1)).alias("fetched"), F.count_if("skipped").alias("skipped")), facts.agg(F.count_distinct("number").alias("imported"), F.count_if(F.col("key") == "review:comment").alias("comments"), F.count(F.lit(1)).alias("writes")),
         named.join(commits.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("missing_commits")),
     ]
     out = parts[0].withColumn("one", F.lit(1))
@@ -102,6 +121,7 @@ def import_summary(pulls: DataFrame, facts: DataFrame, commits: DataFrame) -> Da
     return out.drop("one")
 
 
+#: Fields of a checkpoint's metadata and the keys they are kept under.
 FIELDS = (("agent", "agent"), ("model", "model"), ("turnId", "turn-id"), ("turn_id", "turn-id"), ("sessionId", "session-id"), ("session_id", "session-id"),
           ("attribution", "attribution"), ("summary", "summary"), ("tokenUsage", "token-usage"), ("token_usage", "token-usage"))
 
@@ -109,22 +129,34 @@ FIELDS = (("agent", "agent"), ("model", "model"), ("turnId", "turn-id"), ("turn_
 def import_checkpoints(commits: DataFrame, files: DataFrame, trailer: str = "Entire-Checkpoint") -> DataFrame:
     """Checkpoint files of commits that name a checkpoint in a trailer. ``files`` has checkpoint,
     session (0 first), name, content. Keys lie under ``agent``, of later sessions under
-    ``agent:session-N``."""
+    ``agent:session-N``; a task's checkpoint and its agents' lines under ``tasks`` and its name."""
     named = commits.select("id", (F.col("ts") * 1000).alias("ms"), F.explode(C.trailers("message", trailer)).alias("checkpoint"))
     wide = files.groupBy("checkpoint", "session").agg(*(F.max(F.when(F.col("name") == n, F.col("content"))).alias(a) for n, a in (("metadata.json", "meta"), ("prompt.txt", "prompt"), ("full.jsonl", "full"), ("content_hash.txt", "hash"))))
-    task = F.regexp_extract("name", "^tasks/([^/]+)/agent-([^/]*)\\.jsonl$", 1)
-    agent = F.regexp_extract("name", "^tasks/([^/]+)/agent-([^/]*)\\.jsonl$", 2)
-    tasks = files.where(F.col("name").startswith("tasks/")).select("checkpoint", "session", task.alias("task"), agent.alias("agent"), F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "").alias("lines")).where("task <> ''")
-    grouped = tasks.groupBy("checkpoint", "session").agg(F.sort_array(F.collect_list(F.struct("task", "agent", "lines"))).alias("tasks"))
+    part = F.regexp_extract("name", "^tasks/([^/]+)/(checkpoint\\.json|agent-[^/]*\\.jsonl)$", 2)
+    task = F.regexp_extract("name", "^tasks/([^/]+)/", 1)
+    tasks = files.where(F.col("name").startswith("tasks/")).select("checkpoint", "session", task.alias("task"), part.alias("part"), "content").where("part <> ''")
+    point = F.col("part") == "checkpoint.json"
+    lines = F.when(point, F.array("content")).otherwise(F.filter(F.split("content", "\r?\n"), lambda x: C.strip(x) != ""))
+    tasks = tasks.select("checkpoint", "session", "task", (~point).alias("agents"), F.when(point, "checkpoint").otherwise(F.regexp_replace("part", "\\.jsonl$", "")).alias("part"), lines.alias("lines"))
+    grouped = tasks.groupBy("checkpoint", "session").agg(F.sort_array(F.collect_list(F.struct("task", "agents", "part", "lines"))).alias("tasks"))
     rows = named.join(wide, "checkpoint").join(grouped, ["checkpoint", "session"], "left")
     prefix = F.when(F.col("session") == 0, "agent").otherwise(F.concat(F.lit("agent:session-"), F.col("session").cast("string")))
-    rows = rows.withColumns({"prefix": prefix, "tasks": F.coalesce("tasks", F.array().cast("array<struct<task:string,agent:string,lines:array<string>>>"))})
+    rows = rows.withColumns({"prefix": prefix, "tasks": F.coalesce("tasks", F.array().cast("array<struct<task:string,agents:boolean,part:string,lines:array<string>>>"))})
     key = lambda name: F.concat("prefix", F.lit(f":{name}"))
     put = lambda name, v, when: _one(_write("commit", F.col("id"), key(name), "string", v), when)
+    none = F.array().cast(f"array<{WRITE}>")
+
+    def of_task(t: Column) -> Column:
+        """Its checkpoint, then each agent's lines as a list, after which a moment passes."""
+        at = F.concat("prefix", F.lit(":tasks:"), C.sanitise(t["task"]), F.lit(":"), C.sanitise(t["part"]))
+        lines = lambda kind: F.transform(t["lines"], lambda x: _write("commit", F.col("id"), at, kind, x))
+        gap = F.when(F.size(t["lines"]) > 0, F.array(F.lit(None).cast(WRITE))).otherwise(none)
+        return F.when(t["agents"], F.concat(lines("list").cast(f"array<{WRITE}>"), gap)).otherwise(lines("string").cast(f"array<{WRITE}>"))
+
     writes = [put(name, F.get_json_object("meta", f"$.{field}"), F.get_json_object("meta", f"$.{field}").isNotNull()) for field, name in FIELDS]
     writes += [
         put("prompt", F.col("prompt"), F.col("prompt").isNotNull()), put("transcript", F.col("full"), F.coalesce(F.trim(F.translate("full", "\n", "")) != "", F.lit(False))), put("content-hash", F.trim("hash"), F.col("hash").isNotNull()),
-        F.flatten(F.transform("tasks", lambda t: F.transform(t["lines"], lambda x: _write("commit", F.col("id"), F.concat("prefix", F.lit(":tasks:"), C.sanitise(t["task"]), F.lit(":agent-"), C.sanitise(t["agent"])), "list", x)))),
+        F.flatten(F.transform("tasks", of_task)),
     ]
     return _rows(rows, writes, F.col("ms"), ["checkpoint", "session"])
 

@@ -1,5 +1,5 @@
 """Exchange of snapshots between stores over a shared folder: each version is a folder of its own, a
-small head file names the newest. A push takes effect only if the head hasn't moved meanwhile."""
+small head file names each. A push takes effect only if the head hasn't moved meanwhile."""
 
 from __future__ import annotations
 
@@ -16,39 +16,79 @@ NO_TOMBS = "target_type string, target_value string, key string, ts long, email
 
 @dataclass
 class Exchange:
+    """``versions/N-attempt`` holds a version's values, ``heads/N`` names the attempt that became
+    version N, ``claims/N-lease`` the attempt that may write that head. A claim is good for ``lease_ms``:
+    when its store died, the next lease's claim takes its place. Whoever writes a head first has it; the
+    head file is created, never rewritten, so two stores that both hold a claim can't both succeed."""
+
     spark: SparkSession
     path: str
+    lease_ms: int = 60_000
 
     def _fs(self, name: str):
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
 
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(folder)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _create(self, name: str, text: str) -> bool:
+        """A small file, whole or not at all; false if it is there already."""
+        fs, at = self._fs(name)
+        fs.mkdirs(at.getParent())
+        try:
+            out = fs.create(at, False)
+        except Exception:  # noqa: BLE001  another store was first
+            return False
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def head(self) -> int:
-        """Number of the newest version, -1 if there is none: heads are empty files, never rewritten."""
+        """Number of the newest version, -1 if there is none. A head without content is one whose store
+        is writing it just now, or died at it."""
         fs, at = self._fs("heads")
-        if not fs.exists(at):
-            return -1
-        return max((int(x.getPath().getName()) for x in fs.listStatus(at)), default=-1)
+        files = fs.listStatus(at) if fs.exists(at) else []
+        return max((int(x.getPath().getName()) for x in files if x.getLen() > 0 and x.getPath().getName().isdigit()), default=-1)
 
     def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/versions/{version}")
+        return self.spark.read.parquet(f"{self.path}/versions/{version}-{self._attempt(version)}")
 
-    def commit(self, values: DataFrame, parent: int, attempt: str) -> bool:
-        """Writes the values, then claims the next head; false if another store was first."""
-        staged = f"{self.path}/staged/{attempt}"
-        values.select(*VALUES).write.mode("overwrite").parquet(staged)
-        fs, lock = self._fs(f"heads/.claim-{parent + 1}")
-        if self.head() != parent or not fs.mkdirs(lock.getParent()):
-            return False
+    def _attempt(self, version: int) -> str:
+        fs, at = self._fs(f"heads/{version}")
+        stream = fs.open(at)
         try:
-            fs.create(lock, False).close()  # fails if it is there
-        except Exception:  # noqa: BLE001  claimed by another store
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def claim(self, version: int, attempt: str) -> bool:
+        """Whether this attempt may write the head. Leases count up; a new one opens when the last is
+        older than ``lease_ms`` by the folder's own clock."""
+        fs, _ = self._fs("claims")
+        own = [x for x in self._names("claims") if x.startswith(f"{version}-")]
+        if own:
+            newest = max(own, key=lambda x: int(x.rpartition("-")[2]))
+            probe = f"probes/{attempt}"
+            self._create(probe, "")
+            now, since = (fs.getFileStatus(self._fs(x)[1]).getModificationTime() for x in (probe, f"claims/{newest}"))
+            fs.delete(self._fs(probe)[1], False)
+            if now - since < self.lease_ms:
+                return False
+        return self._create(f"claims/{version}-{len(own)}", attempt)
+
+    def commit(self, values: DataFrame, parent: int, attempt: str) -> bool:
+        """Writes the values, then claims and writes the next head; false if another store was first."""
+        version = parent + 1
+        values.select(*VALUES).write.mode("overwrite").parquet(f"{self.path}/versions/{version}-{attempt}")
+        if self.head() != parent or not self.claim(version, attempt):
             return False
-        to = self._fs(f"versions/{parent + 1}")[1]
-        fs.mkdirs(to.getParent())
-        fs.rename(self._fs(f"staged/{attempt}")[1], to)
-        return bool(fs.rename(lock, self._fs(f"heads/{parent + 1}")[1]))
+        fs, at = self._fs(f"heads/{version}")
+        if self.head() == parent and fs.exists(at):  # of a store that died at it: its lease is over
+            fs.delete(at, False)
+        return self._create(f"heads/{version}", attempt) and self._attempt(version) == attempt
 
 
 def merged(base: DataFrame | None, local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
-from factweave.operators.shared import scratch
+from factweave.operators.shared import scratch, stored
 from factweave.operators.state import K, last_per_key
 from factweave.sources.tables import TRANSCRIPT
 
@@ -51,9 +51,10 @@ def session_transcripts(rows: DataFrame, key: str, at: str, text: str, gap: str,
 
 
 def to_last_branch(transcripts: DataFrame, branches: DataFrame, key: str) -> DataFrame:
-    """Closed sessions with the branch that was last committed to before their end; ``branches`` has
-    key, ts (ms), branch."""
-    hit = transcripts.join(branches, key, "left").where("ts is null or ts <= end_ms")
+    """Closed sessions with the branch that was last committed to before their end, null where there
+    was none by then; ``branches`` has key, ts (ms), branch."""
+    b = branches.select(F.col(key).alias("__key"), "ts", "branch")
+    hit = transcripts.join(b, (F.col(key) == F.col("__key")) & (F.col("ts") <= F.col("end_ms")), "left")
     return hit.groupBy(key, "end_ms").agg(F.max_by("branch", "ts").alias("branch"), F.max("transcript").alias("transcript"))
 
 
@@ -102,26 +103,52 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def keep_current(mutations: DataFrame, store: str) -> DataFrame:
+class Current:
+    """A table of the newest write per key, in buckets of keys: a batch of a stream writes anew only
+    the buckets that it touches, each batch in a folder of its own. ``heads/N`` names the batch that
+    wrote each bucket last, as of batch N; a batch that runs again writes the same."""
+
+    COLUMNS = [*K, "op", "value", "ts", "seq"]
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+    def heads(self, batch: int) -> dict[int, int]:
+        """The last batch of each bucket: ``buckets`` rows at most."""
+        if batch < 0 or not self._exists(f"heads/{batch}/_SUCCESS"):
+            return {}
+        return {r["bucket"]: r["batch"] for r in self.spark.read.schema("bucket int, batch int").parquet(f"{self.path}/heads/{batch}").collect()}
+
+    def read(self, heads: dict[int, int]) -> DataFrame:
+        """The rows of these buckets."""
+        kinds = "target_type string, target_value string, key string, op string, value string, ts long, seq long"
+        paths = [f"{self.path}/batches/{n}/bucket={b}" for b, n in sorted(heads.items())]
+        return self.spark.read.schema(kinds).parquet(*paths) if paths else self.spark.createDataFrame([], kinds)
+
+    def merge(self, batch: DataFrame, n: int) -> None:
+        """Folds a batch, then merges it with the buckets that it touches."""
+        bucket = F.pmod(F.xxhash64(*K), F.lit(self.buckets)).cast("int")
+        new = stored(last_per_key(batch.select(*self.COLUMNS)).select(*self.COLUMNS), "batch")
+        before = self.heads(n - 1)
+        touched = {r["bucket"] for r in new.select(bucket.alias("bucket")).distinct().collect()}
+        rows = last_per_key(new.unionByName(self.read({b: v for b, v in before.items() if b in touched}))).select(*self.COLUMNS)
+        parts = min(max(1, len(touched)), self.buckets)
+        rows.withColumn("bucket", bucket).repartition(parts, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batches/{n}")
+        heads = [(b, n) for b in sorted(touched)] + [(b, v) for b, v in sorted(before.items()) if b not in touched]
+        self.spark.createDataFrame(heads, "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/heads/{n}")
+
+
+def keep_current(mutations: DataFrame, store: str, buckets: int = 64) -> DataFrame:
     """Keeps K, op, value, ts, seq of the newest write per key under ``store`` from a stream of
-    mutations: each batch is folded first, then merged with the version before, and written as a
-    version of its own, so that a batch that runs again writes the same."""
-    spark = mutations.sparkSession
-    cols = [*K, "op", "value", "ts", "seq"]
-
-    def merge(batch: DataFrame, n: int) -> None:
-        new = batch.select(*cols)
-        if n > 0:
-            new = new.unionByName(spark.read.parquet(f"{store}/v={n - 1}").select(*cols))
-        last_per_key(new).select(*cols).write.mode("overwrite").parquet(f"{store}/v={n}")
-
-    q = mutations.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "current-checkpoint")).trigger(availableNow=True).start()
+    mutations, and returns them. A second call goes on where the first stopped."""
+    table = Current(mutations.sparkSession, store, buckets)
+    q = mutations.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    while True:  # the last progress may be of an empty trigger
-        try:
-            return spark.read.parquet(f"{store}/v={last}")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) or last == 0:
-                raise
-            last -= 1
+    last = q.lastProgress["batchId"] if q.lastProgress else -1
+    while last > 0 and not table.heads(last):  # the last progress may be of an empty trigger
+        last -= 1
+    return table.read(table.heads(last))

@@ -106,10 +106,83 @@ def test_sequential_fold(spark):
 
 
 def test_native_and_sequential_folds_agree(spark):
+    """All parts, rejects among them."""
     m = frame(spark, SF, "mut")
     cols = ["target_value", "key", "part", "value", "ts"]
-    live = lambda df: rows(df.where("part in ('value', 'entry', 'member')").select(*cols).toPandas())
-    assert live(S.replay(m)) == live(S.fold_in_order(m))
+    every = lambda df: rows(df.select(*cols, F.when(F.col("part") == "reject", F.col("seq")).alias("seq")).toPandas())
+    assert every(S.replay(m)) == every(S.fold_in_order(m))
+
+
+def plain_replay(ops):
+    """One key's operations, by the words of their definition: (part, value, ts) of what is left."""
+    kind, text, entries, members, dead, gone, cut, rejects = None, None, [], {}, {}, None, [], []
+    for r in sorted(ops, key=lambda r: r["seq"]):
+        op, v, ts = r["op"], r["value"], r["ts"]
+        wanted = {"push": "list", "pop": "list", "list_rm": "list", "set_add": "set", "set_rm": "set"}.get(op)
+        starts = op in ("push", "set_add")
+        if op == "set" and r["value_type"] == "string":
+            kind, text, entries, members, dead, gone = "string", (v, ts), [], {}, {}, None
+        elif op == "rm":
+            if kind:
+                kind, entries, members, cut, gone = None, [], {}, [], ts
+        elif kind is None and not starts:
+            rejects.append((r["seq"], "KeyNotFound"))
+        elif kind not in (None, wanted) and not (op == "push" and kind == "string"):
+            rejects.append((r["seq"], "TypeMismatch"))
+        elif op == "push":
+            entries = [(text[0], 0)] if kind == "string" else entries
+            kind, gone = "list", None
+            entries = [*entries, (v, max(ts, entries[-1][1] + 1) if entries else ts)]
+        elif op == "pop":
+            places = [i for i, e in enumerate(entries) if e[0] == v]
+            if places:
+                entries = entries[: places[-1]] + entries[places[-1] + 1 :]
+            else:
+                rejects.append((r["seq"], "ValueNotFound"))
+        elif op == "list_rm":
+            if 0 <= r["idx"] < len(entries):
+                cut.append((entries[r["idx"]][0], ts))
+                entries = entries[: r["idx"]] + entries[r["idx"] + 1 :]
+            else:
+                rejects.append((r["seq"], "IndexOutOfRange"))
+        elif op == "set_add":
+            kind, gone = "set", None
+            members[v] = ts
+            dead.pop(v, None)
+        elif v in members:
+            del members[v]
+            dead[v] = ts
+        else:
+            rejects.append((r["seq"], "ValueNotFound"))
+    out = [("value", *text)] if kind == "string" else []
+    out += [("entry", *e) for e in entries] + [("member", *m) for m in members.items()] + [("member_tombstone", *m) for m in dead.items()] + [("entry_tombstone", *c) for c in cut]
+    return out + ([("tombstone", None, gone)] if gone is not None else []) + [("reject", reason, seq) for seq, reason in rejects]
+
+
+@pytest.mark.parametrize("how", ["queue", "removed", "mixed"])
+def test_replay_of_all_keys(spark, how):
+    """Whole tables against a plain replay of every key: lists, removals by index, and all kinds of
+    operations on the same keys."""
+    m = frame(spark, SF, "mut" if how == "mixed" else "queue")
+    if how == "removed":
+        m = m.withColumn("op", F.when(F.col("seq") % 5 == 0, "list_rm").otherwise(F.col("op"))).withColumn("idx", (F.col("seq") % 3).cast("int"))
+    if how == "mixed":
+        m = m.withColumn("key", F.concat(F.lit("k"), (F.col("seq") % 2).cast("string")))
+    keys = {}
+    for r in m.collect():
+        keys.setdefault((r["target_value"], r["key"]), []).append(r)
+    want = sorted(str((*k, *x)) for k, ops in keys.items() for x in plain_replay(ops))
+    ts = F.when(F.col("part") == "reject", F.col("seq")).otherwise(F.col("ts"))
+    got = sorted(str(tuple(r)) for r in S.replay(m).select("target_value", "key", "part", "value", ts.alias("ts")).collect())
+    assert got == want
+
+
+def test_removals_from_keys_that_never_were(spark):
+    m = log(spark, ("a", "pop", "x", "list", None, 1), ("b", "set_rm", "x", "set", None, 2), ("c", "push", "y", "list", None, 3), ("c", "pop", "x", "list", None, 4),
+            ("d", "set_rm", "z", "set", None, 5), ("d", "set_add", "y", "set", None, 6), ("d", "set_rm", "x", "set", None, 7))
+    want = {("a", "KeyNotFound"), ("b", "KeyNotFound"), ("c", "ValueNotFound"), ("d", "KeyNotFound"), ("d", "ValueNotFound")}
+    for out in (S.replay(m), S.fold_in_order(m)):
+        assert {(r["key"], r["value"]) for r in out.where("part = 'reject'").collect()} == want
 
 
 def test_reachability_of_a_merge(spark):
@@ -118,6 +191,18 @@ def test_reachability_of_a_merge(spark):
     got = {r["pair"]: (r["strategy"], r["base"]) for r in H.merge_strategies(e, pairs).collect()}
     assert got == {"1": ("three-way", "a"), "2": ("up-to-date", None), "3": ("fast-forward", None), "4": ("two-way", None)}
     assert H.new_versions(e, "b", "d").first()["n"] == 2
+    named = spark.createDataFrame([("x" * 2000 + "1", "b", "d"), ("x" * 2000 + "2", None, "b"), ("z", "d", "a")], "pair string, old string, new string")
+    assert sorted((r["pair"][-1], r["n"]) for r in H.new_versions_each(e, named).collect()) == [("1", 2), ("2", 2), ("z", 0)]
+
+
+def test_best_common_ancestor(spark):
+    """A nearer common ancestor that the better one reaches is not the base; without a local head the
+    remote one is taken over; long names stay apart."""
+    e = spark.createDataFrame([("l", "A"), ("l", "x"), ("x", "B"), ("r", "A"), ("r", "y"), ("y", "B"), ("B", "A")], "id string, parent string")
+    long = "p" * 3000
+    pairs = spark.createDataFrame([("1", "l", "r"), ("2", None, "r"), (long + "a", "A", "l"), (long + "b", "l", "A")], "pair string, local string, remote string")
+    got = {r["pair"]: (r["strategy"], r["base"]) for r in H.merge_strategies(e, pairs).collect()}
+    assert got == {"1": ("three-way", "B"), "2": ("fast-forward", None), long + "a": ("fast-forward", None), long + "b": ("three-way", "A")}
 
 
 def test_oldest_tag_wins(spark):
@@ -141,3 +226,78 @@ def test_exchange_retries_on_a_moved_head(spark, tmp_path):
     assert not x.commit(strings(spark, b="2"), -1, "late")
     assert by_key(X.push(x, strings(spark, b="2"))) == {"a": "1", "b": "2"}
     assert x.head() == 1
+
+
+def test_exchange_with_two_stores_at_once(spark, tmp_path):
+    """A store that holds a claim makes others wait, not crash; one that died is passed over."""
+    from factweave.streaming import exchange as X
+
+    x = X.Exchange(spark, f"file://{tmp_path}/x", lease_ms=3_600_000)
+    X.push(x, strings(spark, a="1"))
+    assert x.claim(1, "first") and x.head() == 0  # the first store is at work
+    assert by_key(X.pull(x, strings(spark, b="2"))[0]) == {"a": "1", "b": "2"}
+    assert not x.commit(strings(spark, b="2"), 0, "second")
+    with pytest.raises(RuntimeError, match="moved 2 times"):
+        X.push(x, strings(spark, b="2"), tries=2)
+    assert x._create("heads/1", "first") and x.head() == 1  # it ends: the second now builds on it
+    (tmp_path / "x" / "versions").joinpath("1-first").mkdir()
+    strings(spark, a="1", c="3").write.mode("overwrite").parquet(f"{x.path}/versions/1-first")
+    assert by_key(X.push(x, strings(spark, b="2"))) == {"a": "1", "b": "2", "c": "3"}
+    late = X.Exchange(spark, x.path, lease_ms=0)
+    assert late.claim(3, "dead") and late._create("heads/3", "") and late.head() == 2  # died while it wrote the head
+    assert by_key(X.push(late, strings(spark, d="4"))) == {"a": "1", "b": "2", "c": "3", "d": "4"} and late.head() == 3
+
+
+def test_conventional_type_and_author(spark):
+    subjects = [("feat(api)!: add", ("feat", True)), (" feat: x", ("feat", False)), ("feat : x", ("feat", False)), ("fix(a) : y", ("fix", False)), ("fix (a): y", (None, None)), ("Merge pull #1", (None, None)), (": x", (None, None)), ("\tci: x", ("ci", False))]
+    df = spark.createDataFrame([(s,) for s, _ in subjects], "s string").select("s", C.conventional_type("s").alias("t")).select("s", "t.*")
+    assert {r["s"]: (r["type"], r["breaking"]) for r in df.collect()} == dict(subjects)
+    people = [(None, "Ann ", "Ann "), (" ", "Ann", None), ("", "Ann", None), (" a ", "Ann", " a "), (None, " ", None), (None, None, None)]
+    df = spark.createDataFrame(people, "l string, n string, want string").select(C.author_identity("l", "n").alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_flatten_reaches_every_depth(spark):
+    from factweave.operators import views as V
+
+    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":1}}}},"x":2,"t":"{not json"}'), (2, "{}"), (3, None)], "id long, j string")
+    assert {(r["id"], r["key"], r["value"]) for r in V.flatten_json(df, "j", ["id"]).collect()} == {(1, "a:b:c:d:e", "1"), (1, "x", "2"), (1, "t", "{not json")}
+
+
+def test_sessions_whose_branches_come_later(spark):
+    from factweave.streaming.watch import to_last_branch
+
+    closed = spark.createDataFrame([(1, 100, "a"), (2, 100, "b"), (3, 100, "c")], "u long, end_ms long, transcript string")
+    branches = spark.createDataFrame([(1, 200, "later"), (3, 50, "x"), (3, 90, "y"), (3, 101, "z")], "u long, ts long, branch string")
+    assert {(r["u"], r["branch"]) for r in to_last_branch(closed, branches, "u").collect()} == {(1, None), (2, None), (3, "y")}
+
+
+def test_current_table_rewrites_touched_buckets_only(spark, tmp_path):
+    from factweave.streaming.watch import Current
+
+    table = Current(spark, f"file://{tmp_path}/t", buckets=8)
+    rows_of = lambda *ks: spark.createDataFrame([("commit", "abc", k, "set", v, ts, ts) for k, v, ts in ks], "target_type string, target_value string, key string, op string, value string, ts long, seq long")
+    table.merge(rows_of(*((f"k{i}", "old", 1) for i in range(40))), 0)
+    assert set(table.heads(0).values()) == {0} and len(table.heads(0)) > 4
+    for _ in range(2):  # a batch that runs again writes the same
+        table.merge(rows_of(("k3", "new", 5), ("k4", "late", 0)), 1)
+        assert sorted(table.heads(1).values(), reverse=True)[2:] == [0] * (len(table.heads(1)) - 2)
+        got = {r["key"]: r["value"] for r in table.read(table.heads(1)).collect()}
+        assert got == {f"k{i}": "new" if i == 3 else "old" for i in range(40)}
+
+
+def test_total_order(spark):
+    from factweave.operators.ordering import numbered, with_previous
+
+    df = spark.createDataFrame([(i * 7919 % 101, str(i)) for i in range(101)], "n long, v string").repartition(5)
+    assert {r["n"]: r["place"] for r in numbered(df, [F.col("n")]).collect()} == {n: n + 1 for n in range(101)}
+    name = {i * 7919 % 101: str(i) for i in range(101)}
+    assert {r["n"]: r["previous"] for r in with_previous(df, "v", [F.col("n")]).collect()} == {n: name.get(n - 1) for n in range(101)}
+    assert numbered(df.where("false"), [F.col("n")]).isEmpty()
+
+
+def test_prefixes_of_any_number_and_length(spark):
+    facts = spark.createDataFrame([("path", v) for v in ("a", "ab", "abc", "b", "ab")] + [("commit", "abcd")], "target_type string, target_value string")
+    asked = spark.createDataFrame([("path", "a"), ("path", "abc"), ("path", "zz"), ("path", ""), ("commit", "ab"), ("path", "ab")], "kind string, prefix string")
+    got = {(r["kind"], r["prefix"], r["target_value"], r["matches"]) for r in P.expand_targets(facts, asked).collect()}
+    assert got == {("path", "a", "a", 2), ("path", "a", "ab", 2), ("path", "abc", "abc", 1), ("path", "", "a", 2), ("path", "", "ab", 2), ("commit", "ab", "abcd", 1), ("path", "ab", "ab", 2), ("path", "ab", "abc", 2)}
