@@ -3,6 +3,7 @@ numpy routines that walk whole Arrow batches of text without a Python object per
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ _local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one only where none is set (tests)."""
+    """The folder that all executors share. A temporary one only where none is set and all tasks run
+    in one process (tests); on a cluster, executors couldn't see it."""
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return f"file://{_local_dir[0]}"
@@ -37,12 +41,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Has Spark hand texts to Python in small batches from now on: a row is kilobytes, not bytes."""
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> SparkSession:
+    """Has this session hand rows to Python in batches of ``rows`` and ``size`` bytes at most from now
+    on (a longer row comes alone). Plans read the setting when they run, so it stays set; every
+    operator of this package that has Python read texts calls this itself."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 
+def by_bytes(column, most: int = 1 << 20):
+    """An Arrow column of texts in slices of about ``most`` bytes, one text at least."""
+    step = max(1, int(len(column) * most / max(most, column.nbytes)))
+    for at in range(0, len(column), step):
+        yield column.slice(at, step)
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system: Python workers outlive their tasks, and what they keep
     is missing to the next stage."""

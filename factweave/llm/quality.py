@@ -161,20 +161,25 @@ def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", ridg
             x = _stack(p["x"]).astype(float)
             n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
         if n:
-            yield pd.DataFrame({"n": [float(n)], "s": [s.tolist()], "q": [q.tolist()]})
+            yield pd.DataFrame({"n": [np.array([float(n)]).tobytes()], "s": [s.tobytes()], "q": [q.tobytes()]})
 
     def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = None
         for p in parts:
             for row in p.itertuples(index=False):
-                row = [np.frombuffer(v) if isinstance(v, bytes) else np.asarray(v, float) for v in row]
+                row = [np.frombuffer(v) for v in row]
                 sums = row if sums is None else [a + b for a, b in zip(sums, row, strict=True)]
         if sums is not None:
             yield pd.DataFrame([[s.tobytes() for s in sums]], columns=["n", "s", "q"])
 
     binary = "n binary, s binary, q binary"
-    two_steps = lambda df: [[np.frombuffer(v) for v in r] for r in df.mapInPandas(added, binary).repartition(4).mapInPandas(added, binary).toLocalIterator()]  # noqa: E731  4 rows at most
-    got = two_steps(train.mapInPandas(moments, "n double, s array<double>, q array<double>"))
+
+    def two_steps(sums_of) -> list[list[np.ndarray]]:
+        """Sums of each partition, added up in four tasks; one Python worker to a task in both steps."""
+        added_up = train.mapInPandas(sums_of, binary).repartition(4).mapInPandas(added, binary)
+        return [[np.frombuffer(v) for v in r] for r in added_up.collect()]  # 4 rows at most
+
+    got = two_steps(moments)
     empty = np.zeros(0)
     if not got:
         return Model(*([empty] * 7))
@@ -195,7 +200,7 @@ def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", ridg
         if n:
             yield pd.DataFrame({"n": [np.array([float(n)]).tobytes()], "s": [a.tobytes()], "q": [b.tobytes()]})
 
-    n, a, b = (sum(x) for x in zip(*two_steps(train.mapInPandas(equations, binary)), strict=True))
+    n, a, b = (sum(x) for x in zip(*two_steps(equations), strict=True))
     d = len(b)
     model.weight = np.linalg.solve(a.reshape(d, d) + ridge * n[0] / FEATURES * np.eye(d), b)
 

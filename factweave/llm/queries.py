@@ -58,7 +58,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
     path = scratch(spark, "tokens")
     docs = table(spark, sf_dir, "documents")
-    text_batches(spark, 4000)  # the more texts at once, the fewer times a word is looked up
     write_tokens(docs, path, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_digests(spark, path)
 

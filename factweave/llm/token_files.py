@@ -32,12 +32,14 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import ragged, release_memory
+from factweave.llm.common import ragged, release_memory, text_batches
 
 ROW = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 _ROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-CACHE, SLICE = 300_000, 5_000
-
+#: Chunks that a worker keeps the ids of (twice as many for a while), chunks encoded at once, and
+#: bytes of text encoded at once.
+CACHE, SLICE, PIECE = 100_000, 5_000, 4 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
 
 #: Chunks of letters, then signs: what the tokenizer's rules cut into these two pieces at most.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
@@ -147,16 +149,40 @@ def encode_texts(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
     return [tokens[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _encode_map(path: str, end_id: int, step: int = 4000):
+def cut_text(raw: bytes, most: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces of about ``most`` bytes, cut where white space begins; what has none stays whole."""
+    at = 0
+    while len(raw) - at > most:
+        blank = _BLANK.search(raw, at + most)
+        if blank is None:
+            break
+        yield raw[at : blank.start()]
+        at = blank.start()
+    yield raw[at:]
+
+
+def encode_long(path: str, raw: bytes, end_id: int, most: int = PIECE) -> np.ndarray:
+    """Ids of one text of any length; only a piece of it is in work at a time."""
+    parts = [encode_column(path, pa.array([x], pa.binary()).cast(pa.string()), end_id)[0][:-1] for x in cut_text(raw, most)]
+    return np.concatenate([*parts, np.array([end_id], np.int32)])
+
+
+def _encode_map(path: str, end_id: int, most: int = PIECE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = pyspark.TaskContext.get().partitionId(), 0
         for batch in batches:
+            text = batch.column("text")
+            step = max(1, int(len(batch) * most / max(most, text.nbytes)))
             for at in range(0, len(batch), step):
-                piece = batch.slice(at, step)
-                tokens, bounds = encode_column(path, piece.column("text"), end_id)
+                piece = text.slice(at, step)
+                if len(piece) == 1 and piece.nbytes > most:
+                    tokens = encode_long(path, piece[0].as_buffer().to_pybytes(), end_id, most)
+                    bounds = np.array([0, len(tokens)])
+                else:
+                    tokens, bounds = encode_column(path, piece, end_id)
                 size = np.diff(bounds)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(size), part, np.int32)), pa.array(before + bounds[:-1]), pa.array(size), lists], schema=_ROW)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, step), pa.array(np.full(len(size), part, np.int32)), pa.array(before + bounds[:-1]), pa.array(size), lists], schema=_ROW)
                 before += int(bounds[-1])
                 del tokens, lists
         if path in _encoders:
@@ -169,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
     """Writes the ids of all documents, ascending by id. ``encoding`` is 'delta' or 'dictionary'."""
     if encoding not in ("delta", "dictionary"):
         raise ValueError("encoding must be 'delta' or 'dictionary'")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(text_batches(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     (
@@ -203,7 +229,7 @@ def _digest_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, all read back from the files."""
-    rows = read_tokens(spark, path)
+    rows = read_tokens(text_batches(spark), path)
     totals = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).toLocalIterator())
     before = np.concatenate(([0], np.cumsum([n for _, n in totals]))).tolist()
     offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, before)], "part int, part_offset long")  # noqa: B905
