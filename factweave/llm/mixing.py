@@ -15,9 +15,12 @@ centre, the vectors of all documents as whole numbers, so that neither the order
 partitions count; it starts from the texts with the smallest hashes.
 
 Targets default to a tempering of the corpus's own shares, share ** ``temper``, which lifts small
-sources, languages and topics. Of given targets, those of present values are scaled to what the values
-without a target, or with one of zero, leave: these keep their own share. The raking runs on the driver
-while there are at most ``CELLS`` cells; beyond that as joins over the cell table, by the same rule.
+sources, languages and topics. Values that have less than ``LEAST`` of the tokens are tempered as one
+and keep their proportions among each other, so that a rare value can't push the largest factor, and
+with it the price in documents, to any height. Of given targets, a target of zero keeps nothing, a value
+without a target keeps its own share, and the other targets are scaled to what these leave; targets of
+values without tokens don't count. The raking runs on the driver while there are at most ``CELLS``
+cells; beyond that as joins over the cell table, by the same rule and to the same convergence.
 
 Nulls: a null source, language or text counts as ''; a null id hashes like any other value. Rows that
 occur twice are decided alike. An empty table gives an empty one. Cells of zero weight have no part in
@@ -34,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import flat_text, stored
+from factweave.llm.common import by_bytes, flat_text, release_memory, stored, text_batches
 
-TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE = 8, 6, 1024, 200_000, 50, 1e-9
+TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE, LEAST = 8, 6, 1024, 200_000, 50, 1e-9, 0.01
 AXES = ("source", "lang", "topic")
 
 
@@ -62,6 +65,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def topic_centres(docs: DataFrame, text_col: str, topics: int = TOPICS, passes: int = PASSES) -> np.ndarray:
     """Spherical k-means over all documents; the same documents give the same centres."""
+    text_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     digest = own.select(F.xxhash64("text").alias("h"))
     start = [r["h"] for r in digest.distinct().orderBy(F.xxhash64("h"), "h").limit(topics).collect()]
@@ -74,11 +78,12 @@ def topic_centres(docs: DataFrame, text_col: str, topics: int = TOPICS, passes:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(centres.shape, np.int64)
             for batch in batches:
-                for at in range(0, len(batch), 500):
-                    x = trigram_shares(batch.column("text").slice(at, 500))
+                for piece in by_bytes(batch.column("text")):
+                    x = trigram_shares(piece)
                     member = np.zeros((len(x), len(centres)))
                     member[np.arange(len(x)), nearest(x, centres)] = 1
                     total += (member.T @ np.rint(x * np.float64(1 << 24))).astype(np.int64)
+            release_memory()
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "s"])
 
@@ -106,7 +111,7 @@ def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], round
         moved = 0.0
         for axis, share in enumerate(targets):
             now = np.bincount(cells[:, axis], factor * weight, len(share))
-            step = np.where((now > 0) & (share > 0), share * weight.sum() / np.where(now > 0, now, 1), 1.0)
+            step = np.where(now > 0, share * weight.sum() / np.where(now > 0, now, 1), 1.0)
             factor *= step[cells[:, axis]]
             moved = max(moved, float(np.abs(step - 1).max(initial=0)))
         if moved < close:
@@ -124,7 +129,7 @@ def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = R
         moved = 0.0
         for axis, share in targets.items():
             now = cells.groupBy(axis).agg(F.sum(F.col("w") * F.col("factor")).alias("now")).join(share, axis)
-            step = F.when((F.col("now") > 0) & (F.col("share") > 0), F.col("share") * F.lit(float(whole)) / F.col("now")).otherwise(F.lit(1.0))
+            step = F.when(F.col("now") > 0, F.col("share") * F.lit(float(whole)) / F.col("now")).otherwise(F.lit(1.0))
             steps = stored(now.select(axis, step.alias("step")), "steps")
             moved = max(moved, steps.agg(F.max(F.abs(F.col("step") - 1))).first()[0] or 0.0)
             cells = stored(cells.join(steps, axis).withColumn("factor", F.col("factor") * F.col("step")).drop("step"), "rake")
@@ -133,53 +138,79 @@ def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = R
     return cells
 
 
-def share_table(cells: DataFrame, axis: str, temper: float, given: dict | None) -> DataFrame:
+def share_table(cells: DataFrame, axis: str, temper: float, given: dict | None, least: float = LEAST) -> DataFrame:
     """(axis, share): the target share of every present value of an axis."""
     total = cells.groupBy(axis).agg(F.sum("w").alias("t"))
     whole = float(cells.agg(F.sum("w")).first()[0] or 0.0) or 1.0
+    each = stored(total.select(axis, (F.col("t") / whole).alias("own")), "shares")
+    zero = F.lit(0.0)
     if given is None:
-        part = stored(total.select(axis, F.pow(F.col("t") / whole, F.lit(float(temper))).alias("want"), F.lit(0.0).alias("own")), "shares")
+        small = float(each.where(F.col("own") < least).agg(F.sum("own")).first()[0] or 0.0)
+        low = F.lit(small**temper / small if small else 0.0)
+        part = each.select(axis, F.when(F.col("own") < least, F.col("own") * low).otherwise(F.pow("own", F.lit(float(temper)))).alias("want"), zero.alias("own"))
     else:
         kind = cells.schema[axis].dataType.simpleString()
-        asked = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"`{axis}` {kind}, want double")
+        asked = cells.sparkSession.createDataFrame([(k, max(0.0, float(v))) for k, v in given.items()], f"`{axis}` {kind}, asked double")
         # a value without tokens can't take a share
-        want = F.when((F.col("want") > 0) & (F.col("t") > 0), F.col("want")).otherwise(F.lit(0.0))
-        both = total.join(asked, axis, "left").withColumn("want", want)
-        part = stored(both.select(axis, "want", F.when(F.col("want") > 0, 0.0).otherwise(F.col("t") / whole).alias("own")), "shares")
-    sums = part.agg(F.sum("want"), F.sum("own")).first()
-    scale = (1 - (sums[1] or 0.0)) / (sums[0] or 1.0)
-    return part.select(axis, (F.col("want") * F.lit(scale) + F.col("own")).alias("share"))
+        want = F.when(F.col("own") > 0, F.coalesce("asked", zero)).otherwise(zero)
+        part = each.join(asked, axis, "left").select(axis, want.alias("want"), F.when(F.col("asked").isNull(), F.col("own")).otherwise(zero).alias("own"))
+    part = stored(part, "targets")
+    scale, stretch = scales(*(float(x or 0.0) for x in part.agg(F.sum("want"), F.sum("own")).first()))
+    return part.select(axis, (F.col("want") * F.lit(scale) + F.col("own") * F.lit(stretch)).alias("share"))
+
+
+def scales(want: float, own: float) -> tuple[float, float]:
+    """What targets, and the shares of values without one, are multiplied by to be 1 in all."""
+    if want > 0:
+        return max(0.0, 1 - own) / want, 1.0
+    return 0.0, 1 / own if own > 0 else 0.0
+
+
+def word_counts(column) -> np.ndarray:
+    """The number of words of every text."""
+    flat, offs = flat_text(column)
+    blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
+    before = np.ones(len(flat) + 1, bool)
+    before[1:] = blank
+    before[offs] = True
+    seen = np.concatenate(([0], np.cumsum(~blank & before[:-1])))
+    return seen[offs[1:]] - seen[offs[:-1]]
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
     """The documents and, in __mix, source, lang, topic, tokens and a uniform number of each."""
     centres = topic_centres(docs, text_col)
 
-    @F.pandas_udf("int")
-    def topic(text: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(text), 500):
-            out.append(nearest(trigram_shares(pa.array(text.iloc[at : at + 500], pa.string())), centres))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0), dtype="int32")
+    @F.arrow_udf("struct<topic:int,tokens:bigint>")
+    def measured(text: pa.Array) -> pa.Array:
+        topic, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for piece in by_bytes(text):
+            topic.append(nearest(trigram_shares(piece), centres))
+            tokens.append(word_counts(piece))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(topic).astype(np.int32)), pa.array(np.concatenate(tokens).astype(np.int64))], ["topic", "tokens"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col).cast("string"), text), 11) / F.lit(float(1 << 53))
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.withColumn("__mix", F.struct(label(source_col).alias("source"), label(lang_col).alias("lang"), topic(text).alias("topic"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("tokens"), chance.alias("chance")))
+    own = docs.withColumn("__measured", measured(text))
+    mix = F.struct(label(source_col).alias("source"), label(lang_col).alias("lang"), F.col("__measured.topic").alias("topic"), F.col("__measured.tokens").alias("tokens"), chance.alias("chance"))
+    return own.withColumn("__mix", mix).drop("__measured")
 
 
-def axis_shares(total: np.ndarray, values: list, temper: float, given: dict | None) -> np.ndarray:
+def axis_shares(total: np.ndarray, values: list, temper: float, given: dict | None, least: float = LEAST) -> np.ndarray:
     """``share_table`` on the driver: ``total`` has the tokens of each of ``values``."""
     own = total / (total.sum() or 1.0)
     if given is None:
-        want, own = np.power(own, temper), np.zeros(len(own))
+        small = own[own < least].sum()
+        want, own = np.where(own < least, own * (small**temper / small if small else 0.0), np.power(own, temper)), np.zeros(len(own))
     else:
-        want = np.where(total > 0, np.maximum([float(given.get(v, 0)) for v in values], 0), 0.0)
-        own = np.where(want > 0, 0.0, own)
-    return want * ((1 - own.sum()) / (want.sum() or 1.0)) + own
+        want = np.where(own > 0, [max(0.0, float(given.get(v, 0))) for v in values], 0.0)
+        own = np.where([v in given for v in values], 0.0, own)
+    scale, stretch = scales(float(want.sum()), float(own.sum()))
+    return want * scale + own * stretch
 
 
-def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None, cap: int = CELLS) -> DataFrame:
+def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None, cap: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
     """(source, lang, topic, w, factor, rate) of every cell; rate is its documents' probability."""
     given = targets or {}
     if cells.count() <= cap:
@@ -193,12 +224,14 @@ def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None,
             code, values = pd.factorize(rows[axis], sort=True)
             index.append(code)
             shares.append(axis_shares(np.bincount(code, w, len(values)), values.tolist(), temper, given.get(axis)))
-        rows["factor"] = factor = rake(np.stack(index, 1), w, shares)
-        rows["rate"] = np.minimum(1.0, factor / factor[w > 0].max(initial=0)) if (w > 0).any() else 1.0
+        rows["factor"] = factor = rake(np.stack(index, 1), w, shares, rounds)
+        top = factor[w > 0].max(initial=0) if (w > 0).any() else 1.0
+        rows["rate"] = np.minimum(1.0, factor / top) if top > 0 else (factor > 0).astype(float)
         return cells.sparkSession.createDataFrame(rows[["source", "lang", "topic", "w", "factor", "rate"]].astype({"topic": "int32"}), schema)
-    raked = rake_tables(cells, {axis: share_table(cells, axis, temper, given.get(axis)) for axis in AXES})
+    raked = rake_tables(cells, {axis: share_table(cells, axis, temper, given.get(axis)) for axis in AXES}, rounds)
     top = raked.where("w > 0").agg(F.max("factor")).first()[0]
-    rate = F.least(F.lit(1.0), F.col("factor") / F.lit(float(top))) if top else F.lit(1.0)
+    top = 1.0 if top is None else top
+    rate = F.least(F.lit(1.0), F.col("factor") / F.lit(float(top))) if top > 0 else (F.col("factor") > 0).cast("double")
     return raked.select("source", "lang", "topic", "w", "factor", rate.alias("rate"))
 
 

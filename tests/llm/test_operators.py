@@ -416,3 +416,79 @@ def test_query(spark, name):
     if name in ORACLE_SQL:
         columns, want = oracle_rows(ORACLE_SQL[name], SF)
         assert sorted(frame.columns) == columns and rows(frame) == want
+
+
+@pytest.mark.parametrize("cap", [mixing.CELLS, 1])
+def test_mixing_with_absent_and_zero_targets(spark, cap):
+    """One meaning on both sizes: absent keeps its share, zero keeps nothing."""
+    cells = spark.createDataFrame([("a", "x", 0, 50.0), ("b", "x", 0, 40.0), ("c", "x", 0, 10.0), ("d", "x", 0, 20.0)], "source string, lang string, topic int, w double")
+    share = lambda targets: {r["source"]: r["w"] * r["rate"] for r in mixing.cell_rates(cells, 1.0, {"source": targets}, cap=cap).collect()}
+    kept = share({"a": 0.5, "b": 0.5, "d": 0})
+    total = sum(kept.values())
+    assert np.allclose([kept[k] / total for k in "abcd"], [(1 - 10 / 120) / 2, (1 - 10 / 120) / 2, 10 / 120, 0], atol=1e-9)
+    none = share({"a": 0, "b": 0})
+    assert none["a"] == none["b"] == 0 and np.isclose(none["c"] / none["d"], 0.5)
+    assert set(share(dict.fromkeys("abcd", 0)).values()) == {0.0}
+
+
+def test_mixing_paths_agree_on_random_tables(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(2):
+        rows_ = [(f"s{i}", f"g{j}", k, float(rng.integers(0, 1000) * rng.integers(0, 2))) for i in range(4) for j in range(3) for k in range(2)]
+        cells = spark.createDataFrame(rows_, "source string, lang string, topic int, w double")
+        targets = {"source": {"s0": float(rng.random()), "s2": 0.0, "gone": 3.0}, "topic": {1: 2.0}}
+        a, b = (mixing.cell_rates(cells, 0.7, targets, cap=cap, rounds=5).toPandas().sort_values(list(mixing.AXES)) for cap in (mixing.CELLS, 1))
+        assert np.allclose(a["rate"], b["rate"], atol=1e-9) and np.allclose(a["factor"], b["factor"], atol=1e-9)
+
+
+def test_rare_values_do_not_set_the_price():
+    """A value of a ten-thousandth of the tokens is tempered with its like."""
+    total = np.array([60000.0, 39000.0, 900.0, 90.0, 10.0])
+    share = mixing.axis_shares(total, list("abcde"), 0.5, None)
+    assert np.isclose(share.sum(), 1) and np.allclose(share[2:] / share[2:].sum(), [0.9, 0.09, 0.01])
+    assert np.isclose(share[2:].sum() / share[0], (0.01**0.5) / (0.6**0.5))
+
+
+def brute_mixing(docs, temper):
+    """Rates of all documents by plain raking of a dictionary, to the rules of the module's head."""
+    cell_of = [(r["source"], r["lang"], r["topic"]) for r in docs]
+    w = {}
+    for c, r in zip(cell_of, docs, strict=True):
+        w[c] = w.get(c, 0) + r["n_tokens"]
+    whole, factor = sum(w.values()), dict.fromkeys(w, 1.0)
+    targets = []
+    for axis in range(3):
+        own = {}
+        for c, t in w.items():
+            own[c[axis]] = own.get(c[axis], 0) + t / whole
+        rare = sum(v for v in own.values() if v < 0.01)
+        want = {k: v**temper if v >= 0.01 else v / rare * rare**temper if rare else 0.0 for k, v in own.items()}
+        targets.append({k: v / sum(want.values()) for k, v in want.items()})
+    for _ in range(50):
+        for axis in range(3):
+            now = {}
+            for c, t in w.items():
+                now[c[axis]] = now.get(c[axis], 0) + t * factor[c]
+            factor = {c: f * targets[axis][c[axis]] * whole / now[c[axis]] if now[c[axis]] else f for c, f in factor.items()}
+    top = max(f for c, f in factor.items() if w[c])
+    return [min(1.0, factor[c] / top) for c in cell_of], targets
+
+
+def test_mixing_against_brute_force(spark):
+    """On whole tables: the words, the rates, the draws, and how near the drawn tokens come to the targets."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    each = mixing.mixed_documents(frame, keep=False).collect()
+    texts = {r["doc_id"]: (r["text"] or "", r["source"], r["lang"]) for r in frame.collect()}
+    assert all((len(texts[r["doc_id"]][0].encode().split()), *texts[r["doc_id"]][1:]) == (r["n_tokens"], r["source"], r["lang"]) for r in each)
+    rates, targets = brute_mixing(each, 0.95)
+    assert np.allclose([r["rate"] for r in each], rates, atol=1e-6)
+    for axis, name in enumerate(mixing.AXES):
+        drawn, due = {}, {}
+        for r in each:
+            due[r[name]] = due.get(r[name], 0) + r["n_tokens"] * r["rate"]
+            drawn[r[name]] = drawn.get(r[name], 0) + r["n_tokens"] * r["sampled"]
+        for k, share in targets[axis].items():
+            assert abs(due[k] / sum(due.values()) - share) < 0.005, (name, k)
+            assert abs(drawn[k] / sum(drawn.values()) - share) < 0.06, (name, k)
+    kept = {r["doc_id"] for r in mixing.mixed_documents(frame).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in each if r["sampled"]} and len(kept) > 0.4 * len(each)
