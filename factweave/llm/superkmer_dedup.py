@@ -4,9 +4,9 @@ A k-mer is a window of ``window`` words; its minimiser is the leftmost smallest
 sequence in it by hash. Consecutive windows that share a minimiser travel as one packed string,
 each word followed by a space, to the bucket of the minimiser. There equal strings are counted
 first, then the windows of strings that share a minimiser are sorted word by word, so each window
-is counted exactly once per place. A minimiser that a sample of documents shows to be so frequent
-that it would fill a bucket sends its windows one by one to buckets of their own content: equal
-windows still meet, and different ones spread.
+is counted exactly once per place. A bucket that a frequent minimiser fills beyond its bytes passes
+its windows on one by one, to buckets of their own content (see ``packed``): equal windows still meet,
+and different ones spread.
 
 Semantics: a word goes if a window over it also starts earlier (smaller id, or same document and
 earlier start), judged on the input. Words are runs without space and \\t to \\r, taken unchanged.
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import covered, flat_text, gathered, keyed, minimiser_runs, mixed, multikey_groups, public_id, ragged, rolled, stored
-from factweave.llm.packed import Records, by_bucket, fused
-from factweave.llm.suffix_dedup import OUT, _row, _SCHEMA, remove_spans
+from factweave.llm.common import covered, flat_text, gathered, keyed, minimiser_runs, mixed, multikey_groups, public_id, ragged, rolled, text_batches
+from factweave.llm.packed import OUT, Records, blob_row, by_bucket, fused, solved, span_rows
+from factweave.llm.suffix_dedup import remove_spans
 
 SPACE = 32
+#: Words that windows are found in at once: positions among them take 24 bits.
+CHUNK = 1 << 22
 
 
 def is_space(flat: np.ndarray) -> np.ndarray:
@@ -75,45 +77,35 @@ class Words:
         self.of = np.searchsorted(begin, offs)  # first word of each document; the end of the last
 
 
-def super_kmers(words: Words, window: int, gram: int):
-    """(first window, number of windows, minimiser's word, its hash)."""
-    n = len(words.hash)
-    grams = rolled(words.hash, gram) if n >= gram else np.zeros(0, np.uint64)
+def super_kmers(words: Words, window: int, gram: int, chunk: int = CHUNK):
+    """(first window, number of windows, minimiser's word, its hash), ``chunk`` windows at a time."""
+    n, found = len(words.hash), []
     ends = np.repeat(words.of[1:], np.diff(words.of))
-    ok = (np.arange(n) + window <= ends)[: max(0, n - window + 1)]
-    if not len(ok):
+    for c in range(0, max(0, n - window + 1), chunk):
+        grams = rolled(words.hash[c : c + chunk + window - 1], gram)
+        at = np.arange(c, min(c + chunk, n - window + 1))
+        ok = at + window <= ends[at]
+        if ok.any():
+            first, size, pos = minimiser_runs(grams, window - gram + 1, ok)
+            found.append((first + c, size, pos + c, grams[pos]))
+    if not found:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    first, size, pos = minimiser_runs(grams, window - gram + 1, ok)
-    return first, size, pos, grams[pos]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _single(first, size, pos, key, hot):
-    """Super-k-mers of hot minimisers fall apart into single windows."""
-    much = np.isin(key, hot)
-    if not much.any():
-        return first, size, pos, key, much
-    one = ragged(first[much], size[much])
-    back = np.repeat(np.flatnonzero(much), size[much])
-    return (np.concatenate((first[~much], one)), np.concatenate((size[~much], np.ones(len(one), np.int64))),
-            np.concatenate((pos[~much], pos[back])), np.concatenate((key[~much], key[back])), np.arange(len(one) + (~much).sum()) >= (~much).sum())
-
-
-def _records(batch: pa.RecordBatch, window: int, gram: int, hot: np.ndarray, buckets: int) -> tuple[Records, np.ndarray]:
+def _records(batch: pa.RecordBatch, window: int, gram: int, buckets: int) -> tuple[Records, np.ndarray]:
     flat, offs = flat_text(batch.column("text"))
     words = Words(flat, offs)
-    first, size, pos, key, single = _single(*super_kmers(words, window, gram), hot)
+    first, size, pos, key = super_kmers(words, window, gram)
     doc = np.searchsorted(words.of, first, "right") - 1
     did, dig = (np.asarray(batch.column(c)) for c in ("did", "dig"))
     last = first + size + window - 2
     lo, hi = words.start[first], words.start[last] + words.size[last] + 1
-    if single.any():
-        key = key.copy()
-        key[single] = rolled(words.hash, window)[first[single]]
     bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
     return Records(did[doc], dig[doc], first - words.of[doc], size, pos - first, hi - lo, gathered(words.data, lo, hi - lo)), bucket
 
 
-def _map(window: int, gram: int, hot: np.ndarray, buckets: int, flush: int):
+def _map(window: int, gram: int, buckets: int, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, goals, size = [], [], 0
 
@@ -126,15 +118,14 @@ def _map(window: int, gram: int, hot: np.ndarray, buckets: int, flush: int):
             stays, repeats = rec.later_equals()
             did, dig, lo, hi = fused(*_spans(rec, repeats, window))
             for b, blob in by_bucket(rec.take(np.flatnonzero(stays)), bucket[stays]):
-                yield _row(b, blob)
-            if len(lo):  # what is settled here travels along, in the same exchange
-                goal = (mixed(did.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"bucket": goal, "blob": None, "did": did, "dig": dig, "lo": lo, "hi": hi}), schema=_SCHEMA, preserve_index=False)
+                yield blob_row(b, blob)
+            # what is settled here travels along, in the same exchange
+            yield from span_rows((mixed(did.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), did, dig, lo, hi)
 
         for batch in batches:
             step = max(1, int(len(batch) * flush / max(flush, batch.column("text").nbytes)))
             for at in range(0, len(batch), step):
-                rec, bucket = _records(batch.slice(at, step), window, gram, hot, buckets)
+                rec, bucket = _records(batch.slice(at, step), window, gram, buckets)
                 held.append(rec)
                 goals.append(bucket)
                 size += len(rec.data)
@@ -181,51 +172,42 @@ def repeated_windows(rec: Records, window: int, gram: int):
     return live[owner[other]], nth[other]
 
 
-def _bucket(window: int, gram: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ready = pdf[pdf["blob"].isna()]
-        parts = [tuple(ready[c].to_numpy(np.int64) for c in ("did", "dig", "lo", "hi"))]
-        blobs = pdf["blob"].dropna()
-        if len(blobs):
-            rec = Records.joined([Records.unpack(b) for b in blobs])
-            stays, repeats = rec.later_equals()
-            parts.append(_spans(rec, repeats, window))
-            rec = rec.take(np.flatnonzero(stays))
-            owner, nth = repeated_windows(rec, window, gram)
-            at = rec.pos[owner] + nth
-            parts.append((rec.did[owner], rec.dig[owner], at, at + window))
-        did, dig, lo, hi = fused(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pd.DataFrame({"did": did, "dig": dig, "lo": lo, "hi": hi})
-
-    return run
-
+def _split(rec: Records, window: int) -> Records:
+    """Every window as a record of its own."""
+    end = np.flatnonzero(rec.data == SPACE)
+    begin = np.concatenate(([0], end + 1))[: len(end)]
+    owner = np.repeat(np.arange(len(rec)), rec.nwin)
+    nth = ragged(np.zeros(len(rec), np.int64), rec.nwin.astype(np.int64))
+    word = np.searchsorted(begin, rec.start)[owner] + nth
+    lo = begin[word]
+    size = end[word + window - 1] + 1 - lo
+    return Records(rec.did[owner], rec.dig[owner], rec.pos[owner] + nth, np.ones(len(owner), np.int32), rec.aoff[owner] - nth, size, gathered(rec.data, lo, size))
 
-def hot_minimisers(docs: DataFrame, window: int, gram: int, buckets: int, sample: int = 20_000) -> np.ndarray:
-    """Minimisers that hold more of a document sample's super-k-mers than a bucket should: fewer
-    than ``buckets`` values by construction. They only route, and never decide."""
-    total = docs.count()
 
-    def run(batches):
-        for batch in batches:
-            key = super_kmers(Words(*flat_text(batch.column("text"))), window, gram)[3]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+def _bucket(window: int, gram: int):
+    def run(records: list[Records], ready: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rec, parts = Records.joined(records), list(ready)
+        stays, repeats = rec.later_equals()
+        parts.append(_spans(rec, repeats, window))
+        rec = rec.take(np.flatnonzero(stays))
+        owner, nth = repeated_windows(rec, window, gram)
+        at = rec.pos[owner] + nth
+        parts.append((rec.did[owner], rec.dig[owner], at, at + window))
+        yield from span_rows(0, *fused(*(np.concatenate(x) for x in zip(*parts, strict=True))))
 
-    keys = docs.sample(min(1.0, sample / max(1, total)), seed=7).select("text").mapInArrow(run, "key long")
-    count = stored(keys.groupBy("key").count(), "minimisers")
-    bar = max(100, (count.agg(F.sum("count")).first()[0] or 0) // buckets)
-    rows = count.where(F.col("count") > bar).select("key").toPandas()
-    return rows["key"].to_numpy(np.int64).view(np.uint64)
+    return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, bucket_bytes: int = 8 << 20, hot: np.ndarray | None = None) -> DataFrame:
-    """(did, dig, lo, hi): word spans of keyed documents that repeat earlier text."""
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, bucket_bytes: int = 8 << 20, limit: int = 96 << 20) -> DataFrame:
+    """(did, dig, lo, hi): word spans of keyed documents that repeat earlier text. ``limit`` is what a
+    bucket may hold in memory."""
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(4, -(-total // bucket_bytes))
-    hot = hot_minimisers(docs, window, gram, buckets) if hot is None else hot
-    packed = docs.mapInArrow(_map(window, gram, hot, buckets, 2 << 20), OUT)
-    return stored(packed.groupBy("bucket").applyInPandas(_bucket(window, gram), "did long, dig long, lo long, hi long"), "word-spans")
+    packed = docs.mapInArrow(_map(window, gram, buckets, 2 << 20), OUT)
+    spans_of = lambda r, which: _spans(r, which, window)
+    return solved(packed, buckets, _bucket(window, gram), lambda r: _split(r, window), spans_of, limit, "word-spans").drop("digest")
 
 
 def _cut(batches):
@@ -249,6 +231,7 @@ _CUT = pa.schema([("did", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa
 
 def dedup_word_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the words kept, a row for every document."""
+    text_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
     cut = remove_spans(own, repeated_spans(own, window, **how), _cut, "did long, n_words long, n_removed long, kept_sha256 string, kept string")
     return cut.select(public_id(F.col("did")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
