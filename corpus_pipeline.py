@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm.common import scratch, text_batches
+from factweave.llm.common import clear_scratch, scratch, scratch_mark, text_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage
+    left there besides, and the stage before, go when it is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_mark()
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         schema = out.schema
         out.write.parquet(path := scratch(spark, name.replace(" ", "-")))
         docs = spark.read.schema(schema).parquet(path)
+        clear_scratch(spark, mark, path)
     return docs
