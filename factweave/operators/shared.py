@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_written: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,7 +22,16 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not _local:
             _local.append(f"file://{tempfile.mkdtemp(prefix='spark-facts-')}")
         top = _local[0]
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession, mark: int = 0) -> None:
+    """Removes all that this process wrote there since ``len(_written)`` was ``mark``: call it when no
+    frame that reads it is needed any more."""
+    while len(_written) > mark:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
