@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _local_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def scratch_mark() -> int:
+    """What is written to the shared folder from now on can be cleared by this mark."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, mark: int = 0, *but: str) -> None:
+    """Removes all that this process wrote there since the mark, ``but`` these paths: call it when no
+    frame that reads it is needed any more."""
+    old = [p for p in _written[mark:] if p not in but]
+    _written[mark:] = but
+    for path in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

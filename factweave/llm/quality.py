@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import flat_text, learns, mixed, release_memory, stored
+from factweave.llm.common import flat_text, learns, mixed, release_memory, stored, text_batches
 from factweave.llm.superkmer_dedup import Words
 
 FEATURES, WIDTH, SEED, BINS = 256, 4.0, 11, 1000
@@ -126,6 +126,7 @@ def scored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "x"])
         release_memory()
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(run, "doc_id long, x array<float>")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import NULL_ID, keyed, public_id, release_memory, stored
+from factweave.llm.common import NULL_ID, keyed, public_id, release_memory, stored, text_batches
 
 LEAF = 8
 FAN = 4
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint(t.as_buffer().to_pybytes(), size, seed) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(fp, np.uint64).view(np.int64))], [*names, "fp"])
 
+    text_batches(docs.sparkSession)
     return keyed(docs, id_col, text_col).select(*names, "text").mapInArrow(run, "".join(f"{c} long, " for c in names) + "fp long")
 
 

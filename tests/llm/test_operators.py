@@ -102,27 +102,39 @@ def test_exact_state_survives_between_calls(spark, tmp_path):
     assert got(exact_dedup.dedup_exact(spark, path, state), "keep_id", "group_size") == [("1", "3", "2"), ("2", "2", "1"), ("3", "3", "2")]
 
 
-@pytest.mark.parametrize("how", [{}, {"splitters": np.sort(np.repeat(suffix_dedup.eights(np.frombuffer(b"alpha beta gamma delta", np.uint8))[:9], 3))}])
+DEALT = np.sort(np.repeat(suffix_dedup.eights(np.frombuffer(b"alpha beta gamma delta", np.uint8))[:9], 3))
+
+
+@pytest.mark.parametrize("how", [{}, {"splitters": DEALT}, {"limit": 1}, {"bucket_bytes": 1000}, {"splitters": DEALT, "limit": 3000}])
 def test_suffix(docs, how):
-    """The second case deals every leading value over several buckets."""
+    """Every leading value dealt over several buckets; buckets that overflow again and again; many
+    buckets to a range."""
     want = {}
     for k, (raw, gone) in brute_windows(lambda t: t.encode(), docs, 100).items():
         want[k] = len(raw), int(gone.sum()), len(spans_of(gone)[0]), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
     assert got(suffix_dedup.dedup_substrings(docs, **how), "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected(docs, want)
 
 
-@pytest.mark.parametrize("all_hot", [False, True])
-def test_superkmer(docs, all_hot):
+@pytest.mark.parametrize("how", [{}, {"limit": 1}, {"limit": 3000, "bucket_bytes": 1000}])
+def test_superkmer(docs, how):
+    """The second and third case overflow their buckets, so that windows go on one by one."""
     want = {}
     for k, (words, gone) in brute_windows(lambda t: t.encode().split(), docs, 20).items():
         want[k] = len(words), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).hexdigest()
-    hot = np.zeros(0, np.uint64)
-    if all_hot:
-        import pyarrow as pa
+    assert got(superkmer_dedup.dedup_word_windows(docs, **how), "n_words", "n_removed", "kept_sha256") == expected(docs, want)
+
+
+def test_windows_of_long_texts_are_found_in_chunks():
+    """The same super-k-mers but for cuts at the chunks, each anchor within its window."""
+    import pyarrow as pa
 
-        words = superkmer_dedup.Words(*superkmer_dedup.flat_text(pa.array([r[2] for r in keyed_rows(docs)])))
-        hot = np.unique(superkmer_dedup.super_kmers(words, 20, 5)[3])
-    assert got(superkmer_dedup.dedup_word_windows(docs, hot=hot), "n_words", "n_removed", "kept_sha256") == expected(docs, want)
+    rng = random.Random(2)
+    texts = pa.array([" ".join(rng.choice(WORDS) for _ in range(n)) for n in (5, 700, 19, 20, 1200)])
+    words = superkmer_dedup.Words(*superkmer_dedup.flat_text(texts))
+    whole, parts = (superkmer_dedup.super_kmers(words, 20, 5, chunk=c) for c in (1 << 22, 64))
+    each = lambda x: sorted(zip(ragged(x[0], x[1]).tolist(), np.repeat(x[2], x[1]).tolist(), np.repeat(x[3], x[1]).tolist(), strict=True))
+    assert each(whole) == each(parts)
+    assert all(f <= p <= f + 15 for f, p, _ in each(parts))
 
 
 def plain_fingerprint(text):
@@ -334,38 +346,6 @@ def test_folding_and_exceptions():
     assert [m[2] for m in lex.matches("a trash can and trash idiots".split())] == [2.0, 3.0]
 
 
-def plain_line_dedup(docs, gram, window):
-    seqs = [(did, dig, text, line_dedup.line_hashes(text.encode()).tolist()) for did, dig, text in keyed_rows(docs)]
-    owner, picks = {}, []
-    for n, (_, _, _, h) in enumerate(seqs):
-        for at, fp in line_dedup.winnowed(np.array(h, np.uint64), gram, window):
-            owner.setdefault(fp, (n, at))
-            picks.append((n, at, fp))
-    out = {}
-    gone = [set() for _ in seqs]
-    for n, at, fp in picks:
-        m, i = owner[fp]
-        if (m, i) == (n, at):
-            continue
-        a, b, lo, hi = seqs[m][3], seqs[n][3], 0, 0
-        while i - lo > 0 and at - lo > 0 and a[i - lo - 1] == b[at - lo - 1]:
-            lo += 1
-        while i + hi < len(a) and at + hi < len(b) and a[i + hi] == b[at + hi]:
-            hi += 1
-        gone[n].update(range(at - lo, at + hi))
-    for (did, dig, _, h), g in zip(seqs, gone, strict=True):
-        out[did, dig] = len(h), len(g)
-    return out
-
-
-def test_line_dedup(spark):
-    rng = random.Random(3)
-    docs = [(i, "\n".join(rng.choice(["a", "b", " c ", "d", "", "e", "f"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
-    df = spark.createDataFrame([*docs, docs[3], (70, None), (None, "a\nb\nc\nd"), (3, "x\na\nb\n c ")], "doc_id long, text string")
-    for gram, window in ((2, 2), (3, 4)):
-        assert got(line_dedup.dedup_lines(df, gram, window), "n_lines", "n_removed") == expected(df, plain_line_dedup(df, gram, window))
-
-
 def test_single_lines_are_deduplicated(spark):
     """One-line copies, a single repeated line between differing neighbours, a run of two lines."""
     texts = ["only line", "only line", "a\nshared\nb", "c\n shared \nd", "p\nq\nr", "x\np\nq\ny"]
@@ -374,16 +354,72 @@ def test_single_lines_are_deduplicated(spark):
     assert out == {0: (1, 0, "only line"), 1: (1, 1, ""), 2: (3, 0, texts[2]), 3: (3, 1, "c\nd"), 4: (3, 0, texts[4]), 5: (4, 2, "x\ny")}
 
 
-@pytest.mark.parametrize("gram", [1, 2, 3])
-def test_line_dedup_against_all_earlier_runs(spark, gram):
-    """Every run of ``gram`` lines that any earlier document or place holds goes, whoever owns what."""
+def plain_lines(docs, size):
+    """Lines and kept text by brute force over all earlier runs of ``size`` lines, whoever holds them."""
+    seen, out = set(), {}
+    for did, dig, text in keyed_rows(docs):
+        rows_, gone = text.split("\n"), set()
+        solid = [i for i, x in enumerate(rows_) if x.strip(" \t\r\x0b\x0c")]
+        clean = [rows_[i].strip(" \t\r\x0b\x0c") for i in solid]
+        for p in range(len(solid) - size + 1):
+            if tuple(clean[p : p + size]) in seen:
+                gone.update(solid[p : p + size])
+            seen.add(tuple(clean[p : p + size]))
+        out[did, dig] = len(solid), len(gone), "\n".join(x for i, x in enumerate(rows_) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("gram,window", [(1, 1), (2, 1), (3, 1), (2, 2), (1, 3), (3, 4)])
+def test_line_dedup_against_all_earlier_runs(spark, gram, window):
+    """Every run of ``gram + window - 1`` lines that any earlier document or place holds goes, whoever
+    owns what, and nothing else."""
     rng = random.Random(8)
     docs = [(i, "\n".join(rng.choice(["a", "b", " c ", "d", "", "e", "f"]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
     docs += [(100 + 10 * k + i, t) for k in range(8) for i, t in enumerate([f"h{k}\nt{k}", f"h{k}\nt{k}\nu{k}", f"h{k}\nt{k}\nu{k}"])]
-    df = spark.createDataFrame([*docs, docs[3], (None, "a\nb\nc\nd"), (3, "x\na\nb\n c ")], "doc_id long, text string")
-    want = {k: (len(lines), int(gone.sum())) for k, (lines, gone) in brute_windows(lambda t: [x.strip() for x in t.split("\n") if x.strip()], df, gram).items()}
-    how = (gram, 1) if gram > 1 else ()  # the registered query takes the defaults
-    assert got(line_dedup.dedup_lines(df, *how), "n_lines", "n_removed") == expected(df, want)
+    docs += [(300 + i, t) for i, t in enumerate(["x\ny\nq", "w\nx\ny\nq\nr\ns", "w\nx\ny\nq\nr\ns", "\n".join(map(str, range(300))), "\n".join(map(str, range(100, 400)))])]
+    df = spark.createDataFrame([*docs, docs[3], (70, None), (None, "a\nb\nc\nd"), (3, "x\na\nb\n c "), (310, " a\r\n\nb \nc")], "doc_id long, text string")
+    how = (gram, window) if gram * window > 1 else ()  # the registered query takes the defaults
+    assert got(line_dedup.dedup_lines(df, *how), "n_lines", "n_removed", "kept") == expected(df, plain_lines(df, gram + window - 1))
+
+
+def test_lines_of_odd_tables(docs):
+    """Clashing columns, nulls, repeated rows, a very long text."""
+    assert got(line_dedup.dedup_lines(docs), "n_lines", "n_removed", "kept") == expected(docs, plain_lines(docs, 1))
+
+
+def test_winnowing_selects_window_minima():
+    rng = random.Random(1)
+    for _ in range(50):
+        h = [bytes([rng.randint(0, 5)]) for _ in range(rng.randint(1, 30))]
+        for w in (1, 2, 3, 5):
+            assert line_dedup.winnowed(h, w) == [min(h[i : i + w]) for i in range(len(h) - w + 1)]
+
+
+def test_exact_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, n long").write.parquet(f"file://{tmp_path}/d")
+    assert exact_dedup.dedup_exact(spark, f"file://{tmp_path}/d").isEmpty()
+
+
+def test_bitmap_lets_all_keys_pass(spark):
+    keys, other = (spark.range(a, b).select(F.sha1(F.col("id").cast("string")).alias("k")) for a, b in ((0, 3000), (3000, 9000)))
+    assert keys.where(exact_dedup.may_be_in(keys, "k")).count() == 3000
+    assert other.where(exact_dedup.may_be_in(keys, "k")).count() < 600
+    assert other.where(exact_dedup.may_be_in(keys.where("false"), "k")).isEmpty()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Texts of a megabyte reach Python a few at a time, whatever the number of rows."""
+    import pyarrow as pa
+
+    from factweave.llm.common import text_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    big = text_batches(spark).range(0, 40, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text"))
+    got = big.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 40 and max(r["rows"] for r in got) <= 5
 
 
 def test_empty_tables(spark, docs):

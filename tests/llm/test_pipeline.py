@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from factweave.llm import decontaminate, simhash
 
@@ -38,3 +40,38 @@ def test_near_dedup_keeps_a_row_of_each_group(spark):
     assert kept.columns == docs.columns
     want = [(None, say(1)), (None, say(2)), (1, say(3)), (1, say(4)), (2, say(5)), (3, say(6))]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def odd_tables(spark, tmp_path, empty=False):
+    """Documents with nulls in any column, ties, repeated rows, empty and long texts, and columns named
+    like those that operators make; labels and a benchmark to go with them."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    more = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (None, "", None, None, None), (1, None, "en", None, 3), (1, "other text under the id of another", None, "s", None), (7, "long text " * 40_000, "en", "s", None)]
+    odd = spark.createDataFrame(rows, more)
+    cols = [c for c in base.columns if c in ("doc_id", "text", "lang", "source", "n_chars")]
+    docs = base.select(*cols).unionByName(base.limit(5).select(*cols)).unionByName(odd.select(*(odd[c].cast(base.schema[c].dataType) for c in cols)))
+    clash = {c: F.lit(n) for n, c in enumerate(("did", "dig", "topic", "rate", "tokens", "score", "part", "fp", "component", "words"))}
+    docs = docs.withColumns(clash)
+    docs = docs.where("false") if empty else docs
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("false" if empty else "true")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_odd_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path)).cache()
+        assert after.columns == docs.columns and 0 < after.count() <= docs.count(), name
+        assert after.exceptAll(docs).isEmpty(), name  # rows come through as they were
+        docs = after
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path, empty=True)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).isEmpty()
