@@ -134,7 +134,8 @@ def merge_strategies(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, strategy, base for (pair, local, remote): up-to-date; fast-forward, also where there is no
     local head yet; three-way with the best common ancestor; or two-way. A remote that is behind gives
     three-way with the remote as base."""
-    rows = pairs.join(merge_bases(edges, pairs), "pair", "left")
+    apart = pairs.where("local is not null and local != remote")  # the others need no history
+    rows = pairs.join(merge_bases(edges, apart), "pair", "left")
     strategy = (
         F.when(F.col("local").isNull(), "fast-forward").when(F.col("local") == F.col("remote"), "up-to-date").when(F.col("base") == F.col("local"), "fast-forward")
         .when(F.col("base").isNotNull(), "three-way").otherwise("two-way")

@@ -19,7 +19,8 @@ class Exchange:
     """``versions/N-attempt`` holds a version's values, ``heads/N`` names the attempt that became
     version N, ``claims/N-lease`` the attempt that may write that head. A claim is good for ``lease_ms``:
     when its store died, the next lease's claim takes its place. Whoever writes a head first has it; the
-    head file is created, never rewritten, so two stores that both hold a claim can't both succeed."""
+    head file is created, never rewritten, so two stores that both hold a claim can't both succeed. The
+    folder must lie in a file system whose exclusive create is atomic, as HDFS is."""
 
     spark: SparkSession
     path: str
