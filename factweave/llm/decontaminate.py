@@ -6,9 +6,10 @@ window. All windows go into one automaton, each with a space at both ends so tha
 match. Each document is normalised the same way and scanned once, overlapping occurrences included;
 matches are mapped back to character offsets of the original text.
 
-The automaton is broadcast; its size is checked. Windows of more than ``block_bytes`` are dealt
-into several automata, documents are scanned once for each, and what they find is merged by
-document, so that the benchmark may grow too.
+The windows are broadcast and each worker builds the automaton from them. Windows of more than
+``block_bytes`` are dealt into several automata, which the driver holds and broadcasts one at a time:
+documents are scanned once for each, what it finds is written to the shared folder before the next, and
+all of it is merged by document, so that the benchmark may grow too.
 
 Nulls: a null text has no words; items without an id or without words match nothing; a null doc_id
 is a document like any other. Items that share an id are one item. Every document gives a row, a
@@ -17,8 +18,8 @@ row that occurs twice two; empty tables are fine; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import covered, keyed, public_id, spans_of
+from factweave.llm.common import covered, keyed, public_id, spans_of, stored, text_batches
 
 #: Bytes that end a word: ASCII without digits and letters.
 _FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -92,13 +93,17 @@ def original(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]
 _SCAN = "did long, dig long, n_words long, words array<struct<lo:long,hi:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _scan_map(windows: dict):
-    key = hash(frozenset(windows))
+def _shared(docs: DataFrame, windows: dict):
+    """The windows as a broadcast variable, and a key that tells them from others."""
+    return docs.sparkSession.sparkContext.broadcast(windows), hash(frozenset(windows))
+
+
+def _scan_map(shared, key: int):
     pair = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
     schema = pa.schema([("did", pa.int64()), ("dig", pa.int64()), ("n_words", pa.int64()), ("words", pair("lo", "hi")), ("spans", pair("start", "end")), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        machine = automaton(windows, key)
+        machine = automaton(shared.value, key)
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for text in batch.column("text"):
@@ -128,30 +133,39 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     }])
 
 
-def benchmark_blocks(bench: DataFrame, width: int, block_bytes: int, item_col: str, text_col: str) -> list[dict]:
-    """Windows of the benchmark, in dictionaries of about ``block_bytes`` at most; items are read
-    one partition at a time."""
+def benchmark_blocks(bench: DataFrame, width: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[dict]:
+    """Windows of the benchmark, in dictionaries of about ``block_bytes`` at most, one after another;
+    items are read one partition at a time."""
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().orderBy("item", "text")
-    blocks, held, size = [], [], 0
+    held, size, any_yet = [], 0, False
     for row in items.toLocalIterator():
         held.append((row["item"], row["text"]))
         size += len(row["text"].encode()) * width
         if size > block_bytes:
-            blocks.append(windows_of(held, width))
-            held, size = [], 0
-    return [*blocks, windows_of(held, width)] if held or not blocks else blocks
+            yield windows_of(held, width)
+            held, size, any_yet = [], 0, True
+    if held or not any_yet:
+        yield windows_of(held, width)
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids, items_sha256, contaminated and spans (character
     offsets in the original text) for every document."""
+    text_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
     blocks = benchmark_blocks(bench, width, block_bytes, item_col, bench_text_col)
-    found = own.mapInArrow(_scan_map(blocks[0]), _SCAN)
-    if len(blocks) > 1:
+    shared, key = _shared(docs, next(blocks))
+    found = own.mapInArrow(_scan_map(shared, key), _SCAN)
+    block = next(blocks, None)
+    if block is not None:
+        found = stored(found, "scanned")
+        shared.unpersist()
         hits = found.where(F.size("items") > 0)
-        for block in blocks[1:]:
-            hits = hits.unionByName(own.mapInArrow(_scan_map(block), _SCAN).where(F.size("items") > 0))
+        while block is not None:
+            shared, key = _shared(docs, block)
+            hits = hits.unionByName(stored(own.mapInArrow(_scan_map(shared, key), _SCAN).where(F.size("items") > 0), "scanned"))
+            shared.unpersist()
+            block = next(blocks, None)
         merged = hits.groupBy("did", "dig").applyInPandas(_merge, _SCAN).drop("n_words")
         none = {"words": "array<struct<lo:long,hi:long>>", "spans": "array<struct<start:long,end:long>>", "items": "array<string>"}
         found = found.select("did", "dig", "n_words").join(merged, ["did", "dig"], "left").withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in none.items()})
@@ -165,17 +179,23 @@ def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, id_co
 def decontaminated(docs: DataFrame, bench: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
     """The documents without a hit, all columns kept: a pass for each automaton, no shuffle."""
 
-    def clean(windows):
-        key = hash(frozenset(windows))
-
+    def clean(shared, key: int):
         def run(batches):
-            machine = automaton(windows, key)
+            machine = automaton(shared.value, key)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not (t.is_valid and scan(t.as_buffer().to_pybytes(), machine)[2]) for t in texts], pa.bool_()))
 
         return run
 
-    for block in benchmark_blocks(bench, width, block_bytes, item_col, bench_text_col):
-        docs = docs.mapInArrow(clean(block), docs.schema)
-    return docs
+    text_batches(docs.sparkSession)
+    blocks = benchmark_blocks(bench, width, block_bytes, item_col, bench_text_col)
+    block, out = next(blocks), None
+    while block is not None:
+        shared, key = _shared(docs, block)
+        out = (docs if out is None else out).mapInArrow(clean(shared, key), docs.schema)
+        block = next(blocks, None)
+        if block is not None:
+            out = stored(out, "clean")
+            shared.unpersist()
+    return out

@@ -8,6 +8,10 @@ lexicon word that occur in the sample's harmless documents, and hardly in others
 automaton finds terms and exceptions in one scan; the weights found, alone and by length, give the
 score through a logistic curve.
 
+Bounds: ``sample`` labelled rows, those with the smallest hashes of their ids; of the rows of one id,
+the one with the smallest hash of its text. ``terms`` terms and as many exceptions. Everything else is
+over all rows.
+
 Nulls: a null text is empty; labels without an id or a value are ignored, of repeated labels the
 largest counts; without labels of both kinds every score is 0. Every row gives a row, an empty table
 none; further columns are ignored.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import learns, stored
+from factweave.llm.common import learns, release_memory, stored, text_batches
 from factweave.llm.quality import _decided
 
 #: Letters of other scripts that look like Latin ones.
@@ -142,12 +146,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Lexicon:
-    """The lexicon from at most ``sample`` labelled rows, those with the smallest hash of their id;
-    at most ``terms`` terms."""
+    """The lexicon from at most ``sample`` labelled rows, one of each id; ``terms`` terms and as many
+    exceptions at most."""
+    text_batches(docs.sparkSession)
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().where(learns(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    train = stored(own.join(F.broadcast(y), "doc_id").select("text", "y").repartition(12), "toxic-sample")
+    # a row of each id, reduced before the exchange: an id that a third of the rows share is one row too
+    one = own.join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    train = stored(one.select("text", "y").repartition(12), "toxic-sample")
 
     def counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pos, neg, n = Counter(), Counter(), [0, 0]
@@ -198,8 +205,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [lexicon.score(t) for t in batch.column("text").to_pylist()]
+            scores = [lexicon.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        release_memory()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return _decided(own.mapInArrow(run, "doc_id long, score double"), threshold)
