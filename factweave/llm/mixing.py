@@ -16,8 +16,10 @@ partitions count; it starts from the texts with the smallest hashes.
 
 Targets default to a tempering of the corpus's own shares, share ** ``temper``, which lifts small
 sources, languages and topics. Values that have less than ``LEAST`` of the tokens are tempered as one
-and keep their proportions among each other, so that a rare value can't push the largest factor, and
-with it the price in documents, to any height. Of given targets, a target of zero keeps nothing, a value
+and keep their proportions among each other, and no cell's factor may exceed ``SPREAD`` times the product
+of its values' own lifts (target over share): where topics follow languages, raking would otherwise meet
+the last thousandths of a target by a few rare cells, and set the price in documents by them. With given
+targets, which may ask for more, no factor is bounded. Of given targets, a target of zero keeps nothing, a value
 without a target keeps its own share, and the other targets are scaled to what these leave; targets of
 values without tokens don't count. The raking runs on the driver while there are at most ``CELLS``
 cells; beyond that as joins over the cell table, by the same rule and to the same convergence.
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import by_bytes, flat_text, release_memory, stored, text_batches
 
-TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE, LEAST = 8, 6, 1024, 200_000, 50, 1e-9, 0.01
+TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE, LEAST, SPREAD = 8, 6, 1024, 200_000, 50, 1e-9, 0.01, 1.25
 AXES = ("source", "lang", "topic")
 
 
@@ -102,8 +104,9 @@ def topic_centres(docs: DataFrame, text_col: str, topics: int = TOPICS, passes:
     return c
 
 
-def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
-    """Factor of each cell: ``cells`` has its index on every axis, ``targets`` each axis's shares."""
+def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE, most: np.ndarray | None = None) -> np.ndarray:
+    """Factor of each cell: ``cells`` has its index on every axis, ``targets`` each axis's shares,
+    ``most`` a bound on each cell's factor, which holds after every round."""
     factor = np.ones(len(weight))
     if not len(weight) or weight.sum() <= 0:
         return factor
@@ -114,26 +117,33 @@ def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], round
             step = np.where(now > 0, share * weight.sum() / np.where(now > 0, now, 1), 1.0)
             factor *= step[cells[:, axis]]
             moved = max(moved, float(np.abs(step - 1).max(initial=0)))
+        if most is not None:
+            factor = np.minimum(factor, most)
         if moved < close:
             break
     return factor
 
 
 def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
-    """The same over a cell table of any size; lineage is cut after every axis."""
+    """The same over a cell table of any size, with the bounds in a column ``most`` if there is one;
+    lineage is cut after every round."""
     whole = cells.agg(F.sum("w")).first()[0] or 0.0
     cells = cells.withColumn("factor", F.lit(1.0))
     if whole <= 0:
         return cells
     for _ in range(rounds):
-        moved = 0.0
+        moved = None
         for axis, share in targets.items():
-            now = cells.groupBy(axis).agg(F.sum(F.col("w") * F.col("factor")).alias("now")).join(share, axis)
+            now = cells.groupBy(axis).agg(F.sum(F.col("w") * F.col("factor")).alias("now")).join(share.select(axis, "share"), axis)
             step = F.when(F.col("now") > 0, F.col("share") * F.lit(float(whole)) / F.col("now")).otherwise(F.lit(1.0))
             steps = stored(now.select(axis, step.alias("step")), "steps")
-            moved = max(moved, steps.agg(F.max(F.abs(F.col("step") - 1))).first()[0] or 0.0)
-            cells = stored(cells.join(steps, axis).withColumn("factor", F.col("factor") * F.col("step")).drop("step"), "rake")
-        if moved < close:
+            size = steps.select(F.abs(F.col("step") - 1).alias("move"))
+            moved = size if moved is None else moved.unionByName(size)
+            cells = cells.join(steps, axis).withColumn("factor", F.col("factor") * F.col("step")).drop("step")
+        if "most" in cells.columns:
+            cells = cells.withColumn("factor", F.least("factor", "most"))
+        cells = stored(cells, "rake")
+        if (moved.agg(F.max("move")).first()[0] or 0.0) < close:
             break
     return cells
 
@@ -224,17 +234,36 @@ def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None,
             code, values = pd.factorize(rows[axis], sort=True)
             index.append(code)
             shares.append(axis_shares(np.bincount(code, w, len(values)), values.tolist(), temper, given.get(axis)))
-        rows["factor"] = factor = rake(np.stack(index, 1), w, shares, rounds)
+        index, most = np.stack(index, 1), None
+        if not given:
+            own = [np.bincount(code, w, len(share)) / (w.sum() or 1.0) for code, share in zip(index.T, shares, strict=True)]
+            lifts = [np.divide(share, o, out=np.ones(len(share)), where=o > 0) for share, o in zip(shares, own, strict=True)]
+            most = SPREAD * np.prod([lift[code] for lift, code in zip(lifts, index.T, strict=True)], axis=0)
+        rows["factor"] = factor = rake(index, w, shares, rounds, most=most)
         top = factor[w > 0].max(initial=0) if (w > 0).any() else 1.0
         rows["rate"] = np.minimum(1.0, factor / top) if top > 0 else (factor > 0).astype(float)
         return cells.sparkSession.createDataFrame(rows[["source", "lang", "topic", "w", "factor", "rate"]].astype({"topic": "int32"}), schema)
-    raked = rake_tables(cells, {axis: share_table(cells, axis, temper, given.get(axis)) for axis in AXES}, rounds)
+    shares = {axis: share_table(cells, axis, temper, given.get(axis)) for axis in AXES}
+    if not given:
+        cells = stored(_bounded(cells, shares), "bounded")
+    raked = rake_tables(cells, shares, rounds)
     top = raked.where("w > 0").agg(F.max("factor")).first()[0]
     top = 1.0 if top is None else top
     rate = F.least(F.lit(1.0), F.col("factor") / F.lit(float(top))) if top > 0 else (F.col("factor") > 0).cast("double")
     return raked.select("source", "lang", "topic", "w", "factor", rate.alias("rate"))
 
 
+def _bounded(cells: DataFrame, shares: dict[str, DataFrame]) -> DataFrame:
+    """The cells with the bound on their factor in ``most``."""
+    whole = float(cells.agg(F.sum("w")).first()[0] or 0.0) or 1.0
+    out = cells.withColumn("most", F.lit(SPREAD))
+    for axis, share in shares.items():
+        own = cells.groupBy(axis).agg((F.sum("w") / whole).alias("own")).join(share, axis)
+        lift = own.select(axis, F.when(F.col("own") > 0, F.col("share") / F.col("own")).otherwise(F.lit(1.0)).alias("lift"))
+        out = out.join(lift, axis).withColumn("most", F.col("most") * F.col("lift")).drop("lift")
+    return out
+
+
 def mixed_documents(docs: DataFrame, temper: float = 0.95, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: bool = True) -> DataFrame:
     """With ``keep``, the sampled documents, columns as they were. Without, a row per document:
     doc_id, source, lang, topic, n_tokens, factor, rate and sampled."""
