@@ -6,7 +6,8 @@ the shared folder. An entry holds the stable identifier (the largest doc_id), th
 of that row (file and row in it) and the number of rows. Copies are pre-aggregated in each task
 before they reach the state, so a text that makes up a third of the corpus is a few rows there.
 On a hit (an entry of several rows) the full bytes of every row are compared with those at the
-locator; digests that turn out to stand for different texts are grouped again by the texts.
+locator; digests that turn out to stand for different texts are grouped again by the texts. Only
+texts whose digest may have a hit are shuffled for that, as a bitmap of the hits' digests tells.
 
 Semantics: texts are equal when identical after lower-casing A-Z. Of equal texts the row with the
 largest doc_id stays; of rows that share it, the one that is last by locator. Nulls: a null text
@@ -59,6 +60,26 @@ def located(df: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     ).withColumn("digest", digest(F.col("norm")))
 
 
+def may_be_in(rows: DataFrame, keys: DataFrame, column: str, most_bits: int = 1 << 27) -> DataFrame:
+    """All rows whose ``column`` is in ``keys``, and few others: two bits to a value in a bitmap of 16
+    bits to a key, ``most_bits`` (16 MB) at most; the more keys beyond that, the more others pass."""
+    bits = 1 << 16
+    while bits < min(most_bits, 16 * keys.count()):
+        bits *= 2
+    spots = lambda h: (F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h), F.lit(bits)))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda p: F.shiftright(p, 6).cast("int")
+    words = keys.select(F.explode(F.array(*spots(F.xxhash64(column)))).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(bit(F.col("p"))).alias("b"))
+    every = keys.sparkSession.range(bits >> 6).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    dense = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bitmap"))
+    bitmap = stored(dense, "bitmap").scalar()
+    there = lambda p: F.get(bitmap, word(p)).bitwiseAND(bit(p)) != 0
+    # exploded, so that a costly column is worked out once, not at each mention of its hash
+    hashed = rows.withColumn("__hash", F.explode(F.array(F.xxhash64(column))))
+    one, two = spots(F.col("__hash"))
+    return hashed.where(there(one) & there(two)).drop("__hash")
+
+
 def keep_state(spark: SparkSession, path: str, checkpoint: str, id_col: str, text_col: str, digest, batch_bytes: int) -> DataFrame:
     """Runs all that is new under ``path`` through the state at ``checkpoint`` and returns the
     state: (digest, did, loc, n). A second call with the same checkpoint reads new files only."""
@@ -82,25 +103,26 @@ def dedup_exact(spark: SparkSession, path: str, checkpoint: str | None = None, i
     state = keep_state(spark, path, checkpoint, id_col, text_col, digest, batch_bytes)
     rows = located(spark.read.parquet(path), id_col, text_col, digest)
     out = ("did", "loc", "keep", "keep_loc", "n", "hash")
+    hash_of = F.lower(F.hex("digest")) if digest is sha else F.sha2("norm", 256)
+
+    # texts without a hit are told by their digests alone and stay where they are
+    hits = stored(state.where("n > 1"), "hits")
+    single = rows.select("did", "loc", "digest", hash_of.alias("hash")).join(hits.select("digest"), "digest", "left_anti")
+    single = single.select("did", "loc", F.col("did").alias("keep"), F.col("loc").alias("keep_loc"), F.lit(1).cast("long").alias("n"), "hash")
 
     # hits: full bytes of each row against those at the locator
-    hits = state.where("n > 1")
+    near = stored(may_be_in(rows, hits, "digest"), "near")
     at = F.col("loc") == F.col("keep_loc")
-    owners = rows.withColumnRenamed("norm", "kept_norm").drop("did").join(hits.withColumn("loc", F.col("keep_loc")), ["digest", "loc"]).drop("loc")
-    hash_of = F.lower(F.hex("digest")) if digest is sha else F.sha2("norm", 256)
-    single = F.col("n").isNull()
-    checked = rows.join(stored(owners, "owners"), "digest", "left").select(
-        "did", "loc", F.when(single, F.col("did")).otherwise(F.col("keep")).alias("keep"), F.when(single, F.col("loc")).otherwise(F.col("keep_loc")).alias("keep_loc"),
-        F.when(single, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"), hash_of.alias("hash"), "digest", (single | (F.col("norm") == F.col("kept_norm"))).alias("same"),
-    )
+    owners = near.withColumnRenamed("norm", "kept_norm").drop("did").join(hits.withColumn("loc", F.col("keep_loc")), ["digest", "loc"]).drop("loc")
+    checked = near.join(stored(owners, "owners"), "digest").select(*out[:-1], hash_of.alias("hash"), "digest", (F.col("norm") == F.col("kept_norm")).alias("same"))
     checked = stored(checked, "checked")
     wrong = checked.where(~F.col("same")).select("digest").distinct()
-    result = checked.select(*out)
+    result = single.unionByName(checked.select(*out))
     if not wrong.isEmpty():  # one digest, different texts: group these by the texts themselves
-        mixed = stored(rows.join(wrong, "digest").select("did", "loc", "norm"), "mixed")
+        mixed = stored(near.join(wrong, "digest").select("did", "loc", "norm"), "mixed")
         group = mixed.groupBy("norm").agg(F.max(F.struct("did", "loc")).alias("best"), F.count(F.lit(1)).alias("n"))
         redone = mixed.join(group, "norm").select("did", "loc", F.col("best.did").alias("keep"), F.col("best.loc").alias("keep_loc"), "n", F.sha2("norm", 256).alias("hash"))
-        result = checked.join(wrong, "digest", "left_anti").select(*out).unionByName(redone)
+        result = single.unionByName(checked.join(wrong, "digest", "left_anti").select(*out)).unionByName(redone)
     return result.select(
         public_id(F.col("did")).alias("doc_id"), public_id(F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"),
         at.alias("kept"), F.col("hash").alias("text_sha256"),
