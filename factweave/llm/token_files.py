@@ -36,9 +36,9 @@ from factweave.llm.common import ragged, release_memory, text_batches
 
 ROW = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 _ROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-#: Chunks that a worker keeps the ids of (twice as many for a while), chunks encoded at once, and
-#: bytes of text encoded at once.
-CACHE, SLICE, PIECE = 100_000, 5_000, 4 << 20
+#: Chunks that a worker keeps the ids of (twice as many for a while), chunks encoded at once, and rows
+#: and bytes of text encoded at once: the more, the fewer times a word is looked up.
+CACHE, SLICE, ROWS, PIECE = 100_000, 5_000, 4_000, 16 << 20
 _BLANK = re.compile(rb"[ \t-\r]")
 
 #: Chunks of letters, then signs: what the tokenizer's rules cut into these two pieces at most.
@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
     """Writes the ids of all documents, ascending by id. ``encoding`` is 'delta' or 'dictionary'."""
     if encoding not in ("delta", "dictionary"):
         raise ValueError("encoding must be 'delta' or 'dictionary'")
-    n = partitions or int(text_batches(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(text_batches(docs.sparkSession, ROWS, PIECE).conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     (
