@@ -175,7 +175,7 @@ def _bucket(distance: int):
     return run
 
 
-def links(fps: DataFrame, distance: int = 3, bucket_rows: int = 100_000, hot_rows: int = 200_000) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, bucket_rows: int = 25_000, hot_rows: int = 200_000) -> DataFrame:
     """(a, b): links that span the components of the distinct fingerprints in column fp."""
     if not 0 <= distance <= 3:
         raise ValueError("the four blocks of 16 bits find distances from 0 to 3")
@@ -198,7 +198,9 @@ def links(fps: DataFrame, distance: int = 3, bucket_rows: int = 100_000, hot_row
     subs = F.when(F.col("hot"), F.array(*(F.lit(t * 4096) + block(F.col("rest"), 12 * t, 12) for t in range(4)))).otherwise(F.array(F.lit(-1).cast("long")))
     parted = parted.select("fp", "key", F.explode(subs).alias("sub"))
     bucket = F.pmod(F.xxhash64("key", "sub"), F.lit(buckets))
-    return stored(parted.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_bucket(distance), "a long, b long").distinct(), "links")
+    # few bytes, much work: as many tasks as buckets, which the size of the rows would not give
+    tasks = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets))
+    return stored(parted.withColumn("bucket", bucket).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_bucket(distance), "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
