@@ -46,9 +46,24 @@ def clear_scratch(spark: SparkSession, mark: int = 0, *but: str) -> None:
     frame that reads it is needed any more."""
     old = [p for p in _written[mark:] if p not in but]
     _written[mark:] = but
-    for path in old:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    drop(spark, *old)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a whole table was written there."""
+    fs, at = _at(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, at = _at(spark, path)
+        fs.delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

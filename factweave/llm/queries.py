@@ -83,15 +83,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_superkmer_dedup, op5_decontamination,
     op6_mixing, op7_token_files, op8_quality, op9_line_dedup, op10_toxicity,
+    op11_secret_scan,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _secret_sql() -> str:
+    """Matches and the pieces before them, rule by rule; their lengths added up are the places."""
+    from factweave.llm.secret_scan import BASE, RULES
+
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    per_rule = lambda n, r: (
+        f"SELECT r, {n} AS nth, '{r.kind}' AS kind, unnest(m) AS hit, unnest(p[1:len(m)]) AS piece, generate_subscripts(m, 1) AS i FROM"
+        f" (SELECT r, regexp_extract_all(t, {quoted(r.pattern)}) AS m, regexp_split_to_array(t, {quoted(r.pattern)}) AS p FROM d WHERE regexp_matches(t, {quoted(r.pattern)}))"
+    )
+    first = BASE[0]
+    rules = "\nUNION ALL ".join(per_rule(n, r) for n, r in enumerate(RULES))
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    sums = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+hit AS ({rules}),
+placed AS (SELECT *, sum(length(piece) + length(hit)) OVER (PARTITION BY r, nth ORDER BY i) AS hi FROM hit),
+span AS (SELECT r, nth, kind, hi - length(hit) AS lo, kind || ':' || (hi - length(hit)) || ':' || hi AS s FROM placed
+  WHERE kind <> '{first.kind}' OR length(regexp_extract(hit, {quoted(first.pattern)}, {first.group})) >= {first.least}),
+per AS (SELECT r, {sums}, string_agg(s, ',' ORDER BY lo, nth) FILTER (kind IN ({base})) AS base, string_agg(s, ',' ORDER BY lo, nth) AS spans FROM span GROUP BY r)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per ON per.r = d.r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_secret_scan": _secret_sql(),
     "op1_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
