@@ -89,10 +89,25 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from factweave.llm.hard_negatives import mine
+
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_superkmer_dedup, op5_decontamination,
     op6_mixing, op7_token_files, op8_quality, op9_line_dedup, op10_toxicity,
-    op11_secret_scan,
+    op11_secret_scan, op12_hard_negatives, op13_vector_codes,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,7 +139,39 @@ per AS (SELECT r, {sums}, string_agg(s, ',' ORDER BY lo, nth) FILTER (kind IN ({
 SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per ON per.r = d.r"""
 
 
+_FINITE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """A CTE for each assignment (a) and each codebook (c); products of whole doubles are exact."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, s, min(d) AS d, arg_min(e, struct_pack(d := d, e := e)) AS e FROM (
+  SELECT r, seg.p, seg.s, e, list_inner_product(seg.s, seg.s) - 2 * list_inner_product(seg.s, c{k}.s) + list_inner_product(c{k}.s, c{k}.s) AS d FROM seg JOIN c{k} ON c{k}.p = seg.p) GROUP BY r, p, s)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT p, e, list(((t - ((t % n) + n) % n) // n)::DOUBLE ORDER BY i) AS s FROM (
+  SELECT p, e, i, sum(x::HUGEINT) AS t, count(*) AS n FROM (SELECT p, e, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e)""")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.p, c{k}.e, coalesce(m{k}.s, c{k}.s) AS s FROM c{k} LEFT JOIN m{k} ON m{k}.p = c{k}.p AND m{k}.e = c{k}.e)")
+    steps = ",\n".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, [floor(4096 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE {_FINITE}),
+seg AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS s FROM v, range({parts}) AS u(p)),
+c0 AS (SELECT p, r AS e, s FROM seg WHERE r < {entries}),
+{steps},
+per AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string([x::BIGINT FOR x IN s], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM per JOIN v ON v.r = per.r CROSS JOIN book"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, c.r AS cr, c.vec_id AS id, c.label, list_inner_product(a.v, c.v)::BIGINT AS score FROM v AS a JOIN v AS c ON c.r <> a.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS n FROM s WHERE label = al QUALIFY n <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND s.label <> p.al AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
     "op11_secret_scan": _secret_sql(),
     "op1_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.llm import secret_scan
+from factweave.llm import hard_negatives, secret_scan, vector_codes
 from factweave.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import oracle_rows, rows
 
@@ -98,3 +98,103 @@ def test_only_new_pairs_are_scanned(spark, tmp_path):
 def test_scans_run_no_python(spark):
     plan = secret_scan.secret_report(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def vector_rows():
+    """Ties, repeated rows and ids, nulls, odd components, large and short vectors, one label for many."""
+    rng = np.random.default_rng(4)
+    base = [[float(x) for x in rng.integers(-3, 4, 6) / 8] for _ in range(90)]
+    out = [(i, base[i], 1 if i % 3 else i % 5) for i in range(90)]
+    out += [(i, base[i], 1 if i % 3 else i % 5) for i in range(12)] + [(5, base[40], 2), (None, base[3], 1), (None, base[60], 0)]
+    out += [(200, None, 1), (201, [0.5, None], 1), (202, [float("nan")] * 6, 1), (203, [float("inf")] * 6, 1), (204, base[9], None), (205, [], 1), (206, [1.0, 2.0], 0), (207, [9.0] * 6, 2)]
+    return out
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def plain_mine(data, asks, positives, negatives, low, high, scale):
+    key = lambda i: -(2**63) if i is None else i
+    rows = [(i, [int(np.floor(scale * x)) for x in v], lab) for i, v, lab in data if v is not None and lab is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (i, v, lab) in enumerate(rows):
+        if not asks(i):
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), key(j), j, m, k) for k, (j, w, m) in enumerate(rows) if k != n)
+        for s, _, j, *_ in [x for x in scored if x[3] == lab][:positives]:
+            near = [x for x in scored if x[3] != lab and low * -s <= 100 * -x[0] <= high * -s][:negatives]
+            out += [(i, j, r, x[2], -s, -x[0]) for r, x in enumerate(near, 1)]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("how", [{}, {"anchor_bytes": 200}, {"positives": 2, "negatives": 3, "low": -50, "high": 200}])
+@pytest.mark.parametrize("scale", [256, 2**40])
+def test_hard_negatives(spark, how, scale):
+    """Narrow fields and wide integers; several blocks of anchors."""
+    if scale > 256 and how.get("anchor_bytes"):
+        pytest.skip("one block is enough")
+    data = vector_rows()
+    df = spark.createDataFrame(data, VECTORS).withColumn("row", F.lit("x")).withColumn("v", F.lit(1)).repartition(3)
+    got = hard_negatives.mine(df, F.col("vec_id") % 4 == 0, scale=scale, **how)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    want = dict(positives=5, negatives=10, low=30, high=90) | {k: v for k, v in how.items() if k != "anchor_bytes"}
+    if scale == 256:
+        assert sorted(str(tuple(r)) for r in got.collect()) == plain_mine(data, lambda i: i is not None and i % 4 == 0, scale=scale, **want)
+    else:  # scores beyond the bound count as it, so that none is 90 % of another
+        assert got.agg(F.max("positive_score")).first()[0] == (2**56 if want["high"] > 100 else None)
+
+
+def test_packed_scores():
+    rng = np.random.default_rng(1)
+    for most, n in ((1, 70), (300, 333), (2**20, 10), (2**27, 10)):
+        a, c = rng.integers(-most, most + 1, (13, 7)), rng.integers(-most, most + 1, (n, 7))
+        assert (hard_negatives.packed_scores(a, c) == a @ c.T).all()
+    far = np.array([[2**53, -(2**53)]])
+    assert hard_negatives.packed_scores(far, np.array([[2**53, 0], [3, 1]])).tolist() == [[2**56, 2**54]]
+
+
+def test_vectors_of_no_rows(spark):
+    none = spark.createDataFrame([(1, None, 2), (2, [None], 3)], VECTORS)
+    assert hard_negatives.mine(none, F.lit(True)).isEmpty() and vector_codes.vector_codes(none).isEmpty()
+    assert hard_negatives.mine(none.limit(0), F.lit(True)).isEmpty() and vector_codes.vector_codes(none.limit(0)).isEmpty()
+
+
+def plain_codes(data, parts, entries, rounds, scale):
+    rows = [(i, [int(np.floor(scale * x)) for x in v], lab) for i, v, lab in data if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = -(-max(len(v) for _, v, _ in rows) // parts) * parts
+    size = width // parts
+    cut = lambda v: [(v + [0] * (width - len(v)))[p * size : (p + 1) * size] for p in range(parts)]
+    split = [cut(v) for _, v, _ in rows]
+    first = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, rows[n][1]))[:entries]
+    books = [[split[n][p] for n in first] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assign = lambda: [[min(range(len(books[p])), key=lambda e: (far(s[p], books[p][e]), e)) for p in range(parts)] for s in split]
+    for _ in range(rounds):
+        codes = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                if mine := [s[p] for s, c in zip(split, codes) if c[p] == e]:
+                    books[p][e] = [sum(x) // len(mine) for x in zip(*mine)]
+    codes = assign()
+    errors = [sum(far(s[p], books[p][c[p]]) for p in range(parts)) for s, c in zip(split, codes)]
+    per = {}
+    for (_, _, lab), e in zip(rows, errors):
+        per[lab] = per.get(lab, 0) + e
+    most = 2**63 - 1
+    sha = hashlib.sha256(",".join(str(x) for part in books for e in part for x in e).encode()).hexdigest()
+    return sorted(str((i, "".join(f"{x:02x}" for x in c), min(e, most), min(per[lab], most), sha)) for (i, _, lab), c, e in zip(rows, codes, errors))
+
+
+@pytest.mark.parametrize("how", [{"parts": 3, "entries": 5, "rounds": 4, "scale": 4096}, {"parts": 4, "entries": 16, "rounds": 6, "scale": 64}, {"parts": 2, "entries": 4, "rounds": 3, "scale": 2**36}, {"parts": 2, "entries": 200, "rounds": 2, "scale": 16}])
+def test_vector_codes(spark, how):
+    """Against all distances in every round; widths that parts don't divide; integers of any width."""
+    data = vector_rows()
+    df = spark.createDataFrame(data, VECTORS).withColumn("code", F.lit("x")).withColumn("v", F.lit(1)).repartition(3)
+    got = vector_codes.vector_codes(df, **how)
+    assert sorted(str(tuple(r)) for r in got.collect()) == plain_codes(data, **how)
+
+
+def test_bounds_spare_rescans(spark):
+    """Bounds settle more and more parts."""
+    _, _, scans = vector_codes.fitted_codes(spark.read.parquet(f"{SF}/embeddings.parquet"))
+    assert scans[0] == 500 * 8 and scans[-1] < 0.6 * scans[0]
