@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
-from factweave.operators.ordering import first_two
+from factweave.operators.ordering import scan, spread
+from factweave.operators.shared import stored
 
 LOCAL_PREFIX, MAIN = "meta:local:", "main"
 
@@ -52,12 +52,12 @@ def tombstones_of(tombstones: DataFrame, kind: str) -> DataFrame:
 
 
 def fuzzy(facts: DataFrame, kind: str, term: str) -> DataFrame:
-    """Facts whose target value, key or value has the term's characters in order, any case."""
-    pattern = "(?s)" + ".*".join(f"\\Q{c}\\E" for c in term.lower())
-    hit = F.lit(False)
-    for c in ("target_value", "key", "value"):
-        hit = hit | F.coalesce(F.lower(c).rlike(pattern), F.lit(False))
-    return facts.where((F.col("target_type") == kind) & hit)
+    """Facts whose target value, key or (of strings) value has the term's characters in order, any case.
+    Each character is looked for once, from where the one before was found: nothing is tried again."""
+    pattern = "^" + "".join(f"[^{c}]*+{c}" for c in (f"\\x{{{ord(c):x}}}" for c in term.lower()))
+    has = lambda c: F.coalesce(F.lower(c).rlike(pattern), F.lit(False))
+    in_value = has("value") & (F.col("value_type") == "string") if "value_type" in facts.columns else has("value")
+    return facts.where((F.col("target_type") == kind) & (has("target_value") | has("key") | in_value))
 
 
 def config(facts: DataFrame) -> DataFrame:
@@ -74,23 +74,61 @@ def since_filter(rows: DataFrame, cutoff_s: int | Column, ts: str = "ts") -> Dat
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
-    """n, action, pattern, dests, error, re; ``rules`` has n and rule, in order of precedence."""
-    rows = rules.select("n", C.parse_rule("rule").alias("parsed_rule")).select("n", "parsed_rule.*")
-    return rows.withColumn("re", C.pattern_regex("pattern"))
-
-
-def classify(keys: DataFrame, rules: DataFrame, most_rules: int = 100_000) -> DataFrame:
-    """key, dest for each distinct key and destination; excluded keys have none. Rules are broadcast
-    after a check of their number; only distinct keys are matched."""
-    parsed = parse_rules(rules).where("error is null").select("n", "action", "dests", "re")
-    if parsed.count() > most_rules:
-        raise ValueError(f"more than {most_rules} rules")
-    own = keys.select("key").distinct().where(~F.col("key").startswith(LOCAL_PREFIX))
-    hit = own.join(F.broadcast(parsed), F.regexp_like(F.concat("key", F.lit(":")), F.col("re")), "left")
-    sums = hit.groupBy("key").agg(F.max(F.coalesce(F.col("action") == "exclude", F.lit(False))).alias("out"), F.sort_array(F.collect_list(F.when(F.col("action") == "route", F.struct("n", "dests")))).alias("r"))
-    dests = F.array_distinct(F.flatten(F.col("r.dests")))
-    kept = sums.where("not out").select("key", F.when(F.size(dests) > 0, dests).otherwise(F.array(F.lit(MAIN))).alias("dests"))
-    return kept.select("key", F.explode("dests").alias("dest"))
+    """n, action, pattern, dests, error; ``rules`` has n and rule, in order of precedence."""
+    return rules.select("n", C.parse_rule("rule").alias("parsed_rule")).select("n", "parsed_rule.*")
+
+
+#: Rounds of a walk that go into one plan.
+ROUNDS = 8
+
+
+def rule_trie(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, starts, ends) of the trie over the segments of all patterns. A node is what patterns share
+    of their first segments. edges: node, label, to; a label is ``=`` and a segment, ``*`` for any segment, or
+    ``$`` for the end of the key. Behind ``**`` a node stays at itself on any segment, and whatever gets
+    to a node before ``**`` gets past it too. ends: node, action, dest."""
+    names = F.concat(F.lit("root"), F.lit(":"), "pattern")
+    rows = parsed.select("action", "dests", "pattern", F.split("pattern", ":").alias("segs"), F.split(names, ":").alias("path"))
+    node = lambda i: F.concat(i.cast("string"), F.lit("|"), F.array_join(F.slice("path", 1, i + 1), ":"))
+    seg = lambda i: F.get("segs", i)
+    size = F.size("segs")
+    # how many ``**`` follow each place at once
+    stars = F.aggregate(F.reverse("segs"), F.array(F.lit(0)), lambda found, s: F.concat(F.array(F.when(s == "**", F.get(found, F.lit(0)) + 1).otherwise(0)), found))
+    rows = rows.withColumn("stars", stars)
+    past = lambda i: F.transform(F.sequence(i, i + F.get("stars", i)), node)
+    step = lambda i: (
+        F.when(seg(i) == "**", F.array(F.struct(node(i + 1).alias("node"), F.lit("*").alias("label"), node(i + 1).alias("to"))))
+        .otherwise(F.transform(past(i + 1), lambda to: F.struct(node(i).alias("node"), F.when(seg(i) == "*", "*").otherwise(F.concat(F.lit("="), seg(i))).alias("label"), to.alias("to"))))
+    )
+    steps = rows.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), step))).alias("e")).select("e.*")
+    last = rows.select(node(size).alias("node"), "action", F.explode_outer("dests").alias("dest")).distinct()
+    edges = steps.unionByName(last.select("node", F.lit("$").alias("label"), F.col("node").alias("to"))).distinct()
+    return edges, rows.select(F.explode(past(F.lit(0))).alias("node")).distinct(), last
+
+
+def classify(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """key, dest for each distinct key and destination; excluded keys have none. All keys walk down the
+    trie of the rules at once, a segment a round: what a key costs goes by its segments and the places in the
+    trie that it is at, not by the number of rules. The trie is broadcast where Spark finds it small enough."""
+    parsed = stored(parse_rules(rules).where("error is null").select("n", "action", "dests", "pattern"), "rules")
+    edges, starts, ends = rule_trie(parsed)
+    edges = stored(edges, "trie")
+    own = keys.select("key").distinct().where(~F.col("key").startswith(LOCAL_PREFIX)).withColumn("segs", F.split("key", ":"))
+    own = stored(own, "keys")
+    deepest = own.agg(F.max(F.size("segs"))).first()[0] or 0
+    first = [r["node"] for r in starts.collect()]  # the root, and a node for each leading ``**``
+    at = own.repartition("key").select("key", "segs", F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<string>")).alias("node"))
+    for turn in range(deepest + 1):
+        here = F.get("segs", F.lit(turn))
+        label = F.explode(F.when(here.isNull(), F.array(F.lit("$"))).otherwise(F.array(F.concat(F.lit("="), here), F.lit("*"))))
+        asks = at.select("key", "segs", "node", label.alias("label"))
+        at = asks.join(edges, ["node", "label"]).select("key", "segs", F.col("to").alias("node")).dropDuplicates(["key", "node"])
+        at = stored(at, "walk").repartition("key") if turn % ROUNDS == ROUNDS - 1 else at
+    hit = at.select("key", "node").join(ends, "node")
+    sums = hit.groupBy("key").agg(F.max(F.col("action") == "exclude").alias("out"), F.collect_set(F.when(F.col("action") == "route", F.col("dest"))).alias("dests"))  # each destination once
+    found = own.select("key").join(sums, "key", "left").where("not coalesce(out, false)")
+    dests = F.when(F.size("dests") > 0, F.col("dests")).otherwise(F.array(F.lit(MAIN)))
+    return found.select("key", F.explode(dests).alias("dest"))
 
 
 def route(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -98,17 +136,18 @@ def route(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(classify(rows, rules), "key")
 
 
-def expand_targets(facts: DataFrame, prefixes: DataFrame, most_lengths: int = 1000) -> DataFrame:
+def expand_targets(facts: DataFrame, prefixes: DataFrame) -> DataFrame:
     """kind, prefix, target_value, matches: the first two targets that start with each (kind, prefix);
-    two mean that the prefix is ambiguous. Targets are cut to each length that a prefix has and joined
-    by equality, so there may be any number of prefixes; only their different lengths are few."""
-    asked = prefixes.select("kind", "prefix", F.length("prefix").alias("size")).distinct()
-    sizes = sorted(r["size"] for r in asked.select("size").distinct().limit(most_lengths + 1).collect())
-    if len(sizes) > most_lengths:
-        raise ValueError(f"more than {most_lengths} lengths of prefixes")
-    targets = facts.select(F.col("target_type").alias("kind"), "target_value").distinct()
-    cuts = F.filter(F.array(*(F.lit(n) for n in sizes)).cast("array<int>"), lambda n: n <= F.length("target_value"))
-    each = targets.select("kind", "target_value", F.explode(cuts).alias("size")).withColumn("prefix", F.expr("substring(target_value, 1, size)"))
-    two = first_two(each.join(asked, ["kind", "prefix", "size"]).select("kind", "prefix", "target_value"), ["kind", "prefix"], "target_value")
-    n = F.count(F.lit(1)).over(W.partitionBy("kind", "prefix"))  # of two rows at most
-    return two.select("kind", "prefix", "target_value", n.alias("matches"))
+    two mean that the prefix is ambiguous. In order, the targets of a prefix come right behind it: it is
+    enough to know the next target of every row, and that one's next. Both come from a running minimum over
+    parts of the order, so prefixes may be of any number and length, and a kind of any size."""
+    asked = prefixes.select("kind", F.col("prefix").alias("text"), F.lit(0).alias("is_target")).distinct()
+    targets = facts.select(F.col("target_type").alias("kind"), F.col("target_value").alias("text"), F.lit(1).alias("is_target")).distinct()
+    by, order = ["kind"], [F.col("text"), F.col("is_target")]
+    rows = spread(asked.unionByName(targets).where("kind is not null and text is not null"), by, order)
+    own = lambda c: F.when(F.col("is_target") == 1, c)
+    rows = scan(rows, by, order, own(F.col("text")), "after", "min", before=True, backward=True)
+    rows = scan(rows, by, order, own(F.struct("text", "after")), "next", "min", before=True, backward=True)
+    near = F.filter(F.array("next.text", "next.after"), lambda t: t.startswith(F.col("text")))
+    met = rows.where("is_target = 0").select("kind", F.col("text").alias("prefix"), near.alias("near"))
+    return met.select("kind", "prefix", F.explode("near").alias("target_value"), F.size("near").cast("long").alias("matches"))

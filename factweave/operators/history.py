@@ -1,8 +1,4 @@
-"""Commit graphs and the history of snapshots.
-
-Reachability goes by path doubling: the rounds grow with the logarithm of the longest chain, not with
-its length. Each round is written to the shared folder, so that plans stay short and a lost executor
-costs one round."""
+"""Commit graphs and the history of snapshots. Ancestry goes by the chains of ``ancestry``."""
 
 from __future__ import annotations
 
@@ -10,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
+from factweave.operators.ancestry import Chains
 from factweave.operators.ordering import with_previous
-from factweave.operators.shared import stored
 from factweave.operators.snapshot import PREFIXES, parse_manifests
 
 K = ["target_type", "target_value", "key"]
@@ -22,34 +18,9 @@ def edges_of(commits: DataFrame) -> DataFrame:
     return commits.select("id", F.explode("parents").alias("parent"))
 
 
-def _doubled(jump: DataFrame) -> DataFrame:
-    """Paths twice as long."""
-    to = jump.select(F.col("id").alias("parent"), F.col("parent").alias("far"))
-    return stored(jump.join(to, "parent").select("id", F.col("far").alias("parent")).distinct(), "jump")
-
-
-def reachable(edges: DataFrame, heads: DataFrame, group: str = "head") -> DataFrame:
-    """group, id, depth (fewest steps) of all that each head reaches, itself included. ``heads`` has
-    the group and id columns."""
-    seen = stored(heads.select(group, "id", F.lit(0).cast("long").alias("depth")).distinct(), "reach")
-    jump, step = stored(edges.select("id", "parent").distinct(), "jump"), 1
-    # round k goes on by paths of exactly 2**k steps: any length is a sum of these
-    while not jump.isEmpty():
-        flow = seen.join(jump, "id").select(group, F.col("parent").alias("id"), (F.col("depth") + step).alias("depth"))
-        seen = stored(flow.unionByName(seen).groupBy(group, "id").agg(F.min("depth").alias("depth")), "reach")
-        jump, step = _doubled(jump), step * 2
-    return seen
-
-
 def oldest_reaching(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """id, rank: the smallest rank of a source that reaches each commit. ``sources`` has id and rank."""
-    best = stored(sources.groupBy("id").agg(F.min("rank").alias("rank")), "oldest")
-    jump = stored(edges.select("id", "parent").distinct(), "jump")
-    while not jump.isEmpty():
-        flow = best.join(jump, "id").select(F.col("parent").alias("id"), "rank").unionByName(best)
-        best = stored(flow.groupBy("id").agg(F.min("rank").alias("rank")), "oldest")
-        jump = _doubled(jump)
-    return best
+    return Chains.of(edges, sources).least_reaching(sources)
 
 
 def release_of(commits: DataFrame, tags: DataFrame, skip: DataFrame | None = None) -> DataFrame:
@@ -118,16 +89,9 @@ def hydrate(promised: DataFrame, tip_values: DataFrame) -> DataFrame:
 
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, base for (pair, local, remote): the best common ancestor, which no other common ancestor
-    reaches; of several the one with the fewest steps to both heads, then the smallest id. Each
-    different head's ancestors are found once, however many pairs it is in."""
-    heads = pairs.select(F.col("local").alias("head")).union(pairs.select("remote")).where("head is not null").distinct()
-    up = reachable(edges, heads.withColumn("id", F.col("head")))
-    side = lambda c, d: pairs.select("pair", F.col(c).alias("head")).join(up, "head").select("pair", "id", F.col("depth").alias(d))
-    common = stored(side("local", "dl").join(side("remote", "dr"), ["pair", "id"]), "common")
-    # whatever a common ancestor reaches is one too, so it is enough to look one step up
-    older = common.join(edges, "id").select("pair", F.col("parent").alias("id")).distinct()
-    best = common.join(older, ["pair", "id"], "left_anti")
-    return best.groupBy("pair").agg(F.min_by("id", F.struct(F.col("dl") + F.col("dr"), "id")).alias("base"))
+    reaches; of several the smallest id."""
+    heads = pairs.select(F.col("local").alias("id")).union(pairs.select("remote")).where("id is not null")
+    return Chains.of(edges, heads).best_common(pairs)
 
 
 def merge_strategies(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -145,14 +109,17 @@ def merge_strategies(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def new_versions(edges: DataFrame, old: str, new: str) -> DataFrame:
     """One row, n: versions that the new head reaches and the old one doesn't."""
-    heads = edges.sparkSession.createDataFrame([(old, 0), (new, 1)], "id string, rank int")
-    return oldest_reaching(edges, heads).agg(F.count_if(F.col("rank") == 1).alias("n"))
+    pair = edges.sparkSession.createDataFrame([(0, old, new)], "pair int, old string, new string")
+    return new_versions_each(edges, pair).select("n")
 
 
 def new_versions_each(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, n for (pair, old, new): versions that the new head reaches and the old one doesn't."""
-    heads = pairs.select(F.col("old").alias("head")).union(pairs.select("new")).where("head is not null").distinct()
-    up = reachable(edges, heads.withColumn("id", F.col("head"))).select("head", "id")
-    of = lambda c: pairs.select("pair", F.col(c).alias("head")).join(up, "head").select("pair", "id")
-    fresh = of("new").join(of("old"), ["pair", "id"], "left_anti").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.select("pair").join(fresh, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    heads = pairs.select(F.col("old").alias("id")).union(pairs.select("new")).where("id is not null")
+    return Chains.of(edges, heads).new_each(pairs)
+
+
+def are_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, is_ancestor for (pair, old, new): whether the new head reaches the old one."""
+    heads = pairs.select(F.col("old").alias("id")).union(pairs.select("new")).where("id is not null")
+    return Chains.of(edges, heads).is_ancestor(pairs)

@@ -1,8 +1,14 @@
 """Merging snapshots.
 
 A snapshot's values are a long table: target_type, target_value, key (together K), value_type, id,
-value. A string has one row with an empty id; list entries and set members have a row each. All sides
-of a merge meet in one aggregation on K, so a three-way merge is one shuffle and no join."""
+value. A string has one row with an empty id; list entries and set members have a row each, with ids that
+differ within a key. A side that repeats an id holds it once after a union, with one of its values.
+
+Merges decide on digests. Each side of a key is summed up in one aggregation on K, before and after the
+shuffle alike: how many items it has, and sums of two 64-bit hashes of them. No order of rows counts, no
+list is gathered, and a key of any size is one row a task. Only the decided rows then meet the values of the sides
+that are chosen; entries of lists and sets that are united are grouped by (K, id). Sides whose digests are
+equal are taken as equal, as content ids are."""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ from factweave.functions import scalars
 
 K = ["target_type", "target_value", "key"]
 VALUES = [*K, "value_type", "id", "value"]
-ITEMS = "array<struct<id:string,value:string>>"
+KINDS = ("list", "set", "string")
 
 
 @dataclass
@@ -29,22 +35,39 @@ class Snapshot:
 
 
 def per_key(**sides: DataFrame) -> DataFrame:
-    """A row per K with ``<side>_type`` and the sorted ``<side>_items``; both null where absent."""
+    """A row per K with ``<side>_type``, null where absent, and ``<side>_digest`` of the items."""
     whole = None
     for side, values in sides.items():
-        rows = values.select(*VALUES, F.lit(side).alias("side"))
+        rows = values.select(*K, F.array_position(F.array(*map(F.lit, KINDS)), F.col("value_type")).cast("int").alias("kind"), *_hashes(), F.lit(side).alias("side"))
         whole = rows if whole is None else whole.unionByName(rows)
     aggs = []
     for side in sides:
         here = F.col("side") == side
-        aggs.append(F.max(F.when(here, F.col("value_type"))).alias(f"{side}_type"))
-        aggs.append(F.sort_array(F.collect_list(F.when(here, F.struct("id", "value")))).alias(f"{side}_items"))
-    rows = whole.groupBy(*K).agg(*aggs)
-    return rows.withColumns({f"{s}_items": F.when(F.col(f"{s}_type").isNotNull(), F.col(f"{s}_items")) for s in sides})
+        aggs.append(F.max(F.when(here, F.col("kind"))).alias(f"{side}_kind"))
+        aggs.append(F.count_if(here).alias(f"{side}_n"))
+        aggs += [F.sum(F.when(here, half)).alias(f"{side}_{i}") for i, half in enumerate(_halves())]
+    digest = lambda s: F.struct(F.col(f"{s}_n").alias("n"), *(F.col(f"{s}_{i}").alias(f"h{i}") for i in range(4))).alias(f"{s}_digest")
+    return whole.groupBy(*K).agg(*aggs).select(*K, *(x for s in sides for x in (_kind_name(F.col(f"{s}_kind")).alias(f"{s}_type"), digest(s))))
+
+
+def _hashes() -> tuple[Column, Column]:
+    """Two hashes of an item; nulls are told from empty texts."""
+    null = F.when(F.col("value").isNull(), 1).otherwise(0)
+    return F.xxhash64(F.lit(1), null, "id", "value").alias("g"), F.xxhash64(F.lit(2), "value", "id", null).alias("h")
+
+
+def _halves() -> list[Column]:
+    """32 bits at a time, so that sums of billions of items fit a long."""
+    low = F.lit(2**32 - 1)
+    return [x for c in ("g", "h") for x in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(low))]
+
+
+def _kind_name(code: Column) -> Column:
+    return F.get(F.array(*map(F.lit, KINDS)), code - 1)
 
 
 def _same(a: str, b: str) -> Column:
-    return F.col(f"{a}_type").eqNullSafe(F.col(f"{b}_type")) & F.col(f"{a}_items").eqNullSafe(F.col(f"{b}_items"))
+    return F.col(f"{a}_type").eqNullSafe(F.col(f"{b}_type")) & F.col(f"{a}_digest").eqNullSafe(F.col(f"{b}_digest"))
 
 
 def _has(side: str) -> Column:
@@ -70,26 +93,32 @@ def decisions(base: DataFrame, local: DataFrame, remote: DataFrame, prefer: str
     return rows.withColumns({"reason": reason, "choice": choice})
 
 
-def _union_items() -> Column:
-    """Local entries, and remote ones with other ids."""
-    ids = F.transform("local_items", lambda x: x["id"])
-    return F.sort_array(F.concat("local_items", F.filter("remote_items", lambda x: ~F.array_contains(ids, x["id"]))))
+def chosen_values(rows: DataFrame, **sides: DataFrame) -> DataFrame:
+    """K, value_type, id, value and ``choice`` of the items that each key's choice names. A choice of
+    base means that all sides are equal, so that the base itself isn't read."""
+    choice = F.col("choice")
+    values = None
+    for n, (side, df) in enumerate(sides.items()):
+        part = df.select(*VALUES, F.lit(n).alias("side"))
+        values = part if values is None else values.unionByName(part)
+    names = F.array(*map(F.lit, sides))
+    mine = F.get(names, F.col("side")) == F.when(choice == "base", "local").otherwise(choice)
+    met = values.join(rows.where("choice is not null").select(*K, "choice"), K)
+    plain = met.where(mine).select(*VALUES, "choice")
+    if "remote" not in sides:
+        return plain
+    united = met.where(choice == "union").groupBy(*K, "value_type", "choice", "id").agg(F.min_by("value", "side").alias("value"))
+    return plain.unionByName(united)
 
 
-def chosen_values(rows: DataFrame, sides: tuple[str, ...]) -> DataFrame:
-    """K, value_type, id, value and ``choice`` of the items that each key's choice names."""
-    items, kind = F.when(F.lit(False), F.array().cast(ITEMS)), F.when(F.lit(False), F.lit(""))
-    for s in sides:
-        items = items.when(F.col("choice") == s, F.col(f"{s}_items"))
-        kind = kind.when(F.col("choice") == s, F.col(f"{s}_type"))
-    if "local" in sides:
-        items, kind = items.when(F.col("choice") == "union", _union_items()), kind.when(F.col("choice") == "union", F.col("local_type"))
-    return rows.where("choice is not null").select(*K, kind.alias("value_type"), "choice", F.explode(items).alias("i")).select(*K, "value_type", "i.id", "i.value", "choice")
+def merged_values(rows: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """The values that ``decisions`` chose of three snapshots, with ``choice``."""
+    return chosen_values(rows, local=local, remote=remote)
 
 
 def merge3(base: DataFrame, local: DataFrame, remote: DataFrame, prefer: str = "local") -> DataFrame:
     """Merged values of three snapshots."""
-    return chosen_values(decisions(base, local, remote, prefer), ("base", "local", "remote")).drop("choice")
+    return merged_values(decisions(base, local, remote, prefer), local, remote).drop("choice")
 
 
 def conflicts(base: DataFrame, local: DataFrame, remote: DataFrame, prefer: str = "local") -> DataFrame:
@@ -116,21 +145,27 @@ def ff_delta(local: DataFrame, remote: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(~l & r).alias("added"), F.count_if(l & r & ~_same("local", "remote")).alias("changed"), F.count_if(l & ~r).alias("removed"))
 
 
-def _states(values: DataFrame, tombstones: DataFrame, side: str) -> DataFrame:
-    """A row per K of one side: its value if there is one, else its tombstone, as text and kind."""
-    v = per_key(x=values).select(*K, F.struct(F.lit(1).alias("rank"), F.lit("value").alias("kind"), F.col("x_type").alias("value_type"), F.col("x_items").alias("items"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("email")).alias("s"))
-    t = tombstones.select(*K, F.struct(F.lit(0).alias("rank"), F.lit("tombstone").alias("kind"), F.lit(None).cast("string").alias("value_type"), F.lit(None).cast(ITEMS).alias("items"), F.col("ts").cast("long").alias("ts"), F.col("email").alias("email")).alias("s"))
-    return v.unionByName(t).groupBy(*K).agg(F.max_by("s", "s.rank").alias("s")).withColumn("side", F.lit(side))
+def decisions2(local: Snapshot, remote: Snapshot, prefer: str = "local") -> DataFrame:
+    """Without a common ancestor: K, ``choice`` (local or remote), kind (value or tombstone), ts and email
+    of a tombstone, and ``conflict`` where the sides differ. A side's tombstone counts where it has no value."""
+    rows = per_key(local=local.values, remote=remote.values)
+    for side, snap in (("local", local), ("remote", remote)):
+        dead = snap.tombstones.groupBy(*K).agg(F.max(F.struct(F.col("ts").cast("long").alias("ts"), "email")).alias(f"{side}_dead"))
+        rows = rows.join(dead, K, "full")
+    dead = lambda s: F.when(~_has(s), F.col(f"{s}_dead"))
+    there = lambda s: _has(s) | F.col(f"{s}_dead").isNotNull()
+    alike = (_has("local") == _has("remote")) & F.when(_has("local"), _same("local", "remote")).otherwise(dead("local").eqNullSafe(dead("remote")))
+    other = "remote" if prefer == "local" else "local"
+    picked = lambda f: F.when(there(prefer), f(prefer)).otherwise(f(other))
+    out = rows.select(*K, picked(F.lit).alias("choice"), picked(_has).alias("live"), picked(dead).alias("dead"), (there("local") & there("remote") & ~alike).alias("conflict"))
+    return out.select(*K, "choice", F.when(F.col("live"), "value").otherwise("tombstone").alias("kind"), "dead.ts", "dead.email", "conflict")
 
 
-def merge2(local: Snapshot, remote: Snapshot, prefer: str = "local") -> DataFrame:
-    """Without a common ancestor: K, kind, value_type, items, ts, email of what is selected, and
-    ``conflict`` where the sides differ."""
-    rows = _states(local.values, local.tombstones, "local").unionByName(_states(remote.values, remote.tombstones, "remote"))
-    other = "remote" if prefer == "local" else "local"
-    both = rows.groupBy(*K).agg(F.first(F.when(F.col("side") == "local", F.col("s")), True).alias("local"), F.first(F.when(F.col("side") == "remote", F.col("s")), True).alias("remote"))
-    clash = F.col("local").isNotNull() & F.col("remote").isNotNull() & ~F.col("local").eqNullSafe(F.col("remote"))
-    return both.select(*K, F.coalesce(prefer, other).alias("s"), clash.alias("conflict")).select(*K, "s.kind", "s.value_type", "s.items", "s.ts", "s.email", "conflict")
+def merge2(local: Snapshot, remote: Snapshot, prefer: str = "local") -> Snapshot:
+    """The values and tombstones that a merge without a common ancestor selects."""
+    rows = decisions2(local, remote, prefer)
+    values = chosen_values(rows.where("kind = 'value'"), local=local.values, remote=remote.values).drop("choice")
+    return Snapshot(values, rows.where("kind = 'tombstone'").select(*K, "ts", "email"))
 
 
 def merge_tombstones(base: DataFrame, local: DataFrame, remote: DataFrame, merged: DataFrame) -> DataFrame:
@@ -187,18 +222,15 @@ def planned(state: DataFrame, snap: Snapshot) -> DataFrame:
 def apply_snapshot(state: DataFrame, snap: Snapshot) -> DataFrame:
     """The state after a merged snapshot: only keys that differ are written, tombstoned ones go."""
     rows = planned(state, snap).withColumn("choice", F.when(F.col("op") == "rm", F.lit(None)).when(F.col("op") == "set", "new").otherwise("now"))
-    return chosen_values(rows, ("now", "new")).drop("choice")
+    return chosen_values(rows, now=state, new=live_values(snap)).drop("choice")
 
 
 def plan_changes(state: DataFrame, snap: Snapshot, implicit: DataFrame | None = None) -> DataFrame:
     """Dry run: K, op, value_type and a preview of each change; nothing is written."""
-    rows = planned(state, snap).where("op is not null")
-    items, kind = F.when(F.col("op") == "set", F.col("new_items")), F.when(F.col("op") == "set", F.col("new_type"))
-    text = (
-        F.when(kind == "string", scalars.truncate(F.get(items, F.lit(0))["value"])).when(kind == "list", F.format_string("[list: %d items]", F.size(items)))
-        .when(kind == "set", F.format_string("[set: %d members]", F.size(items)))
-    )
-    plan = rows.select(*K, "op", kind.alias("value_type"), text.alias("preview"))
+    rows = planned(state, snap).where("op is not null").select(*K, "op", F.when(F.col("op") == "set", F.col("new_type")).alias("value_type"), F.col("new_digest.n").alias("n"))
+    text = live_values(snap).where("value_type = 'string'").select(*K, F.lit("set").alias("op"), "value_type", scalars.truncate("value").alias("text"))
+    size = F.when(F.col("value_type") == "list", F.format_string("[list: %d items]", "n")).when(F.col("value_type") == "set", F.format_string("[set: %d members]", "n"))
+    plan = rows.join(text, [*K, "op", "value_type"], "left").select(*K, "op", "value_type", F.coalesce("text", size).alias("preview"))
     if implicit is not None:
         gone = implicit.select(*K).distinct().select(*K, F.lit("rm").alias("op"), F.lit(None).cast("string").alias("value_type"), F.lit(None).cast("string").alias("preview"))
         plan = plan.unionByName(gone).dropDuplicates([*K, "op"])
@@ -255,9 +287,7 @@ def materialise(state: DataFrame, base: Snapshot | None, local: Snapshot, remote
         elif strategy == "three-way":
             state = three_way(state, base, local, remote)[0]
         elif strategy == "two-way":
-            picked = merge2(local, remote)
-            values = picked.where("kind = 'value'").select(*K, "value_type", F.explode("items").alias("i")).select(*K, "value_type", "i.id", "i.value")
-            state = apply_snapshot(state, Snapshot(values, picked.where("kind = 'tombstone'").select(*K, "ts", "email")))
+            state = apply_snapshot(state, merge2(local, remote))
         elif strategy != "up-to-date":
             raise ValueError(f"unknown strategy {strategy}")
         state = checkpoint(state) if checkpoint else state

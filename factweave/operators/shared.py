@@ -26,12 +26,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _written[-1]
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a whole table was written there."""
+    fs, at = _at(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, at = _at(spark, path)
+        fs.delete(at, True)
+
+
 def clear(spark: SparkSession, mark: int = 0) -> None:
     """Removes all that this process wrote there since ``len(_written)`` was ``mark``: call it when no
     frame that reads it is needed any more."""
     while len(_written) > mark:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        remove(spark, _written.pop())
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:

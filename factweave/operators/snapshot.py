@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
 from factweave.operators.merge import K, VALUES, Snapshot
+from factweave.operators.versions import Store
 
 MAX_CHANGES = 1000
 TOMB = "struct<timestamp:bigint,email:string>"
@@ -68,26 +69,28 @@ def parse_snapshot(files: DataFrame) -> Snapshot:
     return Snapshot(values, tombs, member, entry)
 
 
-def render_incremental(previous: DataFrame, files: DataFrame, mutations: DataFrame, since: int) -> DataFrame:
-    """path, content: targets touched after ``since`` are taken from the new ``files`` (only these
-    need rendering), all others carried over from the previous output."""
-    dirty = mutations.where(F.col("ts") > since).select("target_type", "target_value").distinct()
-    at = ["target_type", "target_value"]
-    kept = previous.join(dirty, at, "left_anti").select("path", "content")
-    return kept.unionByName(files.join(dirty, at, "left_semi").select("path", "content"))
-
-
-def digest(files: DataFrame) -> DataFrame:
-    """One row that tells equal file sets from others: count and two sums over hashes."""
-    return files.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "content")).alias("x"), F.sum(F.xxhash64("content", "path").cast("decimal(38,0)")).alias("s"),
-    )
-
-
-def is_unchanged(previous: DataFrame, files: DataFrame) -> DataFrame:
-    """One row, ``unchanged``: a full shuffle of neither side."""
-    a, b = digest(previous), digest(files)
-    return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).agg((F.count_distinct("n", F.coalesce("x", F.lit(0)), F.coalesce("s", F.lit(0))) == 1).alias("unchanged"))
+def export_incremental(store: Store, parent: str, version: str, snap: Snapshot, mutations: DataFrame, since: int) -> list[int]:
+    """A version after ``parent`` with the targets touched after ``since`` as ``snap`` has them. Only these
+    are rendered, and only their buckets read and written; returns the buckets that changed, and makes
+    no version if none did."""
+    dirty = mutations.where(F.col("ts") > since).select(*store.of).distinct()
+    of = lambda t: None if t is None else t.join(dirty, list(store.of), "left_semi")
+    files = render_snapshot(Snapshot(of(snap.values), of(snap.tombstones), of(snap.set_tombstones), of(snap.list_tombstones)))
+    return store.follow(parent, version, dirty, files)
+
+
+def apply_changes(values: DataFrame, changes: DataFrame) -> DataFrame:
+    """The values after the changes between two versions (path, status, content): new and changed files
+    are set, gone ones removed, and a new tombstone removes what its key had. The cost follows the changes, but for
+    one pass over the values."""
+    item = [*K, "value_type", "id"]
+    rows = parsed(changes.select("path", F.struct("status", "content").alias("content")))
+    rows = rows.withColumn("value_type", F.when(F.col("shape") == "value", "string").otherwise(F.col("shape")))
+    items = rows.where("shape in ('value', 'list', 'set')")
+    new = items.where("content.status != 'D'").select(*item, F.col("content.content").alias("value"))
+    dead = rows.where("shape = 'tombstone' and content.status = 'A'").select(*K).distinct()
+    left = values.join(items.select(*item), item, "left_anti").join(dead, K, "left_anti")
+    return left.select(*item, "value").unionByName(new)
 
 
 def write_routed(files: DataFrame, path: str) -> None:

@@ -3,8 +3,8 @@
 ``mutations`` rows: seq, target_type, target_value, key (together K), op (set, rm, push, pop,
 list_rm, set_add, set_rm), value, value_type, idx, email, ts. Within a key, order is by seq.
 
-Each fold is one aggregation or window over K. Keys whose outcome hangs on the order of unlike
-operations (``list_rm``, pushes after pops, several types) go through one sequential fold per key;
+Each fold is an aggregation over K, or a running one that is split over tasks within a key. Keys whose
+outcome hangs on the order of unlike operations (``list_rm``, pushes after pops, several types) go through one sequential fold per key;
 all other keys stay in built-in functions."""
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars
+from factweave.operators.ordering import increasing, scan, spread
 from factweave.operators.shared import stored
 
 K = ["target_type", "target_value", "key"]
@@ -59,11 +60,6 @@ def state_from_log(log: DataFrame) -> DataFrame:
     return last_per_key(log).select(*K, "op", "value", F.col("ts").alias("last_ts"))
 
 
-def _after_last(op: str, keys: list[str]) -> Column:
-    """seq of the last row with this op over the whole key."""
-    return F.max(F.when(F.col("op") == op, F.col("seq"))).over(W.partitionBy(*keys))
-
-
 def fold_strings(mutations: DataFrame) -> DataFrame:
     """K, value, last_ts, email of string keys whose last write isn't undone."""
     own = mutations.where("op in ('set', 'rm') and value_type = 'string'")
@@ -85,29 +81,30 @@ def fold_remove(mutations: DataFrame) -> DataFrame:
     return _first_after(mutations.where("op = 'rm'"), mutations.where("op in ('set', 'push', 'set_add')"), K)
 
 
-def bumped(order: Column, keys: list[str] = K) -> Column:
-    """ts made strictly increasing along ``order``: each is at least one more than the one before."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    return F.max(F.col("ts") - n).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) + n
+def bumped(rows: DataFrame, order: list[Column], keys: list[str] = K) -> DataFrame:
+    """ts made strictly increasing along ``order``; a key of any number of rows is spread over tasks."""
+    return increasing(rows, keys, order, "ts")
 
 
 def fold_list_push(mutations: DataFrame) -> DataFrame:
     """K, value, ts: list entries of keys that see pushes only. A string set before the first push is
     an entry with ts 0."""
-    own = mutations.where("op = 'push' or op = 'set' and value_type = 'string'")
-    first = F.min(F.when(F.col("op") == "push", F.col("seq"))).over(W.partitionBy(*K))
-    seed = F.max(F.when((F.col("op") == "set") & (F.col("seq") < F.col("first")), F.col("seq"))).over(W.partitionBy(*K))
-    rows = own.withColumn("first", first).where("first is not null").withColumn("seed", seed)
-    rows = rows.where("op = 'push' or seq = seed").withColumn("ts", F.when(F.col("op") == "set", F.lit(0).cast("long")).otherwise(F.col("ts")))
-    return rows.select(*K, "value", bumped(F.col("seq")).alias("ts"))
+    pushes, sets = mutations.where("op = 'push'"), mutations.where("op = 'set' and value_type = 'string'")
+    first = pushes.groupBy(*K).agg(F.min("seq").alias("first"))
+    seeds = sets.join(first, K).where("seq < first").groupBy(*K).agg(F.max_by(F.struct("seq", "value"), "seq").alias("s"))
+    seeds = seeds.select(*K, "s.seq", "s.value", F.lit(0).cast("long").alias("ts"))
+    rows = pushes.select(*K, "seq", "value", F.col("ts").cast("long").alias("ts")).unionByName(seeds)
+    return bumped(rows, [F.col("seq")]).select(*K, "value", "ts")
 
 
 def fold_list_set(mutations: DataFrame) -> DataFrame:
     """K, value, ts after whole-list writes: the last one replaces all entries, later pushes follow."""
-    own = mutations.where("value_type = 'list' and op in ('set', 'push')").withColumn("cut", _after_last("set", K)).where("cut is null or seq >= cut")
+    own = mutations.where("value_type = 'list' and op in ('set', 'push')")
+    cut = own.where("op = 'set'").groupBy(*K).agg(F.max("seq").alias("cut"))
+    own = own.join(cut, K, "left").where("cut is null or seq >= cut")
     items = F.when(F.col("op") == "set", scalars.decode_list("value")).otherwise(F.array(F.struct("ts", "value")))
-    rows = own.select(*K, "seq", F.posexplode(items).alias("pos", "i")).select(*K, F.struct("seq", "pos").alias("o"), "i.ts", "i.value")
-    return rows.select(*K, "value", bumped(F.col("o")).alias("ts"))
+    rows = own.select(*K, "seq", F.posexplode(items).alias("pos", "i")).select(*K, "seq", "pos", "i.ts", "i.value")
+    return bumped(rows, [F.col("seq"), F.col("pos")]).select(*K, "value", "ts")
 
 
 def fold_set_set(mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,14 +135,14 @@ def fold_list_pop(mutations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects) of keys that see pushes and pops, none of a pop before a push: a pop takes
     the last equal entry, found as matching brackets by the running balance of each value."""
     own = mutations.where("op in ('push', 'pop')")
-    pushed = own.where("op = 'push'").withColumn("ts", bumped(F.col("seq")))
-    rows = pushed.unionByName(own.where("op = 'pop'"))
-    w = W.partitionBy(*K, "value").orderBy("seq")
-    total = F.sum(F.when(F.col("op") == "push", 1).otherwise(-1)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("s", total)
-    rows = rows.withColumn("low", F.least(F.lit(0), F.min("s").over(w.rowsBetween(W.unboundedPreceding, 0))))
-    rows = rows.withColumn("before", F.coalesce(F.lag("low").over(w), F.lit(0))).withColumn("height", F.col("s") - F.col("low"))
-    rows = rows.withColumn("later", F.min("height").over(w.rowsBetween(1, W.unboundedFollowing)))
+    pushed = bumped(own.where("op = 'push'"), [F.col("seq")])
+    by, order = [*K, "value"], [F.col("seq")]
+    rows = spread(pushed.unionByName(own.where("op = 'pop'")).select(*by, "seq", "op", "ts"), by, order)
+    rows = scan(rows, by, order, F.when(F.col("op") == "push", 1).otherwise(-1), "s", "sum")
+    rows = scan(rows, by, order, F.col("s"), "lowest", "min", before=True)
+    # a pop that finds nothing sets a new low below nought; heights above the low match like brackets
+    rows = rows.withColumn("before", F.least(F.lit(0), "lowest")).withColumn("low", F.least("before", "s")).withColumn("height", F.col("s") - F.col("low"))
+    rows = scan(rows, by, order, F.col("height"), "later", "min", before=True, backward=True)
     entries = rows.where("op = 'push' and coalesce(later, height) >= height").select(*K, "value", "ts")
     missed = rows.where("op = 'pop' and low < before").select("seq", *K)
     return entries, _missing(missed, own.where("op = 'push'"))

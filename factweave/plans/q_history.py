@@ -121,6 +121,16 @@ def j20(s):
     return H.new_versions_each(H.edges_of(c), ends)
 
 
+@query("j20_are_ancestors", PAIRS + "SELECT CAST(o_custkey AS VARCHAR) AS pair, TRUE AS up, len = 1 AS down FROM e")
+def j20a(s):
+    """Each customer's last commit reaches the first; the other way only where they are one."""
+    c = _commits(s)
+    ends = c.groupBy(F.col("o_custkey").cast("string").alias("pair")).agg(F.min_by("id", F.struct("ts", "o_orderkey")).alias("old"), F.max_by("id", F.struct("ts", "o_orderkey")).alias("new"))
+    both = ends.select(F.concat("pair", F.lit("u")).alias("pair"), "old", "new").unionByName(ends.select(F.concat("pair", F.lit("d")).alias("pair"), F.col("new").alias("old"), F.col("old").alias("new")))
+    got = H.are_ancestors(H.edges_of(c), both).select(F.expr("substring(pair, 1, length(pair) - 1)").alias("p"), F.right("pair", F.lit(1)).alias("way"), "is_ancestor")
+    return got.groupBy(F.col("p").alias("pair")).agg(F.max(F.when(F.col("way") == "u", F.col("is_ancestor"))).alias("up"), F.max(F.when(F.col("way") == "d", F.col("is_ancestor"))).alias("down"))
+
+
 @query("a11_summarise_sessions", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, string_agg(DISTINCT role, ',' ORDER BY role) FILTER (role <> 'system') AS models, string_agg(DISTINCT 't' || turn % 2, ',' ORDER BY 't' || turn % 2) AS tools, sum(length(text)) AS input_tokens, sum(turn) AS output_tokens,
   count(*) AS messages, min(ts) AS start_ts, max(ts) AS end_ts, (max(ts) - min(ts)) // 1000 AS seconds FROM {chat} GROUP BY conv_id HAVING count(*) >= 2""")

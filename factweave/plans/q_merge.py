@@ -30,12 +30,12 @@ COLS = "target_type, target_value, key, value_type, id, value"
 
 @query("m1_merge3", PER_KEY + f"SELECT {COLS}, choice AS resolution FROM merged JOIN c USING (target_type, target_value, key)")
 def merge3(s):
-    return M.chosen_values(M.decisions(s.base, s.local, s.remote), ("base", "local", "remote")).withColumnRenamed("choice", "resolution")
+    return M.merged_values(M.decisions(s.base, s.local, s.remote), s.local, s.remote).withColumnRenamed("choice", "resolution")
 
 
 @query("m2_union_resolution", PER_KEY + f"SELECT {COLS} FROM merged JOIN c USING (target_type, target_value, key) WHERE choice = 'union'")
 def union_resolution(s):
-    return M.chosen_values(M.decisions(s.base, s.local, s.remote).where("choice = 'union'"), ("base", "local", "remote")).drop("choice")
+    return M.merged_values(M.decisions(s.base, s.local, s.remote).where("choice = 'union'"), s.local, s.remote).drop("choice")
 
 
 @query("m3_conflicts", PER_KEY + "SELECT target_type, target_value, key, reason, choice AS resolution FROM c WHERE reason IS NOT NULL")
@@ -51,9 +51,12 @@ r AS (SELECT * FROM rv UNION ALL SELECT target_type, target_value, key, 'tombsto
 SELECT target_type, target_value, key, coalesce(l.kind, r.kind) AS kind, coalesce(l.s, r.s) AS state, l.s IS NOT NULL AND r.s IS NOT NULL AND (l.s <> r.s OR l.kind <> r.kind) AS conflict
 FROM l FULL JOIN r USING (target_type, target_value, key)""")
 def merge2(s):
-    rows = M.merge2(Snapshot(s.local, s.tomb_local), Snapshot(s.remote, s.tomb_remote))
-    text = F.concat("value_type", F.array_join(F.transform("items", lambda x: F.concat(x["id"], F.lit("="), x["value"])), "|"))
-    return rows.select(*K, "kind", F.coalesce(text, F.concat(F.col("ts").cast("string"), "email")).alias("state"), "conflict")
+    """Of each key the selected state, as one text."""
+    local, remote = Snapshot(s.local, s.tomb_local), Snapshot(s.remote, s.tomb_remote)
+    items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: F.concat(x["id"], F.lit("="), x["value"])), "|")
+    values = M.merge2(local, remote).values.groupBy(*K).agg(F.concat(F.max("value_type"), items).alias("text"))
+    rows = M.decisions2(local, remote).join(values, K, "left")
+    return rows.select(*K, "kind", F.coalesce("text", F.concat(F.col("ts").cast("string"), "email")).alias("state"), "conflict")
 
 
 TOMBS = PER_KEY[:-1] + """,

@@ -19,7 +19,7 @@ KC = "target_type, target_value, key"
 WITH n AS (SELECT seq, target_type, target_value, key, ts, row_number() OVER (PARTITION BY {KC} ORDER BY seq) AS n FROM {{queue}} WHERE op = 'push')
 SELECT seq, max(ts - n) OVER (PARTITION BY {KC} ORDER BY n) + n AS ts FROM n""")
 def n2(s):
-    return s.queue.where("op = 'push'").select("seq", S.bumped(F.col("seq")).alias("ts"))
+    return S.bumped(s.queue.where("op = 'push'"), [F.col("seq")]).select("seq", "ts")
 
 
 @query("n3_last_op", f"SELECT {KC}, value, arg_max(op, seq) AS op FROM {{mut}} WHERE value_type = 'set' GROUP BY ALL")

@@ -10,6 +10,7 @@ from factweave.operators import filters as P
 from factweave.operators import snapshot as N
 from factweave.operators.merge import K, Snapshot
 from factweave.operators.shared import scratch
+from factweave.operators.versions import Store
 from factweave.plans.q_scalars import BASE
 from factweave.plans.registry import query
 from factweave.sources import tables
@@ -96,10 +97,13 @@ def s6(s):
 old AS (SELECT target_type, target_value, path, content || '?' AS content FROM files)
 SELECT path, content FROM old ANTI JOIN dirty USING (target_type, target_value) UNION ALL SELECT path, content FROM files SEMI JOIN dirty USING (target_type, target_value)""")
 def s7(s):
-    files = N.render_snapshot(_local(s))
-    old = files.withColumn("content", F.concat("content", F.lit("?")))
+    """A version of all files, then one that follows it with the touched targets as they are now."""
+    now = _local(s)
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store.write(N.render_snapshot(now).withColumn("content", F.concat("content", F.lit("?"))), "old")
     touched = s.chat.select("target_type", "target_value", F.when(F.col("conv_id") % 3 == 0, 10).otherwise(1).alias("ts"))
-    return N.render_incremental(old, files, touched, 5)
+    N.export_incremental(store, "old", "new", now, touched, 5)
+    return store.read("new").select("path", "content")
 
 
 ROUTE_RULES = r"""
@@ -118,9 +122,14 @@ def s8(s):
 
 @query("s9_is_unchanged", "SELECT count(*) > 0 AS same, count(*) = 0 AS other FROM {local}")
 def s9(s):
-    files = N.render_snapshot(_local(s)).select("path", "content")
-    same, other = N.is_unchanged(files, files.repartition(3)), N.is_unchanged(files, files.where("content <> 'user'"))
-    return same.select(F.col("unchanged").alias("same")).crossJoin(other.select(F.col("unchanged").alias("other")))
+    """The same files once more make no version; fewer do, and its manifest tells."""
+    files = N.render_snapshot(_local(s))
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store.write(files, "one")
+    again = store.follow("one", "again", files, files.repartition(3))
+    store.follow("one", "other", files, files.where("content <> 'user'"))
+    same = not again and not store.exists("again")
+    return s.spark.createDataFrame([(same, store.exists("other") and store.unchanged("one", "other"))], "same boolean, other boolean")
 
 
 SINCE = 1_706_000_000_000
@@ -237,10 +246,21 @@ def p10(s):
 WITH a AS (SELECT {BASE} || '/' || replace(key, ':', '/') AS path, value FROM {{base}} WHERE value_type = 'string'), b AS (SELECT {BASE} || '/' || replace(key, ':', '/') AS path, value FROM {{local}} WHERE value_type = 'string')
 SELECT path || '/__value' AS path, CASE WHEN a.value IS NULL THEN 'A' WHEN b.value IS NULL THEN 'D' ELSE 'M' END AS status FROM a FULL JOIN b USING (path) WHERE a.value IS DISTINCT FROM b.value""")
 def m16(s):
-    from factweave.operators.merge import diff_snapshots
-
+    """Two versions in a store, compared by their digests."""
     files = lambda v: N.render_snapshot(Snapshot(v.where("value_type = 'string'")))
-    return diff_snapshots(files(s.base), files(s.local))
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store.write(files(s.base), "base")
+    store.write(files(s.local), "local")
+    return store.diff("base", "local")
+
+
+@query("m16_import_changes", f"SELECT {KC}, value_type, id, value FROM {{remote}}")
+def m16i(s):
+    """The base state takes over what changed from its version to the remote one."""
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store.write(N.render_snapshot(Snapshot(s.base, s.tomb_base)), "base")
+    store.write(N.render_snapshot(Snapshot(s.remote, s.tomb_remote)), "remote")
+    return N.apply_changes(s.base, store.diff("base", "remote", contents=True))
 
 
 @query("j4_expand_targets", """

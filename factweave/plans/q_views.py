@@ -117,9 +117,8 @@ def f27(s):
 
 @query("j1_facts_with_payload", f"SELECT {KC}, value_type, string_agg(value, '|' ORDER BY id, value) AS items FROM {{local}} GROUP BY {KC}, value_type")
 def j1(s):
-    from factweave.operators.merge import per_key
-
-    return per_key(local=s.local).select(*K, F.col("local_type").alias("value_type"), F.array_join("local_items.value", "|").alias("items"))
+    values = F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"])
+    return s.local.groupBy(*K, "value_type").agg(F.array_join(values, "|").alias("items"))
 
 
 @query("j2_authorship", f"""

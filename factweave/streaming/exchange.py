@@ -1,14 +1,15 @@
-"""Exchange of snapshots between stores over a shared folder: each version is a folder of its own, a
-small head file names each. A push takes effect only if the head hasn't moved meanwhile."""
+"""Exchange of snapshots between stores over a shared folder. A version is a folder; a push writes its
+values aside and takes the next number by renaming them there, which fails if another store has it."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from factweave.operators.merge import VALUES, merge2, merge3, Snapshot
+from factweave.operators.merge import VALUES, Snapshot, merge2, merge3
 
 TRIES = 5
 NO_TOMBS = "target_type string, target_value string, key string, ts long, email string"
@@ -16,88 +17,52 @@ NO_TOMBS = "target_type string, target_value string, key string, ts long, email
 
 @dataclass
 class Exchange:
-    """``versions/N-attempt`` holds a version's values, ``heads/N`` names the attempt that became
-    version N, ``claims/N-lease`` the attempt that may write that head. A claim is good for ``lease_ms``:
-    when its store died, the next lease's claim takes its place. Whoever writes a head first has it; the
-    head file is created, never rewritten, so two stores that both hold a claim can't both succeed. The
-    folder must lie in a file system whose exclusive create is atomic, as HDFS is."""
+    """``versions/N`` holds version N whole. The rename without overwriting is the only step that stores may
+    race for, so the folder must lie in a file system where it is atomic, as in HDFS. What a store that died
+    had written aside is never read."""
 
     spark: SparkSession
     path: str
-    lease_ms: int = 60_000
 
-    def _fs(self, name: str):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
-
-    def _names(self, folder: str) -> list[str]:
-        fs, at = self._fs(folder)
-        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-
-    def _create(self, name: str, text: str) -> bool:
-        """A small file, whole or not at all; false if it is there already."""
-        fs, at = self._fs(name)
-        fs.mkdirs(at.getParent())
-        try:
-            out = fs.create(at, False)
-        except Exception:  # noqa: BLE001  another store was first
-            return False
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def head(self) -> int:
-        """Number of the newest version, -1 if there is none. A head without content is one whose store
-        is writing it just now, or died at it."""
-        fs, at = self._fs("heads")
+        """Number of the newest version, -1 if there is none."""
+        at = self._at("versions")
+        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         files = fs.listStatus(at) if fs.exists(at) else []
-        return max((int(x.getPath().getName()) for x in files if x.getLen() > 0 and x.getPath().getName().isdigit()), default=-1)
+        return max((int(x.getPath().getName()) for x in files if x.getPath().getName().isdigit()), default=-1)
 
     def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/versions/{version}-{self._attempt(version)}")
-
-    def _attempt(self, version: int) -> str:
-        fs, at = self._fs(f"heads/{version}")
-        stream = fs.open(at)
+        return self.spark.read.parquet(f"{self.path}/versions/{version}")
+
+    def commit(self, values: DataFrame, parent: int) -> bool:
+        """Whether the values became the version after ``parent``."""
+        aside = f"aside/{uuid.uuid4().hex}"
+        values.select(*VALUES).write.parquet(f"{self.path}/{aside}")
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        kind = getattr(fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        to = self._at(f"versions/{parent + 1}")
+        files = fs.FileContext.getFileContext(to.toUri(), conf)
+        files.mkdir(to.getParent(), fs.permission.FsPermission.getDirDefault(), True)
         try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def claim(self, version: int, attempt: str) -> bool:
-        """Whether this attempt may write the head. Leases count up; a new one opens when the last is
-        older than ``lease_ms`` by the folder's own clock."""
-        fs, _ = self._fs("claims")
-        own = [x for x in self._names("claims") if x.startswith(f"{version}-")]
-        if own:
-            newest = max(own, key=lambda x: int(x.rpartition("-")[2]))
-            probe = f"probes/{attempt}"
-            self._create(probe, "")
-            now, since = (fs.getFileStatus(self._fs(x)[1]).getModificationTime() for x in (probe, f"claims/{newest}"))
-            fs.delete(self._fs(probe)[1], False)
-            if now - since < self.lease_ms:
+            files.rename(self._at(aside), to, how)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
                 return False
-        return self._create(f"claims/{version}-{len(own)}", attempt)
-
-    def commit(self, values: DataFrame, parent: int, attempt: str) -> bool:
-        """Writes the values, then claims and writes the next head; false if another store was first."""
-        version = parent + 1
-        values.select(*VALUES).write.mode("overwrite").parquet(f"{self.path}/versions/{version}-{attempt}")
-        if self.head() != parent or not self.claim(version, attempt):
-            return False
-        fs, at = self._fs(f"heads/{version}")
-        if self.head() == parent and fs.exists(at):  # of a store that died at it: its lease is over
-            fs.delete(at, False)
-        return self._create(f"heads/{version}", attempt) and self._attempt(version) == attempt
+            raise
+        return True
 
 
 def merged(base: DataFrame | None, local: DataFrame, remote: DataFrame) -> DataFrame:
     if base is not None:
         return merge3(base, local, remote)
     none = local.sparkSession.createDataFrame([], NO_TOMBS)
-    rows = merge2(Snapshot(local, none), Snapshot(remote, none)).where("kind = 'value'")
-    return rows.select("target_type", "target_value", "key", "value_type", F.explode("items").alias("i")).select("target_type", "target_value", "key", "value_type", "i.id", "i.value")
+    return merge2(Snapshot(local, none), Snapshot(remote, none)).values
 
 
 def pull(shared: Exchange, local: DataFrame, base: int | None = None) -> tuple[DataFrame, int]:
@@ -111,11 +76,9 @@ def pull(shared: Exchange, local: DataFrame, base: int | None = None) -> tuple[D
 def push(shared: Exchange, local: DataFrame, base: int | None = None, tries: int = TRIES) -> DataFrame:
     """Merges with the newest version and commits; if the head moved meanwhile, again, up to ``tries``
     times. Returns the committed values."""
-    import uuid
-
     for _ in range(tries):
         values, head = pull(shared, local, base)
-        if shared.commit(values, head, uuid.uuid4().hex):
+        if shared.commit(values, head):
             return shared.read(head + 1)
     raise RuntimeError(f"the head moved {tries} times")
 
