@@ -18,59 +18,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.ordering import scanned
-from factweave.operators.shared import stored
+from factweave.operators.shared import stored, stored_counting
 
 #: Edges that leave one chain are dealt out so many ways when labels meet them.
 SLICES = 8
 
 
+def _doubled(state: DataFrame) -> DataFrame:
+    """Pointers (n, to, bottom, pos) twice as long: ``bottom`` is where they get to, ``pos`` how far it is."""
+    on = state.select(F.col("n").alias("to"), F.col("to").alias("far"), F.col("bottom").alias("deep"), F.col("pos").alias("more"))
+    return state.join(on, "to", "left").select("n", F.col("far").alias("to"), F.coalesce("deep", "bottom").alias("bottom"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"))
+
+
+def _ranked(links: DataFrame) -> DataFrame:
+    """n, bottom, pos for (n, to, step): the last that links lead to, and the sum of their steps."""
+    start = links.select("n", "to", F.coalesce("to", "n").alias("bottom"), F.when(F.col("to").isNull(), 0).otherwise(F.col("step")).cast("long").alias("pos"))
+    state, open_ends = stored_counting(start, "links", "to IS NOT NULL")
+    while open_ends:
+        state, open_ends = stored_counting(_doubled(_doubled(state)), "links", "to IS NOT NULL")
+    return state.drop("to")
+
+
 def _subtree_sizes(tree: DataFrame) -> DataFrame:
-    """id, up, size for (id, up): how many commits come down to each along ``up``, itself included."""
-    state = stored(tree.withColumn("to", F.col("up")).withColumn("size", F.lit(1).cast("long")), "sizes")
-    while not (live := state.where("to IS NOT NULL").select("id", "to", "size")).isEmpty():
-        more = live.groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("more"))
-        far = state.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        state = stored(state.join(more, "id", "left").join(far, "to", "left").select("id", "up", F.col("far").alias("to"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+    """n, up, size for (n, up, weight): the weight of all that come down to each along ``up``, and its own."""
+    state, open_ends = stored_counting(tree.select("n", "up", F.col("up").alias("to"), F.col("weight").alias("size")), "sizes", "to IS NOT NULL")
+    while open_ends:
+        more = state.where("to IS NOT NULL").groupBy(F.col("to").alias("n")).agg(F.sum("size").alias("more"))
+        far = state.select(F.col("n").alias("to"), F.col("to").alias("far"))
+        grown = state.join(more, "n", "left").join(far, "to", "left").select("n", "up", F.col("far").alias("to"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        state, open_ends = stored_counting(grown, "sizes", "to IS NOT NULL")
     return state.drop("to")
 
 
 @dataclass
 class Chains:
-    """members: id, chain, pos. cross: chain, pos, to_chain, to_pos of edges between chains."""
+    """members: id, chain, pos. cross: chain, pos, to_chain, to_pos of edges between chains, if there are any."""
 
     members: DataFrame
     cross: DataFrame
+    crosses: bool
 
     @staticmethod
     def of(edges: DataFrame, more: DataFrame | None = None) -> Chains:
-        """``edges``: id, parent. ``more``: further ids, that may have none."""
-        edges = stored(edges.where("parent IS NOT NULL").select("id", "parent").distinct(), "edges")
+        """``edges``: id, parent. ``more``: further ids, that may have none. Runs of commits between forks are
+        found first; which run goes on in which is settled on these alone."""
+        edges = stored(edges.where("parent IS NOT NULL").select("id", "parent"), "edges")
         ids = edges.select("id").union(edges.select("parent"))
-        ids = (ids if more is None else ids.union(more.select("id"))).distinct()
-        tree = ids.join(edges.groupBy("id").agg(F.min("parent").alias("up")), "id", "left")
-        sizes = _subtree_sizes(tree)
-        heavy = sizes.where("up IS NOT NULL").groupBy(F.col("up").alias("on")).agg(F.max_by("id", F.struct("size", "id")).alias("id"))
-        step = sizes.select("id").join(heavy, "id", "left").withColumnRenamed("on", "to")
-        state = stored(step.select("id", "to", F.coalesce("to", "id").alias("bottom"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("pos")), "chains")
-        while not state.where("to IS NOT NULL").isEmpty():
-            on = state.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("bottom").alias("deep"), F.col("pos").alias("more"))
-            state = stored(state.join(on, "to", "left").select("id", F.col("far").alias("to"), F.coalesce("deep", "bottom").alias("bottom"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos")), "chains")
-        numbers = stored(state.where("pos = 0").select("bottom").withColumn("chain", F.monotonically_increasing_id()), "numbers")
-        members = stored(state.join(numbers, "bottom").select("id", "chain", "pos"), "members")
-        at = lambda c, *names: members.select(F.col("id").alias(c), F.col("chain").alias(names[0]), F.col("pos").alias(names[1]))
-        cross = edges.join(at("id", "chain", "pos"), "id").join(at("parent", "to_chain", "to_pos"), "parent").where("chain != to_chain")
-        return Chains(members, stored(cross.select("chain", "pos", "to_chain", "to_pos").distinct(), "cross"))
+        names = stored((ids if more is None else ids.union(more.select("id"))).distinct().withColumn("n", F.monotonically_increasing_id()), "names")
+        number = lambda c, to: names.select(F.col("id").alias(c), F.col("n").alias(to))
+        edges = stored(edges.join(number("id", "n"), "id").join(number("parent", "up"), "parent").select("n", "up").distinct(), "edges")
+        tree = edges.groupBy("n").agg(F.min("up").alias("up"))
+        kids = tree.groupBy("up").agg(F.count(F.lit(1)).alias("kids"))
+        tree, forks = stored_counting(names.select("n").join(tree.join(kids, "up"), "n", "left").select("n", "up", "kids"), "tree", "kids > 1")
+        runs = _ranked(tree.select("n", F.when(F.col("kids") == 1, F.col("up")).alias("to"), F.lit(1).alias("step"))).withColumnRenamed("bottom", "run")
+        placed = runs.select("n", F.col("run").alias("chain"), "pos")
+        if forks:
+            placed = runs.join(Chains._joined(tree, runs), "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos"))
+        members = stored(names.join(placed, "n").select("id", "n", "chain", "pos"), "members")
+        at = lambda c, chain, pos: members.select(F.col("n").alias(c), F.col("chain").alias(chain), F.col("pos").alias(pos))
+        cross = edges.join(at("n", "chain", "pos"), "n").join(at("up", "to_chain", "to_pos"), "up").where("chain != to_chain")
+        cross, n = stored_counting(cross.select("chain", "pos", "to_chain", "to_pos").distinct(), "cross")
+        return Chains(members.select("id", "chain", "pos"), cross, n > 0)
+
+    @staticmethod
+    def _joined(tree: DataFrame, runs: DataFrame) -> DataFrame:
+        """run, chain, offset: a run goes on from the run below it if it has most commits above it."""
+        sizes = runs.groupBy("run").agg((F.max("pos") + 1).alias("weight"))
+        below = tree.where("kids > 1").select("n", "up").join(runs.select("n", "run"), "n").join(runs.select(F.col("n").alias("up"), F.col("run").alias("on")), "up").select("run", "on")
+        graph = stored(sizes.join(below, "run", "left").select(F.col("run").alias("n"), F.col("on").alias("up"), "weight"), "forks")
+        heavy = _subtree_sizes(graph).where("up IS NOT NULL").groupBy("up").agg(F.max_by("n", F.struct("size", "n")).alias("n"))
+        step = graph.select(F.col("n").alias("up"), F.col("weight").alias("step"))
+        ranked = _ranked(graph.select("n").join(heavy, "n", "left").join(step, "up", "left").select("n", F.col("up").alias("to"), "step"))
+        return ranked.select(F.col("n").alias("run"), F.col("bottom").alias("chain"), F.col("pos").alias("offset"))
 
     def labels(self, heads: DataFrame) -> DataFrame:
         """head, chain, pos for (head, id): each head reaches the chain's commits up to ``pos``."""
         new = stored(heads.join(self.members, "id").groupBy("head", "chain").agg(F.max("pos").alias("pos")).withColumn("below", F.lit(-1).cast("long")), "labels")
         have = new.select("head", "chain", "pos")
-        while True:
+        while self.crosses:
             met = self._left(new).join(have.withColumnRenamed("pos", "below"), ["head", "chain"], "left").where("below IS NULL OR pos > below")
-            new = stored(met.select("head", "chain", "pos", F.coalesce("below", F.lit(-1)).cast("long").alias("below")), "labels")
-            if new.isEmpty():
-                return have
+            new, n = stored_counting(met.select("head", "chain", "pos", F.coalesce("below", F.lit(-1)).cast("long").alias("below")), "labels")
+            if not n:
+                break
             have = stored(have.unionByName(new.select("head", "chain", "pos")).groupBy("head", "chain").agg(F.max("pos").alias("pos")), "labels")
+        return have
 
     def _left(self, labels: DataFrame) -> DataFrame:
         """head, chain, pos that labels get to by one edge from positions in (below, pos]."""
@@ -124,14 +155,13 @@ class Chains:
         have = stored(sources.join(self.members, "id").groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "ranks")
         starts = edges.select("chain", "pos", "edge", F.lit(1).alias("kind"), none.alias("rank"))
         ends = edges.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), "edge", F.lit(2).alias("kind"), none.alias("rank"))
-        empty = edges.isEmpty()
-        while not empty:
+        while self.crosses:
             held = have.select("chain", "pos", F.lit(-1).cast("long").alias("edge"), F.lit(0).alias("kind"), "rank")
             seen = self._from_above(held.unionByName(starts).unionByName(ends)).where("kind > 0")
             got = seen.groupBy("edge").agg(F.min(F.when(F.col("kind") == 1, F.col("least"))).alias("rank"), F.min(F.when(F.col("kind") == 2, F.col("least"))).alias("old"))
             better = got.where("rank IS NOT NULL AND (old IS NULL OR rank < old)").join(edges, "edge").select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), "rank")
-            better = stored(better.groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "better")
-            if better.isEmpty():
+            better, n = stored_counting(better.groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "better")
+            if not n:
                 break
             have = stored(have.unionByName(better).groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "ranks")
         held = have.select("chain", "pos", F.lit(0).alias("kind"), "rank", F.lit(None).cast("string").alias("id"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars
+from factweave.operators.shared import stored
 
 K = ["target_type", "target_value", "key"]
 VALUES = [*K, "value_type", "id", "value"]
@@ -163,7 +164,7 @@ def decisions2(local: Snapshot, remote: Snapshot, prefer: str = "local") -> Data
 
 def merge2(local: Snapshot, remote: Snapshot, prefer: str = "local") -> Snapshot:
     """The values and tombstones that a merge without a common ancestor selects."""
-    rows = decisions2(local, remote, prefer)
+    rows = stored(decisions2(local, remote, prefer), "decided")
     values = chosen_values(rows.where("kind = 'value'"), local=local.values, remote=remote.values).drop("choice")
     return Snapshot(values, rows.where("kind = 'tombstone'").select(*K, "ts", "email"))
 
@@ -271,26 +272,27 @@ def fast_forward(state: DataFrame, old: DataFrame, snap: Snapshot, delete_missin
 
 def three_way(state: DataFrame, base: Snapshot, local: Snapshot, remote: Snapshot) -> tuple[DataFrame, DataFrame]:
     """The state after a three-way merge, and the conflicts."""
-    merged = merge3(base.values, local.values, remote.values)
-    tombs = merge_tombstones(base.tombstones, local.tombstones, remote.tombstones, merged)
+    merged = stored(merge3(base.values, local.values, remote.values), "merged")
+    tombs = stored(merge_tombstones(base.tombstones, local.tombstones, remote.tombstones, merged), "tombstones")
     after = apply_snapshot(state, Snapshot(merged, tombs))
     gone = implicit_deletes(base.values, merged, tombs)
     return after.join(gone, K, "left_anti").select(*VALUES), conflicts(base.values, local.values, remote.values)
 
 
-def materialise(state: DataFrame, base: Snapshot | None, local: Snapshot, remotes: list[tuple[str, Snapshot]], checkpoint=None) -> DataFrame:
+def materialise(state: DataFrame, base: Snapshot | None, local: Snapshot, remotes: list[tuple[str, Snapshot]]) -> DataFrame:
     """Applies several remotes one after another by their strategies: up-to-date, fast-forward,
-    three-way or two-way. ``checkpoint`` cuts lineage between remotes."""
-    for strategy, remote in remotes:
+    three-way or two-way. The state is stored between remotes."""
+    remotes = [r for r in remotes if r[0] != "up-to-date"]
+    for n, (strategy, remote) in enumerate(remotes):
+        state = stored(state, "state") if n else state
         if strategy == "fast-forward":
             state = fast_forward(state, local.values, remote)
         elif strategy == "three-way":
             state = three_way(state, base, local, remote)[0]
         elif strategy == "two-way":
             state = apply_snapshot(state, merge2(local, remote))
-        elif strategy != "up-to-date":
+        else:
             raise ValueError(f"unknown strategy {strategy}")
-        state = checkpoint(state) if checkpoint else state
     return state
 
 

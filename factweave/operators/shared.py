@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 _written: list[str] = []
@@ -56,3 +57,10 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     schema = df.schema
     df.write.partitionBy(*by).parquet(path := scratch(df.sparkSession, name))
     return df.sparkSession.read.schema(schema).parquet(path).select(*df.columns)
+
+
+def stored_counting(df: DataFrame, name: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """``stored``, and how many of its rows meet the condition, counted as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+    return out, seen.get["n"]
