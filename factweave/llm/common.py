@@ -6,6 +6,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _local_dir: list[str] = []
-_written: list[str] = []
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,21 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def scratch_mark() -> int:
-    """What is written to the shared folder from now on can be cleared by this mark."""
-    return len(_written)
-
-
-def clear_scratch(spark: SparkSession, mark: int = 0, *but: str) -> None:
-    """Removes all that this process wrote there since the mark, ``but`` these paths: call it when no
-    frame that reads it is needed any more."""
-    old = [p for p in _written[mark:] if p not in but]
-    _written[mark:] = but
-    drop(spark, *old)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _run.get()) is not None:
+        own.append(path)
+    return path
+
+
+@contextmanager
+def scratch_run() -> Iterator[list[str]]:
+    """A list of all paths that ``scratch`` gives inside, in this thread: what may be dropped when no frame
+    that reads them is needed any more."""
+    token = _run.set([])
+    try:
+        yield _run.get()
+    finally:
+        _run.reset(token)
 
 
 def _at(spark: SparkSession, path: str):

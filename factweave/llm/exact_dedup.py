@@ -52,7 +52,7 @@ def sha(text: Column) -> Column:
 def located(df: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """(did, loc, norm, digest) of every row; loc is the row's file and number in it."""
     norm = lower_ascii(F.col(text_col).cast("string"))
-    meta = F.col("_metadata")
+    meta = df.metadataColumn("_metadata")  # even where the table has a column of that name
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
         F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("loc"),

@@ -15,14 +15,17 @@ centre, the vectors of all documents as whole numbers, so that neither the order
 partitions count; it starts from the texts with the smallest hashes.
 
 Targets default to a tempering of the corpus's own shares, share ** ``temper``, which lifts small
-sources, languages and topics. Values that have less than ``LEAST`` of the tokens are tempered as one
-and keep their proportions among each other, and no cell's factor may exceed ``SPREAD`` times the product
-of its values' own lifts (target over share): where topics follow languages, raking would otherwise meet
-the last thousandths of a target by a few rare cells, and set the price in documents by them. With given
-targets, which may ask for more, no factor is bounded. Of given targets, a target of zero keeps nothing, a value
-without a target keeps its own share, and the other targets are scaled to what these leave; targets of
-values without tokens don't count. The raking runs on the driver while there are at most ``CELLS``
-cells; beyond that as joins over the cell table, by the same rule and to the same convergence.
+sources, languages and topics. Of given targets, a target of zero keeps nothing, a value without a target
+keeps its own share, and the other targets are scaled to what these leave; targets of values without tokens
+don't count. Raking ends when a whole round leaves every factor where it was, or after ``ROUNDS``; it
+runs on the driver while there are at most ``CELLS`` cells, beyond that as joins over the cell table, by the
+same rule and to the same convergence. ``achieved`` tells how far a mixture is from its targets.
+
+Two arguments trade targets for documents, and are off unless asked for. ``least``: values with less than
+this share of the tokens are tempered as one and keep their proportions among each other. ``spread``: no
+cell's factor exceeds ``spread`` times the product of its values' lifts (target over share). Where topics follow
+languages, raking meets the last thousandths of a target by a few rare cells, and these set the price in
+documents for all; under a bound such targets are missed by what ``achieved`` says.
 
 Nulls: a null source, language or text counts as ''; a null id hashes like any other value. Rows that
 occur twice are decided alike. An empty table gives an empty one. Cells of zero weight have no part in
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import by_bytes, flat_text, release_memory, stored, text_batches
 
-TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE, LEAST, SPREAD = 8, 6, 1024, 200_000, 50, 1e-9, 0.01, 1.25
+TOPICS, PASSES, GRAMS, CELLS, ROUNDS, CLOSE = 8, 6, 1024, 200_000, 50, 1e-9
 AXES = ("source", "lang", "topic")
 
 
@@ -111,15 +114,14 @@ def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], round
     if not len(weight) or weight.sum() <= 0:
         return factor
     for _ in range(rounds):
-        moved = 0.0
+        was = factor.copy()
         for axis, share in enumerate(targets):
             now = np.bincount(cells[:, axis], factor * weight, len(share))
             step = np.where(now > 0, share * weight.sum() / np.where(now > 0, now, 1), 1.0)
             factor *= step[cells[:, axis]]
-            moved = max(moved, float(np.abs(step - 1).max(initial=0)))
         if most is not None:
             factor = np.minimum(factor, most)
-        if moved < close:
+        if float(np.abs(factor[was > 0] / was[was > 0] - 1).max(initial=0)) < close:
             break
     return factor
 
@@ -132,23 +134,23 @@ def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = R
     if whole <= 0:
         return cells
     for _ in range(rounds):
-        moved = None
+        cells = cells.withColumn("was", F.col("factor"))
         for axis, share in targets.items():
             now = cells.groupBy(axis).agg(F.sum(F.col("w") * F.col("factor")).alias("now")).join(share.select(axis, "share"), axis)
             step = F.when(F.col("now") > 0, F.col("share") * F.lit(float(whole)) / F.col("now")).otherwise(F.lit(1.0))
             steps = stored(now.select(axis, step.alias("step")), "steps")
-            size = steps.select(F.abs(F.col("step") - 1).alias("move"))
-            moved = size if moved is None else moved.unionByName(size)
             cells = cells.join(steps, axis).withColumn("factor", F.col("factor") * F.col("step")).drop("step")
         if "most" in cells.columns:
             cells = cells.withColumn("factor", F.least("factor", "most"))
         cells = stored(cells, "rake")
-        if (moved.agg(F.max("move")).first()[0] or 0.0) < close:
+        moved = cells.where("was > 0").agg(F.max(F.abs(F.col("factor") / F.col("was") - 1))).first()[0]
+        cells = cells.drop("was")
+        if (moved or 0.0) < close:
             break
     return cells
 
 
-def share_table(cells: DataFrame, axis: str, temper: float, given: dict | None, least: float = LEAST) -> DataFrame:
+def share_table(cells: DataFrame, axis: str, temper: float, given: dict | None, least: float = 0.0) -> DataFrame:
     """(axis, share): the target share of every present value of an axis."""
     total = cells.groupBy(axis).agg(F.sum("w").alias("t"))
     whole = float(cells.agg(F.sum("w")).first()[0] or 0.0) or 1.0
@@ -207,7 +209,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
     return own.withColumn("__mix", mix).drop("__measured")
 
 
-def axis_shares(total: np.ndarray, values: list, temper: float, given: dict | None, least: float = LEAST) -> np.ndarray:
+def axis_shares(total: np.ndarray, values: list, temper: float, given: dict | None, least: float = 0.0) -> np.ndarray:
     """``share_table`` on the driver: ``total`` has the tokens of each of ``values``."""
     own = total / (total.sum() or 1.0)
     if given is None:
@@ -220,7 +222,7 @@ def axis_shares(total: np.ndarray, values: list, temper: float, given: dict | No
     return want * scale + own * stretch
 
 
-def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None, cap: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
+def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None, cap: int = CELLS, rounds: int = ROUNDS, least: float = 0.0, spread: float | None = None) -> DataFrame:
     """(source, lang, topic, w, factor, rate) of every cell; rate is its documents' probability."""
     given = targets or {}
     if cells.count() <= cap:
@@ -233,19 +235,19 @@ def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None,
         for axis in AXES:
             code, values = pd.factorize(rows[axis], sort=True)
             index.append(code)
-            shares.append(axis_shares(np.bincount(code, w, len(values)), values.tolist(), temper, given.get(axis)))
+            shares.append(axis_shares(np.bincount(code, w, len(values)), values.tolist(), temper, given.get(axis), least))
         index, most = np.stack(index, 1), None
-        if not given:
+        if spread is not None:
             own = [np.bincount(code, w, len(share)) / (w.sum() or 1.0) for code, share in zip(index.T, shares, strict=True)]
             lifts = [np.divide(share, o, out=np.ones(len(share)), where=o > 0) for share, o in zip(shares, own, strict=True)]
-            most = SPREAD * np.prod([lift[code] for lift, code in zip(lifts, index.T, strict=True)], axis=0)
+            most = spread * np.prod([lift[code] for lift, code in zip(lifts, index.T, strict=True)], axis=0)
         rows["factor"] = factor = rake(index, w, shares, rounds, most=most)
         top = factor[w > 0].max(initial=0) if (w > 0).any() else 1.0
         rows["rate"] = np.minimum(1.0, factor / top) if top > 0 else (factor > 0).astype(float)
         return cells.sparkSession.createDataFrame(rows[["source", "lang", "topic", "w", "factor", "rate"]].astype({"topic": "int32"}), schema)
-    shares = {axis: share_table(cells, axis, temper, given.get(axis)) for axis in AXES}
-    if not given:
-        cells = stored(_bounded(cells, shares), "bounded")
+    shares = {axis: share_table(cells, axis, temper, given.get(axis), least) for axis in AXES}
+    if spread is not None:
+        cells = stored(_bounded(cells, shares, spread), "bounded")
     raked = rake_tables(cells, shares, rounds)
     top = raked.where("w > 0").agg(F.max("factor")).first()[0]
     top = 1.0 if top is None else top
@@ -253,10 +255,10 @@ def cell_rates(cells: DataFrame, temper: float, targets: dict[str, dict] | None,
     return raked.select("source", "lang", "topic", "w", "factor", rate.alias("rate"))
 
 
-def _bounded(cells: DataFrame, shares: dict[str, DataFrame]) -> DataFrame:
+def _bounded(cells: DataFrame, shares: dict[str, DataFrame], spread: float) -> DataFrame:
     """The cells with the bound on their factor in ``most``."""
     whole = float(cells.agg(F.sum("w")).first()[0] or 0.0) or 1.0
-    out = cells.withColumn("most", F.lit(SPREAD))
+    out = cells.withColumn("most", F.lit(float(spread)))
     for axis, share in shares.items():
         own = cells.groupBy(axis).agg((F.sum("w") / whole).alias("own")).join(share, axis)
         lift = own.select(axis, F.when(F.col("own") > 0, F.col("share") / F.col("own")).otherwise(F.lit(1.0)).alias("lift"))
@@ -264,14 +266,28 @@ def _bounded(cells: DataFrame, shares: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def mixed_documents(docs: DataFrame, temper: float = 0.95, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: bool = True) -> DataFrame:
+def achieved(rates: DataFrame, temper: float = 0.95, targets: dict[str, dict] | None = None, least: float = 0.0) -> DataFrame:
+    """axis, value, share, target, expected of every value: what ``cell_rates`` come to, against what they
+    were to come to; a row for each value of an axis."""
+    out = None
+    for axis in AXES:
+        want = share_table(rates, axis, temper, (targets or {}).get(axis), least)
+        sums = rates.groupBy(axis).agg(F.sum("w").alias("had"), F.sum(F.col("w") * F.col("rate")).alias("has"))
+        total = rates.agg(F.sum("w").alias("whole"), F.sum(F.col("w") * F.col("rate")).alias("kept"))
+        one = sums.join(want, axis).join(F.broadcast(total))
+        one = one.select(F.lit(axis).alias("axis"), F.col(axis).cast("string").alias("value"), F.try_divide("had", "whole").alias("share"), F.col("share").alias("target"), F.try_divide("has", "kept").alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def mixed_documents(docs: DataFrame, temper: float = 0.95, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: bool = True, least: float = 0.0, spread: float | None = None) -> DataFrame:
     """With ``keep``, the sampled documents, columns as they were. Without, a row per document:
     doc_id, source, lang, topic, n_tokens, factor, rate and sampled."""
     own = described(docs, id_col, text_col, source_col, lang_col)
     narrow = own.select(F.col(id_col).alias("id"), "__mix.*")
     narrow = narrow if keep else stored(narrow, "cells")
     cells = stored(narrow.groupBy(*AXES).agg(F.sum("tokens").cast("double").alias("w")), "totals")
-    rates = cell_rates(cells, temper, targets)
+    rates = cell_rates(cells, temper, targets, least=least, spread=spread)
     bounded = rates.count() <= CELLS
     if not keep:
         each = narrow.join(F.broadcast(rates) if bounded else rates, list(AXES))

@@ -480,12 +480,12 @@ def test_mixing_paths_agree_on_random_tables(spark):
 def test_rare_values_do_not_set_the_price():
     """A value of a ten-thousandth of the tokens is tempered with its like."""
     total = np.array([60000.0, 39000.0, 900.0, 90.0, 10.0])
-    share = mixing.axis_shares(total, list("abcde"), 0.5, None)
+    share = mixing.axis_shares(total, list("abcde"), 0.5, None, least=0.01)
     assert np.isclose(share.sum(), 1) and np.allclose(share[2:] / share[2:].sum(), [0.9, 0.09, 0.01])
     assert np.isclose(share[2:].sum() / share[0], (0.01**0.5) / (0.6**0.5))
 
 
-def brute_mixing(docs, temper):
+def brute_mixing(docs, temper, least=0.0, spread=None):
     """Rates of all documents by plain raking of a dictionary, to the rules of the module's head."""
     cell_of = [(r["source"], r["lang"], r["topic"]) for r in docs]
     w = {}
@@ -497,8 +497,8 @@ def brute_mixing(docs, temper):
         own = {}
         for c, t in w.items():
             own[c[axis]] = own.get(c[axis], 0) + t / whole
-        rare = sum(v for v in own.values() if v < 0.01)
-        want = {k: v**temper if v >= 0.01 else v / rare * rare**temper if rare else 0.0 for k, v in own.items()}
+        rare = sum(v for v in own.values() if v < least)
+        want = {k: v**temper if v >= least else v / rare * rare**temper if rare else 0.0 for k, v in own.items()}
         targets.append({k: v / sum(want.values()) for k, v in want.items()})
         owns.append(own)
     lift = lambda axis, c: targets[axis][c[axis]] / owns[axis][c[axis]] if owns[axis][c[axis]] else 1.0
@@ -508,18 +508,20 @@ def brute_mixing(docs, temper):
             for c, t in w.items():
                 now[c[axis]] = now.get(c[axis], 0) + t * factor[c]
             factor = {c: f * targets[axis][c[axis]] * whole / now[c[axis]] if now[c[axis]] else f for c, f in factor.items()}
-        factor = {c: min(f, 1.25 * lift(0, c) * lift(1, c) * lift(2, c)) for c, f in factor.items()}
+        if spread:
+            factor = {c: min(f, spread * lift(0, c) * lift(1, c) * lift(2, c)) for c, f in factor.items()}
     top = max(f for c, f in factor.items() if w[c])
     return [min(1.0, factor[c] / top) for c in cell_of], targets
 
 
-def test_mixing_against_brute_force(spark):
+@pytest.mark.parametrize("how", [{}, {"least": 0.01, "spread": 1.25}])
+def test_mixing_against_brute_force(spark, how):
     """On whole tables: the words, the rates, the draws, and how near the drawn tokens come to the targets."""
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    each = mixing.mixed_documents(frame, keep=False).collect()
+    each = mixing.mixed_documents(frame, keep=False, **how).collect()
     texts = {r["doc_id"]: (r["text"] or "", r["source"], r["lang"]) for r in frame.collect()}
     assert all((len(texts[r["doc_id"]][0].encode().split()), *texts[r["doc_id"]][1:]) == (r["n_tokens"], r["source"], r["lang"]) for r in each)
-    rates, targets = brute_mixing(each, 0.95)
+    rates, targets = brute_mixing(each, 0.95, **how)
     assert np.allclose([r["rate"] for r in each], rates, atol=1e-6)
     for axis, name in enumerate(mixing.AXES):
         drawn, due = {}, {}
@@ -529,5 +531,21 @@ def test_mixing_against_brute_force(spark):
         for k, share in targets[axis].items():
             assert abs(due[k] / sum(due.values()) - share) < 0.005, (name, k)
             assert abs(drawn[k] / sum(drawn.values()) - share) < 0.06, (name, k)
-    kept = {r["doc_id"] for r in mixing.mixed_documents(frame).select("doc_id").collect()}
-    assert kept == {r["doc_id"] for r in each if r["sampled"]} and len(kept) > 0.4 * len(each)
+    kept = {r["doc_id"] for r in mixing.mixed_documents(frame, **how).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in each if r["sampled"]} and len(kept) > 0.2 * len(each)
+
+
+def test_mixing_reports_missed_targets(spark):
+    """Targets that contradict each other: the report says by how much, and raking still ends."""
+    cells = spark.createDataFrame([("a", "x", 0, 70.0), ("b", "y", 0, 30.0)], "source string, lang string, topic int, w double")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}
+    rates = mixing.cell_rates(cells, 1.0, targets)
+    report = {(r["axis"], r["value"]): (r["target"], r["expected"]) for r in mixing.achieved(rates, 1.0, targets).collect()}
+    assert np.allclose(report["lang", "x"], (0.9, 0.9)) and np.allclose(report["source", "a"], (0.5, 0.9))
+    fine = mixing.cell_rates(skewed_cells(spark), 0.5, None)
+    assert all(abs(r["target"] - r["expected"]) < 1e-6 for r in mixing.achieved(fine, 0.5).collect())
+
+
+def test_exact_with_a_column_named_metadata(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "x"), (2, "A", "y")], "doc_id long, text string, _metadata string").write.parquet(f"{tmp_path}/d")
+    assert got(exact_dedup.dedup_exact(spark, f"file://{tmp_path}/d"), "keep_id") == [("1", "2"), ("2", "2")]

@@ -1,9 +1,11 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factweave.llm import decontaminate, simhash
+from factweave.llm import common, decontaminate, simhash, token_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +16,7 @@ def test_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
     before = docs
-    for (name, stage), columns in zip(corpus_pipeline.STAGES, [docs.columns] * 4 + [["doc_id", "start", "n_tokens", "ids_crc32"]], strict=True):
+    for (name, stage), columns in zip(corpus_pipeline.STAGES, [docs.columns] * 4 + [["doc_id", "start", "n_tokens", "ids_crc32", "token_files"]], strict=True):
         after = stage(spark, before, SF).cache()
         assert after.columns == columns
         kept, had = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (after, before))
@@ -31,6 +33,21 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == before.count()
 
 
+def test_run_keeps_its_token_files(spark, tmp_path, monkeypatch):
+    """The ids are there after the run, in the folder asked for, and nothing else of the run."""
+    (tmp_path / "shared").mkdir()
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    mine = common.stored(spark.range(3), "mine")  # of somebody else
+    out = corpus_pipeline.run(spark, SF, f"file://{tmp_path}/ids")
+    crc = {r["doc_id"]: r["ids_crc32"] for r in out.collect()}
+    ids = token_files.read_tokens(spark, f"file://{tmp_path}/ids").collect()
+    assert {r["doc_id"]: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r["tokens"])) for r in ids} == crc and crc
+    assert mine.count() == 3 and sorted(x.name.rpartition("-")[0] for x in (tmp_path / "shared").iterdir()) == ["mine", "token-files"]
+    named = corpus_pipeline.run(spark, SF).select("token_files").distinct().collect()
+    assert len(named) == 1 and token_files.read_tokens(spark, named[0][0]).count() == len(crc)
+
+
 def test_near_dedup_keeps_a_row_of_each_group(spark):
     """Rows without an id, and namesakes with other texts, replace only their own near-duplicates."""
     say = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
