@@ -6,28 +6,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factweave.functions import scalars as C
+
 
 def summarise_sessions(messages: DataFrame) -> DataFrame:
     """A row per session of at least two messages: models, tools, token sums, messages, start, end,
-    seconds. ``messages`` has session_id, ts (ms), model, tools (array), input_tokens, output_tokens."""
+    seconds. ``messages`` has session_id, ts (ms), model, tools (array), input_tokens, output_tokens, and
+    may have n, how many messages a row counts as."""
+    n = F.sum("n") if "n" in messages.columns else F.count(F.lit(1))
     models = F.filter(F.sort_array(F.collect_set("model")), lambda m: m != "<synthetic>")
     rows = messages.groupBy("session_id").agg(
         F.array_join(models, ",").alias("models"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("tools")))), ",").alias("tools"),
-        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("messages"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), n.alias("messages"),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
     )
     return rows.where("messages >= 2").withColumn("seconds", F.floor((F.col("end_ts") - F.col("start_ts")) / 1000))
 
 
-def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, bucket_ms: int = 900_000) -> DataFrame:
+def transcript_messages(lines: DataFrame) -> DataFrame:
+    """Rows for ``summarise_sessions`` straight from ``read_transcripts``: of the assistant's lines the model,
+    tokens, tools used, and a message for each text and tool; of the user's a message for each text. Other
+    lines count for the time only."""
+    texts = F.size(C.content_texts("content"))
+    blocks = F.from_json("content", "array<struct<type:string,name:string>>")
+    tools = F.when(F.ltrim("content").startswith("["), F.filter(blocks, lambda b: b["type"] == "tool_use"))
+    said, by = F.coalesce(texts, F.lit(0)), F.col("type")
+    of_assistant = lambda c: F.when(by == "assistant", c)
+    names = F.filter(F.transform(tools, lambda b: b["name"]), lambda name: name.isNotNull())
+    n = F.when(by == "assistant", said + F.coalesce(F.size(tools), F.lit(0))).when(by == "user", said).otherwise(0)
+    return lines.select(
+        "session_id", C.rfc3339_ms("timestamp").alias("ts"), of_assistant(F.col("model")).alias("model"), F.coalesce(of_assistant(names), F.array().cast("array<string>")).alias("tools"),
+        F.coalesce(of_assistant(F.col("input_tokens")), F.lit(0)).alias("input_tokens"), F.coalesce(of_assistant(F.col("output_tokens")), F.lit(0)).alias("output_tokens"), n.alias("n"),
+    )
+
+
+def summarise_transcripts(lines: DataFrame) -> DataFrame:
+    """``summarise_sessions`` of transcripts as ``read_transcripts`` gives them."""
+    return summarise_sessions(transcript_messages(lines))
+
+
+#: Levels that a dyadic cover may use: enough for any two times in milliseconds.
+LEVELS = 48
+
+
+def dyadic_cells(lo: Column, hi: Column) -> Column:
+    """array<struct<level, cell>>: the fewest cells [cell * 2**level, (cell + 1) * 2**level) that cover the
+    whole numbers from lo up to but not hi: two a level at most."""
+    def step(acc: Column, level: Column) -> Column:
+        a, b, cells = acc["a"], acc["b"], acc["cells"]
+        odd_a, odd_b = (a < b) & (F.pmod(a, F.lit(2)) == 1), (a < b) & (F.pmod(b, F.lit(2)) == 1)
+        at = lambda cell: F.array(F.struct(level.alias("level"), cell.alias("cell")))
+        none = F.array().cast("array<struct<level:int,cell:bigint>>")
+        left = F.when(odd_a, at(a)).otherwise(none)
+        right = F.when(odd_b, at(b - 1)).otherwise(none)
+        return F.struct(F.shiftright(F.when(odd_a, a + 1).otherwise(a), 1).alias("a"), F.shiftright(F.when(odd_b, b - 1).otherwise(b), 1).alias("b"), F.concat(cells, left, right).alias("cells"))
+
+    start = F.struct(lo.cast("long").alias("a"), hi.cast("long").alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["cells"])
+
+
+def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, unit_ms: int = 60_000, within: tuple[str, ...] = ()) -> DataFrame:
     """user_id, sid, id, assisted, same_author, ts: commits within a session's time, widened on both
-    sides, that name an assistant, whoever wrote them, or that the session's user wrote. Each is an
-    equi-join on time buckets (of one user's, for commits that name no assistant), then an exact test."""
+    sides, that name an assistant, whoever wrote them, or that the session's user wrote. A session is covered by
+    the few dyadic cells that make up its time, a month by fewer than 64, a commit lies in one cell of each
+    level: both meet by equality (of one user, for commits that name no assistant), then by an exact test.
+    ``within`` names columns of both, such as a project: rows that differ in them don't meet at all."""
     lo, hi = F.col("start_ts") - before_ms, F.col("end_ts") + after_ms
-    spans = sessions.select("user_id", "sid", lo.alias("lo"), hi.alias("hi")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket_ms), F.floor(F.col("hi") / bucket_ms))))
-    at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), F.floor(F.col("ts") / bucket_ms).alias("bucket"))
-    anyone = spans.join(at.where("assisted"), "bucket")
-    own = spans.join(at.where("not assisted"), (spans["bucket"] == at["bucket"]) & (spans["user_id"] == at["author"])).drop(at["bucket"])
+    cover = dyadic_cells(F.floor(lo / unit_ms), F.floor(hi / unit_ms) + 1)
+    spans = sessions.select("user_id", "sid", *within, lo.alias("lo"), hi.alias("hi"), F.inline(cover))
+    used = sorted(r["level"] for r in spans.select("level").distinct().collect())  # a row for each level at most
+    levels = F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level")
+    at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), *within, levels)
+    at = at.withColumn("cell", F.floor(F.col("ts") / unit_ms)).withColumn("cell", F.expr("shiftright(cell, level)"))
+    on = ["level", "cell", *within]
+    anyone = spans.join(at.where("assisted"), on)
+    own = spans.join(at.where("not assisted").withColumn("user_id", F.col("author")), [*on, "user_id"])
     out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts")
     hit = lambda df: df.where("ts between lo and hi").select(*out)
     return hit(anyone).unionByName(hit(own))

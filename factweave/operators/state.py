@@ -211,28 +211,95 @@ def ordered_keys(mutations: DataFrame) -> DataFrame:
 FOLDED = "target_type string, target_value string, key string, part string, value string, ts long, email string, seq long"
 
 
+class Entries:
+    """A list of (value, ts) whose n-th entry and last entry of a value are found and removed in a number of
+    steps that goes by the logarithm of its length. Removed slots stay until they are most of it; a tree of
+    counts (each of the slots that its number's lowest bit spans) tells how many before a slot are left."""
+
+    def __init__(self):
+        self.slots, self.counts, self.places, self.left = [], [0], {}, 0
+
+    def __len__(self) -> int:
+        return self.left
+
+    def __iter__(self):
+        return (e for e in self.slots if e is not None)
+
+    def append(self, value: str, ts: int) -> None:
+        self.slots.append((value, ts))
+        self.places.setdefault(value, []).append(len(self.slots))
+        self.left += 1
+        n = len(self.slots)
+        total, below, end = 1, n - 1, n - (n & -n)
+        while below > end:
+            total += self.counts[below]
+            below -= below & -below
+        self.counts.append(total)
+
+    def last_ts(self) -> int | None:
+        while self.slots and self.slots[-1] is None:  # a slot at the end is in no other slot's count
+            self.slots.pop()
+            self.counts.pop()
+        return self.slots[-1][1] if self.slots else None
+
+    def _remove(self, n: int) -> tuple[str, int]:
+        entry, self.slots[n - 1] = self.slots[n - 1], None
+        self.left -= 1
+        at = n
+        while at < len(self.counts):
+            self.counts[at] -= 1
+            at += at & -at
+        if len(self.slots) > 64 and self.left * 4 < len(self.slots):
+            rest = list(self)
+            self.slots, self.counts, self.places, self.left = [], [0], {}, 0
+            for e in rest:
+                self.append(*e)
+        return entry
+
+    def pop_value(self, value: str) -> bool:
+        """Removes the last entry of this value, if there is one."""
+        places = self.places.get(value, [])
+        while places:
+            n = places.pop()
+            if n <= len(self.slots) and self.slots[n - 1] is not None and self.slots[n - 1][0] == value:  # else it went by its number
+                self._remove(n)
+                return True
+        return False
+
+    def pop_at(self, nth: int) -> str:
+        """Removes the n-th entry, from 0, and returns its value."""
+        at, step, rest = 0, 1 << (len(self.counts) - 1).bit_length(), nth + 1
+        while step:
+            if at + step < len(self.counts) and self.counts[at + step] < rest:
+                at += step
+                rest -= self.counts[at]
+            step >>= 1
+        return self._remove(at + 1)[0]
+
+
 class Fold:
     """The state of one key while its operations go by, one after another."""
 
     def __init__(self, k: tuple):
         self.k = k
-        self.kind, self.text, self.entries, self.members, self.tombs, self.key_tomb = None, None, [], {}, {}, None
+        self.kind, self.text, self.entries, self.members, self.tombs, self.key_tomb = None, None, Entries(), {}, {}, None
         self.entry_tombs: list[tuple] = []
         self.rejects: list[tuple] = []
 
     def _later(self, ts: int) -> int:
-        return ts if not self.entries or ts > self.entries[-1][1] else self.entries[-1][1] + 1
+        last = self.entries.last_ts()
+        return ts if last is None or ts > last else last + 1
 
     def _set(self, r) -> None:
         old = self.members if r.value_type == "set" else {}
-        self.entries, self.members, self.key_tomb = [], {}, None
+        self.entries, self.members, self.key_tomb = Entries(), {}, None
         if r.value_type == "string":
             self.kind, self.text, self.tombs = "string", (r.value, r.ts), {}
         elif r.value_type == "list":
             self.kind = "list"
             for i, item in enumerate(json.loads(r.value)):
                 v, ts = (item["value"], int(item["timestamp"])) if isinstance(item, dict) else (item, i)
-                self.entries.append((v, self._later(ts)))
+                self.entries.append(v, self._later(ts))
         else:
             self.kind, new = "set", dict.fromkeys(json.loads(r.value))
             self.tombs |= {m: (r.ts, r.email) for m in old if m not in new}
@@ -243,23 +310,20 @@ class Fold:
         if self.kind == "set":
             return "TypeMismatch"
         if self.kind == "string":
-            self.entries = [(self.text[0], 0)]
+            self.entries = Entries()
+            self.entries.append(self.text[0], 0)
         self.kind, self.key_tomb = "list", None
-        self.entries.append((r.value, self._later(r.ts)))
+        self.entries.append(r.value, self._later(r.ts))
         return None
 
     def _shorten(self, r) -> str | None:
         if self.kind != "list":
             return "KeyNotFound" if self.kind is None else "TypeMismatch"
         if r.op == "pop":
-            at = next((i for i in range(len(self.entries) - 1, -1, -1) if self.entries[i][0] == r.value), None)
-            if at is None:
-                return "ValueNotFound"
-            del self.entries[at]
-            return None
+            return None if self.entries.pop_value(r.value) else "ValueNotFound"
         if pd.isna(r.idx) or not 0 <= int(r.idx) < len(self.entries):
             return "IndexOutOfRange"
-        self.entry_tombs.append((self.entries.pop(int(r.idx))[0], r.ts, r.email))
+        self.entry_tombs.append((self.entries.pop_at(int(r.idx)), r.ts, r.email))
         return None
 
     def _member(self, r) -> str | None:
@@ -289,7 +353,7 @@ class Fold:
         elif r.op in ("set_add", "set_rm"):
             reason = self._member(r)
         elif r.op == "rm" and self.kind is not None:
-            self.kind, self.text, self.entries, self.members, self.entry_tombs, self.key_tomb = None, None, [], {}, [], (r.ts, r.email)
+            self.kind, self.text, self.entries, self.members, self.entry_tombs, self.key_tomb = None, None, Entries(), {}, [], (r.ts, r.email)
         if reason:
             self.rejects.append((*self.k, "reject", reason, None, None, r.seq))
 

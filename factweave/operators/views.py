@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -167,16 +167,17 @@ def _member(name: Column, value: Column) -> Column:
     return F.concat(C.json_encode(name), F.lit(":"), value)
 
 
-def to_nested_json(facts: DataFrame, depth: int | None = None, log: DataFrame | None = None) -> DataFrame:
+def to_nested_json(facts: DataFrame, depth: int | None = None, log: DataFrame | None = None, fragments: bool = False) -> DataFrame:
     """target_type, target_value, json: key segments as nested objects, rolled up from the deepest
     segment. A key that is leaf and parent keeps its value under __value. With ``log`` each leaf is
-    an object of value, author and timestamp. Path targets nest as path, then whole key."""
+    an object of value, author and timestamp. Path targets nest as path, then whole key, in one object of
+    all paths, or with ``fragments`` in one for each directory at the top, which is then in target_value."""
     rows = authorship(facts, log) if log is not None else facts
     leaf = C.json_encode("value")
     if log is not None:
         leaf = F.concat(F.lit('{"value":'), leaf, F.lit(',"author":'), C.json_encode("author"), F.lit(',"timestamp":'), F.col("timestamp").cast("string"), F.lit("}"))
     segments = F.when(F.col("target_type") == "path", F.array("target_value", "key")).otherwise(F.split("key", ":"))
-    group = F.when(F.col("target_type") == "path", F.lit("")).otherwise(F.col("target_value"))
+    group = F.when(F.col("target_type") == "path", F.substring_index("target_value", "/", 1) if fragments else F.lit("")).otherwise(F.col("target_value"))
     at = ["target_type", "target_value"]
     done = rows.select("target_type", group.alias("target_value"), segments.alias("s"), leaf.alias("leaf"), F.lit(None).cast("string").alias("member"))
     depth = depth or rows.agg(F.max(F.size(segments))).first()[0] or 1
@@ -189,6 +190,20 @@ def to_nested_json(facts: DataFrame, depth: int | None = None, log: DataFrame |
     return done.groupBy(*at).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("member")), ","), F.lit("}")).alias("json"))
 
 
+def write_nested_json(facts: DataFrame, path: str, log: DataFrame | None = None) -> None:
+    """Nested JSON as text, a folder for each type of target: a line holds the members of one target, or of the
+    paths of one directory at the top. ``{``, the lines of a type joined by commas and ``}`` are its object."""
+    rows = to_nested_json(facts, log=log, fragments=True)
+    inner = F.expr("substring(json, 2, length(json) - 2)")
+    line = F.when(F.col("target_type") == "path", inner).otherwise(_member(F.col("target_value"), F.col("json")))
+    rows.select("target_type", line.alias("value")).write.partitionBy("target_type").text(path)
+
+
+def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
+    """target_type and a JSON object for each line of ``write_nested_json``."""
+    return spark.read.text(path).select("target_type", F.concat(F.lit("{"), "value", F.lit("}")).alias("json"))
+
+
 def flatten_json(rows: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
     """keep columns, key, value: nested objects as colon-joined keys, one round per level until nothing
     is nested; each round is written to the shared folder and reads the one before. An empty object

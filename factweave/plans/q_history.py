@@ -8,7 +8,9 @@ from factweave.functions import scalars as C
 from factweave.operators import history as H
 from factweave.operators import sessions as S
 from factweave.operators.merge import K
+from factweave.operators.shared import scratch
 from factweave.plans.registry import query
+from factweave.sources.tables import read_transcripts
 
 KC = "target_type, target_value, key"
 
@@ -139,6 +141,23 @@ def a11(s):
     return S.summarise_sessions(s.chat.select(F.col("conv_id").cast("string").alias("session_id"), "ts", model.alias("model"), F.array(F.concat(F.lit("t"), (F.col("turn") % 2).cast("string"))).alias("tools"), F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens")))
 
 
+@query("a11_from_transcripts", """
+SELECT 'c' || conv_id AS session_id, CASE WHEN bool_or(role = 'assistant') THEN 'm1' ELSE '' END AS models, CASE WHEN bool_or(role = 'assistant') THEN 'Edit' ELSE '' END AS tools,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS input_tokens, sum(CASE WHEN role = 'assistant' THEN turn ELSE 0 END) AS output_tokens,
+  sum(CASE role WHEN 'assistant' THEN 1 ELSE 0 END + CASE WHEN role <> 'system' AND trim(text) <> '' THEN 1 ELSE 0 END)::BIGINT AS messages, min(ts // 1000 * 1000) AS start_ts, max(ts // 1000 * 1000) AS end_ts, (max(ts // 1000) - min(ts // 1000)) AS seconds
+FROM {chat} GROUP BY conv_id HAVING messages >= 2""")
+def a11t(s):
+    """Transcript files written, read back and summed up: the assistant's lines hold a text and a tool."""
+    block = lambda **f: F.struct(*(F.lit(None).cast("string").alias(c) if v is None else v.alias(c) for c, v in f.items()))
+    blocks = F.to_json(F.array(block(type=F.lit("text"), text=F.col("text"), name=None), block(type=F.lit("tool_use"), text=None, name=F.lit("Edit"))))
+    message = F.struct(F.lit("m1").alias("model"), F.struct(F.length("text").cast("long").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage"), F.when(F.col("role") == "assistant", blocks).otherwise(F.col("text")).alias("content"))
+    at = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sessionId"), F.col("role").alias("type"), at.alias("timestamp"), message.alias("message")))
+    path = scratch(s.spark, "transcripts")
+    s.chat.select(line.alias("value")).write.text(path)
+    return S.summarise_transcripts(read_transcripts(s.spark, path))
+
+
 RANGE = """
 WITH m AS (SELECT s.user_id, s.sid, p.id, p.assisted, s.user_id = p.user_id AS same_author FROM {sessions} s JOIN {purchases} p ON p.ts BETWEEN s.start_ts - 60000 AND s.end_ts + 300000 WHERE p.assisted OR s.user_id = p.user_id),
 a AS (SELECT * FROM (SELECT s.user_id, s.sid, p.id, row_number() OVER (PARTITION BY s.user_id, s.sid ORDER BY p.ts, p.id) AS n FROM {sessions} s JOIN {purchases} p ON s.user_id = p.user_id AND p.ts >= s.end_ts AND p.ts - s.end_ts < 3600000) x WHERE n = 1),

@@ -46,11 +46,11 @@ def s1(s):
     return rows.select(*K, "value_type", F.array_join("items", "|").alias("items"), "value")
 
 
-@query("s2_read_mutations", "SELECT seq, target_type, target_value, key, op, value, value_type, email, ts FROM {mut} WHERE op <> 'rm' AND ts % 2 = 0")
+@query("s2_read_mutations", "SELECT seq, target_type, target_value, key, op, value, value_type, email, ts FROM {mut} WHERE op <> 'rm'")
 def s2(s):
     store = scratch(s.spark, "store")
     tables.write_table(s.mut, store, "mutations")
-    return tables.read_mutations(s.spark, store).where("op <> 'rm' and ts % 2 = 0").drop("idx")
+    return tables.read_mutations(s.spark, store).where("op <> 'rm'").drop("idx")
 
 
 @query("s3_all_facts", f"SELECT {KC}, value FROM {{facts}} WHERE NOT is_promised")

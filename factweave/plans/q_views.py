@@ -97,21 +97,33 @@ def a14(s):
 
 
 @query("a14_nested_authorship", """
-WITH f AS (SELECT target_value, key, max(value) AS value FROM {mut} WHERE op = 'set' AND key = 'profile:k1' GROUP BY ALL),
-l AS (SELECT target_value, key, arg_max(email, (ts, seq)) AS email, arg_max(ts, (ts, seq)) AS ts FROM {mut} GROUP BY ALL)
-SELECT 'change-id' AS target_type, target_value, '{"profile":{"k1":{"value":"' || value || '","author":"' || email || '","timestamp":' || ts || '}}}' AS json FROM f JOIN l USING (target_value, key)""")
+WITH f AS (SELECT target_value, key, max(value) AS value FROM {mut} WHERE op = 'set' GROUP BY ALL),
+l AS (SELECT target_value, key, arg_max(email, (ts, seq)) AS email, arg_max(ts, (ts, seq)) AS ts FROM {mut} GROUP BY ALL),
+m AS (SELECT target_value, '"' || substr(key, 9) || '":{"value":"' || value || '","author":"' || email || '","timestamp":' || ts || '}' AS m FROM f JOIN l USING (target_value, key))
+SELECT 'change-id' AS target_type, target_value, '{"profile":{' || string_agg(m, ',' ORDER BY m) || '}}' AS json FROM m GROUP BY target_value""")
 def a14a(s):
-    f = s.mut.where("op = 'set' and key = 'profile:k1'").groupBy(*K).agg(F.max("value").alias("value"))
+    f = s.mut.where("op = 'set'").groupBy(*K).agg(F.max("value").alias("value"))
     return V.to_nested_json(f, log=s.mut)
 
 
+@query("a14_nested_paths", """
+WITH e AS (SELECT target_value, '"' || key || '":' || CAST(to_json(value) AS VARCHAR) AS m FROM {facts} WHERE target_type = 'path' AND NOT is_promised),
+p AS (SELECT target_value, '"' || target_value || '":{' || string_agg(m, ',' ORDER BY m) || '}' AS m FROM e GROUP BY target_value)
+SELECT 'path' AS target_type, split_part(target_value, '/', 1) AS target_value, '{' || string_agg(m, ',' ORDER BY m) || '}' AS json FROM p GROUP BY ALL""")
+def a14p(s):
+    """Facts of paths, an object for each directory at the top."""
+    return V.to_nested_json(s.facts.where("target_type = 'path' and not is_promised"), fragments=True)
+
+
 DEEP = "CASE WHEN seq % 2 = 0 THEN key || ':deep:er:' || op || ':k' || CAST(seq % 3 AS STRING) ELSE key END"
 
 
-@query("f27_flatten_json", f"SELECT target_value, {DEEP} AS key, max(value) AS value FROM {{mut}} WHERE op = 'set' AND (seq % 2 = 0) = (length(target_value) % 2 = 0) GROUP BY ALL")
+@query("f27_flatten_json", f"""
+WITH w AS (SELECT target_value, {DEEP} AS key, max(value) AS value FROM {{mut}} WHERE op = 'set' GROUP BY ALL)
+SELECT target_value, CASE WHEN EXISTS (SELECT 1 FROM w x WHERE x.target_value = w.target_value AND starts_with(x.key, w.key || ':')) THEN key || ':__value' ELSE key END AS key, value FROM w""")
 def f27(s):
-    """Keys of up to six segments back from their nested form; no key is leaf and parent at once."""
-    f = s.mut.where("op = 'set' and (seq % 2 = 0) = (length(target_value) % 2 = 0)").withColumn("key", F.expr(DEEP)).groupBy(*K).agg(F.max("value").alias("value"))
+    """Keys of up to six segments back from their nested form; one that is leaf and parent has its value below."""
+    f = s.mut.where("op = 'set'").withColumn("key", F.expr(DEEP)).groupBy(*K).agg(F.max("value").alias("value"))
     return V.flatten_json(V.to_nested_json(f), "json", ["target_value"])
 
 

@@ -4,18 +4,21 @@ prompts to change ids, and facts kept current from the mutation stream."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from factweave.functions import scalars as C
 from factweave.operators.shared import scratch, stored
-from factweave.operators.state import K, last_per_key
+from factweave.operators.state import K
 from factweave.sources.tables import TRANSCRIPT
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
@@ -66,89 +69,71 @@ def commits_once(commits: DataFrame, at: str = "at", late: str = "1 day") -> Dat
 PROMPTS = "session string, commit_id string, prompts string, n int"
 
 
-def _gather(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Prompts of a session until a commit, which takes them all."""
-    held = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == "prompt":
-            held.append(r.text)
-        else:
-            out.append((key[0], r.text, "|".join(held), len(held)))
-            held = []
-    state.update((held,))
-    yield pd.DataFrame(out, columns=["session", "commit_id", "prompts", "n"])
+class Gather(StatefulProcessor):
+    """Open prompts of a session as a list state: a batch appends its own, and only a commit, which takes
+    them all, reads them."""
+
+    def init(self, handle) -> None:
+        self.open = handle.getListState("open", "text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        new: list[str] = []
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
+            if r.kind == "prompt":
+                new.append(r.text)
+            else:
+                texts = [*(x[0] for x in self.open.get()), *new]
+                out.append((key[0], r.text, "|".join(texts), len(texts)))
+                self.open.clear()
+                new = []
+        if new:
+            self.open.appendList([(text,) for text in new])
+        yield pd.DataFrame(out, columns=["session", "commit_id", "prompts", "n"])
+
+    def close(self) -> None:
+        pass
 
 
 def prompts_to_commits(events: DataFrame) -> DataFrame:
     """session, commit_id, prompts, n: prompts since the session's commit before. ``events`` is a stream
-    of session, ts, seq, kind (prompt or commit), text; the state holds a session's open prompts."""
-    return events.groupBy("session").applyInPandasWithState(_gather, PROMPTS, "held array<string>", "append", "NoTimeout")
+    of session, ts, seq, kind (prompt or commit), text; ``run_once`` sets the state store that it needs."""
+    return events.groupBy("session").transformWithStateInPandas(Gather(), PROMPTS, "append", "none")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs all that is available into Parquet in the shared folder and returns that table."""
-    spark = stream.sparkSession
-    out = scratch(spark, name)
+@contextmanager
+def state_settings(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-checkpoint")).outputMode(mode).trigger(availableNow=True).start()
-        q.awaitTermination()
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs all that is available into Parquet in the shared folder and returns that table."""
+    spark = stream.sparkSession
+    out = scratch(spark, name)
+    with state_settings(spark):
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-checkpoint")).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-class Current:
-    """A table of the newest write per key, in buckets of keys: a batch of a stream writes anew only
-    the buckets that it touches, each batch in a folder of its own. ``heads/N`` names the batch that
-    wrote each bucket last, as of batch N; a batch that runs again writes the same."""
-
-    COLUMNS = [*K, "op", "value", "ts", "seq"]
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _exists(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-
-    def heads(self, batch: int) -> dict[int, int]:
-        """The last batch of each bucket: ``buckets`` rows at most."""
-        if batch < 0 or not self._exists(f"heads/{batch}/_SUCCESS"):
-            return {}
-        return {r["bucket"]: r["batch"] for r in self.spark.read.schema("bucket int, batch int").parquet(f"{self.path}/heads/{batch}").collect()}
-
-    def read(self, heads: dict[int, int]) -> DataFrame:
-        """The rows of these buckets."""
-        kinds = "target_type string, target_value string, key string, op string, value string, ts long, seq long"
-        paths = [f"{self.path}/batches/{n}/bucket={b}" for b, n in sorted(heads.items())]
-        return self.spark.read.schema(kinds).parquet(*paths) if paths else self.spark.createDataFrame([], kinds)
-
-    def merge(self, batch: DataFrame, n: int) -> None:
-        """Folds a batch, then merges it with the buckets that it touches."""
-        bucket = F.pmod(F.xxhash64(*K), F.lit(self.buckets)).cast("int")
-        new = stored(last_per_key(batch.select(*self.COLUMNS)).select(*self.COLUMNS), "batch")
-        before = self.heads(n - 1)
-        touched = {r["bucket"] for r in new.select(bucket.alias("bucket")).distinct().collect()}
-        rows = last_per_key(new.unionByName(self.read({b: v for b, v in before.items() if b in touched}))).select(*self.COLUMNS)
-        parts = min(max(1, len(touched)), self.buckets)
-        rows.withColumn("bucket", bucket).repartition(parts, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batches/{n}")
-        heads = [(b, n) for b in sorted(touched)] + [(b, v) for b, v in sorted(before.items()) if b not in touched]
-        self.spark.createDataFrame(heads, "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/heads/{n}")
-
-
-def keep_current(mutations: DataFrame, store: str, buckets: int = 64) -> DataFrame:
-    """Keeps K, op, value, ts, seq of the newest write per key under ``store`` from a stream of
-    mutations, and returns them. A second call goes on where the first stopped."""
-    table = Current(mutations.sparkSession, store, buckets)
-    q = mutations.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    while last > 0 and not table.heads(last):  # the last progress may be of an empty trigger
-        last -= 1
-    return table.read(table.heads(last))
+def keep_current(mutations: DataFrame, store: str) -> DataFrame:
+    """Folds a stream of mutations into the newest write of each key, K, op, value, ts, seq, and returns all
+    of them. The writes are the stream's state, in RocksDB with its changes in the checkpoint under ``store``: a
+    batch costs what it touches, and the state data source reads them back. A second call goes on where
+    the first stopped."""
+    spark = mutations.sparkSession
+    # of equal (ts, seq) the larger op and value, so that a batch that runs again folds alike
+    newest = mutations.groupBy(*K).agg(F.max(F.struct("ts", "seq", "op", "value")).alias("l"))
+    with state_settings(spark):
+        q = newest.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        state = spark.read.format("statestore").load(f"{store}/checkpoint")
+        held = f"value.{state.schema['value'].dataType.fields[0].name}"
+        return stored(state.select("key.*", F.col(f"{held}.op"), F.col(f"{held}.value"), F.col(f"{held}.ts"), F.col(f"{held}.seq")), "current")

@@ -270,18 +270,17 @@ def test_sessions_whose_branches_come_later(spark):
     assert {(r["u"], r["branch"]) for r in to_last_branch(closed, branches, "u").collect()} == {(1, None), (2, None), (3, "y")}
 
 
-def test_current_table_rewrites_touched_buckets_only(spark, tmp_path):
-    from factweave.streaming.watch import Current
-
-    table = Current(spark, f"file://{tmp_path}/t", buckets=8)
-    rows_of = lambda *ks: spark.createDataFrame([("commit", "abc", k, "set", v, ts, ts) for k, v, ts in ks], "target_type string, target_value string, key string, op string, value string, ts long, seq long")
-    table.merge(rows_of(*((f"k{i}", "old", 1) for i in range(40))), 0)
-    assert set(table.heads(0).values()) == {0} and len(table.heads(0)) > 4
-    for _ in range(2):  # a batch that runs again writes the same
-        table.merge(rows_of(("k3", "new", 5), ("k4", "late", 0)), 1)
-        assert sorted(table.heads(1).values(), reverse=True)[2:] == [0] * (len(table.heads(1)) - 2)
-        got = {r["key"]: r["value"] for r in table.read(table.heads(1)).collect()}
-        assert got == {f"k{i}": "new" if i == 3 else "old" for i in range(40)}
+def test_current_writes_go_on_where_they_stopped(spark, tmp_path):
+    """State in the checkpoint: a second call reads only new files, late and repeated writes change nothing."""
+    from factweave.streaming.watch import keep_current
+
+    kinds = "target_type string, target_value string, key string, op string, value string, ts long, seq long"
+    put = lambda *ks: spark.createDataFrame([("commit", "abc", k, "set", v, ts, ts) for k, v, ts in ks], kinds).write.mode("append").parquet(f"{tmp_path}/in")
+    now = lambda: {r["key"]: r["value"] for r in keep_current(spark.readStream.schema(kinds).parquet(f"{tmp_path}/in"), f"file://{tmp_path}/t").collect()}
+    put(*((f"k{i}", "old", 1) for i in range(40)))
+    assert now() == {f"k{i}": "old" for i in range(40)}
+    put(("k3", "new", 5), ("k4", "late", 0), ("k5", "old", 1))
+    assert now() == {f"k{i}": "new" if i == 3 else "old" for i in range(40)} == now()
 
 
 def test_total_order(spark):

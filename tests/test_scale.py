@@ -278,3 +278,72 @@ def test_fuzzy_is_linear(spark):
     start = time.time()
     assert found("eaz") == {"k2"} and time.time() - start < 20
     assert found(".[]\\^-É") == {"k3"} and found("") == {"k", "k2", "k3"} and found("k2") == {"k2"}
+
+
+def test_entries_like_a_plain_list():
+    rng = random.Random(8)
+    for values in ("v", "abc", "abcdefghijklmnop"):
+        have, want = S.Entries(), []
+        for i in range(6000):
+            kind = rng.random() if i < 4000 else 0.5 + rng.random() / 2
+            if kind < 0.55 or not want:
+                e = (rng.choice(values), i)
+                have.append(*e)
+                want.append(e)
+            elif kind < 0.8:
+                v = rng.choice(values)
+                at = max((n for n, e in enumerate(want) if e[0] == v), default=None)
+                assert have.pop_value(v) == (at is not None)
+                if at is not None:
+                    del want[at]
+            else:
+                n = rng.randrange(len(want))
+                assert have.pop_at(n) == want.pop(n)[0]
+            assert len(have) == len(want) and have.last_ts() == (want[-1][1] if want else None)
+        assert list(have) == want
+
+
+def test_a_long_list_is_edited_in_seconds():
+    start, have, rng = time.time(), S.Entries(), random.Random(1)
+    for i in range(200_000):
+        have.append("v" if i % 2 else str(i % 1000), i)
+    for i in range(100_000):
+        have.pop_at(rng.randrange(len(have)))
+        have.pop_value("v")
+    assert len(have) < 100_001 and time.time() - start < 30
+
+
+def test_sessions_of_a_month_cost_few_cells(spark):
+    from factweave.operators import sessions as X
+
+    rng = random.Random(4)
+    spans = [(0, 1), (5, 6), (-7, 9), (1, 2**20 + 3), (2**40 - 1, 2**40 + 43_201)] + [(a := rng.randrange(-(10**6), 10**6), a + rng.randrange(1, 5000)) for _ in range(40)]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", X.dyadic_cells(F.col("a"), F.col("b")).alias("cells"))
+    for r in df.collect():
+        covered = sorted((c["cell"] << c["level"], (c["cell"] + 1) << c["level"]) for c in r["cells"])
+        assert covered[0][0] == r["a"] and covered[-1][1] == r["b"] and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
+        assert len(covered) <= 64
+    at = [(f"s{i}", i % 3, t, t + rng.choice([10**4, 10**7, 2 * 10**9])) for i, t in enumerate(rng.randrange(10**9) for _ in range(30))]
+    done = [(f"c{i}", rng.randrange(3), rng.randrange(2 * 10**9), rng.random() < 0.3, i % 2) for i in range(200)]
+    sessions = spark.createDataFrame([(u, s, a, b, u % 2) for s, u, a, b in at], "user_id int, sid string, start_ts long, end_ts long, project int")
+    commits = spark.createDataFrame(done, "id string, user_id int, ts long, assisted boolean, project int")
+    for within in ((), ("project",)):
+        got = {(r["sid"], r["id"]) for r in X.range_matches(sessions, commits, within=within).collect()}
+        assert got == {(s, c) for s, u, a, b in at for c, v, t, x, p in done if a - 60_000 <= t <= b + 300_000 and (x or u == v) and (not within or u % 2 == p)}
+
+
+def test_nested_json_by_directory(spark, tmp_path):
+    import json
+
+    from factweave.operators import views as V
+
+    data = [("path", f"{top}/f{i}", k, f"é\n{i}") for top in ("src", "lib") for i in range(5) for k in ("a:b", "c")] + [("path", "README", "a", '"'), ("commit", "abc", "x:y", "1"), ("commit", "def", "x", "2")]
+    facts = spark.createDataFrame(data, "target_type string, target_value string, key string, value string")
+    V.write_nested_json(facts, f"{tmp_path}/out")
+    got = {}
+    for r in V.read_nested_json(spark, f"{tmp_path}/out").collect():
+        got.setdefault(r["target_type"], []).append(json.loads(r["json"]))
+    assert sorted(map(len, got["path"])) == [1, 5, 5] and len(got["commit"]) == 2
+    whole = {k: v for one in got["path"] for k, v in one.items()}
+    assert whole == {t: {k: v for _, u, k, v in data if u == t} for kind, t, _, _ in data if kind == "path"}
+    assert {"abc": {"x": {"y": "1"}}} in got["commit"]
