@@ -7,7 +7,8 @@ touches: all commits up to a position. Tests for ancestors, common ancestors and
 compare labels; no row for a head and an ancestor is ever made.
 
 Labels grow along the edges between chains: a round takes the edges that leave what the round before
-added, so there are as many rounds as changes of chains, not as commits. Chains are found by doubling
+added, so there are as many rounds as changes of chains, not as commits. Common ancestors are looked for
+from both heads until they meet, without the labels of what lies below. Chains are found by doubling
 pointers, one row for each commit in every round. Rounds are written to the shared folder."""
 
 from __future__ import annotations
@@ -111,16 +112,47 @@ class Chains:
         met = asks.join(dealt, ["chain", "slice"]).where("pos <= top AND pos > below")
         return met.groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("pos"))
 
-    def best_common(self, pairs: DataFrame) -> DataFrame:
+    def best_common(self, pairs: DataFrame, window: int = 1024) -> DataFrame:
         """pair, base for (pair, local, remote): the common ancestor that no other common one reaches; of
-        several the smallest id. Pairs without one are left out."""
-        both, up = self._labelled(pairs, "local", "remote")
-        side = lambda c: both.select("pair", F.col(c).alias("head")).join(up, "head").select("pair", "chain", F.col("pos").alias(c))
-        common = side("local").join(side("remote"), ["pair", "chain"]).select("pair", "chain", F.least("local", "remote").alias("pos"))
-        common = stored(common, "common")
-        reached = self._left(common.select(F.col("pair").alias("head"), "chain", "pos", F.lit(-1).cast("long").alias("below")))
-        best = common.join(reached.withColumnRenamed("head", "pair"), ["pair", "chain", "pos"], "left_anti")
-        return best.join(self.members, ["chain", "pos"]).groupBy("pair").agg(F.min("id").alias("base"))
+        several the smallest id. Pairs without one are left out.
+
+        Both sides go down in steps of a window that widens, and stop wherever they have met: what lies below a
+        common commit can't be a best one. So a pair costs what its two histories differ by, not what they share.
+        A best common ancestor is always met, as no commit on the way to it is common; what was met besides,
+        where one side came by a way that the other had left out, is told by being reached from a better one."""
+        common = self._meetings(pairs, window)
+        # first by a child that is common too, which settles most
+        child = self.cross.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.col("chain").alias("from_chain"), F.col("pos").alias("from_pos"))
+        above = common.select("pair", F.col("chain").alias("from_chain"), F.col("pos").alias("top"))
+        under = common.join(child, ["chain", "pos"]).join(above, ["pair", "from_chain"]).where("from_pos <= top").select("pair", "chain", "pos").distinct()
+        best = stored(common.join(under, ["pair", "chain", "pos"], "left_anti").join(self.members, ["chain", "pos"]).select("pair", "chain", "pos", "id"), "best")
+        several = stored(best.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(best, "pair").drop("n"), "several")
+        if self.crosses and not several.isEmpty():
+            heads = stored(several.select("id").distinct().withColumn("head", F.monotonically_increasing_id()), "heads")
+            up = self.labels(heads).select("head", "chain", F.col("pos").alias("top")).join(heads.withColumnRenamed("id", "by"), "head")
+            lower = several.join(up, "chain").where("pos <= top AND id != by").join(several.select("pair", F.col("id").alias("by")), ["pair", "by"]).select("pair", "id").distinct()
+            best = best.join(lower, ["pair", "id"], "left_anti")
+        return best.groupBy("pair").agg(F.min("id").alias("base"))
+
+    def _meetings(self, pairs: DataFrame, window: int) -> DataFrame:
+        """pair, chain, pos: up to where both sides of a pair were seen to reach on a chain."""
+        sides = pairs.where("local IS NOT NULL AND remote IS NOT NULL").select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("local").alias("id")), F.struct(F.lit(1).alias("side"), F.col("remote").alias("id")))).alias("h"))
+        have = stored(sides.select("pair", "h.side", "h.id").join(self.members, "id").select("pair", "side", "chain", "pos"), "labels")
+        todo, left = have.select("pair", "side", "chain", F.lit(-1).cast("long").alias("lo"), F.col("pos").alias("hi")), 1
+        both = lambda: have.groupBy("pair", "chain").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+        while self.crosses and left:
+            met = both().select("pair", "chain", F.col("pos").alias("met"))
+            todo = todo.join(met, ["pair", "chain"], "left").withColumn("lo", F.greatest("lo", F.coalesce("met", F.lit(-1)))).where("lo < hi")
+            cut = F.greatest(F.col("lo"), F.col("hi") - window)
+            now = stored(todo.select("pair", "side", "chain", "lo", cut.alias("cut"), "hi"), "pieces")
+            flow = self._left(now.select(F.struct("pair", "side").alias("head"), "chain", F.col("hi").alias("pos"), F.col("cut").alias("below"))).select("head.pair", "head.side", "chain", "pos")
+            old = have.withColumnRenamed("pos", "lo")
+            more = flow.join(old, ["pair", "side", "chain"], "left").where("lo IS NULL OR pos > lo").select("pair", "side", "chain", F.coalesce("lo", F.lit(-1)).cast("long").alias("lo"), F.col("pos").alias("hi"))
+            rest = now.where("lo < cut").select("pair", "side", "chain", "lo", F.col("cut").alias("hi"))
+            todo, left = stored_counting(more.withColumn("fresh", F.lit(True)).unionByName(rest.withColumn("fresh", F.lit(False))), "todo")
+            have = stored(have.unionByName(todo.where("fresh").select("pair", "side", "chain", F.col("hi").alias("pos"))).groupBy("pair", "side", "chain").agg(F.max("pos").alias("pos")), "labels")
+            todo, window = todo.drop("fresh"), window * 8
+        return stored(both(), "common")
 
     def new_each(self, pairs: DataFrame) -> DataFrame:
         """pair, n for (pair, old, new): how many commits new reaches and old doesn't. Without an old head

@@ -155,7 +155,8 @@ def test_chain_labels(spark, seed, n, merges):
         if tops:
             best[p] = min(f"c{c}" for c in tops)
     chains = Chains.of(edges, pairs.select(F.col("remote").alias("id")).where("id IS NOT NULL"))
-    assert {r["pair"]: r["base"] for r in chains.best_common(pairs).collect()} == best
+    for window in (1, 1024):
+        assert {r["pair"]: r["base"] for r in chains.best_common(pairs, window).collect()} == best
     way = pairs.select("pair", F.col("local").alias("old"), F.col("remote").alias("new"))
     assert {r["pair"]: r["n"] for r in chains.new_each(way).collect()} == {p: len(up.get(b, set()) - up[a]) for p, a, b in asked}
     assert {r["pair"]: r["is_ancestor"] for r in chains.is_ancestor(way).collect()} == {p: a in up.get(b, set()) for p, a, b in asked}
