@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
+from factweave.operators.shared import stored
 
 
 def summarise_sessions(messages: DataFrame) -> DataFrame:
@@ -45,10 +46,6 @@ def summarise_transcripts(lines: DataFrame) -> DataFrame:
     return summarise_sessions(transcript_messages(lines))
 
 
-#: Levels that a dyadic cover may use: enough for any two times in milliseconds.
-LEVELS = 48
-
-
 def dyadic_cells(lo: Column, hi: Column) -> Column:
     """array<struct<level, cell>>: the fewest cells [cell * 2**level, (cell + 1) * 2**level) that cover the
     whole numbers from lo up to but not hi: two a level at most."""
@@ -62,7 +59,8 @@ def dyadic_cells(lo: Column, hi: Column) -> Column:
         return F.struct(F.shiftright(F.when(odd_a, a + 1).otherwise(a), 1).alias("a"), F.shiftright(F.when(odd_b, b - 1).otherwise(b), 1).alias("b"), F.concat(cells, left, right).alias("cells"))
 
     start = F.struct(lo.cast("long").alias("a"), hi.cast("long").alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["cells"])
+    top = F.floor(F.log2(F.greatest(hi - lo, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(0), top), start, step, lambda acc: acc["cells"])
 
 
 def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, unit_ms: int = 60_000, within: tuple[str, ...] = ()) -> DataFrame:
@@ -73,7 +71,7 @@ def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_0
     ``within`` names columns of both, such as a project: rows that differ in them don't meet at all."""
     lo, hi = F.col("start_ts") - before_ms, F.col("end_ts") + after_ms
     cover = dyadic_cells(F.floor(lo / unit_ms), F.floor(hi / unit_ms) + 1)
-    spans = sessions.select("user_id", "sid", *within, lo.alias("lo"), hi.alias("hi"), F.inline(cover))
+    spans = stored(sessions.select("user_id", "sid", *within, lo.alias("lo"), hi.alias("hi"), F.inline(cover)), "spans")
     used = sorted(r["level"] for r in spans.select("level").distinct().collect())  # a row for each level at most
     levels = F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level")
     at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), *within, levels)

@@ -39,12 +39,12 @@ def _summed() -> list[Column]:
 
 @dataclass
 class Store:
-    """``of`` names the columns that tell targets apart."""
+    """``of`` names the columns that tell targets apart; each bucket has ``leaves`` leaves."""
 
     spark: SparkSession
     path: str
-    buckets: int = 64
-    leaves: int = 1 << 14
+    buckets: int = 32
+    leaves: int = 1 << 9
     of: tuple[str, ...] = TARGET
     _seen: dict[str, list] = field(default_factory=dict, repr=False)
 
@@ -61,7 +61,7 @@ class Store:
         return F.pmod(F.xxhash64(*self.of), F.lit(self.buckets)).cast("int")
 
     def _hashed(self, files: DataFrame) -> DataFrame:
-        leaf = F.pmod(F.xxhash64("path"), F.lit(self.leaves)).cast("int")
+        leaf = (self._bucket() * self.leaves + F.pmod(F.xxhash64("path"), F.lit(self.leaves))).cast("int")
         return files.select("path", "content", *self.of, self._bucket().alias("bucket"), leaf.alias("leaf"), F.xxhash64("path", "content").alias("g"), F.xxhash64(F.lit(1), "content", "path").alias("h"))
 
     def _read(self, places: list[str], schema: str, kind: str) -> DataFrame:
@@ -133,7 +133,7 @@ class Store:
         sums = lambda at: self._read(at, LEAF_COLUMNS, "leaves").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
         x, y = (sums(at).select("leaf", F.struct(*DIGEST).alias(side)) for at, side in zip(places, "xy", strict=True))
         apart = x.join(y, "leaf", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("leaf")
-        apart = F.broadcast(apart)  # at most `leaves` numbers
+        apart = F.broadcast(apart)  # at most all leaves of a store
         old = self.files_at(places[0]).join(apart, "leaf", "left_semi").select("path", F.struct("g", "h").alias("x"))
         new = self.files_at(places[1]).join(apart, "leaf", "left_semi").select("path", F.struct("g", "h").alias("y"), *["content"] * contents)
         status = F.when(F.col("x").isNull(), "A").when(F.col("y").isNull(), "D").when(F.col("x") != F.col("y"), "M")

@@ -99,7 +99,7 @@ SELECT path, content FROM old ANTI JOIN dirty USING (target_type, target_value)
 def s7(s):
     """A version of all files, then one that follows it with the touched targets as they are now."""
     now = _local(s)
-    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 6)
     store.write(N.render_snapshot(now).withColumn("content", F.concat("content", F.lit("?"))), "old")
     touched = s.chat.select("target_type", "target_value", F.when(F.col("conv_id") % 3 == 0, 10).otherwise(1).alias("ts"))
     N.export_incremental(store, "old", "new", now, touched, 5)
@@ -124,7 +124,7 @@ def s8(s):
 def s9(s):
     """The same files once more make no version; fewer do, and its manifest tells."""
     files = N.render_snapshot(_local(s))
-    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 6)
     store.write(files, "one")
     again = store.follow("one", "again", files, files.repartition(3))
     store.follow("one", "other", files, files.where("content <> 'user'"))
@@ -248,7 +248,7 @@ SELECT path || '/__value' AS path, CASE WHEN a.value IS NULL THEN 'A' WHEN b.val
 def m16(s):
     """Two versions in a store, compared by their digests."""
     files = lambda v: N.render_snapshot(Snapshot(v.where("value_type = 'string'")))
-    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 6)
     store.write(files(s.base), "base")
     store.write(files(s.local), "local")
     return store.diff("base", "local")
@@ -257,7 +257,7 @@ def m16(s):
 @query("m16_import_changes", f"SELECT {KC}, value_type, id, value FROM {{remote}}")
 def m16i(s):
     """The base state takes over what changed from its version to the remote one."""
-    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 10)
+    store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 6)
     store.write(N.render_snapshot(Snapshot(s.base, s.tomb_base)), "base")
     store.write(N.render_snapshot(Snapshot(s.remote, s.tomb_remote)), "remote")
     return N.apply_changes(s.base, store.diff("base", "remote", contents=True))
