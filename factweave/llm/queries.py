@@ -213,6 +213,11 @@ FROM d LEFT JOIN spots ON spots.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id =
     "op9_line_dedup": r"""
 WITH l AS (SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) x),
-f AS (SELECT *, t <> '' AND row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS gone FROM l)
-SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+s AS (SELECT doc_id, i, t, row_number() OVER w AS p, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(t, 3) OVER w AS t3 FROM l WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, p, 1 AS n, t AS run FROM s UNION ALL SELECT doc_id, p, 2, t || chr(10) || t1 FROM s
+  UNION ALL SELECT doc_id, p, 3, t || chr(10) || t1 || chr(10) || t2 FROM s UNION ALL SELECT doc_id, p, 4, t || chr(10) || t1 || chr(10) || t2 || chr(10) || t3 FROM s),
+f AS (SELECT doc_id, p, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) > 1 AS repeated FROM r WHERE n = 4 AND run IS NOT NULL OR strlen(run) - n + 1 >= 240),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM f WHERE repeated),
+k AS (SELECT l.doc_id, l.i, l.line, l.t, g.p IS NOT NULL AS gone FROM l LEFT JOIN s USING (doc_id, i) LEFT JOIN g ON g.doc_id = s.doc_id AND g.p = s.p)
+SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
 }

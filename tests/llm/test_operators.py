@@ -350,49 +350,90 @@ def test_single_lines_are_deduplicated(spark):
     """One-line copies, a single repeated line between differing neighbours, a run of two lines."""
     texts = ["only line", "only line", "a\nshared\nb", "c\n shared \nd", "p\nq\nr", "x\np\nq\ny"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in line_dedup.dedup_lines(df).collect()}
+    out = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in line_dedup.dedup_lines(df, window=1).collect()}
     assert out == {0: (1, 0, "only line"), 1: (1, 1, ""), 2: (3, 0, texts[2]), 3: (3, 1, "c\nd"), 4: (3, 0, texts[4]), 5: (4, 2, "x\ny")}
 
 
-def plain_lines(docs, size):
-    """Lines and kept text by brute force over all earlier runs of ``size`` lines, whoever holds them."""
+def test_short_repeated_lines_stay(spark):
+    """By default a run counts from 4 lines or 240 bytes on, extended to its ends on both sides."""
+    long = "w" * 239
+    texts = ["{\n}\nend", "x\n{\n}", f"a\n}}\n{long}\n}}\nb", f"c\n}}\n{long}\n}}\nd", f"{long}\ne", f"f\n1\n2\n3\n4\n5\n6", f"g\n1\n2\n3\n4\n5\n7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(df).collect()}
+    assert out == dict(enumerate(texts)) | {3: "c\nd", 6: "g\n7"}
+
+
+def plain_lines(docs, window, least):
+    """Lines and kept text by brute force over all earlier runs of ``window`` lines, or fewer of ``least`` bytes,
+    whoever holds them."""
     seen, out = set(), {}
     for did, dig, text in keyed_rows(docs):
         rows_, gone = text.split("\n"), set()
         solid = [i for i, x in enumerate(rows_) if x.strip(" \t\r\x0b\x0c")]
         clean = [rows_[i].strip(" \t\r\x0b\x0c") for i in solid]
-        for p in range(len(solid) - size + 1):
-            if tuple(clean[p : p + size]) in seen:
-                gone.update(solid[p : p + size])
-            seen.add(tuple(clean[p : p + size]))
+        for p in range(len(solid)):
+            for n in range(1, min(window, len(solid) - p) + 1):
+                run = tuple(clean[p : p + n])
+                if n == window or least is not None and len("".join(run).encode()) >= least:
+                    if run in seen:
+                        gone.update(solid[p : p + n])
+                    seen.add(run)
         out[did, dig] = len(solid), len(gone), "\n".join(x for i, x in enumerate(rows_) if i not in gone)
     return out
 
 
-@pytest.mark.parametrize("gram,window", [(1, 1), (2, 1), (3, 1), (2, 2), (1, 3), (3, 4)])
-def test_line_dedup_against_all_earlier_runs(spark, gram, window):
-    """Every run of ``gram + window - 1`` lines that any earlier document or place holds goes, whoever
-    owns what, and nothing else."""
+@pytest.mark.parametrize("window,least", [(4, 240), (1, None), (2, None), (3, None), (6, None), (4, 1), (4, 3), (3, 4), (6, 5)])
+def test_line_dedup_against_all_earlier_runs(spark, window, least):
+    """Every run that any earlier document or place holds goes, whoever owns what, and nothing else."""
     rng = random.Random(8)
-    docs = [(i, "\n".join(rng.choice(["a", "b", " c ", "d", "", "e", "f"]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    docs = [(i, "\n".join(rng.choice(["a", "b", " c ", "dd", "", "e", "fff"]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
     docs += [(100 + 10 * k + i, t) for k in range(8) for i, t in enumerate([f"h{k}\nt{k}", f"h{k}\nt{k}\nu{k}", f"h{k}\nt{k}\nu{k}"])]
     docs += [(300 + i, t) for i, t in enumerate(["x\ny\nq", "w\nx\ny\nq\nr\ns", "w\nx\ny\nq\nr\ns", "\n".join(map(str, range(300))), "\n".join(map(str, range(100, 400)))])]
     df = spark.createDataFrame([*docs, docs[3], (70, None), (None, "a\nb\nc\nd"), (3, "x\na\nb\n c "), (310, " a\r\n\nb \nc")], "doc_id long, text string")
-    how = (gram, window) if gram * window > 1 else ()  # the registered query takes the defaults
-    assert got(line_dedup.dedup_lines(df, *how), "n_lines", "n_removed", "kept") == expected(df, plain_lines(df, gram + window - 1))
+    how = (window, least) if (window, least) != (4, 240) else ()  # the registered query takes the defaults
+    assert got(line_dedup.dedup_lines(df, *how), "n_lines", "n_removed", "kept") == expected(df, plain_lines(df, window, least))
+
+
+def test_hot_line_between_many_neighbours(spark):
+    """A line that every document has, between neighbours of its own, and again with neighbours that some share."""
+    docs = [(i, f"n{i}\n0 hot\nm{i}\nk{i % 7}\n0 hot\nk{i % 5}\nk{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert got(line_dedup.dedup_lines(df, 3, None), "n_lines", "n_removed", "kept") == expected(df, plain_lines(df, 3, None))
 
 
 def test_lines_of_odd_tables(docs):
     """Clashing columns, nulls, repeated rows, a very long text."""
-    assert got(line_dedup.dedup_lines(docs), "n_lines", "n_removed", "kept") == expected(docs, plain_lines(docs, 1))
+    for how in ((4, 240), (1, None)):
+        assert got(line_dedup.dedup_lines(docs, *how), "n_lines", "n_removed", "kept") == expected(docs, plain_lines(docs, *how))
 
 
 def test_winnowing_selects_window_minima():
-    rng = random.Random(1)
+    rng = np.random.default_rng(1)
     for _ in range(50):
-        h = [bytes([rng.randint(0, 5)]) for _ in range(rng.randint(1, 30))]
-        for w in (1, 2, 3, 5):
-            assert line_dedup.winnowed(h, w) == [min(h[i : i + w]) for i in range(len(h) - w + 1)]
+        h, sizes = (rng.integers(lo, 6, rng.integers(1, 30)) for lo in (0, 1))
+        sizes = sizes[: len(h)] if len(sizes) >= len(h) else np.resize(sizes, len(h))
+        for window, least in ((1, None), (2, None), (5, None), (4, 1), (4, 7)):
+            start, end = line_dedup.windows_of(sizes, window, least)
+            counts = lambda a, b: b - a == window or least is not None and b - a < window and sizes[a:b].sum() >= least  # noqa: B023, E731
+            runs = [(a, b) for a in range(len(h)) for b in range(a + 1, min(a + window, len(h)) + 1) if counts(a, b)]
+            shortest = {(a, min(b for x, b in runs if x == a)) for a, _ in runs} | {(max(a for a, x in runs if x == b), b) for _, b in runs}
+            assert set(zip(start.tolist(), end.tolist(), strict=True)) == shortest
+            if len(start):
+                at = line_dedup.selected(h, start, end)
+                assert [(h[i], i) for i in at] == [min(((h[i], i) for i in range(a, b)), key=lambda x: (x[0], -x[1])) for a, b in zip(start, end, strict=True)]
+                lo, hi = line_dedup.spans(line_dedup.window_code(start, end, window), window)
+                assert (lo == start).all() and (hi == end).all()
+                lo, hi = line_dedup.spans(line_dedup.seed_code(at, start, end, window), window)
+                assert (lo == start).all() and (hi == end).all()
+
+
+def test_fewer_positions_than_lines(spark):
+    """What is shuffled are selected positions: about a third of the lines by lines alone, and three quarters with windows of
+    240 bytes, which are often one line."""
+    own = keyed(spark.read.parquet(f"{SF}/documents.parquet"))
+    lines = sum(len(line_dedup.lines_of(r["text"].encode())) for r in own.collect())
+    assert line_dedup.selected_positions(own, 4, None).count() < 0.5 * lines
+    assert line_dedup.selected_positions(own, 4, 240).count() < 0.8 * lines
 
 
 def test_exact_on_an_empty_table(spark, tmp_path):
