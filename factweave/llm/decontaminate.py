@@ -9,7 +9,9 @@ matches are mapped back to character offsets of the original text.
 The windows are broadcast and each worker builds the automaton from them. Windows of more than
 ``block_bytes`` are dealt into several automata, which the driver holds and broadcasts one at a time:
 documents are scanned once for each, what it finds is written to the shared folder before the next, and
-all of it is merged by document, so that the benchmark may grow too.
+all of it is merged by document, so that the benchmark may grow too. An automaton takes some 33 bytes for a byte
+of windows: 0.4 GB in a worker for a whole block. An item longer than a block goes into several, cut so
+that every window is in one.
 
 Nulls: a null text has no words; items without an id or without words match nothing; a null doc_id
 is a document like any other. Items that share an id are one item. Every document gives a row, a
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import covered, keyed, public_id, spans_of, stored, text_batches
 
+#: Windows in one automaton, in bytes.
+BLOCK_BYTES = 12 << 20
 #: Bytes that end a word: ASCII without digits and letters.
 _FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -86,8 +90,11 @@ def scan(raw: bytes, machine) -> tuple[int, np.ndarray, set[str]]:
 
 def original(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     """Character offsets in the original text of word spans."""
+    if not len(lo):
+        return []
     at = [m.span() for m in _WORD.finditer(raw)]
-    return [(len(raw[: at[a][0]].decode()), len(raw[: at[b - 1][1]].decode())) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    chars = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)))
+    return [(int(chars[at[a][0]]), int(chars[at[b - 1][1]])) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
 _SCAN = "did long, dig long, n_words long, words array<struct<lo:long,hi:long>>, spans array<struct<start:long,end:long>>, items array<string>"
@@ -133,22 +140,38 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     }])
 
 
+def pieces(text: str, width: int, block_bytes: int) -> Iterator[str]:
+    """The text itself, or where its windows are more than a block, parts of it that have them all."""
+    if len(text) * width <= block_bytes:
+        yield text
+        return
+    words, at = words_of(text.encode()), 0
+    while at == 0 or at + width <= len(words):
+        to, size = at + width, width * sum(map(len, words[at : at + width]))
+        while to < len(words) and size < block_bytes:
+            size += width * (len(words[to]) + 1)
+            to += 1
+        yield b" ".join(words[at:to]).decode()
+        at = to - width + 1
+
+
 def benchmark_blocks(bench: DataFrame, width: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[dict]:
     """Windows of the benchmark, in dictionaries of about ``block_bytes`` at most, one after another;
     items are read one partition at a time."""
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().orderBy("item", "text")
     held, size, any_yet = [], 0, False
     for row in items.toLocalIterator():
-        held.append((row["item"], row["text"]))
-        size += len(row["text"].encode()) * width
-        if size > block_bytes:
-            yield windows_of(held, width)
-            held, size, any_yet = [], 0, True
+        for piece in pieces(row["text"], width, block_bytes):
+            held.append((row["item"], piece))
+            size += len(piece.encode()) * width
+            if size > block_bytes:
+                yield windows_of(held, width)
+                held, size, any_yet = [], 0, True
     if held or not any_yet:
         yield windows_of(held, width)
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids, items_sha256, contaminated and spans (character
     offsets in the original text) for every document."""
     text_batches(docs.sparkSession)
@@ -176,7 +199,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, width: int = 10, id_co
     )
 
 
-def decontaminated(docs: DataFrame, bench: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
+def decontaminated(docs: DataFrame, bench: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a hit, all columns kept: a pass for each automaton, no shuffle."""
 
     def clean(shared, key: int):
