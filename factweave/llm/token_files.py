@@ -1,7 +1,7 @@
 """Token-ID files: Parquet with a list column of ids.
 
 Documents are range-partitioned by id, tokenised in order and written by Spark's Parquet writer:
-one file per partition, ids delta-encoded (writer version 2) or dictionary-encoded, row groups and
+one file per partition of ``file_bytes`` of text or so, ids delta-encoded (writer version 2) or dictionary-encoded, row groups and
 pages of a stated size, page indexes for skipping. Each row carries the number of its partition and
 the ids before it there, so the place of a document in the whole stream of ids follows from the
 per-partition totals alone, and metadata can be read without any id.
@@ -13,7 +13,9 @@ the tokenizer's model piece by piece where a probe shows that this is the same;
 ways on whole tables and on odd texts.
 
 Nulls: a null text is empty and yields the end id alone; a null doc_id sorts first. Rows that share
-an id stand in the order of their texts. An empty table writes files without rows. Further columns
+an id, or have none, stand in the order of the first 16 characters of their texts, then of the texts' 64-bit hashes,
+over as many files as they need; equal texts under one id are dealt over files by their place in the input,
+which makes no difference to what is read. An empty table writes files without rows. Further columns
 of the input are not written.
 """
 
@@ -191,15 +193,18 @@ def _encode_map(path: str, end_id: int, most: int = PIECE):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None, encoding: str = "delta", row_group_bytes: int = 64 << 20, page_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of all documents, ascending by id. ``encoding`` is 'delta' or 'dictionary'."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None, file_bytes: int = 256 << 20, encoding: str = "delta", row_group_bytes: int = 64 << 20, page_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the ids of all documents, ascending by id. ``encoding`` is 'delta' or 'dictionary'. There are as many
+    ``partitions`` as asked for, or else as shuffles have, and more where texts are more than ``file_bytes`` for each."""
     if encoding not in ("delta", "dictionary"):
         raise ValueError("encoding must be 'delta' or 'dictionary'")
-    n = partitions or int(text_batches(docs.sparkSession, ROWS, PIECE).conf.get("spark.sql.shuffle.partitions"))
+    least = int(text_batches(docs.sparkSession, ROWS, PIECE).conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n = partitions or max(least, -(-(own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // file_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("head"), F.col("hash")]
+    ordered = own.select("*", F.substring("text", 1, 16).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(n, *order, "row")
     (
-        ordered.mapInArrow(_encode_map(tokenizer, end_id), ROW).write.option("parquet.writer.version", "PARQUET_2_0")
+        ordered.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_encode_map(tokenizer, end_id), ROW).write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes).option("compression", "snappy").parquet(path)
     )

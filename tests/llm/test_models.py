@@ -258,3 +258,22 @@ def test_empty_token_files(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, part int, tokens int")
     token_files.write_tokens(docs, path := token_files_path(spark), public_tokenizers.path("word_bpe_49k.json"))
     assert token_files.read_digests(spark, path).isEmpty() and token_files.document_starts(spark, path).where(F.lit(True)).isEmpty()
+
+
+def test_one_id_of_many_rows_fills_several_files(spark):
+    """Rows without an id, and copies of one text among them, are dealt over files and stay in order."""
+    from tokenizers import Tokenizer
+
+    name = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, f"text number {i}") for i in range(300)] + [(None, "the same text")] * 300 + [(7, "last"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    token_files.write_tokens(docs, path := token_files_path(spark), name, file_bytes=1 << 10)
+    got = token_files.read_tokens(spark, path)
+    sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 200  # bytes decide on the number of files
+    held = got.orderBy("part", "part_start").collect()
+    whole = Tokenizer.from_file(name)
+    assert sorted(map(list, (r["tokens"] for r in held))) == sorted([*whole.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows)
+    assert [r["doc_id"] for r in held] == [None] * 601 + [7]
+    starts = sorted((r["start"], r["n_tokens"]) for r in token_files.read_digests(spark, path).collect())
+    assert [a + n for a, n in starts[:-1]] == [a for a, _ in starts[1:]] and starts[0][0] == 0

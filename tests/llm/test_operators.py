@@ -346,6 +346,38 @@ def test_folding_and_exceptions():
     assert [m[2] for m in lex.matches("a trash can and trash idiots".split())] == [2.0, 3.0]
 
 
+def test_long_items_are_cut_without_losing_windows():
+    rng = random.Random(2)
+    for n in (0, 1, 3, 4, 5, 50, 500):
+        text = ", ".join(rng.choice(WORDS) + rng.choice(["", "é", "9"]) for _ in range(n))
+        for block in (1, 60, 400, 1 << 20):
+            parts = list(decontaminate.pieces(text, 4, block))
+            assert decontaminate.windows_of([("i", text)], 4) == decontaminate.windows_of([("i", p) for p in parts], 4)
+            assert max(map(len, parts)) <= max(block // 4 + 12, 60) or len(text) * 4 <= block
+
+
+def test_automaton_of_a_whole_block_is_bounded():
+    """A block as large as they get, of random words: under half a gigabyte."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(20_000)]
+    items, size = [], 0
+    while size <= decontaminate.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(rng.choices(words, k=150))))
+        size += len(items[-1][1]) * 10
+    stats = decontaminate.automaton(decontaminate.windows_of(items, 10), -1).get_stats()
+    decontaminate._built.clear()
+    assert stats["total_size"] < 512 << 20
+
+
+def test_offsets_of_spans_in_a_long_text():
+    text = "é, über 中文 word! " * 20_000
+    raw = text.encode()
+    n = len(decontaminate.words_of(raw))
+    lo = np.arange(0, n - 1, 2)
+    got_ = decontaminate.original(raw, lo, lo + 1)
+    assert all(text[a:b].lower().encode() == w for (a, b), w in zip(got_, decontaminate.words_of(raw)[::2], strict=False))
+
+
 def test_single_lines_are_deduplicated(spark):
     """One-line copies, a single repeated line between differing neighbours, a run of two lines."""
     texts = ["only line", "only line", "a\nshared\nb", "c\n shared \nd", "p\nq\nr", "x\np\nq\ny"]
