@@ -63,23 +63,26 @@ def dyadic_cells(lo: Column, hi: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), top), start, step, lambda acc: acc["cells"])
 
 
-def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, unit_ms: int = 60_000, within: tuple[str, ...] = ()) -> DataFrame:
+def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, unit_ms: int = 60_000, within: tuple[str, ...] = (), along: tuple[str, ...] = ()) -> DataFrame:
     """user_id, sid, id, assisted, same_author, ts: commits within a session's time, widened on both
     sides, that name an assistant, whoever wrote them, or that the session's user wrote. A session is covered by
     the few dyadic cells that make up its time, a month by fewer than 64, a commit lies in one cell of each
     level: both meet by equality (of one user, for commits that name no assistant), then by an exact test.
-    ``within`` names columns of both, such as a project: rows that differ in them don't meet at all."""
+    ``within`` names columns of both, such as a project: rows that differ in them don't meet at all. ``along`` names
+    further columns of either that go with a pair."""
+    mine = [c for c in along if c in sessions.columns]
+    theirs = [c for c in along if c not in mine]
     lo, hi = F.col("start_ts") - before_ms, F.col("end_ts") + after_ms
     cover = dyadic_cells(F.floor(lo / unit_ms), F.floor(hi / unit_ms) + 1)
-    spans = stored(sessions.select("user_id", "sid", *within, lo.alias("lo"), hi.alias("hi"), F.inline(cover)), "spans")
+    spans = stored(sessions.select("user_id", "sid", *within, *mine, lo.alias("lo"), hi.alias("hi"), F.inline(cover)), "spans")
     used = sorted(r["level"] for r in spans.select("level").distinct().collect())  # a row for each level at most
     levels = F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level")
-    at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), *within, levels)
+    at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), *within, *theirs, levels)
     at = at.withColumn("cell", F.floor(F.col("ts") / unit_ms)).withColumn("cell", F.expr("shiftright(cell, level)"))
     on = ["level", "cell", *within]
     anyone = spans.join(at.where("assisted"), on)
     own = spans.join(at.where("not assisted").withColumn("user_id", F.col("author")), [*on, "user_id"])
-    out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts")
+    out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts", *along)
     hit = lambda df: df.where("ts between lo and hi").select(*out)
     return hit(anyone).unionByName(hit(own))
 
@@ -98,12 +101,35 @@ def session_outputs(outputs: DataFrame, commits: DataFrame) -> DataFrame:
     return output_matches(outputs, commits).join(outputs.select("out_id", "user_id", "sid"), "out_id").select("user_id", "sid", "id").distinct()
 
 
-def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame) -> DataFrame:
-    """user_id, sid, id, strategy: what the command outputs name, then assisted commits in the
-    session's time, then its user's own; sessions without any get the user's first commit after them."""
-    near = range_matches(sessions, commits)
-    ranked = [("output", session_outputs(outputs, commits)), ("assisted", near.where("assisted")), ("author", near.where("same_author"))]
-    return by_priority(ranked, asof_fallback(sessions, commits))
+def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, along: tuple[str, ...] = ()) -> DataFrame:
+    """user_id, sid, id, strategy, and the commit's columns ``along``: what the command outputs name, then assisted
+    commits in the session's time, then its user's own; sessions without any get the user's first commit after
+    them. Each pair comes once.
+
+    Pairs in a session's time are as many as sessions and assisted commits that lie close, so they aren't shuffled
+    again. A session carries one of 64 bits for each commit that its outputs name: where a commit's bit is
+    missing, and neither of the two is listed twice, the pair has no other strategy and goes straight out. The few
+    others are settled in ``by_priority``; and only sessions with a commit after them are asked whether they have any."""
+    key = ["user_id", "sid"]
+    named = stored(session_outputs(outputs, commits), "named")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
+    counted = sessions.select(*key, F.lit(0).cast("long").alias("bits"), F.lit(1).alias("n")).unionByName(named.select(*key, bit.alias("bits"), F.lit(0).alias("n")))
+    marks = counted.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.bit_or("bits").alias("bits"), (F.sum("n") > 1).alias("twice"))
+    same = F.col("user_id").eqNullSafe(F.col("__user_id")) & F.col("sid").eqNullSafe(F.col("__sid"))
+    spans = stored(sessions.join(marks, same, "left").drop("__user_id", "__sid"), "sessions")
+    often = commits.groupBy(F.col("id").alias("__id")).agg((F.count(F.lit(1)) > 1).alias("again"))
+    at = stored(commits.join(often, F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id").withColumn("bit", bit), "commits")
+
+    near = range_matches(spans, at, along=("bits", "twice", "again", "bit", *along))
+    alone = ~(F.col("twice") | F.col("again") | (F.col("bits").bitwiseAND(F.col("bit")) != 0))
+    once = near.where(alone).select(*key, "id", F.when(F.col("assisted"), "assisted").otherwise("author").alias("strategy"), *along)
+    of = at.select(F.col("id").alias("__id"), *along).distinct()
+    carry = lambda df: df.join(of, F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id") if along else df
+    others = near.where(~alone)
+    after = stored(asof_fallback(sessions, at), "after")
+    have = range_matches(spans.join(after.select(*key), key, "left_semi"), at).select(*key).unionByName(named.select(*key)).distinct()
+    ranked = [("output", carry(named)), ("assisted", others.where("assisted")), ("author", others.where("same_author"))]
+    return once.unionByName(by_priority(ranked, carry(after), have, along))
 
 
 def asof_fallback(sessions: DataFrame, commits: DataFrame, within_ms: int = 3_600_000, bucket_ms: int = 3_600_000) -> DataFrame:
@@ -115,16 +141,16 @@ def asof_fallback(sessions: DataFrame, commits: DataFrame, within_ms: int = 3_60
     return hit.groupBy("user_id", "sid").agg(F.min_by("id", F.struct("ts", "id")).alias("id"))
 
 
-def by_priority(matches: list[tuple[str, DataFrame]], fallback: DataFrame) -> DataFrame:
-    """user_id, sid, id, strategy: each pair once, by the first strategy that found it; the fallback
-    only for sessions that no other strategy matched."""
+def by_priority(matches: list[tuple[str, DataFrame]], fallback: DataFrame, matched: DataFrame | None = None, along: tuple[str, ...] = ()) -> DataFrame:
+    """user_id, sid, id, strategy, and columns ``along``: each pair once, by the first strategy that found it; the
+    fallback only for sessions that no other strategy matched. ``matched`` has those sessions where they are known."""
     rows = None
     for n, (name, df) in enumerate(matches):
-        part = df.select("user_id", "sid", "id", F.struct(F.lit(n).alias("n"), F.lit(name).alias("name")).alias("s"))
+        part = df.select("user_id", "sid", "id", *along, F.struct(F.lit(n).alias("n"), F.lit(name).alias("name")).alias("s"))
         rows = part if rows is None else rows.unionByName(part)
-    best = rows.groupBy("user_id", "sid", "id").agg(F.min("s").alias("s")).select("user_id", "sid", "id", F.col("s.name").alias("strategy"))
-    rest = fallback.join(rows.select("user_id", "sid").distinct(), ["user_id", "sid"], "left_anti")
-    return best.unionByName(rest.select("user_id", "sid", "id", F.lit("fallback").alias("strategy")))
+    best = rows.groupBy("user_id", "sid", "id", *along).agg(F.min("s").alias("s")).select("user_id", "sid", "id", F.col("s.name").alias("strategy"), *along)
+    rest = fallback.join(rows.select("user_id", "sid").distinct() if matched is None else matched, ["user_id", "sid"], "left_anti")
+    return best.unionByName(rest.select("user_id", "sid", "id", F.lit("fallback").alias("strategy"), *along))
 
 
 def attach(matches: DataFrame, change_ids: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -135,6 +161,20 @@ def attach(matches: DataFrame, change_ids: DataFrame, tagged: DataFrame) -> Data
     return rows.join(tagged.select("target_type", "target_value").distinct(), ["target_type", "target_value"], "left_anti")
 
 
+def attach_found(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, change_ids: DataFrame, tagged: DataFrame) -> DataFrame:
+    """``attach`` for what ``find_commits`` finds. Targets are settled on the commits, before these meet sessions; only
+    pairs of targets that stand for several commits are compared afterwards."""
+    target = ["target_type", "target_value"]
+    rows = commits.join(change_ids.select("id", "change_id").distinct(), "id", "left")
+    rows = rows.withColumns({"target_type": F.when(F.col("change_id").isNotNull(), "change-id").otherwise("commit"), "target_value": F.coalesce("change_id", "id")})
+    shared = rows.groupBy(*target).agg((F.count_distinct("id") > 1).alias("shared"))
+    rows = rows.join(shared, target, "left").join(tagged.select(*target, F.lit(True).alias("tagged")).distinct(), target, "left")
+    rows = rows.withColumns({"shared": F.coalesce("shared", F.lit(True)), "open": F.col("tagged").isNull()})
+    found = find_commits(sessions, rows, outputs, along=(*target, "shared", "open")).where("open")
+    pairs = lambda df: df.select(*target, "user_id", "sid")
+    return pairs(found.where("not shared")).unionByName(pairs(found.where("shared")).distinct())
+
+
 def untagged(commits: DataFrame, facts: DataFrame, key: str, n: int) -> DataFrame:
     """The newest n commits without a fact of this key."""
     has = facts.where((F.col("target_type") == "commit") & (F.col("key") == key)).select(F.col("target_value").alias("id"))
