@@ -186,13 +186,9 @@ p AS (SELECT user_id, sid, id, arg_min(strategy, n) AS strategy FROM r GROUP BY
 """
 
 
-def _matches(s):
-    return S.find_commits(s.sessions, s.purchases, s.outputs)
-
-
 @query("j15_by_priority", PRIORITY + "SELECT user_id, sid, id, strategy FROM p")
 def j15(s):
-    return _matches(s)
+    return S.find_commits(s.sessions, s.purchases, s.outputs)
 
 
 @query("j16_attach", PRIORITY + """, c AS (SELECT id, CASE WHEN k % 2 = 0 THEN 'I' || event_id END AS change_id, k FROM {purchases})
@@ -200,7 +196,7 @@ SELECT DISTINCT CASE WHEN change_id IS NULL THEN 'commit' ELSE 'change-id' END A
 def j16(s):
     ids = s.purchases.where("k % 2 = 0").select("id", F.concat(F.lit("I"), F.col("event_id").cast("string")).alias("change_id"))
     tagged = s.purchases.where("k % 5 = 1").select(F.lit("commit").alias("target_type"), F.col("id").alias("target_value"))
-    return S.attach(_matches(s), ids, tagged)
+    return S.attach_found(s.sessions, s.purchases, s.outputs, ids, tagged)
 
 
 @query("j17_untagged", "SELECT id, ts FROM {commits} WHERE o_orderkey % 4 = 0 ORDER BY ts DESC, id LIMIT 100")
