@@ -119,11 +119,13 @@ x AS (SELECT user_id, ts, sum(CASE WHEN gap > 1800000 OR gap IS NULL THEN 1 ELSE
 SELECT user_id, min(ts) AS start_ms, max(ts) AS end_ms, count(*) AS n FROM x GROUP BY user_id, sid""")
 def t9(s):
     """Rows that come after their session closed are dropped: the late batch holds every tenth event.
-    Batches are four files each: rows in time, rows of the far future, late rows."""
+    Batches are four files each: rows in time, twice rows of the far future, late rows. Rows count as late by the
+    watermark of the batch before theirs, so the second far batch closes all sessions, and no late row finds one open."""
     rows = s.ev.select("user_id", F.timestamp_millis("ts").alias("at"), "event_id")
     path = scratch(s.spark, "in")
     rows.where("event_id % 10 > 0").repartition(4).write.parquet(path)
     _end(rows).write.mode("append").parquet(path)
+    _end(rows).write.mode("append").parquet(path)
     rows.where("event_id % 10 = 0").repartition(4).write.mode("append").parquet(path)
     stream = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
     return W.run_once(W.idle_sessions(stream, "user_id", "at", "30 minutes"), "late").where("user_id >= 0")
