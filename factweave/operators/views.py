@@ -126,21 +126,41 @@ def show_view(commits: DataFrame, facts: DataFrame) -> DataFrame:
     return on_commit.unionByName(on_change)
 
 
-def annotate_lines(lines: DataFrame, facts: DataFrame, branch_facts: DataFrame, keys: list[str]) -> DataFrame:
+def annotate_lines(lines: DataFrame, facts: DataFrame, branch_facts: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Lines with their commit's branch and that branch's facts, a column for each of ``keys``."""
     branch = facts.where("target_type = 'commit' and key = 'branch-id'").select(F.col("target_value").alias("commit_id"), F.col("value").alias("branch"))
+    rows = lines.join(branch, "commit_id", "left")
+    if not keys:
+        return rows
     wide = branch_facts.groupBy("branch").pivot("key", keys).agg(F.max("value"))
-    return lines.join(branch, "commit_id", "left").join(wide, "branch", "left")
+    return rows.join(wide, "branch", "left")
+
+
+#: Lines of a file that one task puts in order.
+BLOCK = 4096
+
+
+def in_blocks(lines: DataFrame) -> DataFrame:
+    """Lines dealt out by file and block of line numbers, ``__block``; ``line_groups`` takes them as they lie."""
+    return lines.withColumn("__block", F.floor(F.col("line") / BLOCK)).repartition("file", "__block")
 
 
 def line_groups(lines: DataFrame, identity: Column) -> DataFrame:
     """file, first, last, identity, commit_id: runs of neighbouring lines with one identity; a run ends
-    at a change of identity or a gap in the line numbers, and carries its first line's commit."""
-    w = W.partitionBy("file").orderBy("line")
-    rows = lines.withColumn("identity", identity)
-    cut = F.when((F.lag("identity").over(w) == F.col("identity")) & (F.lag("line").over(w) + 1 == F.col("line")), 0).otherwise(1)
-    rows = rows.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
-    return rows.groupBy("file", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.min_by("identity", "line").alias("identity"), F.min_by("commit_id", "line").alias("commit_id")).drop("run")
+    at a change of identity or a gap in the line numbers, and carries its first line's commit. Runs are found within
+    blocks of a file; only those that touch a block's end may go on in the next one, and are put together."""
+    rows = (lines if "__block" in lines.columns else in_blocks(lines)).select("file", "__block", F.col("line").alias("first"), F.col("line").alias("last"), identity.alias("identity"), "commit_id")
+    runs = _joined_runs(rows, ["file", "__block"])
+    edge = (F.pmod("first", F.lit(BLOCK)) == 0) | (F.pmod("last", F.lit(BLOCK)) == BLOCK - 1)
+    return runs.where(~edge).drop("__block").unionByName(_joined_runs(runs.where(edge), ["file"]))
+
+
+def _joined_runs(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs of one identity that follow each other without a gap as one."""
+    w = W.partitionBy(*by).orderBy("first")
+    cut = F.when((F.lag("identity").over(w) == F.col("identity")) & (F.lag("last").over(w) + 1 == F.col("first")), 0).otherwise(1)
+    rows = runs.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
+    return rows.groupBy(*by, "run").agg(F.min_by("identity", "first").alias("identity"), F.min_by("commit_id", "first").alias("commit_id"), F.min("first").alias("first"), F.max("last").alias("last")).select(*by, "first", "last", "identity", "commit_id")
 
 
 def first_seen(rows: DataFrame, branch: str = "branch", ts: str = "ts") -> DataFrame:

@@ -193,8 +193,8 @@ c AS (SELECT *, CASE WHEN lag(identity) OVER w = identity AND lag(line) OVER w +
 r AS (SELECT *, sum(cut) OVER (PARTITION BY file ORDER BY line) AS run FROM c)
 SELECT file, min(line) AS first, max(line) AS last, arg_min(identity, line) AS identity, arg_min(commit_id, line) AS commit_id FROM r GROUP BY file, run""")
 def n1(s):
-    rows = V.annotate_lines(s.lines, s.commit_facts, _branch_facts(s), ["pr:number"]).withColumn("who", F.coalesce("branch", "commit_id"))
-    one = rows.groupBy("file", "line").agg(F.min("commit_id").alias("commit_id"), F.min("who").alias("who"))
+    rows = V.in_blocks(V.annotate_lines(s.lines, s.commit_facts)).withColumn("who", F.coalesce("branch", "commit_id"))
+    one = rows.groupBy("file", "__block", "line").agg(F.min("commit_id").alias("commit_id"), F.min("who").alias("who"))
     return V.line_groups(one, F.col("who"))
 
 
