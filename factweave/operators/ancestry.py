@@ -13,9 +13,10 @@ pointers, one row for each commit in every round. Rounds are written to the shar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factweave.operators.ordering import scanned
@@ -26,18 +27,21 @@ SLICES = 8
 
 
 def _doubled(state: DataFrame) -> DataFrame:
-    """Pointers (n, to, bottom, pos) twice as long: ``bottom`` is where they get to, ``pos`` how far it is."""
-    on = state.select(F.col("n").alias("to"), F.col("to").alias("far"), F.col("bottom").alias("deep"), F.col("pos").alias("more"))
-    return state.join(on, "to", "left").select("n", F.col("far").alias("to"), F.coalesce("deep", "bottom").alias("bottom"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"))
+    """Pointers (n, at, pos, open) twice as long: ``at`` is where they get to, ``pos`` how far it is. Those that
+    got to an end aren't dealt out to look for more."""
+    on = state.select(F.col("n").alias("at"), F.col("at").alias("far"), F.col("pos").alias("more"), F.col("open").alias("on"))
+    moved = state.where("open").join(on, "at").select("n", F.col("far").alias("at"), (F.col("pos") + F.col("more")).alias("pos"), F.col("on").alias("open"))
+    return moved.unionByName(state.where("not open"))
 
 
 def _ranked(links: DataFrame) -> DataFrame:
-    """n, bottom, pos for (n, to, step): the last that links lead to, and the sum of their steps."""
-    start = links.select("n", "to", F.coalesce("to", "n").alias("bottom"), F.when(F.col("to").isNull(), 0).otherwise(F.col("step")).cast("long").alias("pos"))
-    state, open_ends = stored_counting(start, "links", "to IS NOT NULL")
+    """n, bottom, pos for (n, to, step): the last that links lead to, and the sum of their steps. Each ``to`` is
+    an ``n``."""
+    start = links.select("n", F.coalesce("to", "n").alias("at"), F.when(F.col("to").isNull(), 0).otherwise(F.col("step")).cast("long").alias("pos"), F.col("to").isNotNull().alias("open"))
+    state, open_ends = stored_counting(start, "links", "open")
     while open_ends:
-        state, open_ends = stored_counting(_doubled(_doubled(state)), "links", "to IS NOT NULL")
-    return state.drop("to")
+        state, open_ends = stored_counting(_doubled(_doubled(state)), "links", "open")
+    return state.select("n", F.col("at").alias("bottom"), "pos")
 
 
 def _subtree_sizes(tree: DataFrame) -> DataFrame:
@@ -53,33 +57,67 @@ def _subtree_sizes(tree: DataFrame) -> DataFrame:
 
 @dataclass
 class Chains:
-    """members: id, chain, pos. cross: chain, pos, to_chain, to_pos of edges between chains, if there are any."""
+    """members: n, chain, pos of each commit by its number. cross: chain, pos, to_chain, to_pos of edges between
+    chains, if there are any. names: id, n."""
 
     members: DataFrame
     cross: DataFrame
     crosses: bool
+    names: DataFrame
+    number: Callable[[Column], Column] | None
+
+    @staticmethod
+    def of(edges: DataFrame, more: DataFrame | None = None, named: bool = True, number: Callable[[Column], Column] | None = F.xxhash64) -> Chains:
+        """``edges``: id, parent. ``more``: further ids, that may have none; heads that are asked about later should be
+        there or in the edges. Without ``named`` names aren't written, for uses that give no ids back.
+
+        Commits are numbered by a hash, so that ids needn't be joined to numbers. Whether two of them share one
+        is counted on the way; if any do, all is done again with numbers that are looked up. Runs of commits
+        between forks are found first; which run goes on in which is settled on these alone."""
+        edges, n_edges = stored_counting(edges.where("parent IS NOT NULL").select("id", "parent"), "edges")
+        return Chains._of(edges, n_edges, more, named, number) or Chains._of(edges, n_edges, more, named, None)
 
     @staticmethod
-    def of(edges: DataFrame, more: DataFrame | None = None) -> Chains:
-        """``edges``: id, parent. ``more``: further ids, that may have none. Runs of commits between forks are
-        found first; which run goes on in which is settled on these alone."""
-        edges = stored(edges.where("parent IS NOT NULL").select("id", "parent"), "edges")
+    def _of(edges: DataFrame, n_edges: int, more: DataFrame | None, named: bool, number: Callable[[Column], Column] | None) -> Chains | None:
         ids = edges.select("id").union(edges.select("parent"))
-        names = stored((ids if more is None else ids.union(more.select("id"))).distinct().withColumn("n", F.monotonically_increasing_id()), "names")
-        number = lambda c, to: names.select(F.col("id").alias(c), F.col("n").alias(to))
-        edges = stored(edges.join(number("id", "n"), "id").join(number("parent", "up"), "parent").select("n", "up").distinct(), "edges")
+        names = (ids if more is None else ids.union(more.select("id").where("id IS NOT NULL"))).distinct()
+        if number:
+            names = names.withColumn("n", number(F.col("id")))
+            names = stored(names, "names") if named else names
+            edges = edges.select(number(F.col("id")).alias("n"), number(F.col("parent")).alias("up"))
+        else:
+            names = stored(names.withColumn("n", F.monotonically_increasing_id()), "names")
+            look = lambda c, to: names.select(F.col("id").alias(c), F.col("n").alias(to))
+            edges = stored(edges.join(look("id", "n"), "id").join(look("parent", "up"), "parent").select("n", "up"), "edges")
         tree = edges.groupBy("n").agg(F.min("up").alias("up"))
         kids = tree.groupBy("up").agg(F.count(F.lit(1)).alias("kids"))
-        tree, forks = stored_counting(names.select("n").join(tree.join(kids, "up"), "n", "left").select("n", "up", "kids"), "tree", "kids > 1")
+        nodes = names.groupBy("n").agg((F.count(F.lit(1)) > 1).alias("shared"))
+        seen = Observation()
+        counts = [F.count_if(F.expr(e)).alias(c) for c, e in (("shared", "shared"), ("forks", "kids > 1"), ("tree", "up IS NOT NULL"))]
+        tree = stored(nodes.join(tree.join(kids, "up"), "n", "left").select("n", "up", "kids", "shared").observe(seen, *counts), "tree").drop("shared")
+        found = seen.get
+        if found["shared"]:
+            return None
         runs = _ranked(tree.select("n", F.when(F.col("kids") == 1, F.col("up")).alias("to"), F.lit(1).alias("step"))).withColumnRenamed("bottom", "run")
-        placed = runs.select("n", F.col("run").alias("chain"), "pos")
-        if forks:
-            placed = runs.join(Chains._joined(tree, runs), "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos"))
-        members = stored(names.join(placed, "n").select("id", "n", "chain", "pos"), "members")
+        members = runs.select("n", F.col("run").alias("chain"), "pos")
+        if found["forks"]:
+            members = runs.join(Chains._joined(tree, runs), "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos"))
+            members = stored(members, "members")
+        # without second parents, only edges at forks can leave a chain
+        leaving = edges if n_edges > found["tree"] else tree.where("kids > 1").select("n", "up")
         at = lambda c, chain, pos: members.select(F.col("n").alias(c), F.col("chain").alias(chain), F.col("pos").alias(pos))
-        cross = edges.join(at("n", "chain", "pos"), "n").join(at("up", "to_chain", "to_pos"), "up").where("chain != to_chain")
-        cross, n = stored_counting(cross.select("chain", "pos", "to_chain", "to_pos").distinct(), "cross")
-        return Chains(members.select("id", "chain", "pos"), cross, n > 0)
+        cross, n = None, 0
+        if n_edges > found["tree"] or found["forks"]:
+            cross = leaving.join(at("n", "chain", "pos"), "n").join(at("up", "to_chain", "to_pos"), "up").where("chain != to_chain")
+            cross, n = stored_counting(cross.select("chain", "pos", "to_chain", "to_pos").distinct(), "cross")
+        cross = cross if n else edges.sparkSession.createDataFrame([], "chain long, pos long, to_chain long, to_pos long")
+        return Chains(members, cross, n > 0, names, number)
+
+    def numbered(self, rows: DataFrame, to: str = "n") -> DataFrame:
+        """``rows`` with the number of their ``id``; without those of unknown ids."""
+        if self.number:
+            return rows.withColumn(to, self.number(F.col("id"))).where("id IS NOT NULL")
+        return rows.join(self.names.withColumnRenamed("n", to), "id")
 
     @staticmethod
     def _joined(tree: DataFrame, runs: DataFrame) -> DataFrame:
@@ -93,8 +131,8 @@ class Chains:
         return ranked.select(F.col("n").alias("run"), F.col("bottom").alias("chain"), F.col("pos").alias("offset"))
 
     def labels(self, heads: DataFrame) -> DataFrame:
-        """head, chain, pos for (head, id): each head reaches the chain's commits up to ``pos``."""
-        new = stored(heads.join(self.members, "id").groupBy("head", "chain").agg(F.max("pos").alias("pos")).withColumn("below", F.lit(-1).cast("long")), "labels")
+        """head, chain, pos for (head, id) or (head, n): each head reaches the chain's commits up to ``pos``."""
+        new = stored((heads if "n" in heads.columns else self.numbered(heads)).join(self.members, "n").groupBy("head", "chain").agg(F.max("pos").alias("pos")).withColumn("below", F.lit(-1).cast("long")), "labels")
         have = new.select("head", "chain", "pos")
         while self.crosses:
             met = self._left(new).join(have.withColumnRenamed("pos", "below"), ["head", "chain"], "left").where("below IS NULL OR pos > below")
@@ -125,7 +163,7 @@ class Chains:
         child = self.cross.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.col("chain").alias("from_chain"), F.col("pos").alias("from_pos"))
         above = common.select("pair", F.col("chain").alias("from_chain"), F.col("pos").alias("top"))
         under = common.join(child, ["chain", "pos"]).join(above, ["pair", "from_chain"]).where("from_pos <= top").select("pair", "chain", "pos").distinct()
-        best = stored(common.join(under, ["pair", "chain", "pos"], "left_anti").join(self.members, ["chain", "pos"]).select("pair", "chain", "pos", "id"), "best")
+        best = stored(common.join(under, ["pair", "chain", "pos"], "left_anti").join(self.members, ["chain", "pos"]).join(self.names, "n").select("pair", "chain", "pos", "id"), "best")
         several = stored(best.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(best, "pair").drop("n"), "several")
         if self.crosses and not several.isEmpty():
             heads = stored(several.select("id").distinct().withColumn("head", F.monotonically_increasing_id()), "heads")
@@ -137,7 +175,7 @@ class Chains:
     def _meetings(self, pairs: DataFrame, window: int) -> DataFrame:
         """pair, chain, pos: up to where both sides of a pair were seen to reach on a chain."""
         sides = pairs.where("local IS NOT NULL AND remote IS NOT NULL").select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("local").alias("id")), F.struct(F.lit(1).alias("side"), F.col("remote").alias("id")))).alias("h"))
-        have = stored(sides.select("pair", "h.side", "h.id").join(self.members, "id").select("pair", "side", "chain", "pos"), "labels")
+        have = stored(self.numbered(sides.select("pair", "h.side", "h.id")).join(self.members, "n").select("pair", "side", "chain", "pos"), "labels")
         todo, left = have.select("pair", "side", "chain", F.lit(-1).cast("long").alias("lo"), F.col("pos").alias("hi")), 1
         both = lambda: have.groupBy("pair", "chain").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
         while self.crosses and left:
@@ -160,22 +198,26 @@ class Chains:
         both, up = self._labelled(pairs, "old", "new")
         of = lambda c: both.select("pair", F.col(c).alias("head")).join(up, "head").select("pair", "chain", F.col("pos").alias(c))
         fresh = of("new").join(of("old"), ["pair", "chain"], "left").groupBy("pair").agg(F.sum(F.greatest(F.col("new") - F.coalesce("old", F.lit(-1)), F.lit(0))).alias("n"))
-        return pairs.select("pair").join(fresh, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        return both.select("pair").join(fresh, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
     def is_ancestor(self, pairs: DataFrame) -> DataFrame:
         """pair, is_ancestor for (pair, old, new): whether new reaches old; every commit reaches itself."""
         both, up = self._labelled(pairs, "old", "new")
-        on = pairs.select("pair", F.col("old").alias("id")).join(self.members, "id").select("pair", "chain", F.col("pos").alias("at"))
+        on = both.select("pair", F.col("old").alias("n")).join(self.members, "n").select("pair", "chain", F.col("pos").alias("at"))
         met = both.select("pair", F.col("new").alias("head")).join(up, "head").join(on, ["pair", "chain"]).select("pair", (F.col("at") <= F.col("pos")).alias("ok"))
-        return pairs.select("pair").join(met, "pair", "left").select("pair", F.coalesce("ok", F.lit(False)).alias("is_ancestor"))
+        return both.select("pair").join(met, "pair", "left").select("pair", F.coalesce("ok", F.lit(False)).alias("is_ancestor"))
 
-    def _labelled(self, pairs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    def _labelled(self, pairs: DataFrame, *sides: str) -> tuple[DataFrame, DataFrame]:
         """pairs with their heads as numbers, and the labels of each different head."""
-        heads = pairs.select(F.col(a).alias("id")).union(pairs.select(b)).where("id IS NOT NULL").distinct()
-        heads = stored(heads.withColumn("head", F.monotonically_increasing_id()), "heads")
-        number = lambda c: heads.select(F.col("id").alias(c), F.col("head").alias(f"__{c}"))
-        both = pairs.select("pair", a, b).join(number(a), a, "left").join(number(b), b, "left")
-        return stored(both.select("pair", F.col(f"__{a}").alias(a), F.col(f"__{b}").alias(b)), "pairs"), self.labels(heads)
+        both = pairs.select("pair", *sides)
+        for c in sides:
+            if self.number:
+                both = both.withColumn(c, F.when(F.col(c).isNotNull(), self.number(F.col(c))))
+            else:
+                both = both.join(self.names.select(F.col("id").alias(c), F.col("n").alias("__n")), c, "left").withColumn(c, F.col("__n")).drop("__n")
+        both = stored(both, "pairs")
+        heads = both.select(F.explode(F.array(*sides)).alias("n")).where("n IS NOT NULL").distinct()
+        return both, self.labels(heads.withColumn("head", F.col("n")))
 
     def least_reaching(self, sources: DataFrame) -> DataFrame:
         """id, rank: the smallest rank of a source (id, rank) that reaches each commit. A chain's commits
@@ -184,7 +226,7 @@ class Chains:
         edges = stored(self.cross.withColumn("edge", F.monotonically_increasing_id()), "cross")
         rank_type = sources.schema["rank"].dataType
         none = F.lit(None).cast(rank_type)
-        have = stored(sources.join(self.members, "id").groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "ranks")
+        have = stored(self.numbered(sources).join(self.members, "n").groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "ranks")
         starts = edges.select("chain", "pos", "edge", F.lit(1).alias("kind"), none.alias("rank"))
         ends = edges.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), "edge", F.lit(2).alias("kind"), none.alias("rank"))
         while self.crosses:
@@ -196,9 +238,9 @@ class Chains:
             if not n:
                 break
             have = stored(have.unionByName(better).groupBy("chain", "pos").agg(F.min("rank").alias("rank")), "ranks")
-        held = have.select("chain", "pos", F.lit(0).alias("kind"), "rank", F.lit(None).cast("string").alias("id"))
-        asks = self.members.select("chain", "pos", F.lit(1).alias("kind"), none.alias("rank"), "id")
-        return self._from_above(held.unionByName(asks), "id").where("kind = 1 AND least IS NOT NULL").select("id", F.col("least").alias("rank"))
+        held = have.select("chain", "pos", F.lit(0).alias("kind"), "rank", F.lit(None).cast("long").alias("n"))
+        asks = self.members.select("chain", "pos", F.lit(1).alias("kind"), none.alias("rank"), "n")
+        return self._from_above(held.unionByName(asks), "n").where("kind = 1 AND least IS NOT NULL").join(self.names, "n").select("id", F.col("least").alias("rank"))
 
     @staticmethod
     def _from_above(rows: DataFrame, tie: str = "edge") -> DataFrame:

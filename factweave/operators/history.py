@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions import scalars as C
 from factweave.operators.ancestry import Chains
 from factweave.operators.ordering import with_previous
+from factweave.operators.shared import stored
 from factweave.operators.snapshot import PREFIXES, parse_manifests
 
 K = ["target_type", "target_value", "key"]
@@ -90,7 +91,8 @@ def hydrate(promised: DataFrame, tip_values: DataFrame) -> DataFrame:
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, base for (pair, local, remote): the best common ancestor, which no other common ancestor
     reaches; of several the smallest id."""
-    heads = pairs.select(F.col("local").alias("id")).union(pairs.select("remote")).where("id is not null")
+    pairs = stored(pairs.select("pair", "local", "remote"), "pairs")
+    heads = pairs.select(F.explode(F.array("local", "remote")).alias("id")).where("id is not null")
     return Chains.of(edges, heads).best_common(pairs)
 
 
@@ -115,11 +117,13 @@ def new_versions(edges: DataFrame, old: str, new: str) -> DataFrame:
 
 def new_versions_each(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, n for (pair, old, new): versions that the new head reaches and the old one doesn't."""
-    heads = pairs.select(F.col("old").alias("id")).union(pairs.select("new")).where("id is not null")
-    return Chains.of(edges, heads).new_each(pairs)
+    pairs = stored(pairs.select("pair", "old", "new"), "pairs")
+    heads = pairs.select(F.explode(F.array("old", "new")).alias("id")).where("id is not null")
+    return Chains.of(edges, heads, named=False).new_each(pairs)
 
 
 def are_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, is_ancestor for (pair, old, new): whether the new head reaches the old one."""
-    heads = pairs.select(F.col("old").alias("id")).union(pairs.select("new")).where("id is not null")
-    return Chains.of(edges, heads).is_ancestor(pairs)
+    pairs = stored(pairs.select("pair", "old", "new"), "pairs")
+    heads = pairs.select(F.explode(F.array("old", "new")).alias("id")).where("id is not null")
+    return Chains.of(edges, heads, named=False).is_ancestor(pairs)

@@ -128,7 +128,8 @@ def j20a(s):
     """Each customer's last commit reaches the first; the other way only where they are one."""
     c = _commits(s)
     ends = c.groupBy(F.col("o_custkey").cast("string").alias("pair")).agg(F.min_by("id", F.struct("ts", "o_orderkey")).alias("old"), F.max_by("id", F.struct("ts", "o_orderkey")).alias("new"))
-    both = ends.select(F.concat("pair", F.lit("u")).alias("pair"), "old", "new").unionByName(ends.select(F.concat("pair", F.lit("d")).alias("pair"), F.col("new").alias("old"), F.col("old").alias("new")))
+    way = lambda name, old, new: F.struct(F.concat("pair", F.lit(name)).alias("pair"), F.col(old).alias("old"), F.col(new).alias("new"))
+    both = ends.select(F.inline(F.array(way("u", "old", "new"), way("d", "new", "old"))))
     got = H.are_ancestors(H.edges_of(c), both).select(F.expr("substring(pair, 1, length(pair) - 1)").alias("p"), F.right("pair", F.lit(1)).alias("way"), "is_ancestor")
     return got.groupBy(F.col("p").alias("pair")).agg(F.max(F.when(F.col("way") == "u", F.col("is_ancestor"))).alias("up"), F.max(F.when(F.col("way") == "d", F.col("is_ancestor"))).alias("down"))
 
