@@ -44,11 +44,9 @@ def propagate_release(released: DataFrame, commits: DataFrame, facts: DataFrame)
     fact = lambda key: facts.where((F.col("target_type") == "commit") & (F.col("key") == key)).select(F.col("target_value").alias("commit_id"), F.col("value").alias(key.replace("-", "_")))
     rows = released.join(fact("branch-id"), "commit_id", "left").join(fact("change-id"), "commit_id", "left")
     rows = rows.join(commits.select(F.col("id").alias("commit_id"), C.last_trailer("message", "Change-Id").alias("trailer")), "commit_id", "left")
-    out = None
-    for kind, col in (("commit", F.col("commit_id")), ("branch", F.col("branch_id")), ("change-id", F.coalesce("change_id", "trailer"))):
-        part = rows.select(F.lit(kind).alias("target_type"), col.alias("target_value"), "tag").where("target_value is not null").distinct()
-        out = part if out is None else out.unionByName(part)
-    return out
+    targets = (("commit", F.col("commit_id")), ("branch", F.col("branch_id")), ("change-id", F.coalesce("change_id", "trailer")))
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("target_type"), col.alias("target_value")) for kind, col in targets))).alias("t"), "tag")
+    return each.select("t.target_type", "t.target_value", "tag").where("target_value is not null").distinct()
 
 
 def label_parts(rows: DataFrame) -> DataFrame:
