@@ -131,9 +131,17 @@ def classify(keys: DataFrame, rules: DataFrame) -> DataFrame:
     return found.select("key", F.explode(dests).alias("dest"))
 
 
+#: Rows of a key beyond which they aren't gathered by it.
+HOT = 10_000
+
+
 def route(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rows once for each destination of their key, which is in ``dest``."""
-    return rows.join(classify(rows, rules), "key")
+    """The rows once for each destination of their key, which is in ``dest``. Keys of very many rows, one to ``HOT``
+    rows at most, are broadcast with their destinations, so that these rows stay where they are."""
+    dests = stored(classify(rows, rules), "dests")
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
+    many = stored(many.where("key is not null"), "hot")
+    return rows.join(F.broadcast(dests.join(many, "key", "left_semi")), "key").unionByName(rows.join(F.broadcast(many), "key", "left_anti").join(dests, "key"))
 
 
 def expand_targets(facts: DataFrame, prefixes: DataFrame) -> DataFrame:
