@@ -126,7 +126,7 @@ def s9(s):
     files = N.render_snapshot(_local(s))
     store = Store(s.spark, scratch(s.spark, "versions"), buckets=16, leaves=1 << 6)
     store.write(files, "one")
-    again = store.follow("one", "again", files, files.repartition(3))
+    again = store.follow("one", "again", files, files.repartition("path"))
     store.follow("one", "other", files, files.where("content <> 'user'"))
     same = not again and not store.exists("again")
     return s.spark.createDataFrame([(same, store.exists("other") and store.unchanged("one", "other"))], "same boolean, other boolean")
