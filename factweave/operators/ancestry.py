@@ -8,14 +8,17 @@ compare labels; no row for a head and an ancestor is ever made.
 
 Labels grow along the edges between chains: a round takes the edges that leave what the round before
 added, so there are as many rounds as changes of chains, not as commits. Common ancestors are looked for
-from both heads until they meet, without the labels of what lies below. Chains are found by doubling
-pointers, one row for each commit in every round. Rounds are written to the shared folder."""
+from both heads until they meet, without the labels of what lies below. Chains are found by following
+pointers within blocks of commits that lie near each other in the edges as they come, and by doubling only those
+that lead on from block to block. Rounds are written to the shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -25,6 +28,9 @@ from factweave.operators.shared import stored, stored_counting
 #: Edges that leave one chain are dealt out so many ways when labels meet them.
 SLICES = 8
 
+#: Commits of a block, in which pointers are followed at once.
+BLOCK = 1 << 18
+
 
 def _doubled(state: DataFrame) -> DataFrame:
     """Pointers (n, at, pos, open) twice as long: ``at`` is where they get to, ``pos`` how far it is. Those that
@@ -34,16 +40,56 @@ def _doubled(state: DataFrame) -> DataFrame:
     return moved.unionByName(state.where("not open"))
 
 
+def _to_ends(state: DataFrame, open_ends: int) -> DataFrame:
+    while open_ends:
+        state, open_ends = stored_counting(_doubled(_doubled(state)), "links", "open")
+    return state
+
+
 def _ranked(links: DataFrame) -> DataFrame:
     """n, bottom, pos for (n, to, step): the last that links lead to, and the sum of their steps. Each ``to`` is
     an ``n``."""
     start = links.select("n", F.coalesce("to", "n").alias("at"), F.when(F.col("to").isNull(), 0).otherwise(F.col("step")).cast("long").alias("pos"), F.col("to").isNotNull().alias("open"))
-    state, open_ends = stored_counting(start, "links", "open")
-    while open_ends:
-        state, open_ends = stored_counting(_doubled(_doubled(state)), "links", "open")
+    return _to_ends(*stored_counting(start, "links", "open")).select("n", F.col("at").alias("bottom"), "pos")
+
+
+def _ranked_near(links: DataFrame) -> DataFrame:
+    """``_ranked`` for (n, to, place) with steps of one: rows whose places are near are followed in one block. What
+    blocks lead to is ranked by itself: of a history in some order that is a row or so for each block."""
+    blocks = links.repartitionByRange(F.col("place")).sortWithinPartitions("place").select("n", "to")
+    state, open_ends = stored_counting(blocks.mapInArrow(_followed, "n long, at long, pos long, open boolean"), "links", "open")
+    if open_ends:
+        hops, open_hops = stored_counting(state.where("open").select(F.col("at").alias("n")).distinct().join(state, "n"), "hops", "open")
+        hops = _to_ends(hops, open_hops).select(F.col("n").alias("at"), F.col("at").alias("far"), F.col("pos").alias("more"))
+        state = state.join(hops, "at", "left").select("n", F.coalesce("far", "at").alias("at"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"))
     return state.select("n", F.col("at").alias("bottom"), "pos")
 
 
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, at, pos, open for (n, to), block by block: where links within the block get to; open where one leaves it."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK:
+            yield from _follow(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if rows:
+        yield from _follow(pa.Table.from_batches(held))
+
+
+def _follow(block: pa.Table) -> list[pa.RecordBatch]:
+    n, on = block["n"].to_numpy(), block["to"].is_valid().to_numpy()
+    to = np.where(on, block["to"].fill_null(0).to_numpy(), n)
+    order = np.argsort(n)
+    at = order[np.minimum(np.searchsorted(n, to, sorter=order), len(n) - 1)]
+    inside = on & (n[at] == to)
+    at, pos = np.where(inside, at, np.arange(len(n))), inside.astype(np.int64)
+    while pos[at].any():  # until all have got to rows that don't go on in the block
+        at, pos = at[at], pos + pos[at]
+    return pa.table({"n": n, "at": to[at], "pos": pos + on[at], "open": on[at]}).to_batches(max_chunksize=10_000)
+
+
 def _subtree_sizes(tree: DataFrame) -> DataFrame:
     """n, up, size for (n, up, weight): the weight of all that come down to each along ``up``, and its own."""
     state, open_ends = stored_counting(tree.select("n", "up", F.col("up").alias("to"), F.col("weight").alias("size")), "sizes", "to IS NOT NULL")
@@ -55,6 +101,11 @@ def _subtree_sizes(tree: DataFrame) -> DataFrame:
     return state.drop("to")
 
 
+def _check(c: str) -> Column:
+    """A second hash of an id."""
+    return F.xxhash64(F.lit(1), F.reverse(c))
+
+
 @dataclass
 class Chains:
     """members: n, chain, pos of each commit by its number. cross: chain, pos, to_chain, to_pos of edges between
@@ -69,50 +120,74 @@ class Chains:
     @staticmethod
     def of(edges: DataFrame, more: DataFrame | None = None, named: bool = True, number: Callable[[Column], Column] | None = F.xxhash64) -> Chains:
         """``edges``: id, parent. ``more``: further ids, that may have none; heads that are asked about later should be
-        there or in the edges. Without ``named`` names aren't written, for uses that give no ids back.
+        there or in the edges. Without ``named`` edges are kept as numbers, for uses that give no ids back.
 
         Commits are numbered by a hash, so that ids needn't be joined to numbers. Whether two of them share one
-        is counted on the way; if any do, all is done again with numbers that are looked up. Runs of commits
+        is told by a second hash; if any do, all is done again with numbers that are looked up. Runs of commits
         between forks are found first; which run goes on in which is settled on these alone."""
-        edges, n_edges = stored_counting(edges.where("parent IS NOT NULL").select("id", "parent"), "edges")
-        return Chains._of(edges, n_edges, more, named, number) or Chains._of(edges, n_edges, more, named, None)
+        edges = edges.where("parent IS NOT NULL").select("id", "parent")
+        edges = edges if number and not named else stored(edges, "edges")
+        return Chains._of(edges, more, named, number) or Chains._of(edges, more, named, None)
 
     @staticmethod
-    def _of(edges: DataFrame, n_edges: int, more: DataFrame | None, named: bool, number: Callable[[Column], Column] | None) -> Chains | None:
+    def _of(edges: DataFrame, more: DataFrame | None, named: bool, number: Callable[[Column], Column] | None) -> Chains | None:
         ids = edges.select("id").union(edges.select("parent"))
         names = (ids if more is None else ids.union(more.select("id").where("id IS NOT NULL"))).distinct()
         if number:
             names = names.withColumn("n", number(F.col("id")))
-            names = stored(names, "names") if named else names
-            edges = edges.select(number(F.col("id")).alias("n"), number(F.col("parent")).alias("up"))
+            edges = edges.select(number(F.col("id")).alias("n"), number(F.col("parent")).alias("up"), _check("id").alias("check"), _check("parent").alias("up_check"))
+            edges = edges if named else stored(edges, "edges")
+            alone = None if more is None else more.where("id IS NOT NULL").select(number(F.col("id")).alias("n"), _check("id").alias("check"))
         else:
             names = stored(names.withColumn("n", F.monotonically_increasing_id()), "names")
             look = lambda c, to: names.select(F.col("id").alias(c), F.col("n").alias(to))
-            edges = stored(edges.join(look("id", "n"), "id").join(look("parent", "up"), "parent").select("n", "up"), "edges")
-        tree = edges.groupBy("n").agg(F.min("up").alias("up"))
-        kids = tree.groupBy("up").agg(F.count(F.lit(1)).alias("kids"))
-        nodes = names.groupBy("n").agg((F.count(F.lit(1)) > 1).alias("shared"))
-        seen = Observation()
-        counts = [F.count_if(F.expr(e)).alias(c) for c, e in (("shared", "shared"), ("forks", "kids > 1"), ("tree", "up IS NOT NULL"))]
-        tree = stored(nodes.join(tree.join(kids, "up"), "n", "left").select("n", "up", "kids", "shared").observe(seen, *counts), "tree").drop("shared")
-        found = seen.get
+            edges = stored(edges.join(look("id", "n"), "id").join(look("parent", "up"), "parent").select("n", "up", F.lit(0).alias("check"), F.lit(0).alias("up_check")), "edges")
+            alone = names.select("n", F.lit(0).alias("check"))
+        tree, found = Chains._tree(edges, alone)
         if found["shared"]:
             return None
-        runs = _ranked(tree.select("n", F.when(F.col("kids") == 1, F.col("up")).alias("to"), F.lit(1).alias("step"))).withColumnRenamed("bottom", "run")
+        links, at_forks = tree.select("n", F.col("up").alias("to"), "place"), None
+        if found["forks"]:
+            forks = tree.where("fork").select(F.col("n").alias("up"), F.lit(True).alias("cut"))
+            at_forks = stored(tree.join(forks, "up").select("n", "up"), "forks")
+            links = tree.join(forks, "up", "left").select("n", F.when(F.col("cut").isNull(), F.col("up")).alias("to"), "place")
+        runs = _ranked_near(links).withColumnRenamed("bottom", "run")
         members = runs.select("n", F.col("run").alias("chain"), "pos")
         if found["forks"]:
-            members = runs.join(Chains._joined(tree, runs), "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos"))
+            members = runs.join(Chains._joined(at_forks, runs), "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos"))
             members = stored(members, "members")
-        # without second parents, only edges at forks can leave a chain
-        leaving = edges if n_edges > found["tree"] else tree.where("kids > 1").select("n", "up")
+        # only edges at forks and those of commits with several parents can leave a chain
+        leaving = at_forks
+        if found["merges"]:
+            merges = edges.join(tree.where("merge").select("n"), "n", "left_semi").select("n", "up")
+            leaving = merges if leaving is None else leaving.union(merges)
         at = lambda c, chain, pos: members.select(F.col("n").alias(c), F.col("chain").alias(chain), F.col("pos").alias(pos))
         cross, n = None, 0
-        if n_edges > found["tree"] or found["forks"]:
+        if leaving is not None:
             cross = leaving.join(at("n", "chain", "pos"), "n").join(at("up", "to_chain", "to_pos"), "up").where("chain != to_chain")
             cross, n = stored_counting(cross.select("chain", "pos", "to_chain", "to_pos").distinct(), "cross")
         cross = cross if n else edges.sparkSession.createDataFrame([], "chain long, pos long, to_chain long, to_pos long")
         return Chains(members, cross, n > 0, names, number)
 
+    @staticmethod
+    def _tree(edges: DataFrame, alone: DataFrame | None) -> tuple[DataFrame, dict[str, int]]:
+        """n, up, fork, merge, place for all commits, and how many are shared by ids, forks and merges, in one aggregation.
+        ``up`` is the parent that the forest takes; a fork has several children by any edge; the place is where a commit
+        comes first in the edges."""
+        none = F.lit(None).cast("long")
+        row = lambda n, up, kid, check: F.struct(F.col(n).alias("n"), up.alias("up"), kid.alias("kid"), F.col(check).alias("check"))
+        both = F.array(row("n", F.col("up"), none, "check"), row("up", none, F.col("n"), "up_check"))
+        rows = edges.withColumn("place", F.monotonically_increasing_id()).select("place", F.inline(both))
+        if alone is not None:
+            rows = rows.unionByName(alone, allowMissingColumns=True)
+        ends = [f(c).alias(f"{name}_{c}") for c in ("up", "kid", "check") for name, f in (("min", F.min), ("max", F.max))]
+        differ = lambda c: F.coalesce(F.col(f"min_{c}") != F.col(f"max_{c}"), F.lit(False))
+        nodes = rows.groupBy("n").agg(*ends, F.min("place").alias("place"))
+        nodes = nodes.select("n", F.col("min_up").alias("up"), differ("kid").alias("fork"), differ("up").alias("merge"), differ("check").alias("shared"), F.coalesce("place", "n").alias("place"))
+        seen = Observation()
+        counts = [F.count_if(F.col(c)).alias(name) for c, name in (("shared", "shared"), ("fork", "forks"), ("merge", "merges"))]
+        return stored(nodes.observe(seen, *counts).drop("shared"), "tree"), seen.get
+
     def numbered(self, rows: DataFrame, to: str = "n") -> DataFrame:
         """``rows`` with the number of their ``id``; without those of unknown ids."""
         if self.number:
@@ -120,10 +195,11 @@ class Chains:
         return rows.join(self.names.withColumnRenamed("n", to), "id")
 
     @staticmethod
-    def _joined(tree: DataFrame, runs: DataFrame) -> DataFrame:
-        """run, chain, offset: a run goes on from the run below it if it has most commits above it."""
+    def _joined(at_forks: DataFrame, runs: DataFrame) -> DataFrame:
+        """run, chain, offset: a run goes on from the run below it if it has most commits above it. ``at_forks`` are n, up
+        where runs begin above others; a run is named by its first commit."""
         sizes = runs.groupBy("run").agg((F.max("pos") + 1).alias("weight"))
-        below = tree.where("kids > 1").select("n", "up").join(runs.select("n", "run"), "n").join(runs.select(F.col("n").alias("up"), F.col("run").alias("on")), "up").select("run", "on")
+        below = at_forks.join(runs.select(F.col("n").alias("up"), F.col("run").alias("on")), "up").select(F.col("n").alias("run"), "on")
         graph = stored(sizes.join(below, "run", "left").select(F.col("run").alias("n"), F.col("on").alias("up"), "weight"), "forks")
         heavy = _subtree_sizes(graph).where("up IS NOT NULL").groupBy("up").agg(F.max_by("n", F.struct("size", "n")).alias("n"))
         step = graph.select(F.col("n").alias("up"), F.col("weight").alias("step"))
