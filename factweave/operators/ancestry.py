@@ -131,7 +131,7 @@ class Chains:
 
     @staticmethod
     def _of(edges: DataFrame, more: DataFrame | None, named: bool, number: Callable[[Column], Column] | None) -> Chains | None:
-        ids = edges.select("id").union(edges.select("parent"))
+        ids = edges.select(F.explode(F.array("id", "parent")).alias("id"))  # in one scan, so that most repeats end before the shuffle
         names = (ids if more is None else ids.union(more.select("id").where("id IS NOT NULL"))).distinct()
         if number:
             names = names.withColumn("n", number(F.col("id")))
@@ -153,19 +153,22 @@ class Chains:
             links = tree.join(forks, "up", "left").select("n", F.when(F.col("cut").isNull(), F.col("up")).alias("to"), "place")
         runs = _ranked_near(links).withColumnRenamed("bottom", "run")
         members = runs.select("n", F.col("run").alias("chain"), "pos")
-        if found["forks"]:
-            members = runs.join(Chains._joined(at_forks, runs), "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos"))
-            members = stored(members, "members")
         # only edges at forks and those of commits with several parents can leave a chain
-        leaving = at_forks
+        leaving = []
+        if found["forks"]:
+            below = stored(at_forks.join(runs.withColumnRenamed("n", "up"), "up").select(F.col("n").alias("run"), F.col("run").alias("on"), "pos"), "below")
+            joined = stored(Chains._joined(below, runs), "joined")
+            members = stored(runs.join(joined, "run").select("n", "chain", (F.col("pos") + F.col("offset")).alias("pos")), "members")
+            on = joined.select(F.col("run").alias("on"), F.col("chain").alias("to_chain"), F.col("offset").alias("to_offset"))
+            leaving.append(below.join(joined, "run").join(on, "on").select("chain", F.col("offset").alias("pos"), "to_chain", (F.col("pos") + F.col("to_offset")).alias("to_pos")))
         if found["merges"]:
-            merges = edges.join(tree.where("merge").select("n"), "n", "left_semi").select("n", "up")
-            leaving = merges if leaving is None else leaving.union(merges)
-        at = lambda c, chain, pos: members.select(F.col("n").alias(c), F.col("chain").alias(chain), F.col("pos").alias(pos))
+            merges = stored(edges.join(tree.where("merge").select("n"), "n", "left_semi").select("n", "up"), "merges")
+            ends = stored(merges.select(F.explode(F.array("n", "up")).alias("n")).distinct().join(members, "n"), "ends")
+            leaving.append(merges.join(ends, "n").join(ends.toDF("up", "to_chain", "to_pos"), "up").select("chain", "pos", "to_chain", "to_pos"))
         cross, n = None, 0
-        if leaving is not None:
-            cross = leaving.join(at("n", "chain", "pos"), "n").join(at("up", "to_chain", "to_pos"), "up").where("chain != to_chain")
-            cross, n = stored_counting(cross.select("chain", "pos", "to_chain", "to_pos").distinct(), "cross")
+        if leaving:
+            cross = (leaving[0] if len(leaving) == 1 else leaving[0].union(leaving[1])).where("chain != to_chain")
+            cross, n = stored_counting(cross.distinct(), "cross")
         cross = cross if n else edges.sparkSession.createDataFrame([], "chain long, pos long, to_chain long, to_pos long")
         return Chains(members, cross, n > 0, names, number)
 
@@ -195,11 +198,10 @@ class Chains:
         return rows.join(self.names.withColumnRenamed("n", to), "id")
 
     @staticmethod
-    def _joined(at_forks: DataFrame, runs: DataFrame) -> DataFrame:
-        """run, chain, offset: a run goes on from the run below it if it has most commits above it. ``at_forks`` are n, up
-        where runs begin above others; a run is named by its first commit."""
+    def _joined(below: DataFrame, runs: DataFrame) -> DataFrame:
+        """run, chain, offset: a run goes on from the run below it if it has most commits above it. ``below`` has run and
+        on, the run below; a run is named by its first commit."""
         sizes = runs.groupBy("run").agg((F.max("pos") + 1).alias("weight"))
-        below = at_forks.join(runs.select(F.col("n").alias("up"), F.col("run").alias("on")), "up").select(F.col("n").alias("run"), "on")
         graph = stored(sizes.join(below, "run", "left").select(F.col("run").alias("n"), F.col("on").alias("up"), "weight"), "forks")
         heavy = _subtree_sizes(graph).where("up IS NOT NULL").groupBy("up").agg(F.max_by("n", F.struct("size", "n")).alias("n"))
         step = graph.select(F.col("n").alias("up"), F.col("weight").alias("step"))

@@ -8,7 +8,7 @@ from factweave.functions import scalars as C
 from factweave.operators import history as H
 from factweave.operators import sessions as S
 from factweave.operators.merge import K
-from factweave.operators.shared import scratch
+from factweave.operators.shared import scratch, stored
 from factweave.plans.registry import query
 from factweave.sources.tables import read_transcripts
 
@@ -106,6 +106,7 @@ def j19(s):
     merges, l and r, of its first commit with its last, which is the better base but further away."""
     c = _commits(s)
     e = c.groupBy("o_custkey").agg(F.max_by("id", F.struct("ts", "o_orderkey")).alias("last"), F.min_by("id", F.struct("ts", "o_orderkey")).alias("first")).withColumn("pair", F.col("o_custkey").cast("string"))
+    e = stored(e, "ends")
     m = F.col("o_custkey") % 6
     name = lambda x: F.concat(F.lit(x), "pair")
     local = F.when(m == 1, F.col("first")).when(m == 4, F.lit(None)).when(m == 5, name("l")).otherwise(F.col("last"))
