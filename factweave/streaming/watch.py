@@ -6,8 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -70,26 +69,26 @@ PROMPTS = "session string, commit_id string, prompts string, n int"
 
 
 class Gather(StatefulProcessor):
-    """Open prompts of a session as a list state: a batch appends its own, and only a commit, which takes
-    them all, reads them."""
+    """Open prompts of a session as a list state: a batch appends its own, and only its first commit, which takes
+    them all, reads them. Rows come as they are: sessions have few in a batch, and a frame for each costs more."""
 
     def init(self, handle) -> None:
         self.open = handle.getListState("open", "text string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
         new: list[str] = []
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
+        first = True
+        for r in sorted(rows, key=lambda r: (r.ts is None, r.ts or 0, r.seq is None, r.seq or 0)):
             if r.kind == "prompt":
                 new.append(r.text)
-            else:
-                texts = [*(x[0] for x in self.open.get()), *new]
-                out.append((key[0], r.text, "|".join(texts), len(texts)))
+                continue
+            if first and (held := [x[0] for x in self.open.get()]):
+                new = held + new
                 self.open.clear()
-                new = []
+            yield Row(session=key[0], commit_id=r.text, prompts="|".join(new), n=len(new))
+            new, first = [], False
         if new:
             self.open.appendList([(text,) for text in new])
-        yield pd.DataFrame(out, columns=["session", "commit_id", "prompts", "n"])
 
     def close(self) -> None:
         pass
@@ -98,7 +97,7 @@ class Gather(StatefulProcessor):
 def prompts_to_commits(events: DataFrame) -> DataFrame:
     """session, commit_id, prompts, n: prompts since the session's commit before. ``events`` is a stream
     of session, ts, seq, kind (prompt or commit), text; ``run_once`` sets the state store that it needs."""
-    return events.groupBy("session").transformWithStateInPandas(Gather(), PROMPTS, "append", "none")
+    return events.groupBy("session").transformWithState(Gather(), PROMPTS, "append", "none")
 
 
 @contextmanager
