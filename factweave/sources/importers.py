@@ -5,10 +5,11 @@ one source are put in one array, in order, so that a write's time is the source'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
+from factweave.operators.shared import stored
 
 PR = (
     "number long, title string, body string, url string, headRefName string, baseRefName string, mergedAt string, "
@@ -16,6 +17,8 @@ PR = (
     "comments array<struct<author:struct<login:string,name:string>,body:string,url:string,createdAt:string>>, "
     "reviews array<struct<author:struct<login:string,name:string>,state:string,body:string,url:string,submittedAt:string>>, closingIssuesReferences array<struct<number:long,url:string>>"
 )
+#: Characters of pull requests that meet their commits in one task.
+PART = 16 * 2**20
 WRITE = "struct<target_type:string,target_value:string,key:string,value_type:string,value:string>"
 
 
@@ -53,16 +56,20 @@ def _comments(entries: Column, kind: str, at: str) -> Column:
 
 def import_pull_requests(pulls: DataFrame, commits: DataFrame, repo: str) -> DataFrame:
     """``pulls`` has a json column; ``commits`` id, author, ts (seconds) of known commits. Commits that
-    aren't known write nothing."""
-    p = pulls.select(F.from_json("json", PR).alias("p")).where("p.number is not null").select("p.*")
+    aren't known write nothing. Pull requests are parsed once and meet their commits in as many parts as their
+    texts fill, so that a task's memory stays the same for any number of them."""
+    seen = Observation()
+    p = pulls.select(F.from_json("json", PR).alias("p"), F.length("json").cast("long").alias("size")).where("p.number is not null")
+    p = stored(p.observe(seen, F.sum("size").alias("size")).select("p.*"), "pulls")
+    parts = max(p.sparkSession.sparkContext.defaultParallelism, -(-(seen.get["size"] or 0) // PART))
     none = F.array().cast("array<struct<oid:string,messageHeadline:string>>")
     listed = F.coalesce("commits", none)
     extra = F.when(F.col("mergeCommit.oid").isNotNull() & ~F.array_contains(F.transform(listed, lambda c: c["oid"]), F.col("mergeCommit.oid")), F.array("mergeCommit")).otherwise(none)
     p = p.withColumns({"commits": F.concat(listed, extra), "headRefName": F.coalesce("headRefName", F.lit("unknown"))})
     each = p.select("number", F.posexplode("commits").alias("pos", "c")).select("number", "pos", F.col("c.oid").alias("id"), F.coalesce("c.messageHeadline", F.lit("")).alias("subject"))
     found = each.join(commits.select("id", "author", F.col("ts").alias("at")), "id")
-    kept = found.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "subject", "author", "at"))).alias("found"))
-    rows = p.join(kept, "number", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,id:string,subject:string,author:string,at:bigint>>")))
+    kept = found.repartition(parts, "number").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "subject", "author", "at"))).alias("found"))
+    rows = p.repartition(parts, "number").join(kept, "number", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,id:string,subject:string,author:string,at:bigint>>")))
     rows = rows.withColumns({"branch": C.branch_id("headRefName", "number"), "merged": F.coalesce(C.rfc3339_ms("mergedAt"), F.lit(0).cast("long"))})
     b, one, proj = F.col("branch"), F.lit("branch"), F.lit("")
     string = lambda key, v, when=None: _one(_write(one, b, key, "string", v), when)
