@@ -104,11 +104,12 @@ def chosen_values(rows: DataFrame, **sides: DataFrame) -> DataFrame:
         values = part if values is None else values.unionByName(part)
     names = F.array(*map(F.lit, sides))
     mine = F.get(names, F.col("side")) == F.when(choice == "base", "local").otherwise(choice)
-    met = values.join(rows.where("choice is not null").select(*K, "choice"), K)
-    plain = met.where(mine).select(*VALUES, "choice")
+    chosen = rows.where("choice is not null").select(*K, "choice")
+    plain = values.join(chosen, K).where(mine).select(*VALUES, "choice")
     if "remote" not in sides:
         return plain
-    united = met.where(choice == "union").groupBy(*K, "value_type", "choice", "id").agg(F.min_by("value", "side").alias("value"))
+    # strings, which hold most of the text, are never united
+    united = values.where(~F.col("value_type").eqNullSafe(F.lit("string"))).join(chosen.where(choice == "union"), K).groupBy(*K, "value_type", "choice", "id").agg(F.min_by("value", "side").alias("value"))
     return plain.unionByName(united)
 
 
@@ -220,9 +221,12 @@ def planned(state: DataFrame, snap: Snapshot) -> DataFrame:
     return rows.withColumn("op", op)
 
 
-def apply_snapshot(state: DataFrame, snap: Snapshot) -> DataFrame:
-    """The state after a merged snapshot: only keys that differ are written, tombstoned ones go."""
+def apply_snapshot(state: DataFrame, snap: Snapshot, gone: DataFrame | None = None) -> DataFrame:
+    """The state after a merged snapshot: only keys that differ are written, tombstoned ones go, and those (K) in
+    ``gone``. They are taken from the decided rows, not from the values, which are shuffled once."""
     rows = planned(state, snap).withColumn("choice", F.when(F.col("op") == "rm", F.lit(None)).when(F.col("op") == "set", "new").otherwise("now"))
+    if gone is not None:
+        rows = rows.select(*K, "choice").join(gone, K, "left_anti")
     return chosen_values(rows, now=state, new=live_values(snap)).drop("choice")
 
 
@@ -266,17 +270,15 @@ def implicit_deletes(before: DataFrame, values: DataFrame, tombstones: DataFrame
 def fast_forward(state: DataFrame, old: DataFrame, snap: Snapshot, delete_missing: bool = True) -> DataFrame:
     """The state after taking over a descendant snapshot; keys that only the old one had are removed
     (switch off where the snapshot was pruned)."""
-    after = apply_snapshot(state, snap)
-    return after.join(implicit_deletes(old, snap.values), K, "left_anti").select(*VALUES) if delete_missing else after
+    return apply_snapshot(state, snap, implicit_deletes(old, snap.values) if delete_missing else None)
 
 
 def three_way(state: DataFrame, base: Snapshot, local: Snapshot, remote: Snapshot) -> tuple[DataFrame, DataFrame]:
     """The state after a three-way merge, and the conflicts."""
     merged = stored(merge3(base.values, local.values, remote.values), "merged")
     tombs = stored(merge_tombstones(base.tombstones, local.tombstones, remote.tombstones, merged), "tombstones")
-    after = apply_snapshot(state, Snapshot(merged, tombs))
-    gone = implicit_deletes(base.values, merged, tombs)
-    return after.join(gone, K, "left_anti").select(*VALUES), conflicts(base.values, local.values, remote.values)
+    after = apply_snapshot(state, Snapshot(merged, tombs), implicit_deletes(base.values, merged, tombs))
+    return after, conflicts(base.values, local.values, remote.values)
 
 
 def materialise(state: DataFrame, base: Snapshot | None, local: Snapshot, remotes: list[tuple[str, Snapshot]]) -> DataFrame:
