@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as C
-from factweave.operators.shared import stored
+from factweave.operators.shared import stored, stored_counting
 
 
 def summarise_sessions(messages: DataFrame) -> DataFrame:
@@ -46,59 +48,103 @@ def summarise_transcripts(lines: DataFrame) -> DataFrame:
     return summarise_sessions(transcript_messages(lines))
 
 
+#: Cells of 2**HOUR units and more are what sessions and commits are dealt out by.
+HOUR = 6
+#: So many sessions of one such cell go to one task, and so many of its commits are one row.
+CROWD, BLOCK = 100_000, 64
+#: So many named commits a session carries.
+MANY = 64
+
+
 def dyadic_cells(lo: Column, hi: Column) -> Column:
     """array<struct<level, cell>>: the fewest cells [cell * 2**level, (cell + 1) * 2**level) that cover the
     whole numbers from lo up to but not hi: two a level at most."""
-    def step(acc: Column, level: Column) -> Column:
-        a, b, cells = acc["a"], acc["b"], acc["cells"]
-        odd_a, odd_b = (a < b) & (F.pmod(a, F.lit(2)) == 1), (a < b) & (F.pmod(b, F.lit(2)) == 1)
-        at = lambda cell: F.array(F.struct(level.alias("level"), cell.alias("cell")))
-        none = F.array().cast("array<struct<level:int,cell:bigint>>")
-        left = F.when(odd_a, at(a)).otherwise(none)
-        right = F.when(odd_b, at(b - 1)).otherwise(none)
-        return F.struct(F.shiftright(F.when(odd_a, a + 1).otherwise(a), 1).alias("a"), F.shiftright(F.when(odd_b, b - 1).otherwise(b), 1).alias("b"), F.concat(cells, left, right).alias("cells"))
+    lo, hi = lo.cast("long"), hi.cast("long")
+
+    def at(level: Column) -> Column:
+        a, b = -F.call_function("shiftright", -lo, level), F.call_function("shiftright", hi, level)
+        cell = lambda odd, c: F.when((a < b) & (F.pmod(odd, F.lit(2)) == 1), F.struct(level.alias("level"), c.alias("cell")))
+        return F.array(cell(a, a), cell(b, b - 1))
+
+    top = F.floor(F.log2(F.greatest(hi - lo, F.lit(1)).cast("double"))).cast("int")
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), at)), lambda c: c.isNotNull())
+
+
+def _parts(lo: Column, hi: Column) -> Column:
+    """array<struct<wide, at>>: cells of level HOUR and higher that hold the whole numbers from lo up to but not hi: of
+    level HOUR at either end, and between them the fewest."""
+    part = lambda wide, at: F.struct(wide.cast("int").alias("wide"), at.cast("long").alias("at"))
+    none = F.array().cast("array<struct<wide:int,at:bigint>>")
+    a, b = F.shiftright(lo + ((1 << HOUR) - 1), HOUR), F.shiftright(hi, HOUR)  # the first and last full hour's start
+    head = F.when(F.shiftleft(a, HOUR) > lo, F.array(part(F.lit(HOUR), a - 1))).otherwise(none)
+    tail = F.when(F.shiftleft(b, HOUR) < hi, F.array(part(F.lit(HOUR), b))).otherwise(none)
+    whole = F.transform(dyadic_cells(a, b), lambda c: part(c["level"] + HOUR, c["cell"]))
+    return F.when(hi <= lo, none).when(a > b, tail).when(a == b, F.concat(head, tail)).otherwise(F.concat(head, whole, tail))
+
+
+def _meet(spans: DataFrame, commits: DataFrame, unit_ms: int, within: tuple[str, ...], along: tuple[str, ...]) -> DataFrame:
+    """``range_matches`` for spans of user_id, sid, lo, hi."""
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unit = lambda ms: F.floor(F.col(ms) / unit_ms).cast("long")
+    parts = spans.select("*", F.inline_outer(_parts(unit("lo"), unit("hi") + 1))).where("at IS NOT NULL")
+    place = ["at", "wide", *within]
+    held = stored(parts.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "held")
+    used = sorted(r["wide"] for r in held.select("wide").distinct().collect())  # a row for each level at most
+    crowds = F.broadcast(held.where(F.col("n") > CROWD).select(*place, F.ceil(F.col("n") / CROWD).cast("int").alias("tasks")))
+    tasks = F.coalesce("tasks", F.lit(1))
+
+    theirs = ["id", "ts", *(c for c in along if c not in spans.columns)]
+    moments = commits.select(*theirs, F.coalesce("assisted", F.lit(False)).alias("assisted"), F.col("user_id").alias("author"), *within, F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("wide"))
+    moments = moments.withColumn("__unit", unit("ts")).withColumn("at", F.expr("shiftright(__unit, wide)")).drop("__unit")
+    block = F.floor((F.row_number().over(W.partitionBy(*place).orderBy("ts")) - 1) / BLOCK)
+    blocks = moments.where("assisted").withColumn("__block", block).groupBy(*place, "__block").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.collect_list(F.struct(*theirs, "author")).alias("items"))
+    blocks = stored(blocks.drop("__block"), "blocks")
+
+    dealt = [*place, "turn"]
+    here = parts.join(crowds, place, "left").withColumn("turn", F.pmod(F.hash("user_id", "sid"), tasks)).drop("tasks")
+    there = blocks.join(crowds, place, "left").withColumn("turn", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
+    anyone = here.repartition(n, *dealt).join(there.repartition(n, *dealt), dealt).where("since <= hi and until >= lo").select("user_id", "sid", "lo", "hi", *(c for c in along if c in spans.columns), F.inline("items")).withColumn("assisted", F.lit(True))
+    own = parts.join(moments.where("not assisted").withColumn("user_id", F.col("author")), [*place, "user_id"])
+    out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts", *along)
+    hit = lambda df: df.where("ts between lo and hi").select(*out)
+    return hit(anyone).unionByName(hit(own))
+
 
-    start = F.struct(lo.cast("long").alias("a"), hi.cast("long").alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
-    top = F.floor(F.log2(F.greatest(hi - lo, F.lit(1)).cast("double"))).cast("int") + 1
-    return F.aggregate(F.sequence(F.lit(0), top), start, step, lambda acc: acc["cells"])
+def _spans(before_ms: int, after_ms: int) -> tuple[Column, Column]:
+    return (F.col("start_ts") - before_ms).alias("lo"), (F.col("end_ts") + after_ms).alias("hi")
 
 
 def range_matches(sessions: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 300_000, unit_ms: int = 60_000, within: tuple[str, ...] = (), along: tuple[str, ...] = ()) -> DataFrame:
     """user_id, sid, id, assisted, same_author, ts: commits within a session's time, widened on both
     sides, that name an assistant, whoever wrote them, or that the session's user wrote. A session is covered by
-    the few dyadic cells that make up its time, a month by fewer than 64, a commit lies in one cell of each
-    level: both meet by equality (of one user, for commits that name no assistant), then by an exact test.
+    the few hours (64 units) and dyadic cells of hours that hold its time, a month by fewer than 64; a commit lies in one
+    cell of each level in use. Both meet by equality, then by an exact test: commits that name an assistant as
+    blocks of up to ``BLOCK`` that follow each other in time, so that a session is tested against blocks and only those it
+    touches are opened; others with sessions of their own user. Sessions of a crowded hour are dealt to several tasks.
     ``within`` names columns of both, such as a project: rows that differ in them don't meet at all. ``along`` names
     further columns of either that go with a pair."""
     mine = [c for c in along if c in sessions.columns]
-    theirs = [c for c in along if c not in mine]
-    lo, hi = F.col("start_ts") - before_ms, F.col("end_ts") + after_ms
-    cover = dyadic_cells(F.floor(lo / unit_ms), F.floor(hi / unit_ms) + 1)
-    spans = stored(sessions.select("user_id", "sid", *within, *mine, lo.alias("lo"), hi.alias("hi"), F.inline(cover)), "spans")
-    used = sorted(r["level"] for r in spans.select("level").distinct().collect())  # a row for each level at most
-    levels = F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level")
-    at = commits.select("id", F.coalesce("assisted", F.lit(False)).alias("assisted"), "ts", F.col("user_id").alias("author"), *within, *theirs, levels)
-    at = at.withColumn("cell", F.floor(F.col("ts") / unit_ms)).withColumn("cell", F.expr("shiftright(cell, level)"))
-    on = ["level", "cell", *within]
-    anyone = spans.join(at.where("assisted"), on)
-    own = spans.join(at.where("not assisted").withColumn("user_id", F.col("author")), [*on, "user_id"])
-    out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts", *along)
-    hit = lambda df: df.where("ts between lo and hi").select(*out)
-    return hit(anyone).unionByName(hit(own))
+    spans = stored(sessions.select("user_id", "sid", *within, *mine, *_spans(before_ms, after_ms)), "spans")
+    return _meet(spans, commits, unit_ms, within, along)
+
+
+def _mentions(outputs: DataFrame, commits: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, id: runs of hex digits are joined by every seven-character piece's equality."""
+    pieces = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 6), lambda i: F.substring(run, i, 7))
+    runs = F.regexp_extract_all("result", F.lit("[0-9a-f]{7,}"), F.lit(0))
+    shorts = outputs.select(*key, F.explode(F.array_distinct(F.flatten(F.transform(runs, pieces)))).alias("short"))
+    return shorts.join(commits.select("id", F.substring("id", 1, 7).alias("short")), "short").select(*key, "id").distinct()
 
 
 def output_matches(outputs: DataFrame, commits: DataFrame) -> DataFrame:
-    """out_id, id: commits whose id, or its first seven characters, occurs in a command's output.
-    Runs of hex digits are joined by every seven-character piece's equality, then tested."""
-    runs = outputs.select("out_id", F.explode(F.regexp_extract_all("result", F.lit("[0-9a-f]{7,}"), F.lit(0))).alias("run"))
-    pieces = runs.select("out_id", "run", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - 6), lambda i: F.substring("run", i, 7))).alias("short")).distinct()
-    return pieces.join(commits.select("id", F.substring("id", 1, 7).alias("short")), "short").select("out_id", "id").distinct()
+    """out_id, id: commits whose id, or its first seven characters, occurs in a command's output."""
+    return _mentions(outputs, commits, ["out_id"])
 
 
 def session_outputs(outputs: DataFrame, commits: DataFrame) -> DataFrame:
     """user_id, sid, id: commits that a session's command output names, for ``outputs`` of user_id, sid,
     out_id, result."""
-    return output_matches(outputs, commits).join(outputs.select("out_id", "user_id", "sid"), "out_id").select("user_id", "sid", "id").distinct()
+    return _mentions(outputs, commits, ["user_id", "sid"])
 
 
 def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, along: tuple[str, ...] = ()) -> DataFrame:
@@ -107,29 +153,39 @@ def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, al
     them. Each pair comes once.
 
     Pairs in a session's time are as many as sessions and assisted commits that lie close, so they aren't shuffled
-    again. A session carries one of 64 bits for each commit that its outputs name: where a commit's bit is
-    missing, and neither of the two is listed twice, the pair has no other strategy and goes straight out. The few
-    others are settled in ``by_priority``; and only sessions with a commit after them are asked whether they have any."""
-    key = ["user_id", "sid"]
+    again, and are made once. A session carries the commits that its outputs name, which it doesn't get a second time, and all
+    others go straight out. Only sessions and commits that are listed twice, and sessions that name more than ``MANY``
+    commits, are settled in ``by_priority``. Sessions with a commit after them are asked whether they have any by the
+    first and last assisted commit of each minute."""
+    key, before_ms, after_ms, unit_ms = ["user_id", "sid"], 60_000, 300_000, 60_000
     named = stored(session_outputs(outputs, commits), "named")
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
-    counted = sessions.select(*key, F.lit(0).cast("long").alias("bits"), F.lit(1).alias("n")).unionByName(named.select(*key, bit.alias("bits"), F.lit(0).alias("n")))
-    marks = counted.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.bit_or("bits").alias("bits"), (F.sum("n") > 1).alias("twice"))
+    some = named.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("id"))).where(F.col("n") <= MANY + 1)
+    some = some.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.collect_list("id").alias("named"))
     same = F.col("user_id").eqNullSafe(F.col("__user_id")) & F.col("sid").eqNullSafe(F.col("__sid"))
-    spans = stored(sessions.join(marks, same, "left").drop("__user_id", "__sid"), "sessions")
-    often = commits.groupBy(F.col("id").alias("__id")).agg((F.count(F.lit(1)) > 1).alias("again"))
-    at = stored(commits.join(often, F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id").withColumn("bit", bit), "commits")
-
-    near = range_matches(spans, at, along=("bits", "twice", "again", "bit", *along))
-    alone = ~(F.col("twice") | F.col("again") | (F.col("bits").bitwiseAND(F.col("bit")) != 0))
-    once = near.where(alone).select(*key, "id", F.when(F.col("assisted"), "assisted").otherwise("author").alias("strategy"), *along)
+    twice = F.count(F.lit(1)).over(W.partitionBy(*key)) > 1
+    spans = sessions.select(*key, "start_ts", "end_ts", twice.alias("odd")).join(some, same, "left").select(*key, "end_ts", *_spans(before_ms, after_ms), "odd", "named")
+    # in a time of under a minute the first and last commit of the minute may lie outside, and others in it
+    spans = spans.withColumn("odd", F.col("odd") | F.coalesce(F.size("named") > MANY, F.lit(False)) | F.coalesce(F.col("hi") - F.col("lo") < unit_ms, F.lit(False)))
+    spans, odd = stored_counting(spans, "sessions", "odd")
+    again = F.count(F.lit(1)).over(W.partitionBy("id")) > 1
+    at, repeated = stored_counting(commits.select("id", "user_id", "ts", F.coalesce("assisted", F.lit(False)).alias("assisted"), *along, again.alias("again")), "commits", "again")
+
+    meet = lambda s, c, *more: _meet(s.select(*key, "lo", "hi", *(x for x in more if x == "named")), c, unit_ms, (), more)
+    near = meet(spans.where("not odd"), at.where("not again"), "named", *along)
+    once = near.where(~F.coalesce(F.array_contains("named", F.col("id")), F.lit(False))).select(*key, "id", F.when(F.col("assisted"), "assisted").otherwise("author").alias("strategy"), *along)
     of = at.select(F.col("id").alias("__id"), *along).distinct()
     carry = lambda df: df.join(of, F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id") if along else df
-    others = near.where(~alone)
-    after = stored(asof_fallback(sessions, at), "after")
-    have = range_matches(spans.join(after.select(*key), key, "left_semi"), at).select(*key).unionByName(named.select(*key)).distinct()
-    ranked = [("output", carry(named)), ("assisted", others.where("assisted")), ("author", others.where("same_author"))]
-    return once.unionByName(by_priority(ranked, carry(after), have, along))
+    after = stored(asof_fallback(spans, at.select("id", "user_id", "ts")), "after")
+    ends = at.where("assisted").groupBy(F.floor(F.col("ts") / unit_ms)).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    ends = ends.select(F.lit(None).cast("string").alias("id"), F.lit(True).alias("assisted"), F.explode(F.array_distinct(F.array("a", "b"))).alias("ts"))
+    asked = stored(spans.where("not odd").select(*key, "lo", "hi").join(after.select(*key), key, "left_semi"), "asked")
+    have = meet(asked, at.where("not assisted").unionByName(ends, allowMissingColumns=True)).select(*key).unionByName(named.select(*key))
+    ranked = [("output", carry(named))]
+    if odd or repeated:
+        others = [meet(spans.where("odd"), at, *along)] * bool(odd) + [meet(spans.where("not odd"), at.where("again"), *along)] * bool(repeated)
+        ranked += [(name, df.where(test)) for name, test in (("assisted", "assisted"), ("author", "same_author")) for df in others]
+        have = reduce(DataFrame.unionByName, [df.select(*key) for df in others], have)
+    return once.unionByName(by_priority(ranked, carry(after), have.distinct(), along))
 
 
 def asof_fallback(sessions: DataFrame, commits: DataFrame, within_ms: int = 3_600_000, bucket_ms: int = 3_600_000) -> DataFrame:
