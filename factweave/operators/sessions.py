@@ -219,16 +219,17 @@ def attach(matches: DataFrame, change_ids: DataFrame, tagged: DataFrame) -> Data
 
 def attach_found(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, change_ids: DataFrame, tagged: DataFrame) -> DataFrame:
     """``attach`` for what ``find_commits`` finds. Targets are settled on the commits, before these meet sessions; only
-    pairs of targets that stand for several commits are compared afterwards."""
+    pairs of targets that stand for several commits are compared afterwards, if there are any."""
     target = ["target_type", "target_value"]
     rows = commits.join(change_ids.select("id", "change_id").distinct(), "id", "left")
     rows = rows.withColumns({"target_type": F.when(F.col("change_id").isNotNull(), "change-id").otherwise("commit"), "target_value": F.coalesce("change_id", "id")})
-    shared = rows.groupBy(*target).agg((F.count_distinct("id") > 1).alias("shared"))
-    rows = rows.join(shared, target, "left").join(tagged.select(*target, F.lit(True).alias("tagged")).distinct(), target, "left")
-    rows = rows.withColumns({"shared": F.coalesce("shared", F.lit(True)), "open": F.col("tagged").isNull()})
+    several = F.min("id").over(W.partitionBy(*target)) != F.max("id").over(W.partitionBy(*target))
+    rows = rows.withColumn("shared", F.col("target_value").isNull() | F.coalesce(several, F.lit(False)))
+    rows = rows.join(tagged.select(*target).distinct().withColumn("tagged", F.lit(True)), target, "left").withColumn("open", F.col("tagged").isNull())
+    rows, shared = stored_counting(rows.select("id", "user_id", "ts", "assisted", *target, "shared", "open"), "targets", "shared")
     found = find_commits(sessions, rows, outputs, along=(*target, "shared", "open")).where("open")
     pairs = lambda df: df.select(*target, "user_id", "sid")
-    return pairs(found.where("not shared")).unionByName(pairs(found.where("shared")).distinct())
+    return pairs(found.where("not shared")).unionByName(pairs(found.where("shared")).distinct()) if shared else pairs(found)
 
 
 def untagged(commits: DataFrame, facts: DataFrame, key: str, n: int) -> DataFrame:
