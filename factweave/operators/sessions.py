@@ -82,8 +82,9 @@ def _parts(lo: Column, hi: Column) -> Column:
     return F.when(hi <= lo, none).when(a > b, tail).when(a == b, F.concat(head, tail)).otherwise(F.concat(head, whole, tail))
 
 
-def _meet(spans: DataFrame, commits: DataFrame, unit_ms: int, within: tuple[str, ...], along: tuple[str, ...]) -> DataFrame:
-    """``range_matches`` for spans of user_id, sid, lo, hi."""
+def _meet(spans: DataFrame, commits: DataFrame, unit_ms: int, within: tuple[str, ...], along: tuple[str, ...], only: bool = False) -> DataFrame:
+    """``range_matches`` for spans of user_id, sid, lo, hi; with ``only`` user_id and sid of those that have any, once or
+    a few times."""
     n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unit = lambda ms: F.floor(F.col(ms) / unit_ms).cast("long")
     parts = spans.select("*", F.inline_outer(_parts(unit("lo"), unit("hi") + 1))).where("at IS NOT NULL")
@@ -103,8 +104,14 @@ def _meet(spans: DataFrame, commits: DataFrame, unit_ms: int, within: tuple[str,
     dealt = [*place, "turn"]
     here = parts.join(crowds, place, "left").withColumn("turn", F.pmod(F.hash("user_id", "sid"), tasks)).drop("tasks")
     there = blocks.join(crowds, place, "left").withColumn("turn", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
-    anyone = here.repartition(n, *dealt).join(there.repartition(n, *dealt), dealt).where("since <= hi and until >= lo").select("user_id", "sid", "lo", "hi", *(c for c in along if c in spans.columns), F.inline("items")).withColumn("assisted", F.lit(True))
+    if not only:  # few rows may make very many pairs, so that their own size is no measure for tasks
+        here, there = here.repartition(n, *dealt), there.repartition(n, *dealt)
+    touched = here.join(there, dealt).where("since <= hi and until >= lo")
     own = parts.join(moments.where("not assisted").withColumn("user_id", F.col("author")), [*place, "user_id"])
+    if only:
+        some = touched.where(F.exists("items", lambda x: x["ts"].between(F.col("lo"), F.col("hi"))))
+        return some.select("user_id", "sid").unionByName(own.where("ts between lo and hi").select("user_id", "sid"))
+    anyone = touched.select("user_id", "sid", "lo", "hi", *(c for c in along if c in spans.columns), F.inline("items")).withColumn("assisted", F.lit(True))
     out = ("user_id", "sid", "id", "assisted", F.col("user_id").eqNullSafe(F.col("author")).alias("same_author"), "ts", *along)
     hit = lambda df: df.where("ts between lo and hi").select(*out)
     return hit(anyone).unionByName(hit(own))
@@ -170,7 +177,7 @@ def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, al
     again = F.count(F.lit(1)).over(W.partitionBy("id")) > 1
     at, repeated = stored_counting(commits.select("id", "user_id", "ts", F.coalesce("assisted", F.lit(False)).alias("assisted"), *along, again.alias("again")), "commits", "again")
 
-    meet = lambda s, c, *more: _meet(s.select(*key, "lo", "hi", *(x for x in more if x == "named")), c, unit_ms, (), more)
+    meet = lambda s, c, *more, only=False: _meet(s.select(*key, "lo", "hi", *(x for x in more if x == "named")), c, unit_ms, (), more, only)
     near = meet(spans.where("not odd"), at.where("not again"), "named", *along)
     once = near.where(~F.coalesce(F.array_contains("named", F.col("id")), F.lit(False))).select(*key, "id", F.when(F.col("assisted"), "assisted").otherwise("author").alias("strategy"), *along)
     of = at.select(F.col("id").alias("__id"), *along).distinct()
@@ -179,13 +186,13 @@ def find_commits(sessions: DataFrame, commits: DataFrame, outputs: DataFrame, al
     ends = at.where("assisted").groupBy(F.floor(F.col("ts") / unit_ms)).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     ends = ends.select(F.lit(None).cast("string").alias("id"), F.lit(True).alias("assisted"), F.explode(F.array_distinct(F.array("a", "b"))).alias("ts"))
     asked = stored(spans.where("not odd").select(*key, "lo", "hi").join(after.select(*key), key, "left_semi"), "asked")
-    have = meet(asked, at.where("not assisted").unionByName(ends, allowMissingColumns=True)).select(*key).unionByName(named.select(*key))
+    have = meet(asked, at.where("not assisted").unionByName(ends, allowMissingColumns=True), only=True).unionByName(named.select(*key))
     ranked = [("output", carry(named))]
     if odd or repeated:
         others = [meet(spans.where("odd"), at, *along)] * bool(odd) + [meet(spans.where("not odd"), at.where("again"), *along)] * bool(repeated)
         ranked += [(name, df.where(test)) for name, test in (("assisted", "assisted"), ("author", "same_author")) for df in others]
-        have = reduce(DataFrame.unionByName, [df.select(*key) for df in others], have)
-    return once.unionByName(by_priority(ranked, carry(after), have.distinct(), along))
+        have = reduce(DataFrame.unionByName, [df.select(*key).distinct() for df in others], have)
+    return once.unionByName(by_priority(ranked, carry(after), have, along))
 
 
 def asof_fallback(sessions: DataFrame, commits: DataFrame, within_ms: int = 3_600_000, bucket_ms: int = 3_600_000) -> DataFrame:
